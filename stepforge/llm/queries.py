@@ -7,7 +7,8 @@ from .op04_exact import OP4_SQL, op4_exact_radix
 from .op05_quality import op5_quality_kneser_ney
 from .op07_media import op7_media_sniff
 from .op08_packing import op8_vector_packing
+from .op09_blocks import op9_substring_blocks
 from .op10_simhash import op10_simhash_bitslice
 
-QUERIES = {f.__name__: f for f in (op1_bpe_pair_index, op2_chat_format, op3_pii_disclosure, op4_exact_radix, op5_quality_kneser_ney, op7_media_sniff, op8_vector_packing, op10_simhash_bitslice)}
+QUERIES = {f.__name__: f for f in (op1_bpe_pair_index, op2_chat_format, op3_pii_disclosure, op4_exact_radix, op5_quality_kneser_ney, op7_media_sniff, op8_vector_packing, op9_substring_blocks, op10_simhash_bitslice)}
 SQL = {"op4_exact_radix": OP4_SQL}
