@@ -1,10 +1,11 @@
 """Repeats of words and bytes against brute force."""
 
 import hashlib
+import random
 
 import pytest
 
-from stepforge.llm import op09_blocks
+from stepforge.llm import op06_suffix, op09_blocks
 from stepforge.llm.queries import QUERIES
 
 sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -47,3 +48,71 @@ def test_block_odd_rows(spark, monkeypatch):
     for name in ("CHUNK", "SHARD"):
         monkeypatch.setattr(op09_blocks, name, 500)
     assert sorted(((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in op09_blocks.drop_repeats(df).collect()), key=str) == got
+
+
+def bytes_left(rows, size=op06_suffix.WINDOW):
+    """(id, number of bytes, spans, kept bytes) of each row."""
+    texts, seen = [(i, (x or "").encode()) for i, x in rows], {}
+    for _, x in texts:
+        for p in range(len(x) - size + 1):
+            h = hash(x[p : p + size])
+            seen[h] = seen.get(h, 0) + 1
+    out = []
+    for i, x in texts:
+        spans, end = [], 0
+        for p in range(len(x) - size + 1):
+            if seen[hash(x[p : p + size])] > 1:
+                if spans and p <= end:
+                    end = spans[-1][1] = p + size
+                else:
+                    spans.append([p, end := p + size])
+        kept, at = b"", 0
+        for s, e in spans:
+            kept, at = kept + x[at:s], e
+        out.append((i, len(x), spans, kept + x[at:]))
+    return out
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_suffix_query(spark, scale):
+    folder = f"/root/testdata/sf{scale}"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    want = {i: (n, n - len(k), len(s), sha(k)) for i, n, s, k in bytes_left(rows)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op6_suffix_merge"](spark, folder).collect()}
+    assert got == want and any(x[1] for x in want.values())
+
+
+def hard_texts(seed, n=60):
+    rng = random.Random(seed)
+    noise = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    base = [noise(1500), "ab" * 900, noise(20) * 60, "é" * 700]
+    out = ["", None, "x" * 399, "x" * 400, "x" * 401, noise(399), noise(400)]
+    for _ in range(n):
+        text = ""
+        for _ in range(rng.randint(1, 3)):
+            b = rng.choice(base)
+            s = rng.randrange(len(b) - 300)
+            text += b[s : s + rng.choice([300, 399, 400, 401, 450, 800])] + noise(rng.choice([0, 1, 50, 500]))
+        out.append(text)
+    return [*out, out[-1], out[-2]]
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_suffix_hard_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(op06_suffix, "HOT", hot)
+    monkeypatch.setattr(op06_suffix, "SHARD", 50)
+    rows = [*enumerate(hard_texts(hot)), (None, "x" * 400), (2, "y" * 500)]
+    df = spark.createDataFrame([(i, x, 1, "clash") for i, x in rows], "doc_id long, text string, n_spans int, row string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in op06_suffix.drop_repeats(df).collect()), key=str)
+    assert got == sorted(((i, n, n - len(k), len(s), k) for i, n, s, k in bytes_left(rows)), key=str)
+    assert op06_suffix.drop_repeats(df.where("false")).count() == 0
+
+
+def test_loser_tree_gives_order_and_common_prefixes():
+    rng = random.Random(6)
+    for k in (1, 2, 3, 7):
+        runs = [sorted((bytes(rng.choices(b"ab", k=rng.randint(0, 12))), i) for _ in range(rng.randint(0, 40))) for i in range(k)]
+        got = list(op06_suffix.merged([op06_suffix.Run(op06_suffix.front_coded(r)) for r in runs]))
+        keys = [key for _, key, _ in got]
+        assert keys == sorted(x for r in runs for x, _ in r)
+        assert all(h == op06_suffix.common(a, b) for a, (h, b, _) in zip([b"", *keys], got))
