@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import gathered, sliced, small_batches, table
 
 #: Bytes of text whose words share one index.
-BLOCK = 24 << 20
+BLOCK = 10 << 20
+#: Bytes of ids in a batch of results.
+OUT = 3 << 20
 
 
 def byte_letters() -> list[str]:
@@ -57,7 +59,7 @@ class Vocabulary:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
-        code = left << 32 | right
+        code = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
         return np.where((self.code[at] == code) & (left >= 0) & (right >= 0), self.rank[at], -1)
 
@@ -83,11 +85,11 @@ def merge_words(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.n
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
-    word = np.repeat(np.arange(len(words)), sizes)
-    symbol = np.append(vocab.inner[data], -1)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    symbol = np.append(vocab.inner[data], -1).astype(np.int32)
     ends = np.cumsum(sizes)[sizes > 0] - 1
     symbol[ends] = vocab.last[data[ends]]
-    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     after[ends], before[n] = n, n
     before[np.append(0, ends[:-1] + 1)] = n
     after[n] = n
@@ -109,7 +111,7 @@ def merge_words(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.n
                 index[rank] = [some]
                 heapq.heappush(heap, rank)
 
-    add(np.arange(n))
+    add(np.arange(n, dtype=np.int32))
     while heap:
         rank = heapq.heappop(heap)
         found = index.pop(rank)
@@ -170,23 +172,35 @@ def encode_texts(texts: list[str], vocab: Vocabulary) -> Iterator[np.ndarray]:
         yield flat[starts + np.arange(len(starts))].astype("<u4")
 
 
-def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decoded(ids: np.ndarray, tokens: list[str]) -> str:
+    """The tokens of ids, special ones too, joined by a space."""
+    return " ".join(map(tokens.__getitem__, ids.tolist()))
+
+
+def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """Rows (id_col, ids): ids are little-endian unsigned 32-bit token ids, one after another.
 
-    vocabulary: the JSON text of a vocabulary. Null and empty texts give no ids; equal rows give equal rows;
-    an empty table gives an empty one. Memory holds one block of texts, and no row is cut.
+    vocabulary: the JSON text of a vocabulary. decode: add what the ids decode to, so that one worker does both. Null
+    and empty texts give no ids; equal rows give equal rows; an empty table gives an empty one. Memory holds one
+    block of texts, and no row is cut.
     """
     small_batches(df.sparkSession)
     vocab = Vocabulary(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in gathered(batches, 1, BLOCK):
-            keys = block.column(0).combine_chunks()
-            ids = [x.tobytes() for x in encode_texts([x or "" for x in block.column(1).to_pylist()], vocab)]
-            yield from sliced([keys, pa.array(ids, pa.binary())], [id_col, "ids"], map(len, ids))
+            keys, out, texts, size, start = block.column(0).combine_chunks(), [], [], 0, 0
+            for i, ids in enumerate(encode_texts([x or "" for x in block.column(1).to_pylist()], vocab), 1):
+                out.append(ids.tobytes())
+                texts += [decoded(ids, vocab.tokens)] if decode else []
+                size += len(out[-1])
+                if size > OUT or i == len(keys):
+                    columns = [keys[start:i], pa.array(out, pa.binary())] + ([pa.array(texts, pa.string())] if decode else [])
+                    yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "decoded"][: len(columns)])
+                    out, texts, size, start = [], [], 0, i
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary" + ", decoded string" * decode)
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -196,9 +210,8 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [x or b"" for x in batch.column(1).to_pylist()]
-            texts = [" ".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in raw]
-            yield from sliced([batch.column(0), pa.array(raw, pa.binary()), pa.array(texts, pa.string())], [id_col, "ids", "decoded"], map(len, texts))
+            texts = [decoded(np.frombuffer(x or b"", "<u4"), tokens) for x in batch.column(1).to_pylist()]
+            yield from sliced([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, "ids", "decoded"], map(len, texts), OUT)
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded string")
@@ -214,5 +227,5 @@ def op1_bpe_pair_index(spark: SparkSession, sf_dir: str, path: str | None = None
 
     with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         vocabulary = f.read()
-    coded = decode(encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    coded = encode(table(spark, sf_dir, "documents"), vocabulary, decode=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))

@@ -48,6 +48,8 @@ def test_bpe_odd_texts_and_empty_table(spark, word):
         ids = word[0].encode(x or "", add_special_tokens=False).ids
         assert np.frombuffer(back[i].ids, "<u4").tolist() == ids
         assert back[i].decoded == word[0].decode(ids, skip_special_tokens=False)
+    both = {r.doc_id: r for r in op01_bpe.encode(df, word[1], decode=True).collect()}
+    assert both == back
     assert None in back and op01_bpe.encode(df.where("false"), word[1]).count() == 0
 
 
