@@ -16,7 +16,7 @@ def plain_model(total):
         n = levels[k].astype(float)
         c = [(n == i).sum() for i in range(1, 5)]
         y = c[0] / (c[0] + 2 * c[1]) if c[0] + 2 * c[1] else 0.5
-        d = [min(max(0, i - (i + 1) * y * c[i] / c[i - 1]), i) if c[i - 1] and c[i] else i / 2 for i in (1, 2, 3)]
+        d = [min(max(q.LEAST, i - (i + 1) * y * c[i] / c[i - 1]), i) if c[i - 1] and c[i] else i / 2 for i in (1, 2, 3)]
         cut = np.select([n == 0, n == 1, n == 2], [0, d[0], d[1]], d[2]).reshape(-1, q.BASE)
         n = n.reshape(-1, q.BASE)
         all_ = n.sum(1, keepdims=True)
@@ -47,6 +47,12 @@ def test_verdicts(spark):
     assert kept.columns == docs.columns and kept.count() == out.where("kept").count()
 
 
+def test_every_gram_has_a_probability(spark):
+    rows = [(i, 3 + i % 9) for i in range(0, 4000, 3)]
+    table_ = q.dense_table(q.kneser_ney(spark.createDataFrame(rows, "gram long, n long")))
+    assert np.isfinite(table_).all()
+
+
 def test_quantiles_by_hand(spark):
     rows = [("a", i) for i in (1, 2, 2, 5)] + [("b", 7)]
     df = spark.createDataFrame(rows, "lang string, bits long")
