@@ -6,15 +6,18 @@ lists, so further columns of the input, whatever their names, can't clash with i
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch; with these, a worker holds a few tens of MB of text at a time.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,17 +52,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, which it does when objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def gathered(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.Table]:
-    """Tables of whole batches that hold about `most` bytes of a column; the cut depends on the rows alone."""
+    """Tables of rows in a row that hold about `most` bytes of a column; where they are cut depends on the rows alone."""
     held, size = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.column(column).nbytes
-        if size >= most:
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        while len(lengths):
+            upto = size + np.cumsum(lengths)
+            n = int(np.searchsorted(upto, most)) + 1
+            held.append(batch.slice(0, n))
+            if n > len(lengths):
+                size = int(upto[-1])
+                break
             yield pa.Table.from_batches(held)
             held, size = [], 0
+            batch, lengths = batch.slice(n), lengths[n:]
     if held:
         yield pa.Table.from_batches(held)
 

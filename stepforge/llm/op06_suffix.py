@@ -28,7 +28,7 @@ WINDOW, STRETCH, GRAM = 400, 300, 16
 LEFT = STRETCH - GRAM
 #: What a window's suffix shares with its equal's at least.
 SHARED = WINDOW - LEFT
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Suffixes for each shard of the merge sort. A group of more that share SHARED bytes is compared window by window.
 SHARD, HOT = 16_000, 20_000
 
