@@ -20,11 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, sliced, small_batches, table, written
+from .common import gathered, release, sliced, small_batches, table, written
 
 WINDOW, BLOCK = 50, 25
 #: Bytes of text that a task handles at once, and bytes of text for each shard of the index.
 CHUNK, SHARD = 12 << 20, 12 << 20
+#: Repeated whole texts that are few enough to send to every task, at 32 bytes each.
+COPIES = 500_000
 #: Odd multipliers of the rolling hashes.
 M1, M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -142,8 +144,61 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = df.sparkSession
     small_batches(spark)
-    rows = df.select(id_col, F.col(text_col).cast("string").alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(id_col, F.col(text_col).cast("string").alias("text"))
+    rows, copies = without_copies(rows, id_col)
+    found = candidates(rows, id_col, digest)
+    release(spark)
+    near = found.where("words is not null").withColumnRenamed(id_col, "id")
+    places = near.select("row", "id", F.explode(F.arrays_zip("at", "a", "b")).alias("x")).select("row", "id", "x.*")
+    sources = places.groupBy("a", "b").agg(F.min("id").alias("source"))
+    repeats = places.join(sources, ["a", "b"]).where("source < id").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("repeats"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone, out = [], []
+            for n, words, at in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                words, cover = words.split(b" "), np.zeros(n + 1, np.int64)
+                if at:
+                    at = np.array(at)
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + WINDOW, -1)
+                keep = np.cumsum(cover)[:n] == 0
+                gone.append(int(n - keep.sum()))
+                out.append(finish([w for w, k in zip(words, keep.tolist(), strict=True) if k], digest))
+            yield from sliced([batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(out, pa.binary())], [id_col, "n_words", "n_removed", "kept"], map(len, out))
+
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [x.encode().split() for x in batch.column(1).to_pylist()]
+            size = list(map(len, words))
+            out = [finish([] if n >= WINDOW else w, digest) for w, n in zip(words, size, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array([n if n >= WINDOW else 0 for n in size], pa.int64()), pa.array(out, pa.binary())], [id_col, "n_words", "n_removed", "kept"])
+
+    schema = f"`{id_col}` {kind}, n_words long, n_removed long, kept binary"
+    done = near.select("row", "id", "n_words", "words").join(repeats, "row", "left").select("id", "n_words", "words", "repeats").mapInArrow(cut, schema)
+    out = found.where("words is null").select(id_col, "n_words", F.lit(0).cast("long").alias("n_removed"), "kept").unionByName(done)
+    return out if copies is None else out.unionByName(copies.mapInArrow(copied, schema))
+
+
+def without_copies(rows: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows without copies of a whole text that a smaller id has, those copies), or (rows, None).
+
+    What a copy holds its first holds too, so that copies need no search. Without this the result is the same; it is
+    done where the list of repeated texts is small enough for every task, by 128-bit hashes.
+    """
+    keys = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+    several = written(keys.where("text is not null").groupBy("k1", "k2").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copies")
+    if several.limit(COPIES + 1).count() > COPIES:
+        return rows, None
+    keys = keys.join(F.broadcast(several), ["k1", "k2"], "left").withColumn("copy", F.coalesce(F.col("first") < F.col(id_col), F.lit(False)))
+    return keys.where("not copy").select(id_col, "text"), keys.where("copy").select(id_col, "text")
+
+
+def candidates(rows: DataFrame, id_col: str, digest: bool) -> DataFrame:
+    """Rows (row, id_col, n_words, words, at, a, b, kept): a text near whose blocks something repeats has its words and, for
+    each window of 50 words there, its place and hashes; any other text is finished."""
+    kind = rows.schema[id_col].dataType.simpleString()
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     bits = min(60, math.ceil(math.log2(n_bytes)) + 10)
     hits = block_hits(rows, bits, max(1, n_bytes // SHARD))
@@ -175,43 +230,14 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined = [b" ".join(w) if s else None for w, s in zip(c.words, some, strict=True)]
         return pa.table({
             "row": left.column("row"), id_col: left.column(id_col), "n_words": pa.array(c.size),
-            "words": pa.array(joined, pa.binary()), "whole": pa.array([None if x is None else xxhash.xxh3_128_digest(x) for x in joined], pa.binary()),
+            "words": pa.array(joined, pa.binary()),
             "at": lists((at - c.begin[c.doc[at]]).astype(np.int32), pa.int32()), "a": lists(a.view(np.int64), pa.int64()), "b": lists((b >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32()),
             "kept": pa.array([None if s else finish(w, digest) for w, s in zip(c.words, some, strict=True)], pa.binary()),
         })
 
     texts = rows.mapInArrow(numbered, f"chunk long, row long, `{id_col}` {kind}, text string")
-    found = texts.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, f"row long, `{id_col}` {kind}, n_words long, words binary, whole binary, at array<int>, a array<long>, b array<int>, kept binary")
-    found = written(found, "blocks")
-    # A copy of a whole text goes whole, and what it holds its first copy holds too.
-    near = found.where("words is not null").withColumnRenamed(id_col, "id")
-    firsts = near.groupBy("whole").agg(F.min("id").alias("first"))
-    near = near.join(firsts, "whole").withColumn("copy", F.coalesce(F.col("first") < F.col("id"), F.lit(False)))
-    places = near.where("not copy").select("row", "id", F.explode(F.arrays_zip("at", "a", "b")).alias("x")).select("row", "id", "x.*")
-    sources = places.groupBy("a", "b").agg(F.min("id").alias("source"))
-    repeats = places.join(sources, ["a", "b"]).where("source < id").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("repeats"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone, out = [], []
-            for n, words, copy, at in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
-                if copy:
-                    gone.append(n)
-                    out.append(finish([], digest))
-                    continue
-                words = words.split(b" ")
-                cover = np.zeros(n + 1, np.int64)
-                if at:
-                    at = np.array(at)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + WINDOW, -1)
-                keep = np.cumsum(cover)[:n] == 0
-                gone.append(int(n - keep.sum()))
-                out.append(finish([w for w, k in zip(words, keep.tolist(), strict=True) if k], digest))
-            yield from sliced([batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(out, pa.binary())], [id_col, "n_words", "n_removed", "kept"], map(len, out))
-
-    done = near.select("row", "id", "n_words", "words", "copy").join(repeats, "row", "left").select("id", "n_words", "words", "copy", "repeats").mapInArrow(cut, f"`{id_col}` {kind}, n_words long, n_removed long, kept binary")
-    return found.where("words is null").select(id_col, "n_words", F.lit(0).cast("long").alias("n_removed"), "kept").unionByName(done)
+    found = texts.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, f"row long, `{id_col}` {kind}, n_words long, words binary, at array<int>, a array<long>, b array<int>, kept binary")
+    return written(found, "blocks")
 
 
 def op9_substring_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
