@@ -24,7 +24,7 @@ from .common import gathered, release, sliced, small_batches, table, written
 
 WINDOW, BLOCK = 50, 25
 #: Bytes of text that a task handles at once, and bytes of text for each shard of the index.
-CHUNK, SHARD = 12 << 20, 12 << 20
+CHUNK, SHARD = 5 << 20, 12 << 20
 #: Repeated whole texts that are few enough to send to every task, at 32 bytes each.
 COPIES = 500_000
 #: Odd multipliers of the rolling hashes.
@@ -35,7 +35,7 @@ class WordHashes(dict):
     """64-bit hashes of words; forgets all when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 120_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -151,7 +151,9 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(spark)
     near = found.where("words is not null").withColumnRenamed(id_col, "id")
     places = near.select("row", "id", F.explode(F.arrays_zip("at", "a", "b")).alias("x")).select("row", "id", "x.*")
-    sources = places.groupBy("a", "b").agg(F.min("id").alias("source"))
+    # Written, so that the join has a shuffle on either side and adaptive execution can split a hot window's rows.
+    sources = written(places.groupBy("a", "b").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").drop("last"), "sources")
+    release(spark)
     repeats = places.join(sources, ["a", "b"]).where("source < id").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("repeats"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
