@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from ..schema import HIGH_COST, LOOP_LENGTH
 
 
+#: The messages of warnings.
+MESSAGES = {
+    "loop": 'Tool "%s" was called %dx in a row with identical input — likely a stuck loop burning tokens/cost.',
+    "high_cost_step": "Step #%d (%s) cost %s — over 3x the median step cost (%s).",
+    "error": "Error at step #%d: %s",
+}
+
+
 def in_run(*order: str | Column) -> Window:
     return Window.partitionBy("run_id").orderBy(*(order or ("index",)))
 
@@ -106,11 +114,11 @@ def warnings(steps: DataFrame, key: str | None = None) -> DataFrame:
     span = loops(steps, key=key)
     looped = span.join(steps.select("run_id", "index", "id"), "run_id").where(F.col("index").between(F.col("first_index"), F.col("last_index")))
     looped = looped.groupBy("run_id", "tool_name", "run_length", "first_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "id"))), lambda s: s["id"]).alias("step_ids"))
-    text = F.format_string('Tool "%s" was called %dx in a row with identical input — likely a stuck loop burning tokens/cost.', "tool_name", "run_length")
+    text = F.format_string(MESSAGES["loop"], "tool_name", "run_length")
     first = looped.select("run_id", F.lit(0).alias("o"), F.col("first_index").alias("i"), F.lit("loop").alias("kind"), text.alias("message"), "step_ids")
-    text = F.format_string("Step #%d (%s) cost %s — over 3x the median step cost (%s).", "index", "label", two_places(F.col("cost")), two_places(F.col("median_cost")))
+    text = F.format_string(MESSAGES["high_cost_step"], "index", "label", two_places(F.col("cost")), two_places(F.col("median_cost")))
     second = high_cost(steps).select("run_id", F.lit(1).alias("o"), F.col("index").alias("i"), F.lit("high_cost_step").alias("kind"), text.alias("message"), F.array("id").alias("step_ids"))
-    third = errors(steps).select("run_id", F.lit(2).alias("o"), F.col("index").alias("i"), F.lit("error").alias("kind"), F.format_string("Error at step #%d: %s", "index", "label").alias("message"), F.array("id").alias("step_ids"))
+    third = errors(steps).select("run_id", F.lit(2).alias("o"), F.col("index").alias("i"), F.lit("error").alias("kind"), F.format_string(MESSAGES["error"], "index", "label").alias("message"), F.array("id").alias("step_ids"))
     out = first.unionByName(second).unionByName(third)
     return out.withColumn("ord", F.row_number().over(Window.partitionBy("run_id").orderBy("o", "i")) - 1).select("run_id", "ord", "kind", "message", "step_ids")
 

@@ -26,6 +26,10 @@ DETECTORS = {
 }
 
 
+#: Fixed value: the reason that a legacy redaction gives by default.
+LEGACY = "legacy redaction (record re-chained)"
+
+
 def detectors(names: tuple[str, ...] | None = None) -> dict[str, str]:
     if names is None:
         return DETECTORS
@@ -139,7 +143,7 @@ def redact(steps: DataFrame, at: str, paths: tuple[str, ...] = (), names: tuple[
                 continue
             values[field] = replaced(values[field], tokens, wire.redacted)
             salts.pop(path, None)
-            log.append({"path": path, "at": at, "reason": reason or ("legacy redaction (record re-chained)" if legacy else None), "by": "pattern" if names else "manual"})
+            log.append({"path": path, "at": at, "reason": reason or (LEGACY if legacy else None), "by": "pattern" if names else "manual"})
             gone.append(path)
         changed = {split_path(p, version)[0] for p in gone}
         return {c: canonical_text(values[JSON_NAMES[c]]) if JSON_NAMES[c] in changed else row[c] for c in PAYLOADS} | {
