@@ -42,6 +42,22 @@ def access(payload: Column) -> Column:
     return F.upper(F.get_json_object(payload, "$._access"))
 
 
+def payload_view(payload: Column) -> Column:
+    """A payload's members without `_access`, as a map of JSON texts."""
+    return F.map_filter(F.from_json(payload, "map<string,string>"), lambda k, v: k != "_access")
+
+
+def payload_table(payload: Column) -> Column:
+    """The table that a payload says it touched."""
+    return F.get_json_object(payload, "$.table")
+
+
+def warning_steps(warnings: DataFrame, steps: DataFrame) -> DataFrame:
+    """Rows (run_id, ord, kind, index, label): the steps that each warning names."""
+    named = warnings.select("run_id", "ord", "kind", F.explode("step_ids").alias("id"))
+    return named.join(steps.select("run_id", "id", "index", "label"), ["run_id", "id"]).select("run_id", "ord", "kind", "index", "label")
+
+
 def html(runs: DataFrame, steps: DataFrame, verdicts: DataFrame, warnings: DataFrame, run_id: str) -> str:
     """A standalone page about one run: header, verdict, warnings and steps."""
     own = lambda df: df.where(F.col("run_id") == run_id)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as canon
 from ..functions import text as tx
-from ..operators import analyze, anchors, diff, fleet, integrity, policy, redact, search, store
+from ..operators import analyze, anchors, diff, fleet, integrity, policy, redact, report, search, store
 from ..sources import driver, traces
 from ..streaming import live
 
@@ -427,6 +427,68 @@ def usage_cost(spark, sf):
     return priced.groupBy(F.col("file").alias("conv_id")).agg(F.round(F.sum(cost), 8).alias("cost"))
 
 
+def as_documents(spark, sf, shape: str) -> DataFrame:
+    """The events of each user as one document (path, text): native JSON or an OTLP export."""
+    e = driver.event_steps(spark, sf)
+    if shape == "native":
+        step = F.struct("ord", "type", "label", F.col("started_at").alias("startedAt"), F.col("duration_ms").alias("durationMs"), "tokens", "cost", F.col("tool_name").alias("toolName"))
+        text = F.to_json(F.struct(F.col("run_id").cast("string").alias("id"), F.lit("run").alias("name"), F.col("steps")))
+        return e.groupBy("run_id").agg(F.sort_array(F.collect_list(step)).alias("steps")).select(F.col("run_id").cast("string").alias("path"), text.alias("text"))
+    s = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias("stringValue"), F.lit(None).cast("double").alias("doubleValue")).alias("value"))
+    d = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(F.lit(None).cast("string").alias("stringValue"), v.alias("doubleValue")).alias("value"))
+    attributes = F.array(s("trace.step.type", F.col("type")), s("trace.tool.name", F.col("tool_name")), d("trace.cost", F.col("cost")), d("gen_ai.usage.total_tokens", F.col("tokens")))
+    nanos = lambda ms: F.concat(ms.cast("string"), F.lit("000000"))
+    start = F.unix_millis("ts")
+    span = F.struct("ord", F.col("label").alias("name"), nanos(start).alias("startTimeUnixNano"), nanos(start + F.col("duration_ms").cast("long")).alias("endTimeUnixNano"), attributes.alias("attributes"))
+    rs = F.struct(F.struct(F.array(s("trace.run.id", F.col("run_id")), s("trace.run.status", F.when(F.col("run_id") % 2 == 0, "failed"))).alias("attributes")).alias("resource"), F.array(F.struct(F.col("spans"))).alias("scopeSpans"))
+    return e.groupBy("run_id").agg(F.sort_array(F.collect_list(span)).alias("spans")).select(F.col("run_id").cast("string").alias("path"), F.to_json(F.struct(F.array(rs).alias("resourceSpans"))).alias("text"))
+
+
+ROUND_TRIP = f"WITH {STEPS} SELECT CAST(run_id AS VARCHAR) AS run_id, index, type, tool_name, cost, tokens, duration_ms FROM steps"
+
+
+@query(ROUND_TRIP)
+def native_read_back(spark, sf):
+    """Events written as native documents and read back."""
+    docs = traces.with_format(as_documents(spark, sf, "native")).where("format = 'native'")
+    return traces.native(docs)[1].select("run_id", "index", "type", "tool_name", "cost", "tokens", "duration_ms")
+
+
+@query(ROUND_TRIP)
+def otlp_read_back(spark, sf):
+    """Events written as OTLP exports and read back."""
+    docs = traces.with_format(as_documents(spark, sf, "otlp")).where("format = 'otlp'")
+    return traces.otlp(docs)[1].select("run_id", "index", "type", "tool_name", "cost", "tokens", "duration_ms")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS steps, CASE WHEN user_id % 3 = 0 THEN 'completed' END AS ended FROM events WHERE user_id % 7 <> 0 GROUP BY user_id")
+def journal_recordings(spark, sf):
+    """Events as journals: every third has ended, every seventh has a half-written line and is left out."""
+    e = driver.event_steps(spark, sf).select(F.col("run_id").alias("u"), "index", "id", "type", "label")
+    step = F.to_json(F.struct(F.lit("step").alias("kind"), F.struct("id", "index", "type", "label").alias("step")))
+    users = e.select("u").distinct()
+    row = lambda df, line, raw: df.select(F.col("u").cast("string").alias("file"), F.lit(None).cast("timestamp").alias("modified"), line.cast("int").alias("line"), raw.alias("raw"))
+    meta = F.to_json(F.struct(F.lit("meta").alias("kind"), F.lit(1).alias("formatVersion"), F.col("u").cast("string").alias("id"), F.lit("n").alias("name"), F.lit("USD").alias("currency")))
+    lines = row(users, F.lit(1), meta).unionByName(row(e, F.col("index") + 2, step)).unionByName(row(users.where("u % 3 = 0"), F.lit(10**6), F.lit('{"kind":"end","status":"completed"}'))).unionByName(row(users.where("u % 7 = 0"), F.lit(10**6 + 1), F.lit('{"kind":"st')))
+    return traces.journals(lines)[0].select("run_id", "steps", "ended")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, regexp_replace(trim(text, ' ' || chr(9) || chr(10)), '\\s+', ' ', 'g') AS one FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN length(min_by(one, turn) FILTER (WHERE role = 'user')) > 100 THEN substr(min_by(one, turn) FILTER (WHERE role = 'user'), 1, 97) || '…' ELSE min_by(one, turn) FILTER (WHERE role = 'user') END AS prompt, count(*) AS messages FROM t GROUP BY conv_id""")
+def session_list(spark, sf):
+    """Conversations as session logs, one summary each."""
+    entries = driver.conversation_entries(spark, sf).where("type in ('user', 'assistant')")
+    raw = F.to_json(F.struct("type", F.concat_ws("-", "file", "line").alias("uuid"), driver.iso(F.col("timestamp")).alias("timestamp"), F.col("file").cast("string").alias("sessionId"), F.struct(F.col("text").alias("content")).alias("message")))
+    return traces.session_summaries(entries.select(F.col("file").cast("string").alias("file"), "line", raw.alias("raw"))).select("session_id", "prompt", "messages")
+
+
+@query(f"WITH {STEPS}, {LOOPS}, w AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY first_index) - 1 AS ord, first_index, last_index FROM loops) SELECT w.run_id, CAST(w.ord AS INT) AS ord, s.index FROM w JOIN steps s ON s.run_id = w.run_id AND s.index BETWEEN w.first_index AND w.last_index")
+def loop_steps(spark, sf):
+    """The steps that loop warnings name."""
+    steps = driver.event_steps(spark, sf)
+    return report.warning_steps(analyze.warnings(steps).where("kind = 'loop'"), steps).select("run_id", "ord", "index")
+
+
 # ---- differences ------------------------------------------------------------------------------------------------
 
 

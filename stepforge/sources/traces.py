@@ -225,6 +225,17 @@ def session_summaries(raw: DataFrame) -> DataFrame:
     return out.where("messages > 0").orderBy(F.desc("ended_at"))
 
 
+def session_run_ids(raw: DataFrame, prefix: str = "cc-", unnamed: str = "session") -> DataFrame:
+    """Rows (file, run_id): the id that sessions() will give a file's run, from its first session id alone."""
+    some = raw.select("file", "line", F.get_json_object("raw", "$.sessionId").alias("s")).where("s is not null")
+    first = some.groupBy("file").agg(F.min_by("s", "line").alias("s"))
+    return raw.select("file").distinct().join(first, "file", "left").select("file", F.concat(F.lit(prefix), F.coalesce("s", F.lit(unnamed))).alias("run_id"))
+
+
+def find_session(summaries: DataFrame, session_id: str) -> DataFrame:
+    return summaries.where(F.col("session_id") == session_id)
+
+
 # ---- journals and envelopes -------------------------------------------------------------------------------------
 
 JOURNAL = "struct<kind:string,formatVersion:int,id:string,name:string,currency:string,startedAt:string,hashVersion:int,status:string>"
