@@ -101,3 +101,24 @@ def test_run_gives_the_last_stage(spark, sf, stages):
     want = stages["packing"][1]
     got = corpus_pipeline.run(spark, sf).collect()
     assert sorted((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == sorted((r.doc_id, r.doc_tokens) for r in want if r.start == 0)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, gone string, bad string, row string, spans string, text_key string, sha string, fp string, removed string, bad_lang string"
+
+
+def test_stages_take_odd_rows(spark, sf):
+    more = ("x",) * 9
+    long = "plain words here and there " * 4000
+    rows = [(1, "same text", "en", "s", 9, *more), (2, "Same Text", "en", None, None, *more), (3, None, None, None, None, *more), (4, "", "xx", "s", 0, *more), (5, long, "en", "s", 1, *more), (None, "no id bob@corp.example", None, None, None, *(None,) * 9), (5, long, "en", "s", 1, *more)]
+    docs = spark.createDataFrame(rows, ODD)
+    for frame in (docs, docs.where("false")):
+        now = frame
+        for name, stage in corpus_pipeline.STAGES:
+            now = written(stage(spark, now, sf), "odd")
+            if name != "packing":
+                assert now.columns == docs.columns
+            if frame is docs and name == "exact dedup":
+                assert sorted(map(str, (r.doc_id for r in now.collect()))) == sorted(map(str, (2, 4, 5, None)))
+            if frame is docs and name == "PII":
+                assert {r.text for r in now.where("doc_id is null").collect()} == {"no id [EMAIL]"}
+        assert (now.count() > 0) == (frame is docs)
