@@ -6,7 +6,6 @@ or a timeout settles a run; an event after that opens a continuation, `<run>-2`
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schema import LOOP_LENGTH
+from ..shared import new_path
 
 EVENT = "run_id string, at long, ord long, type string, tool string, cost double, tokens double"
 STATE = "generation int, steps long, cost double, tokens double, tool string, length long, loops long, errors long, ended boolean"
@@ -34,33 +34,29 @@ def fold(state: tuple, kind: str, tool: str | None, cost: float, tokens: float)
     return gen, steps + 1, total + cost, toks + tokens, tool if call else "", length, loops + (length == LOOP_LENGTH), errors + (kind == "error"), False
 
 
-def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else FRESH
-    if state.hasTimedOut:
-        row, status = now, "failed"
-        state.remove()
-    else:
-        frames = list(batches)
-        for r in pd.concat(frames).sort_values(["at", "ord"]).itertuples():
-            now = fold(now, r.type, r.tool if isinstance(r.tool, str) else None, r.cost, r.tokens)
-        state.update(now)
-        if state_timeout:
-            state.setTimeoutDuration(state_timeout)
-        row, status = now, "completed" if now[8] else "running"
-    name = key[0] if row[0] == 1 else f"{key[0]}-{row[0]}"
-    yield pd.DataFrame({"run_id": [name], "status": [status], "steps": [row[1]], "cost": [row[2]], "tokens": [row[3]], "loops": [row[6]], "open_loop": [row[5] if row[5] >= LOOP_LENGTH else 0], "errors": [row[7]]})
-
-
-#: Milliseconds of silence after which a run counts as failed; 0 waits for ever.
-state_timeout = 0
-
-
-def live_runs(events: DataFrame) -> DataFrame:
+def live_runs(events: DataFrame, timeout_ms: int = 0) -> DataFrame:
     """A streaming DataFrame of OUT: the state of every run that a trigger touched. events: a stream of EVENT.
 
-    A trigger's events of a run are put in order; across triggers, arrival is the order.
+    A trigger's events of a run are put in order; across triggers, arrival is the order. timeout_ms: after so much silence
+    a run counts as failed and its state goes; 0 waits for ever.
     """
-    return events.groupBy("run_id").applyInPandasWithState(settle, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if state_timeout else GroupStateTimeout.NoTimeout)
+
+    def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get if state.exists else FRESH
+        status = "failed"
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            for r in pd.concat(list(batches)).sort_values(["at", "ord"]).itertuples():
+                now = fold(now, r.type, r.tool if isinstance(r.tool, str) else None, r.cost, r.tokens)
+            state.update(now)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
+            status = "completed" if now[8] else "running"
+        name = key[0] if now[0] == 1 else f"{key[0]}-{now[0]}"
+        yield pd.DataFrame({"run_id": [name], "status": [status], "steps": [now[1]], "cost": [now[2]], "tokens": [now[3]], "loops": [now[6]], "open_loop": [now[5] if now[5] >= LOOP_LENGTH else 0], "errors": [now[7]]})
+
+    return events.groupBy("run_id").applyInPandasWithState(settle, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def journal_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -94,12 +90,7 @@ def follow(events: DataFrame, sink, checkpoint: str, every: str = "500 milliseco
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, folded; rows (run_id, steps, cost, loops) of the last state of each run."""
-    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not have:
-        import tempfile
-
-        have = "file://" + tempfile.mkdtemp(prefix="stepforge-stream-")
-    base = f"{have.rstrip('/')}/live-{uuid.uuid4().hex}"
+    base = new_path(spark, "live")
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     call = F.col("event_type").isin("click", "view", "purchase")
     shaped = source.select(F.col("user_id").cast("string").alias("run_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("ord"), F.when(call, "tool_call").when(F.col("event_type") == "signup", "approval").otherwise("error").alias("type"), F.when(call, F.col("event_type")).alias("tool"), F.col("value").alias("cost"), (F.col("event_id") % 100).cast("double").alias("tokens"))

@@ -21,6 +21,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from stepforge.shared import clear
+
+    clear(session)
     session.stop()
 
 

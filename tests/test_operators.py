@@ -335,6 +335,14 @@ def test_live_states_fold_and_continue():
     assert state[:3] == (2, 1, 1.0)
 
 
+def test_long_runs_are_numbered_across_ranges(spark):
+    rng = random.Random(8)
+    rows = [("long" if i % 3 else f"r{i % 11}", f"2024-01-01T00:00:{rng.randrange(60):02d}.000Z", i) for i in range(900)]
+    df = spark.createDataFrame(rows, "run_id string, started_at string, ord int")
+    wide = sorted((r["id"], r["ord"]) for r in analyze.assemble_wide(df, partitions=7).collect())
+    assert wide == sorted((r["id"], r["ord"]) for r in analyze.assemble(df).collect())
+
+
 def test_median_and_warnings(spark):
     df = steps_of(spark, [step("r", i, "plan", cost=c) for i, c in enumerate([0.0, 1.0, 2.0, 10.0, 20.0])])
     assert analyze.median_cost(df).first()["median_cost"] == 6.0
