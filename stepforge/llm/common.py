@@ -7,8 +7,6 @@ lists, so further columns of the input, whatever their names, can't clash with i
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import new_path
+
 #: Rows and bytes of an Arrow batch; with these, a worker holds a few tens of MB of text at a time.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
@@ -32,22 +32,10 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only for a local master that has none."""
-    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if have:
-        return have.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="stepforge-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stepforge/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
