@@ -36,8 +36,10 @@ def group_equal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     while True:
         cut = rows.select("id", "sha", "grp", "row", F.substring("rest", 1, width).alias("digit"), F.substring("rest", width + 1, 2**31 - 1).alias("rest"), (F.octet_length("rest") <= width).alias("ended"))
         groups = cut.groupBy("grp", "digit", "ended").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"), F.max("row").alias("next")).where("n > 1")
+        # Written, so that the join has a shuffle on either side and adaptive execution can split a hot group's rows.
+        groups = written(groups, f"exact-groups-{turn}")
         # A row without a group of its own digit is single; one whose group has ended has its equals.
-        split = cut.join(groups, ["grp", "digit", "ended"], "left").select("id", "sha", "row", F.col("next").alias("grp"), F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"), (F.col("ended") | F.col("n").isNull()).alias("over"), F.when(~F.col("ended") & F.col("n").isNotNull(), F.col("rest")).alias("rest"))
+        split = cut.join(groups.hint("merge"), ["grp", "digit", "ended"], "left").select("id", "sha", "row", F.col("next").alias("grp"), F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"), (F.col("ended") | F.col("n").isNull()).alias("over"), F.when(~F.col("ended") & F.col("n").isNotNull(), F.col("rest")).alias("rest"))
         split = written(split, f"exact-{turn}")
         done.append(split.where("over").select("id", "keep", "n", "sha"))
         rows = split.where("not over").select("id", "sha", "rest", "grp", "row")
