@@ -184,6 +184,8 @@ def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "
     """
     small_batches(docs.sparkSession)
     spans = all_spans(docs, rule, id_col, text_col).where(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("spans"), F.first("removed").alias("removed"))
+    # Written, so that the join has a shuffle on either side and adaptive execution can split a hot text's rows.
+    spans = written(spans, "pii-spans").hint("merge")
     key = key_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     names = docs.columns
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("text_key")).join(spans, "text_key", "left")
