@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import Wire
-
 #: The steps of a run that a page shows; a longer run is cut there and says so.
 SHOWN = 10_000
 
@@ -25,21 +23,24 @@ def money(x: float, currency: str) -> str:
     return f"{x:,.2f} {currency}"
 
 
-def compliance(runs: DataFrame, steps: DataFrame, verdicts: DataFrame, wire: Wire = Wire()) -> DataFrame:
-    """Rows (run_id, authentic, complete, approvals, data_touched, redactions): five small aggregates.
+def compliance(runs: DataFrame, steps: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows (run_id, authentic, signed, key_id, steps, complete, approvals, data_steps, tables, redactions).
 
-    complete: positions run from 0 without a gap and the stored count agrees. data_touched: distinct tables of payloads.
+    complete: positions run from 0 without a gap and the stored count agrees. data_steps: steps with a data payload.
     """
-    touched = F.get_json_object("data_payload", "$.table")
-    n = steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.min("index").alias("low"), F.max("index").alias("high"), F.count_if(F.col("type") == "approval").alias("approvals"), F.array_sort(F.collect_set(touched)).alias("data_touched"), F.sum(F.greatest(F.lit(0), F.coalesce(F.size("redactions"), F.lit(0)))).alias("redactions"))
+    some = F.col("data_payload").isNotNull()
+    n = steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.min("index").alias("low"), F.max("index").alias("high"), F.count_if(F.col("type") == "approval").alias("approvals"), F.count_if(some).alias("data_steps"), F.array_sort(F.collect_set(payload_table(F.col("data_payload")))).alias("tables"), F.sum(F.greatest(F.lit(0), F.coalesce(F.size("redactions"), F.lit(0)))).alias("redactions"))
     out = runs.join(n, "run_id", "left").join(verdicts.select("run_id", "all_ok"), "run_id", "left")
     whole = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("totals.steps") == F.col("n"))
-    return out.select("run_id", F.coalesce("all_ok", F.lit(False)).alias("authentic"), F.coalesce(whole, F.lit(False)).alias("complete"), F.coalesce("approvals", F.lit(0)).alias("approvals"), "data_touched", F.coalesce("redactions", F.lit(0)).alias("redactions"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return out.select("run_id", F.coalesce("all_ok", F.lit(False)).alias("authentic"), F.col("signature").isNotNull().alias("signed"), F.col("signature.keyId").alias("key_id"), F.coalesce("n", F.lit(0)).alias("steps"), F.coalesce(whole, F.lit(False)).alias("complete"), zero("approvals"), zero("data_steps"), "tables", zero("redactions"))
 
 
-def access(payload: Column) -> Column:
-    """READ or MUTATED, as a payload's `_access` says; null without one."""
-    return F.upper(F.get_json_object(payload, "$._access"))
+def access(payload: Column, kind: Column) -> Column:
+    """READ or MUTATED: what a payload's `_access` says, else by the step's type; null without a payload."""
+    said = F.upper(F.get_json_object(payload, "$._access"))
+    record = payload.startswith("{")
+    return F.when(payload.isNull() | (payload == "null"), None).when(record & said.isin("READ", "MUTATED"), said).when(record & kind.isin("final_output", "branch"), "MUTATED").otherwise("READ")
 
 
 def payload_view(payload: Column) -> Column:
@@ -69,6 +70,11 @@ def html(runs: DataFrame, steps: DataFrame, verdicts: DataFrame, warnings: DataF
     table = lambda head, body: "<table><tr>" + "".join(f"<th>{e(h)}</th>" for h in head) + "</tr>" + "".join("<tr>" + "".join(f"<td>{e(c)}</td>" for c in r) + "</tr>" for r in body) + "</table>"
     state = "intact" if verdict and verdict["all_ok"] else f"NOT intact ({verdict['failure'] or 'signature or seal'})" if verdict else "not verified"
     parts = [f"<h1>{e(run['name'])}</h1>", f"<p>Run {e(run_id)}, {e(run['status'])}, {e(run['started_at'])} to {e(run['ended_at'])}. Record: <b>{e(state)}</b>. Anchor: <code>{e(run['run_hash'])}</code></p>"]
+    log = own(steps).select("index", F.explode("redactions").alias("r")).select("index", "r.path", F.coalesce("r.reason", F.lit("redacted")), F.coalesce("r.by", F.lit("manual")), "r.at")
+    approved = own(steps).where(F.col("type") == "approval").select("index", "label", "started_at")
+    data = own(steps).where("data_payload is not null").select("index", F.coalesce("tool_name", "type"), access(F.col("data_payload"), F.col("type")), F.substring("data_payload", 1, 160))
+    for title, head, frame in (("Approvals", ("#", "label", "at"), approved), ("Redactions", ("#", "path", "reason", "by", "at"), log), ("Data read or mutated", ("#", "by", "access", "payload"), data)):
+        parts += [f"<h2>{title}</h2>", table(head, frame.orderBy("index").limit(SHOWN).collect())]
     parts += ["<h2>Warnings</h2>", table(("kind", "message"), [(w["kind"], w["message"]) for w in own(warnings).orderBy("ord").limit(SHOWN).collect()])]
     parts += ["<h2>Steps</h2>", table(("#", "type", "label", "tool", "start", "ms", "cost", "hash"), rows[:SHOWN])] + ["<p>Further steps are left out.</p>"] * (len(rows) > SHOWN)
     return "<!doctype html><html><head><meta charset='utf-8'><title>" + e(run["name"]) + "</title></head><body>" + "".join(parts) + "</body></html>"

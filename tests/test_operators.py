@@ -131,6 +131,8 @@ def test_sealed_runs_verify_and_changes_show(spark, trace, version, tmp_path):
     assert [r["failure"] for r in integrity.verify_runs(runs.withColumn("hash_version", F.lit(7)), steps).collect()] == ["version"] * 2
     page = report.html(runs, steps, integrity.verify_full(runs, steps), analyze.warnings(steps), "a")
     assert page.isascii() and "intact" in page
+    found = {r["run_id"]: r for r in report.compliance(runs, steps, integrity.verify_full(runs, steps)).collect()}
+    assert found["b"]["approvals"] == 1 and found["a"]["authentic"] and found["a"]["signed"] and found["a"]["complete"] and found["a"]["data_steps"] == 0
 
 
 def test_scrub_and_legacy_redaction(spark, trace):
@@ -214,6 +216,14 @@ def test_diff_of_two_runs(spark):
     assert {r["path"]: r["status"] for r in diff.leaf_differences(aligned, pairs, diff.leaf_rows(gone)).collect()} == {"input.q": "redacted", "input.r": "added"}
 
 
+def test_payload_access(spark):
+    rows = [('{"_access":"mutated","table":"t"}', "plan", "MUTATED"), ('{"a":1}', "branch", "MUTATED"), ('{"_access":"x"}', "plan", "READ"), ("[1]", "final_output", "READ"), (None, "branch", None), ("null", "branch", None)]
+    df = spark.createDataFrame(rows, "p string, k string, want string")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", report.access(F.col("p"), F.col("k"))).collect())
+    first = df.limit(1).select(report.payload_view(F.col("p")).alias("v"), report.payload_table(F.col("p")).alias("t")).first()
+    assert first["v"] == {"table": "t"} and first["t"] == "t"
+
+
 def test_fleet_edges(spark):
     runs = spark.createDataFrame([("a", "2024", "completed", "USD", 1, 1.0, 1.0, 1.0, True, True, True), ("b", "bad", "failed", "EUR", 1, 1.0, 0.0, 1.0, False, True, True)], "run_id string, started_at string, status string, currency string, steps int, tokens double, cost double, duration_ms double, signed boolean, chain_ok boolean, signature_ok boolean").withColumn("name", F.col("run_id"))
     counts = spark.createDataFrame([("b", 0, 0, 1, 1)], "run_id string, loop long, high_cost_step long, error long, total long")
