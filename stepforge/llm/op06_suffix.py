@@ -288,6 +288,8 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = written(suffixes(rows), "suffixes")
     kinds = places.groupBy("shared", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at")).alias("first"))
     several = kinds.groupBy("shared").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("times") == 1).alias("alone")).where("kinds > 1 and alone > 0")
+    # Written, so that the joins have a shuffle on either side and adaptive execution can split a hot group's rows.
+    several = written(several, "shared").hint("merge")
     kinds = written(kinds.join(several, "shared", "left").where("times > 1 or kinds > 1"), "kinds")
     # What stands alone is its own first; of the others, every place is covered, and the first is there to compare with.
     spots = kinds.where("kinds > 1").select("first.row", "first.at", F.struct(F.col("first.at").alias("at"), "shared", "times").alias("hold"), F.lit(False).alias("full"), (F.col("kinds") > HOT).alias("hot"))
