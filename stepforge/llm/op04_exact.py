@@ -58,11 +58,13 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows without an id have nothing to be ranked by, and all stay unless an equal text has an id.
     """
     groups = group_equal(docs, id_col, text_col).where("group_size > 1")
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("gone")).distinct()
+    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("gone")).distinct().hint("merge")
     kept = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
     missing = groups.where(F.col(id_col).isNull() & F.col("keep_id").isNotNull()).select(F.col("text_sha256").alias("sha")).distinct()
-    kept = kept.join(missing, kept[id_col].isNull() & (F.sha2(normalised(text_col), 256) == missing["sha"]), "left_anti")
-    return kept.dropDuplicates([id_col, text_col]) if not groups.where(F.col(id_col).isNotNull()).groupBy(id_col, "text_sha256").count().where("count > 1").isEmpty() else kept
+    if not missing.isEmpty():
+        kept = kept.join(missing, kept[id_col].isNull() & (F.sha2(normalised(text_col), 256) == missing["sha"]), "left_anti")
+    twice = groups.where(F.col(id_col).isNotNull()).groupBy(id_col, "text_sha256").count().where("count > 1")
+    return kept if twice.isEmpty() else kept.dropDuplicates([id_col, text_col])
 
 
 def op4_exact_radix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,7 +237,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose component has a row with a smaller id. Rows without an id stay if their component has none."""
     gone = near_classes(docs, id_col, text_col).where(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = gone.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("gone")).distinct()
+    gone = gone.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("gone")).distinct().hint("merge")
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
 
 
