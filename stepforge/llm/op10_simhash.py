@@ -4,11 +4,16 @@ Distinct fingerprints meet in buckets of equal bits: of six bands, two differing
 bucket, planes hold one bit of many fingerprints; carry-save counters add the differing bits of 64 pairs in a word, and
 a block is left as soon as all its pairs are over the radius. A bucket gives a spanning forest of its links, not the
 links, and components come from distributed star contraction.
+
+Near copies by the similarity of their shingle sets are another matter: at a Jaccard similarity of 0.8 fingerprints differ in
+10 bits or so, too many to search for. There MinHash bands give candidates, and the sets themselves are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, written
+from .op03_pii import key_of
+from .op04_exact import normalised
 
 RADIUS, WORDS = 2, 3
 #: Bands of 64 bits; RADIUS differing bits leave len(BANDS) - RADIUS of them whole.
@@ -35,19 +42,25 @@ def masks() -> list[int]:
     return [sum(x) for x in combinations(band, len(BANDS) - RADIUS)]
 
 
-def fingerprint(text: str) -> int:
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The hash of each run of so many words; a shorter text is one run, and one without words has none."""
     data = text.encode().lower().split()  # bytes: only A-Z change, and only ASCII white space splits
     if not data:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(data)
-    if len(data) < WORDS:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        starts = np.append(0, np.cumsum(sizes + 1)[:-1])
-        ends = starts + sizes
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts.tolist(), ends[WORDS - 1 :].tolist(), strict=False)], np.uint64)
+    if len(data) < words:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    starts = np.append(0, np.cumsum(sizes + 1)[:-1])
+    ends = starts + sizes
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=False)], np.uint64)
+
+
+def fingerprint(text: str) -> int:
+    hashes = shingles(text)
+    if not len(hashes):
+        return 0
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -234,9 +247,133 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component has a row with a smaller id. Rows without an id stay if their component has none."""
-    gone = near_classes(docs, id_col, text_col).where(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")))
+@dataclass(frozen=True)
+class Similar:
+    """Documents are linked whose sets of shingles of `words` words have a Jaccard similarity of at least `jaccard`.
+
+    bands, rows: MinHash values, of which a candidate pair shares all rows of a band. With these a pair at 0.8 is no candidate
+    with probability (1 - 0.8^5)^48 = 5e-9, and a closer one with less.
+    """
+
+    words: int = 5
+    jaccard: float = 0.8
+    bands: int = 48
+    rows: int = 5
+
+
+@cache
+def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
+    flip, times = np.random.default_rng(10).integers(0, 2**64 - 1, (2, n, 1), np.uint64, True)
+    return flip, times | np.uint64(1)
+
+
+def band_hashes(found: np.ndarray, rule: Similar, step: int = 1 << 12) -> np.ndarray:
+    """A number for each band, from the least of each of bands x rows hashes of the set."""
+    flip, times = seeds(rule.bands * rule.rows)
+    least = np.full(rule.bands * rule.rows, 2**64 - 1, np.uint64)
+    for i in range(0, len(found), step):
+        x = found[i : i + step] ^ flip
+        x *= times
+        np.minimum(least, x.min(axis=1), out=least)
+    data = least.reshape(rule.bands, rule.rows)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(data)], np.uint64)
+
+
+def sketches(df: DataFrame, rule: Similar, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id_col, text_key, node, bands), one for each row of df. node: 16 bytes that name the set of shingles."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, bands = [], []
+            for text in batch.column(2).to_pylist():
+                found = np.unique(shingles(text, rule.words))
+                node.append(xxhash.xxh128_digest(found.tobytes()))
+                bands.append(band_hashes(found, rule).view(np.int64) if len(found) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], [id_col, "text_key", "node", "bands"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col), key_of(normalised(text_col)).alias("text_key"), text.alias("text")).mapInArrow(run, f"`{id_col}` {kind}, text_key binary, node binary, bands array<long>")
+
+
+def linked(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
+    """For each set the index of the first one in its component; links are the pairs at least so similar.
+
+    Each set reached is compared with all that aren't reached yet, so that a group of near copies takes a few passes.
+    """
+    size = np.array([len(x) for x in sets])
+    tokens, number = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.append(0, np.cumsum(size))
+    first, left = np.full(len(sets), -1), np.arange(len(sets))
+    seen = np.zeros(len(tokens), bool)
+    while len(left):
+        root, reached = int(left[0]), [int(left[0])]
+        left = left[1:]
+        first[root] = root
+        pool, at = (np.concatenate([number[begin[i] : begin[i + 1]] for i in left]), np.append(0, np.cumsum(size[left]))[:-1]) if len(left) else (number[:0], left)
+        while reached and len(left):
+            i = reached.pop()
+            own = number[begin[i] : begin[i + 1]]
+            seen[own] = True
+            both = np.add.reduceat(seen[pool], at, dtype=np.int64)
+            seen[own] = False
+            near = both >= jaccard * (size[i] + size[left] - both) - 1e-9
+            if near.any():
+                first[left[near]] = root
+                reached += left[near].tolist()
+                pool, left = pool[np.repeat(~near, size[left])], left[~near]
+                at = np.append(0, np.cumsum(size[left]))[:-1]
+    return first
+
+
+def similar_classes(df: DataFrame, rule: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id_col, text_key, component_id), one for each row of df: the least id reachable by links, as in near_classes.
+
+    Candidates form groups that are much the same as the components themselves; a group's sets are compared in one task, which
+    computes them anew from the texts of those groups alone. Texts without words are one component.
+    """
+    rows = written(sketches(df, rule, id_col, text_col), "sketches")
+    placed = rows.select("node", F.explode("bands").alias("band"))
+    # Equal sets need no comparing; written, so that adaptive execution can split a hot band's rows.
+    shared = written(placed.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("band", "b"), "bands")
+    groups = written(components(placed.join(shared.hint("merge"), "band").select(F.col("node").alias("a"), "b")), "candidates")
+    chosen = rows.groupBy("node").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_key")).alias("x")).join(groups, "node").select("node", "root", F.col("x.id").alias("id"), F.col("x.text_key").alias("key"))
+    chosen = written(chosen, "chosen")
+    texts = df.select(F.col(id_col).alias("own"), key_of(normalised(text_col)).alias("own_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    held = texts.join(chosen, texts["own"].eqNullSafe(chosen["id"]) & (texts["own_key"] == chosen["key"])).select("root", "node", "text").repartition("root").sortWithinPartitions("root", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(nodes: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([nodes[i] for i in linked(sets, rule.jaccard).tolist()], pa.binary())], ["node", "lead"])
+
+        now, nodes, sets = None, [], []
+        for batch in batches:
+            for root, node, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if root != now and nodes:
+                    yield work(nodes, sets)
+                    nodes, sets = [], []
+                now = root
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sets.append(np.unique(shingles(text, rule.words)))
+        if nodes:
+            yield work(nodes, sets)
+
+    leads = written(held.mapInArrow(run, "node binary, lead binary"), "leads")
+    distinct = rows.groupBy("node").agg(F.min(id_col).alias("least")).join(leads, "node", "left").select("node", "least", F.coalesce("lead", "node").alias("lead"))
+    distinct = written(distinct, "roots")
+    named = distinct.join(distinct.groupBy("lead").agg(F.min("least").alias("component_id")), "lead").select("node", "component_id")
+    return rows.select(id_col, "text_key", "node").join(named, "node").select(id_col, "text_key", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: Similar | None = None) -> DataFrame:
+    """docs without the rows whose component has a row with a smaller id. Rows without an id stay if their component has none.
+
+    Links are those of near_classes, or with `similar` those of similar_classes.
+    """
+    classes = similar_classes(docs, similar, id_col, text_col) if similar else near_classes(docs, id_col, text_col)
+    gone = classes.where(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")))
     gone = gone.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("gone")).distinct().hint("merge")
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
 

@@ -110,3 +110,38 @@ def test_simhash_odd_rows(spark):
     assert got == sorted([(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5), (5, 5), (6, 5), (7, 7), (None, None)], key=str)
     assert op10_simhash.near_classes(df.where("false")).count() == 0
     assert sorted(map(str, (r.doc_id for r in op10_simhash.one_of_each(df).collect()))) == sorted(map(str, [0, 3, 5, 5, 7, None]))
+
+
+def plain_sets(texts, words=5):
+    out = []
+    for x in texts:
+        w = "".join(c.lower() if c.isascii() else c for c in x or "").encode().split()
+        out.append({b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    return out
+
+
+def test_near_copies_by_jaccard(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = ["", " \n", "one two", "One  two", "one two three"]
+    for n in (6, 12, 30, 80, 300):
+        for _ in range(6):
+            base = [word() for _ in range(n)]
+            texts.append(" ".join(base))
+            for edits in range(5):  # copies of copies, some of them below 0.8
+                for _ in range(edits * n // 100 + (edits > 0)):
+                    base[rng.randrange(n)] = word()
+                texts.append(" ".join(base))
+    sets = plain_sets(texts)
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    got = {r.doc_id: r.component_id for r in op10_simhash.similar_classes(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) < len(texts) - 30
+    kept = op10_simhash.one_of_each(docs(spark, texts), similar=op10_simhash.Similar())
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert op10_simhash.similar_classes(docs(spark, texts).where("false")).count() == 0
