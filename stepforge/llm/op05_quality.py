@@ -114,7 +114,7 @@ def dense_table(model: DataFrame) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Rule:
-    """A document is rejected beyond `high` of its language's held-out trusted documents, and `margin` bits more.
+    """A document is rejected beyond `high` of its language's held-out trusted documents; `margin` bits more would be let pass.
 
     prior: symbols of the language's median that are mixed into a document, so that a few odd words reject nothing.
     heldout: one in so many trusted documents sets the quantiles and doesn't train the model.
@@ -122,7 +122,7 @@ class Rule:
     """
 
     high: float = 0.98
-    margin: float = 0.5
+    margin: float = 0.0
     prior: int = 60
     heldout: int = 5
     broadcast_ids: int = 2_000_000

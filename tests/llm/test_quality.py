@@ -47,6 +47,17 @@ def test_verdicts(spark):
     assert kept.columns == docs.columns and kept.count() == out.where("kept").count()
 
 
+def test_threshold_is_the_quantile(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    out = q.classify(docs, labels).join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id")
+    assert out.where("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0] < 0.02
+    fair = q.classify(docs, labels).join(q.trusted_ids(labels), "doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(q.Rule().heldout)) == 0)
+    for lang, rows in fair.groupBy("lang").agg(F.collect_list(F.struct("score", "threshold"))).collect():
+        scores, limits = sorted(r.score for r in rows), {r.threshold for r in rows}
+        assert limits == {scores[int(np.ceil(0.98 * len(scores) - 1e-9)) - 1]}, lang
+
+
 def test_every_gram_has_a_probability(spark):
     rows = [(i, 3 + i % 9) for i in range(0, 4000, 3)]
     table_ = q.dense_table(q.kneser_ney(spark.createDataFrame(rows, "gram long, n long")))
