@@ -8,6 +8,7 @@ Terms above one threshold are generalised, above a higher one removed, in the pl
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -73,13 +74,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def near_terms(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the terms within a window of each mention, without those inside any entity."""
+    terms = [m.span() for m in TERM.finditer(text)]
+    starts, ends = [s for s, _ in terms], [e for _, e in terms]
     out = []
     for start, kind, end in spans:
         entity = f"{KINDS[kind]}:{text[start:end].lower()}"
-        # Words of up to 64 letters: a window of them spans a bounded piece of the text.
-        left, right = text[max(0, start - 64 * window) : start], text[end : end + 64 * window]
-        before = [(m[0].lower(), start - len(left) + m.start(), start - len(left) + m.end()) for m in TERM.finditer(left)][-window:]
-        after = [(m[0].lower(), end + m.start(), end + m.end()) for m in TERM.finditer(right)][:window]
+        # A run of letters that goes on into the mention counts without what the mention holds, if that leaves three.
+        i, j = bisect_left(starts, start), bisect_right(ends, end)
+        left = [(s, min(e, start)) for s, e in terms[max(0, i - window - 1) : i]]
+        right = [(max(s, end), e) for s, e in terms[j : j + window + 1]]
+        before, after = ([(text[s:e].lower(), s, e) for s, e in x if e - s >= 3] for x in (left, right))
+        before, after = before[-window:], after[:window]
         out += [(entity, *x) for x in before + after if not any(s < x[2] and x[1] < e for s, _, e in spans)]
     return out
 

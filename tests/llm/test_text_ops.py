@@ -152,6 +152,13 @@ def test_pii_query_and_disclosures(spark, sf):
         assert r.spans == listed(sorted([*base, *more]))
 
 
+def test_window_counts_words_not_characters():
+    word = "".join(chr(97 + i % 26) for i in range(300))
+    text = f"ninth first {word} " + "1 " * 600 + "x@corp.example " + "- " * 600 + f"{word} {word} last " + "w" * 100
+    got = {(t, text[s:e].lower() == t) for _, t, s, e in op03_pii.near_terms(text, op03_pii.base_spans(text), 3)}
+    assert got == {("ninth", True), ("first", True), (word, True), ("last", True)}
+
+
 def test_pii_terms_are_told_and_removed(spark):
     rows = [(i, f"call Zorblatt at zed@corp.example now {i}", None) for i in range(3)] + [(i, "plain words at noon, call now", "x") for i in range(3, 40)] + [(99, None, None), (None, "zed@corp.example", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
