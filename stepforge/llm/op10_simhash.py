@@ -228,6 +228,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

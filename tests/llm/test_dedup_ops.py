@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pytest
 import xxhash
 
 from stepforge.llm import op04_exact, op10_simhash
@@ -145,3 +146,10 @@ def test_near_copies_by_jaccard(spark):
     kept = op10_simhash.one_of_each(docs(spark, texts), similar=op10_simhash.Similar())
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
     assert op10_simhash.similar_classes(docs(spark, texts).where("false")).count() == 0
+
+
+def test_components_raise_rather_than_stop(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        op10_simhash.components(edges, most_rounds=1)
+    assert {r.root for r in op10_simhash.components(edges).collect()} == {0}
