@@ -26,9 +26,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return MADE[-1]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete one of these paths."""
+    MADE.remove(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this process has written there; DataFrames that still read it can't be used afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
     while MADE:
-        p = path(MADE.pop())
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(spark, MADE[-1])
