@@ -6,7 +6,6 @@ lists, so further columns of the input, whatever their names, can't clash with i
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,12 +13,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shared import new_path
+from ..shared import new_path, remove
 
 #: Rows and bytes of an Arrow batch; with these, a worker holds a few tens of MB of text at a time.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 
+#: Spark's own switch, which may be set at any time.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,18 +35,27 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """df written to the shared folder and read again: lineage ends here, and lost executors cost nothing.
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, which it does when objects are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The shuffle files of the write are deleted when it ends, since nothing can refer to them any more.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete what written() wrote for these; only where all that was made from them is itself written."""
+    for df in frames:
+        remove(df.sparkSession, df.written_at)
 
 
 def gathered(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.Table]:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, release, sliced, small_batches, table, written
+from .common import dropped, gathered, sliced, small_batches, table, written
 
 WINDOW, BLOCK = 50, 25
 #: Bytes of text that a task handles at once, and bytes of text for each shard of the index.
@@ -85,13 +85,35 @@ class Chunk:
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """(number, rows): the numbers are the same whenever the same rows are read."""
-    first = TaskContext.get().partitionId() << 20
-    for i, rows in enumerate(gathered(batches, 1, CHUNK)):
-        yield first + i, rows
+    """(number, rows) for each run of rows with the same number in column 0. Where a file is cut within a chunk, either part comes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        for part in np.split(np.arange(len(numbers)), np.flatnonzero(np.diff(numbers)) + 1) if len(numbers) else ():
+            if held and held[0].column(0)[0].as_py() != int(numbers[part[0]]):
+                yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(int(part[0]), len(part)))
+    if held:
+        yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+
+
+def numbered(rows: DataFrame, id_col: str) -> DataFrame:
+    """Rows (chunk, row, id_col, size, text), written: whatever reads them again sees the same numbers, however files are split then."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 20
+        for number, block in enumerate(gathered(batches, 1, CHUNK), first):
+            ids, texts = (block.column(i).combine_chunks() for i in (0, 1))
+            n = len(ids)
+            sizes = np.fromiter((len((x.as_py() or "").encode()) for x in texts), np.int64, n)
+            yield from sliced([pa.array(np.full(n, number)), pa.array(np.arange(n) + (number << 24)), ids, pa.array(sizes), texts], ["chunk", "row", id_col, "size", "text"], sizes.tolist())
 
+    return written(rows.mapInArrow(run, f"chunk long, row long, `{id_col}` {kind}, size long, text string"), "chunks", "zstd")
 
-def block_hits(df: DataFrame, bits: int, shards: int) -> DataFrame:
+
+def block_hits(texts: DataFrame, bits: int, shards: int) -> DataFrame:
     """Rows (chunk, hits): the fingerprints of windows in a chunk that are a block somewhere and stand in two rows or more."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +148,7 @@ def block_hits(df: DataFrame, bits: int, shards: int) -> DataFrame:
         keep = [i for i, x in enumerate(found) if len(x)]
         return pa.table({"chunk": rows.column("chunk").take(pa.array(keep, pa.int64())), "hits": pa.array([packed(found[i]) for i in keep], pa.binary())})
 
-    return df.mapInArrow(probe, "shard int, chunk long, data binary").groupBy("shard").applyInArrow(meet, "chunk long, hits binary")
+    return texts.select("chunk", "text").mapInArrow(probe, "shard int, chunk long, data binary").groupBy("shard").applyInArrow(meet, "chunk long, hits binary")
 
 
 def finish(words: list[bytes], digest: bool) -> bytes | str:
@@ -139,8 +161,8 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A word goes if a window of 50 words covers it whose words also start in a row with a smaller id. Rows without an
     id are neither a source nor changed; rows that share an id are no source for each other. Null and empty texts have
-    no words; texts of any length are handled whole; an empty table gives an empty one. df must give the same rows in
-    the same order when read again. digest: give the hex SHA-256 of the kept bytes in their place.
+    no words; texts of any length are handled whole; an empty table gives an empty one. df must give the same rows when
+    read again, in any order. digest: give the hex SHA-256 of the kept bytes in their place.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -148,12 +170,10 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(id_col, F.col(text_col).cast("string").alias("text"))
     rows, copies = without_copies(rows, id_col)
     found = candidates(rows, id_col, digest)
-    release(spark)
     near = found.where("words is not null").withColumnRenamed(id_col, "id")
     places = near.select("row", "id", F.explode(F.arrays_zip("at", "a", "b")).alias("x")).select("row", "id", "x.*")
     # Written, so that the join has a shuffle on either side and adaptive execution can split a hot window's rows.
     sources = written(places.groupBy("a", "b").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").drop("last"), "sources")
-    release(spark)
     repeats = places.join(sources, ["a", "b"]).where("source < id").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("repeats"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +221,10 @@ def candidates(rows: DataFrame, id_col: str, digest: bool) -> DataFrame:
     """Rows (row, id_col, n_words, words, at, a, b, kept): a text near whose blocks something repeats has its words and, for
     each window of 50 words there, its place and hashes; any other text is finished."""
     kind = rows.schema[id_col].dataType.simpleString()
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    texts = numbered(rows, id_col)
+    n_bytes = texts.agg(F.sum("size")).first()[0] or 1
     bits = min(60, math.ceil(math.log2(n_bytes)) + 10)
-    hits = block_hits(rows, bits, max(1, n_bytes // SHARD))
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in chunks(batches):
-            ids, texts = (block.column(i).combine_chunks() for i in (0, 1))
-            n = len(ids)
-            yield from sliced([pa.array(np.full(n, number)), pa.array(np.arange(n) + (number << 24)), ids, texts], ["chunk", "row", id_col, "text"], [len(x.as_py() or "") for x in texts])
+    hits = block_hits(texts, bits, max(1, n_bytes // SHARD))
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         c = Chunk(left.column("text").to_pylist(), WordHashes())
@@ -237,9 +252,10 @@ def candidates(rows: DataFrame, id_col: str, digest: bool) -> DataFrame:
             "kept": pa.array([None if s else finish(w, digest) for w, s in zip(c.words, some, strict=True)], pa.binary()),
         })
 
-    texts = rows.mapInArrow(numbered, f"chunk long, row long, `{id_col}` {kind}, text string")
     found = texts.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, f"row long, `{id_col}` {kind}, n_words long, words binary, at array<int>, a array<long>, b array<int>, kept binary")
-    return written(found, "blocks")
+    found = written(found, "blocks")
+    dropped(texts)
+    return found
 
 
 def op9_substring_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
