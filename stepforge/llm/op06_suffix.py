@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, sliced, small_batches, table, written
+from .common import dropped, gathered, sliced, small_batches, table, written
 
 #: Bytes of a window, of the stretch that names its suffix, and of the hashed grams in it.
 WINDOW, STRETCH, GRAM = 400, 300, 16
@@ -279,18 +279,19 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A byte goes if a string of 400 bytes covers it that also starts anywhere else, in the same text or another; strings
     lie within one text. n_spans: maximal runs of removed bytes. Of repeated rows none is spared. Null and empty texts
-    have no bytes; texts of any length are handled whole; an empty table gives an empty one. df must give the same rows
-    in the same order when read again. digest: give the hex SHA-256 of the bytes left in their place.
+    have no bytes; texts of any length are handled whole; an empty table gives an empty one. df is read once. digest: give the hex SHA-256 of the bytes left in their place.
     """
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
+    # Numbered and written once: whatever reads them again sees the same numbers, however files are split then.
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = written(rows, "rows", "zstd")
     places = written(suffixes(rows), "suffixes")
     kinds = places.groupBy("shared", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at")).alias("first"))
     several = kinds.groupBy("shared").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("times") == 1).alias("alone")).where("kinds > 1 and alone > 0")
     # Written, so that the joins have a shuffle on either side and adaptive execution can split a hot group's rows.
-    several = written(several, "shared").hint("merge")
-    kinds = written(kinds.join(several, "shared", "left").where("times > 1 or kinds > 1"), "kinds")
+    several_at = written(several, "shared")
+    kinds = written(kinds.join(several_at.hint("merge"), "shared", "left").where("times > 1 or kinds > 1"), "kinds")
     # What stands alone is its own first; of the others, every place is covered, and the first is there to compare with.
     spots = kinds.where("kinds > 1").select("first.row", "first.at", F.struct(F.col("first.at").alias("at"), "shared", "times").alias("hold"), F.lit(False).alias("full"), (F.col("kinds") > HOT).alias("hot"))
     full = places.join(kinds.where("times > 1").select("shared", "whole"), ["shared", "whole"]).select("row", "at", F.lit(None).cast("struct<at:int,shared:long,times:long>").alias("hold"), F.lit(True).alias("full"), F.lit(False).alias("hot"))
@@ -305,7 +306,8 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     hold = "array<struct<at:int,shared:long,times:long>>"
     found = rows.join(marks.hint("shuffle_hash"), "row", "left").select("row", "id", "text", "full", "hold", "hot").mapInArrow(settle, f"row long, id {kind}, n_bytes long, text binary, full array<int>, hold {hold}, hot {hold}, kept binary")
-    found = written(found, "marked")
+    found = written(found, "marked", "zstd")
+    dropped(rows, places, several_at, kinds)
     total = found.agg(F.sum(F.size("hold"))).first()[0] or 0
     reach = merge_sort(found.where("size(hold) > 0").select("row", "text", "hold"), max(1, total // SHARD)).unionByName(hot_windows(found.where("size(hot) > 0").select("row", "text", "hot")))
     reach = reach.groupBy("row").agg(F.collect_list(F.struct("at", "before", "after")).alias("reach"))

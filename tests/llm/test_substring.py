@@ -116,3 +116,25 @@ def test_loser_tree_gives_order_and_common_prefixes():
         keys = [key for _, key, _ in got]
         assert keys == sorted(x for r in runs for x, _ in r)
         assert all(h == op06_suffix.common(a, b) for a, (h, b, _) in zip([b"", *keys], got))
+
+
+@pytest.mark.parametrize("module,name", [(op06_suffix, "op6_suffix_merge"), (op09_blocks, "op9_substring_blocks")])
+def test_files_split_otherwise_on_every_read(spark, sf, tmp_path, monkeypatch, module, name):
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(QUERIES[name](spark, sf).collect())
+    turn, plain = iter(range(1, 99)), module.written
+
+    def otherwise(df, *args):
+        out = plain(df, *args)
+        k = next(turn)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(3 + 5 * (k % 2) + k))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(20_000 * (1 + k % 3)))
+        return out
+
+    monkeypatch.setattr(module, "written", otherwise)
+    try:
+        got = sorted(QUERIES[name](spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
