@@ -1,131 +1,280 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text and language-specific quantiles.
 
-The n-grams are of four symbols, each one of 40 classes of UTF-8 bytes. Counts, continuation counts, context totals and
-discounts are tables sharded by n-gram; joins between them give the probabilities. The alphabet bounds the finished
-model at 40^4 numbers (10 MB), however large the corpus is, so that it goes to every task, and a document's perplexity
-needs no shuffle of its text.
+Symbols are bytes, n-grams are of six, and the alphabet is all 256 of them, so that the model grows with the text it is
+counted from. Counts of all orders are tables sharded by n-gram. Scoring is a join with them: a chunk of documents asks
+each shard once for the distinct n-grams that it holds, as sorted, delta-coded numbers (a byte or two each), and gets the
+counts back in the same order. Nothing of the model goes to the driver or to every task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import dropped, small_batches, table, written
+from .op03_pii import key_of
 
-BASE, ORDER = 40, 4
-SIZE = BASE**ORDER
+ORDER, BASE = 6, 256
+#: An n-gram's number: its bytes in the low 48 bits, its order above them. Order 0 is the empty context.
+LEVEL = 8 * ORDER
+PAD = b" " * (ORDER - 1)
 #: A discount is no smaller, so that every context leaves something to what it hasn't seen.
 LEAST = 0.1
+#: Bytes of text whose positions are handled at once, n-grams that a task counts before it hands them on, n-grams of a shard.
+PIECE, HELD, SHARD = 2 << 20, 1 << 21, 500_000
+#: What a shard knows of an n-gram: its count; as a context the sum of the counts after it, and how many are 1, 2 and more.
+FACTS = ("n", "total", "n1", "n2", "n3")
+
+
+def pieces(texts: list[str | None], most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams of the highest order, one for each byte of some texts, bytes of each of these texts); blanks precede a text."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append((text or "").encode())
+        size += len(held[-1])
+        if size >= most:
+            yield grams(held), np.fromiter(map(len, held), np.int64, len(held))
+            held, size = [], 0
+    if held:
+        yield grams(held), np.fromiter(map(len, held), np.int64, len(held))
+
+
+def grams(texts: list[bytes]) -> np.ndarray:
+    data = np.frombuffer(b"".join(x for t in texts for x in (PAD, t)) + PAD, np.uint8).astype(np.int64)
+    n = len(data) - ORDER + 1
+    out = np.zeros(n, np.int64)
+    for k in range(ORDER):
+        out <<= 8
+        out |= data[k : k + n]
+    lengths = np.array([len(t) for t in texts])
+    inside = np.tile([True, False], len(texts))
+    return out[: int(lengths.sum()) + len(PAD) * len(texts)][np.repeat(inside, np.stack([lengths, np.full(len(texts), len(PAD))], 1).ravel())]
 
 
-def classes() -> np.ndarray:
-    """The class of each byte: 26 letters, capitals, digits, white space, full stop, comma, other marks in three
-    classes, lead bytes, continuation bytes in five and the rest."""
-    out = np.full(256, 39, np.uint8)
-    for k, members in enumerate([*(bytes([c]) for c in range(97, 123)), bytes(range(65, 91)), b"0123456789", b" \t\n\r\x0b\f", b".", b",", b"'\"()-:;?", b"!", b"#$%&*+/<=>@[\\]^_`{|}~", bytes(range(0xC0, 256))]):
-        out[list(members)] = k
-    for b in range(0x80, 0xC0):
-        out[b] = 35 - 1 + b % 5
-    return out
+def lower(gram: np.ndarray, order: int) -> np.ndarray:
+    """The last `order` symbols."""
+    return gram & (1 << 8 * order) - 1
 
 
-CLASS = classes()
+def asked(top: np.ndarray) -> list[np.ndarray]:
+    """From the distinct n-grams of the highest order, sorted, those of each order from 0 on: suffixes of suffixes, and the
+    blanks before a text, which are the context of its first bytes."""
+    out = [top]
+    for k in range(ORDER - 1, -1, -1):
+        out.append(np.unique(np.append(lower(out[-1], k), int.from_bytes(PAD[:k]))))
+    return out[::-1]
 
 
-def grams(text: str) -> np.ndarray:
-    """The number of the n-gram that ends at each byte of the text; white space stands before the first."""
-    symbols = np.concatenate([np.full(ORDER - 1, 28, np.int64), CLASS[np.frombuffer(text.encode(), np.uint8)].astype(np.int64)])
-    n = len(symbols) - ORDER + 1
-    out = np.zeros(n, np.int64)
-    for k in range(ORDER):
-        out = out * BASE + symbols[k : k + n]
-    return out
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return (key ^ key >> 23) % 2_147_483_647 % shards
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 def count_grams(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (gram, n) over all rows of df: each task counts first, then the shards add up."""
+    """Rows (gram, n) of the highest order over all rows of df: each task counts first, then the shards add up."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE, np.int64)
+        held, size = [], 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            gram = np.concatenate([g for g, _ in held])
+            order = np.argsort(gram, kind="stable")
+            first = np.flatnonzero(np.diff(gram[order], prepend=-1))
+            return gram[order][first], np.add.reduceat(np.concatenate([n for _, n in held])[order], first)
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    gram, n = np.unique(grams(text), return_counts=True)
-                    total[gram] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
+            for found, _ in pieces(batch.column(0).to_pylist()):
+                if len(found):
+                    held.append(np.unique(found, return_counts=True))
+                    size += len(held[-1][0])
+            if size > HELD:
+                held = [added()]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["gram", "n"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in added()], ["gram", "n"])
 
     return df.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """Rows (level, gram, p, gamma): for level 1 to ORDER the probability of each seen n-gram's last symbol, and for a
-    context (p null) the weight of what backs it off. counts: (gram, n) of the highest level.
-
-    Below the highest level an n-gram counts the symbols seen before it. Discounts are Chen and Goodman's three.
-    """
-    levels = {ORDER: counts}
+def all_orders(counts: DataFrame) -> list[DataFrame]:
+    """Rows (gram, n) of the orders from 1 on, from those of the highest: below it, an n-gram counts the symbols seen before it."""
+    out = [written(counts, f"grams-{ORDER}")]
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy((F.col("gram") % BASE**k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    out, lower = None, None
-    for k in range(1, ORDER + 1):
-        n = levels[k]
-        few = n.agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
-        y = F.when(F.col("n1") + 2 * F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-        # Without counts to estimate it from, a discount is half of what it may take.
-        d = [F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.greatest(F.lit(LEAST), F.least(F.lit(float(i)), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(i / 2) for i in (1, 2, 3)]
-        discounts = few.select(*[x.alias(f"d{i}") for i, x in enumerate(d, 1)])
-        n = n.crossJoin(F.broadcast(discounts)).withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        n = n.withColumn("context", F.floor(F.col("gram") / BASE).cast("long"))
-        context = n.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma"))
-        p = n.join(context, "context").withColumn("own", (F.col("n") - F.col("cut")) / F.col("total"))
-        if lower is None:
-            p = p.select("gram", (F.col("own") + F.col("gamma") / BASE).alias("p"))
-        else:
-            p = p.withColumn("tail", F.col("gram") % BASE ** (k - 1)).join(lower, "tail").select("gram", (F.col("own") + F.col("gamma") * F.col("q")).alias("p"))
-        rows = p.select(F.lit(k).alias("level"), "gram", "p", F.lit(None).cast("double").alias("gamma")).unionByName(context.select(F.lit(k).alias("level"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), "gamma"))
-        rows = written(rows, f"kneser-ney-{k}")
-        out = rows if out is None else out.unionByName(rows)
-        lower = rows.where("p is not null").select(F.col("gram").alias("tail"), F.col("p").alias("q"))
-    return out
-
-
-def dense_table(model: DataFrame) -> np.ndarray:
-    """log2 of the probability of every n-gram, seen or not: SIZE numbers, from at most 2 SIZE rows."""
-    rows = model.toArrow()
-    level, gram, p, gamma = (rows[c].to_numpy() for c in ("level", "gram", "p", "gamma"))
-    lower = np.full(1, 1 / BASE)
+        out.append(written(out[-1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams-{k}"))
+    return out[::-1]
+
+
+def discounts(levels: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """Chen and Goodman's three of each order; without counts to estimate it from, a discount is half of what it may take."""
+    out = {}
+    for r in levels.groupBy("level").agg(*[F.count_if(F.col("n") == i).alias(f"c{i}") for i in (1, 2, 3, 4)]).collect():
+        c = [r.c1, r.c2, r.c3, r.c4]
+        y = c[0] / (c[0] + 2 * c[1]) if c[0] + 2 * c[1] else 0.5
+        out[r.level] = tuple(max(LEAST, min(i, i - (i + 1) * y * c[i] / c[i - 1])) if c[i - 1] and c[i] else i / 2 for i in (1, 2, 3))
+    return {k: out.get(k, (0.5, 1.0, 1.5)) for k in range(1, ORDER + 1)}
+
+
+@dataclass(frozen=True)
+class Model:
+    """facts: rows (shard, data) of FACTS by n-gram, packed; cuts: discounts by order."""
+
+    facts: DataFrame
+    shards: int
+    cuts: dict[int, tuple[float, float, float]]
+
+
+def kneser_ney(counts: DataFrame) -> Model:
+    """The sharded model from (gram, n) of the highest order. Totals and discounts are read off the counts themselves."""
+    orders = all_orders(counts)
+    levels = reduce(DataFrame.unionByName, [x.select(F.lit(k).alias("level"), "gram", "n") for k, x in enumerate(orders, 1)])
+    key = lambda level, gram: F.shiftleft(level.cast("long"), LEVEL).bitwiseOR(gram)
+    zero = F.lit(0).cast("long")
+    own = levels.select(key(F.col("level"), F.col("gram")).alias("key"), "n", *[zero.alias(c) for c in FACTS[1:]])
+    after = levels.select(key(F.col("level") - 1, F.shiftright("gram", 8)).alias("key"), zero.alias("n"), F.col("n").alias("total"), *[(c).cast("long").alias(f"n{i}") for i, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))])
+    facts = written(own.unionByName(after).groupBy("key").agg(*[F.sum(c).alias(c) for c in FACTS]), "facts")
+    shards = max(1, -(-facts.count() // SHARD))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("key")
+        column = lambda c: rows.column(c).to_numpy()
+        data = [np.diff(column("key"), prepend=0), *map(column, FACTS)]
+        return pa.table({"shard": pa.array([int(rows.column("shard")[0].as_py())], pa.int32()), "data": pa.array([squeezed(np.concatenate(data))], pa.binary())})
+
+    mixed = F.col("key").bitwiseXOR(F.shiftright("key", 23))
+    packed = written(facts.withColumn("shard", (mixed % 2_147_483_647 % shards).cast("int")).groupBy("shard").applyInArrow(pack, "shard int, data binary"), "kneser-ney")
+    cuts = discounts(levels)
+    dropped(facts, *orders)
+    return Model(packed, shards, cuts)
+
+
+def probabilities(orders: list[np.ndarray], facts: list[np.ndarray], cuts: dict[int, tuple[float, float, float]]) -> np.ndarray:
+    """The probability of the last symbol of each of orders[ORDER], from FACTS (as rows) of all that orders hold."""
+    low = np.full(1, 1 / BASE)
     for k in range(1, ORDER + 1):
-        weight = np.ones(BASE ** (k - 1))
-        at = (level == k) & ~np.isnan(gamma)
-        weight[gram[at]] = gamma[at]
-        lower = (weight[:, None] * (lower if k == 1 else np.tile(lower, BASE).reshape(-1, BASE))).ravel() if k > 1 else weight[0] * np.full(BASE, 1 / BASE)
-        at = (level == k) & ~np.isnan(p)
-        lower[gram[at]] = p[at]
-    return np.log2(lower).astype(np.float32)
+        d1, d2, d3 = cuts[k]
+        n, at = facts[k][0], np.searchsorted(orders[k - 1], orders[k] >> 8)
+        total, n1, n2, n3 = (x[at] for x in facts[k - 1][1:])
+        held = np.maximum(total, 1)
+        gamma = np.where(total > 0, (d1 * n1 + d2 * n2 + d3 * n3) / held, 1.0)
+        cut = np.select([n == 0, n == 1, n == 2], [0.0, d1, d2], d3)
+        back = low[np.searchsorted(orders[k - 1], lower(orders[k], k - 1))] if k > 1 else low[np.zeros(len(n), np.int64)]
+        low = (n - cut) / held + gamma * back
+    return low
+
+
+def perplexity(df: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str, chunk: int = 16 << 20, key: Column | None = None) -> DataFrame:
+    """Rows (id_col, lang, key, n_symbols, bits): bits for each symbol, in thousandths as a long; null for an empty text.
+
+    A row belongs to the chunk that the hash of its id and text names, whatever its place in the files. chunk: bytes of
+    text, about. key: passed on.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    text = F.col(text_col).cast("string")
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 1
+    number = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(max(1, -(-size // chunk))))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), (F.lit(None).cast("binary") if key is None else key).alias("key"), text.alias("text"), number.alias("chunk"))
+    shards, cuts = model.shards, model.cuts
+
+    def parted(orders: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, numbers of its n-grams, their places among all orders one after another)"""
+        numbers = np.concatenate([x | k << LEVEL for k, x in enumerate(orders)])
+        of = shard_of(numbers, shards)
+        place = np.argsort(of, kind="stable")
+        for i, x in enumerate(np.split(place, np.searchsorted(of[place], np.arange(1, shards)))):
+            if len(x):
+                yield i, numbers[x], x
+
+    def distinct(texts: list) -> np.ndarray:
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *(pd.unique(g) for g, _ in pieces(texts))]))
+
+    def ask(rows: pa.Table) -> pa.Table:
+        top = distinct(rows.column("text").to_pylist())
+        found = [(i, squeezed(np.diff(numbers, prepend=0))) for i, numbers, _ in parted(asked(top))] if len(top) else []
+        return pa.table({"shard": pa.array([i for i, _ in found], pa.int32()), "chunk": pa.array([rows.column("chunk")[0].as_py()] * len(found), pa.int64()), "data": pa.array([x for _, x in found], pa.binary())})
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's facts come first (chunk -1), then what the chunks ask of it, one after another."""
+        now, known, facts = -1, np.zeros(1, np.int64), np.zeros((len(FACTS), 1), np.int64)
+        for batch in batches:
+            out = []
+            for shard, number, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                numbers = unsqueezed(data)
+                if number < 0:
+                    numbers = numbers.reshape(len(FACTS) + 1, -1)
+                    now, known, facts = shard, np.cumsum(numbers[0]), numbers[1:]
+                    continue
+                numbers = np.cumsum(numbers)
+                at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+                out.append((number, shard, squeezed((np.where(known[at] == numbers, facts[:, at], 0) if shard == now else np.zeros((len(FACTS), len(numbers)), np.int64)).ravel())))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "shard", "data"])
+
+    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        held = []
+        for found, lengths in pieces(docs.column("text").to_pylist()):
+            code, own = pd.factorize(found)
+            held.append((code.astype(np.int32), own, lengths))
+        top = np.unique(np.concatenate([np.zeros(0, np.int64), *(own for _, own, _ in held)]))
+        log = np.zeros(0)
+        if len(top):
+            orders = asked(top)
+            got = {s: unsqueezed(d).reshape(len(FACTS), -1) for s, d in zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist(), strict=True)}
+            facts = np.zeros((len(FACTS), sum(map(len, orders))), np.int64)
+            for i, _, place in parted(orders):
+                facts[:, place] = got[i]
+            log = np.log2(probabilities(orders, np.split(facts, np.cumsum([len(x) for x in orders])[:-1], axis=1), cuts))
+        n, bits = [], []
+        for code, own, lengths in held:
+            upto = np.append(0.0, np.cumsum(log[np.searchsorted(top, own)][code]))
+            end = np.cumsum(lengths)
+            total = upto[end] - upto[end - lengths]
+            n += lengths.tolist()
+            bits += [round(-1000 * t / m) if m else None for t, m in zip(total.tolist(), lengths.tolist(), strict=True)]
+        return pa.table({id_col: docs.column("id"), "lang": docs.column("lang"), "key": docs.column("key"), "n_symbols": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.int64())})
+
+    asks = rows.groupBy("chunk").applyInArrow(ask, "shard int, chunk long, data binary")
+    known = model.facts.select("shard", F.lit(-1).cast("long").alias("chunk"), "data")
+    answers = known.unionByName(asks).repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(answer, "chunk long, shard int, data binary")
+    kind = df.schema[id_col].dataType.simpleString()
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"`{id_col}` {kind}, lang string, key binary, n_symbols long, bits long")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document is rejected beyond `high` of its language's held-out trusted documents; `margin` bits more would be let pass.
+    """A document is rejected beyond the quantile `high` of its language's held-out trusted documents.
 
     prior: symbols of the language's median that are mixed into a document, so that a few odd words reject nothing.
     heldout: one in so many trusted documents sets the quantiles and doesn't train the model.
-    broadcast_ids: with more trusted documents, a join by shuffle finds them.
+    broadcast_ids, broadcast_langs: with more trusted documents or languages, a join by shuffle finds them.
     """
 
-    high: float = 0.98
-    margin: float = 0.0
+    high: float = 0.99
     prior: int = 60
     heldout: int = 5
     broadcast_ids: int = 2_000_000
+    broadcast_langs: int = 50_000
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -134,71 +283,54 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return x.where("q = 1 and t = 0").select("doc_id")
 
 
-def perplexity(df: DataFrame, model: np.ndarray, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Rows (id_col, lang, n_symbols, bits): bits for each symbol, in thousandths as a long; null for an empty text."""
-    small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def quantile(value: str, at: float) -> Column:
+    """The least value with at least a share `at` of the values up to it, from exact counts that each task makes first."""
+    return F.expr(f"percentile_disc({at}) within group (order by {value})").cast("long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log = shared.value
-        for batch in batches:
-            n, bits = [], []
-            for text in batch.column(2).to_pylist():
-                found = log[grams(text or "")]
-                n.append(len(found))
-                bits.append(round(-1000 * float(found.mean(dtype=np.float64))) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(bits, pa.int64())], [id_col, "lang", "n_symbols", "bits"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang string, n_symbols long, bits long")
 
+def judged(docs: DataFrame, labels: DataFrame, rule: Rule, id_col: str, text_col: str, lang_col: str, key: Column | None = None) -> DataFrame:
+    """What classify() returns, with a column `key`."""
+    ids = written(trusted_ids(labels).select(F.col("doc_id").alias(id_col)), "trusted")
+    own = F.broadcast(ids) if ids.limit(rule.broadcast_ids + 1).count() <= rule.broadcast_ids else ids
+    fold = F.pmod(F.xxhash64(F.col(id_col)), F.lit(rule.heldout))
+    model = kneser_ney(count_grams(docs.select(id_col, text_col).where(fold > 0).join(own, id_col, "left_semi"), text_col))
+    scores = written(perplexity(docs, model, id_col, text_col, lang_col, key=key), "perplexity")
+    dropped(model.facts)
+    fair = scores.where(F.col("bits").isNotNull() & (fold == 0)).join(own, id_col, "left_semi").select("lang", "bits", "n_symbols")
 
-def quantile(scores: DataFrame, at: float, name: str, by: list[str]) -> DataFrame:
-    """The least score with at least a share `at` of the scores up to it, from exact counts of thousandths."""
-    bins = scores.groupBy(*by, "bits").agg(F.count(F.lit(1)).alias("n"))
-    all_of = bins.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("bits"))).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-    return all_of.where(F.col("upto") >= at * F.col("all")).groupBy(*by).agg(F.min("bits").alias(name))
+    def by_language(rows: DataFrame) -> DataFrame:
+        rows = written(rows, "languages")
+        return F.broadcast(rows) if rows.limit(rule.broadcast_langs + 1).count() <= rule.broadcast_langs else rows
 
+    def mixed(x: DataFrame) -> DataFrame:
+        return x.withColumn("score", F.round((F.col("bits") * F.col("n_symbols") + F.col("middle") * rule.prior) / (F.col("n_symbols") + rule.prior)).cast("long"))
 
-def by_language(rows: DataFrame, most: int = 50_000) -> DataFrame:
-    """A row for each language, written; sent to every task if there are few, so that a language's rows stay where they are."""
-    rows = written(rows, "languages")
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+    middle = by_language(fair.groupBy("lang").agg(quantile("bits", 0.5).alias("own_middle")))
+    median = fair.agg(quantile("bits", 0.5)).first()[0]
+    near = lambda x: mixed(x.join(middle, "lang", "left").withColumn("middle", F.coalesce("own_middle", F.lit(median).cast("long"))))
+    limit = by_language(near(fair).groupBy("lang").agg(quantile("score", rule.high).alias("own_limit")))
+    whole = near(fair).agg(quantile("score", rule.high)).first()[0]
+    out = near(scores).join(limit, "lang", "left").withColumn("threshold", F.coalesce("own_limit", F.lit(whole).cast("long")))
+    return out.select(id_col, "lang", "key", "n_symbols", "bits", "score", "threshold", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows (id_col, lang, n_symbols, bits, score, threshold, kept), one for each row of docs.
 
-    bits: thousandths of a bit for each symbol (perplexity = 2^(bits/1000)), null for empty and null texts, which have
+    bits: thousandths of a bit for each byte (perplexity = 2^(bits/1000)), null for empty and null texts, which have
     nothing against them and are kept. score: bits with the prior. Null languages count as one language; a
     language without trusted text takes the quantile over all trusted documents, and without any everything is kept.
     Ties with the threshold are kept; repeated rows get the same result; an empty table gives an empty one.
     """
-    ids = written(trusted_ids(labels).select(F.col("doc_id").alias(id_col)), "trusted")
-    own = F.broadcast(ids) if ids.limit(rule.broadcast_ids + 1).count() <= rule.broadcast_ids else ids
-    fold = F.pmod(F.xxhash64(F.col(id_col)), F.lit(rule.heldout))
-    model = dense_table(kneser_ney(written(count_grams(docs.select(id_col, text_col).where(fold > 0).join(own, id_col, "left_semi"), text_col), "grams")))
-    scores = written(perplexity(docs, model, id_col, text_col, lang_col), "perplexity")
-    fair = scores.where(F.col("bits").isNotNull() & (fold == 0)).join(own, id_col, "left_semi").select(F.lit(1).alias("all"), "lang", "bits", "n_symbols")
-    middle, whole = by_language(quantile(fair, 0.5, "middle", ["lang"])), quantile(fair, 0.5, "middle0", ["all"]).drop("all")
-    one = scores.sparkSession.range(1).join(F.broadcast(whole), F.lit(True), "left").drop("id")
-
-    def scored(x: DataFrame) -> DataFrame:
-        near = x.join(middle, "lang", "left").crossJoin(F.broadcast(one)).withColumn("middle", F.coalesce("middle", "middle0"))
-        return near.withColumn("score", F.round((F.col("bits") * F.col("n_symbols") + F.col("middle") * rule.prior) / (F.col("n_symbols") + rule.prior)).cast("long"))
-
-    held = scored(fair).select(F.lit(1).alias("all"), "lang", F.col("score").alias("bits"))
-    limit, whole = by_language(quantile(held, rule.high, "limit", ["lang"])), quantile(held, rule.high, "limit0", ["all"]).drop("all")
-    one_limit = scores.sparkSession.range(1).join(F.broadcast(whole), F.lit(True), "left").drop("id")
-    out = scored(scores).join(limit, "lang", "left").crossJoin(F.broadcast(one_limit))
-    out = out.withColumn("threshold", F.coalesce("limit", "limit0") + round(1000 * rule.margin))
-    return out.select(id_col, "lang", "n_symbols", "bits", "score", "threshold", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    return judged(docs, labels, rule, id_col, text_col, lang_col).drop("key")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rejected ones. Rows without an id can't be told apart afterwards and are kept."""
-    bad = classify(docs, labels, rule, id_col, text_col, lang_col).where("not kept").select(F.col(id_col).alias("bad"), F.col("lang").alias("bad_lang")).where("bad is not null").distinct().hint("merge")
-    return docs.join(bad, (docs[id_col] == bad["bad"]) & (F.coalesce(docs[lang_col].cast("string"), F.lit("")) == bad["bad_lang"]), "left_anti")
+    """docs without the rejected ones. Of rows that share an id, those with a rejected text go."""
+    key = key_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    bad = judged(docs, labels, rule, id_col, text_col, lang_col, key).where("not kept").select(F.col(id_col).alias("bad"), F.col("lang").alias("bad_lang"), F.col("key").alias("bad_key")).distinct().hint("merge")
+    same = docs[id_col].eqNullSafe(bad["bad"]) & (F.coalesce(docs[lang_col].cast("string"), F.lit("")) == bad["bad_lang"])
+    return docs.join(bad, same & (key_of(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == bad["bad_key"]), "left_anti")
 
 
 def op5_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
