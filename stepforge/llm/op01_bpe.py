@@ -11,12 +11,15 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.normalizers import Normalizer
 
 from .common import gathered, sliced, small_batches, table
 
@@ -33,6 +36,51 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def ranges(chars: list[str]) -> str:
+    """These characters as the inside of a regex class."""
+    codes = np.unique(np.fromiter(map(ord, chars), np.int64, len(chars)))
+    cuts = np.flatnonzero(np.diff(codes) > 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[np.append(0, cuts + 1)].tolist(), codes[np.append(cuts, -1)].tolist(), strict=True))
+
+
+@cache
+def unlike(text: str, pattern: str) -> tuple[regex.Pattern, regex.Pattern, Normalizer]:
+    """(characters that the tokenizers library and this Python's Unicode tables take differently, or may; the pattern by
+    the library's classes; the library's normaliser), found by asking it about every code point.
+
+    text: the vocabulary's JSON. Characters that this Python doesn't know count as such, since they may combine.
+    """
+    coder = Tokenizer.from_str(text)
+    normaliser, split = coder.normalizer, coder.pre_tokenizer.pre_tokenize_str
+    known = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    parts = lambda x, by="": len(split(by + by.join(x) + by if by else x))
+    sure = {"L": lambda x: parts(f"a{x}a") == 1, "": lambda x: parts(f"!{x}!") == 1, "s": lambda x: not split(x), "N": lambda x: parts(x, "a") == parts(x, "!") == 2 * len(x) + 1}
+    classes = {"L": regex.compile(r"\p{L}"), "N": regex.compile(r"\p{N}"), "s": regex.compile(r"\s")}
+    groups: dict[str, list[str]] = {k: r.findall("".join(known)) for k, r in classes.items()}
+    groups[""] = regex.findall(r"[^\s\p{L}\p{N}]", "".join(known))
+    moved: dict[str, list[str]] = {k: [] for k in groups}
+
+    def place(kind: str, chars: list[str]) -> None:
+        """Halves until a group is all of its kind or a character stands alone."""
+        if not sure[kind]("".join(chars)):
+            if len(chars) == 1:
+                moved[next(k for k in ("L", "s", "", "N") if sure[k](chars[0]))].append(chars[0])
+            else:
+                place(kind, chars[: len(chars) // 2])
+                place(kind, chars[len(chars) // 2 :])
+
+    for kind, chars in groups.items():
+        if chars:
+            place(kind, chars)
+    at = [c for c in known if c != "\x01"]
+    theirs = normaliser.normalize_str("\x01".join(at)).split("\x01")
+    odd = [c for c, x in zip(at, theirs, strict=True) if unicodedata.category(c) == "Cn" or x != unicodedata.normalize("NFC", c).replace("Σ", "σ").lower() and not c.isspace()]
+    other = {c for x in moved.values() for c in x}
+    for k, escape in (("L", r"\p{L}"), ("N", r"\p{N}"), ("s", r"\s")):
+        pattern = pattern.replace(escape, ranges([c for c in groups[k] if c not in other] + moved[k]))
+    return regex.compile(f"[{ranges(odd + [*other])}]"), regex.compile(pattern), normaliser
+
+
 class Vocabulary:
     """A BPE vocabulary with word ends, read from the JSON of the tokenizers library."""
 
@@ -55,6 +103,7 @@ class Vocabulary:
             self.tokens[i] = token
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(pattern)
+        self.odd, self.odd_words, self.normaliser = unlike(text, pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -69,13 +118,17 @@ class Vocabulary:
             if part in self.special:
                 yield True, part
             elif part:
-                # Lower-casing is by character: a capital sigma never becomes a final one.
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for word in self.words.findall(part):
+                for word in self.split(part):
                     yield False, word
 
-    def normal(self, text: str) -> str:
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    def split(self, text: str) -> list[str]:
+        """The words of a text without special tokens, after normalisation."""
+        if text.isascii():
+            return self.words.findall(text.lower())
+        if self.odd.search(text):
+            return self.odd_words.findall(self.normaliser.normalize_str(text))
+        # Lower-casing is by character: a capital sigma never becomes a final one.
+        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
 
 def merge_words(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +209,7 @@ def encode_texts(texts: list[str], vocab: Vocabulary) -> Iterator[np.ndarray]:
         if vocab.specials and any(x in text for x in vocab.special):
             rows.append(np.fromiter((-1 - vocab.special[x] if kind else seen[x] for kind, x in vocab.pieces(text)), np.int32))
         else:
-            rows.append(np.array(list(map(seen.__getitem__, vocab.words.findall(vocab.normal(text)))), np.int32))
+            rows.append(np.array(list(map(seen.__getitem__, vocab.split(text))), np.int32))
     ids, begins = merge_words([x.encode() for x in seen], vocab)
     special = sorted(vocab.special.values())
     flat = np.concatenate([ids, special]).astype(np.int64)

@@ -53,6 +53,19 @@ def test_bpe_odd_texts_and_empty_table(spark, word):
     assert None in back and op01_bpe.encode(df.where("false"), word[1]).count() == 0
 
 
+def test_every_code_point_is_split_as_the_library_splits_it(word):
+    vocab = op01_bpe.Vocabulary(word[1])
+    known = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    # Unassigned planes in between say the same thing over and over.
+    known = known[: 0x32000 - 0x800] + known[0xE0000 - 0x800 : 0xE1000 - 0x800] + known[-300:]
+    texts = [" ".join(f"a{c}b1{c}2!{c}?" for c in known[i : i + 400]) for i in range(0, len(known), 400)]
+    rng = random.Random(5)
+    marks = [c for c in known if op01_bpe.unicodedata.category(c) in ("Mn", "Mc", "Cn")]
+    texts += ["".join(rng.choice(known if rng.random() < 0.3 else marks if rng.random() < 0.3 else "aeoSs' 1İΣé") for _ in range(60)) for _ in range(3000)]
+    want = [e.ids for e in word[0].encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in op01_bpe.encode_texts(texts, vocab)] == want
+
+
 def test_merges_do_not_depend_on_neighbours(word):
     vocab = op01_bpe.Vocabulary(word[1])
     rng = random.Random(3)
