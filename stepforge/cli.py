@@ -65,6 +65,19 @@ class Cli:
             raise SystemExit("the store is empty")
         return (runs.where(F.col("run_id") == run_id), steps.where(F.col("run_id") == run_id)) if run_id else (runs, steps)
 
+    def take(self, docs: DataFrame) -> int:
+        """Store native documents and OTLP exports; those refused are printed and counted, and nothing of them is stored."""
+        refused = 0
+        for name, read in (("native", traces.native), ("otlp", lambda d: traces.otlp(d, self.wire))):
+            if (some := docs.where(F.col("format") == name)).isEmpty():
+                continue
+            runs, steps, bad = read(some)
+            for r in bad.toLocalIterator():
+                refused += 1
+                print(f"refused {r['path']}: {r['reason']}", file=sys.stderr)
+            self.ingest(runs.select("run_id", "name", "currency", "declared"), steps)
+        return refused
+
     # ---- commands
 
     def open(self, a) -> int:
@@ -73,14 +86,11 @@ class Cli:
             prices = self.spark.createDataFrame([], "model string, price_in double, price_out double, ord int")
             self.ingest(*traces.sessions(traces.lines(self.spark, a.file), prices, (a.price_in, a.price_out)))
         else:
-            for name, read in (("native", traces.native), ("otlp", lambda d: traces.otlp(d, self.wire))):
-                some = docs.where(F.col("format") == name)
-                if not some.isEmpty():
-                    runs, steps = read(some)
-                    self.ingest(runs.select("run_id", "name", "currency", "declared"), steps)
+            refused = self.take(docs)
             sealed, steps, _ = traces.envelopes(docs.where("format is null or text like '%runHash%'"))
             if not sealed.isEmpty():
                 self.save(sealed.drop("warnings"), steps)
+            return int(refused > 0)
         return 0
 
     def demo(self, a) -> int:
@@ -151,11 +161,7 @@ class Cli:
         text = self.spark.readStream.text(a.folder, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
 
         def take(batch: DataFrame, number: int) -> None:
-            docs = traces.with_format(batch)
-            for name, read in (("native", traces.native), ("otlp", lambda d: traces.otlp(d, self.wire))):
-                if not (some := docs.where(F.col("format") == name)).isEmpty():
-                    runs, steps = read(some)
-                    self.ingest(runs.select("run_id", "name", "currency", "declared"), steps)
+            self.take(traces.with_format(batch))
             if a.keep_days and self.store.table("runs") is not None:
                 self.store.prune(time.strftime("%Y-%m-%d", time.gmtime(time.time() - 86400 * a.keep_days)))
 

@@ -5,9 +5,15 @@ All work within a run, so that one shuffle on run_id serves a chain of them; sum
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.canonical import number_text
 from ..schema import HIGH_COST, LOOP_LENGTH
 from ..shared import new_path
 
@@ -57,9 +63,13 @@ def fold_sum(index: str, value: str) -> Column:
     return F.aggregate(ordered, F.lit(0.0), lambda acc, s: acc + s["x"])
 
 
+def total_columns() -> list[Column]:
+    return [F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.sum("duration_ms").alias("duration_ms"), F.count(F.lit(1)).alias("steps")]
+
+
 def totals(steps: DataFrame) -> DataFrame:
     """Rows (run_id, tokens, cost, duration_ms, steps), display sums that combine before the shuffle."""
-    return steps.groupBy("run_id").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.sum("duration_ms").alias("duration_ms"), F.count(F.lit(1)).alias("steps"))
+    return steps.groupBy("run_id").agg(*total_columns())
 
 
 def exact_totals(steps: DataFrame, index: str = "pos") -> DataFrame:
@@ -67,21 +77,29 @@ def exact_totals(steps: DataFrame, index: str = "pos") -> DataFrame:
     return steps.groupBy("run_id").agg(*[fold_sum(index, c).alias(c) for c in ("tokens", "cost", "duration_ms")], F.count(F.lit(1)).alias("steps"))
 
 
+def status_column() -> Column:
+    return F.when(F.bool_or(F.col("type") == "error"), "failed").otherwise("completed").alias("status")
+
+
 def status(steps: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """Rows (run_id, status): declared, else failed if a step is an error, else completed."""
-    out = steps.groupBy("run_id").agg(F.when(F.bool_or(F.col("type") == "error"), "failed").otherwise("completed").alias("status"))
+    out = steps.groupBy("run_id").agg(status_column())
     if declared is None:
         return out
     given = declared.select("run_id", F.col("status").alias("given"))
     return out.join(given, "run_id", "left").select("run_id", F.coalesce("given", "status").alias("status"))
 
 
-def bounds(steps: DataFrame) -> DataFrame:
-    """Rows (run_id, started_at, ended_at): the first step's start, and the last one's start and duration, as ISO text."""
+def bound_columns() -> list[Column]:
     at = F.col("started_at").cast("timestamp")
     last = F.max_by(F.struct(at.alias("at"), F.col("duration_ms").alias("ms")), "index")
     end = F.timestamp_millis((F.unix_millis(last["at"]) + F.coalesce(last["ms"], F.lit(0.0))).cast("long"))
-    return steps.groupBy("run_id").agg(F.min_by("started_at", "index").alias("started_at"), F.date_format(end, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ended_at"))
+    return [F.min_by("started_at", "index").alias("started_at"), F.date_format(end, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ended_at")]
+
+
+def bounds(steps: DataFrame) -> DataFrame:
+    """Rows (run_id, started_at, ended_at): the first step's start, and the last one's start and duration, as ISO text."""
+    return steps.groupBy("run_id").agg(*bound_columns())
 
 
 def gap_durations(steps: DataFrame, time: str = "ts") -> DataFrame:
@@ -107,18 +125,24 @@ def high_cost(steps: DataFrame, multiple: float = HIGH_COST) -> DataFrame:
     return steps.join(median_cost(steps).where("median_cost > 0"), "run_id").where(F.col("cost") > F.col("median_cost") * multiple)
 
 
-def loops(steps: DataFrame, least: int = LOOP_LENGTH, key: str | None = None) -> DataFrame:
+def calls_in_islands(steps: DataFrame, key: str | None = None, *more: str) -> DataFrame:
+    """Tool calls (run_id, index, tool_name, island, *more): calls in a row with one tool and one input share an island."""
+    call = (F.col("type") == "tool_call") & F.col("tool_name").isNotNull()
+    mark = F.when(call, F.struct(F.col("tool_name"), F.coalesce(F.col(key), F.lit("null")) if key else F.lit("")))
+    out = steps.select("run_id", "index", "tool_name", mark.alias("mark"), *more)
+    out = out.withColumn("new", F.when(F.col("mark").isNull() | ~F.col("mark").eqNullSafe(F.lag("mark").over(in_run())), 1).otherwise(0))
+    return out.withColumn("island", F.sum("new").over(in_run())).where("mark is not null").drop("mark", "new")
+
+
+def loops(steps: DataFrame, least: int = LOOP_LENGTH, key: str | None = None, *extra: Column) -> DataFrame:
     """Maximal runs of at least `least` tool calls in a row with one tool and one input.
 
     (run_id, tool_name, run_length, first_index, last_index). key: a column with the canonical input, where absent
-    and null are the same; without it the tool alone decides. Other steps and calls without a tool end a run.
+    and null are the same; without it the tool alone decides. Other steps and calls without a tool end a run. extra:
+    further aggregates over the steps' id and index.
     """
-    call = (F.col("type") == "tool_call") & F.col("tool_name").isNotNull()
-    mark = F.when(call, F.struct(F.col("tool_name"), F.coalesce(F.col(key), F.lit("null")) if key else F.lit("")))
-    out = steps.select("run_id", "index", "tool_name", mark.alias("mark"))
-    out = out.withColumn("new", F.when(F.col("mark").isNull() | ~F.col("mark").eqNullSafe(F.lag("mark").over(in_run())), 1).otherwise(0))
-    out = out.withColumn("island", F.sum("new").over(in_run())).where("mark is not null")
-    grouped = out.groupBy("run_id", "island").agg(F.first("tool_name").alias("tool_name"), F.count(F.lit(1)).alias("run_length"), F.min("index").alias("first_index"), F.max("index").alias("last_index"))
+    out = calls_in_islands(steps, key, *(["id"] if extra else []))
+    grouped = out.groupBy("run_id", "island").agg(F.first("tool_name").alias("tool_name"), F.count(F.lit(1)).alias("run_length"), F.min("index").alias("first_index"), F.max("index").alias("last_index"), *extra)
     return grouped.where(F.col("run_length") >= least).drop("island")
 
 
@@ -126,16 +150,22 @@ def errors(steps: DataFrame) -> DataFrame:
     return steps.where(F.col("type") == "error")
 
 
-def two_places(x: Column) -> Column:
-    """A number with two places, ties away from zero, taken from the exact binary value."""
-    return F.format_string("%s", x.cast("decimal(38,20)").cast("decimal(38,2)"))
+def fixed(x: float) -> str:
+    """A number with two places as ECMAScript's toFixed writes it: ties away from zero, judged on the exact binary value."""
+    if not abs(x) < 1e21:
+        return number_text(x) if math.isfinite(x) else "NaN" if x != x else "Infinity" if x > 0 else "-Infinity"
+    return str(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP)) if x else "0.00"
+
+
+@F.pandas_udf(T.StringType())
+def two_places(values: pd.Series) -> pd.Series:
+    return values.map(fixed, na_action="ignore")
 
 
 def warnings(steps: DataFrame, key: str | None = None) -> DataFrame:
     """Rows (run_id, ord, kind, message, step_ids): loops, then costly steps, then errors, each in step order."""
-    span = loops(steps, key=key)
-    looped = span.join(steps.select("run_id", "index", "id"), "run_id").where(F.col("index").between(F.col("first_index"), F.col("last_index")))
-    looped = looped.groupBy("run_id", "tool_name", "run_length", "first_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "id"))), lambda s: s["id"]).alias("step_ids"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("index", "id"))), lambda s: s["id"]).alias("step_ids")
+    looped = loops(steps, LOOP_LENGTH, key, ids)
     text = F.format_string(MESSAGES["loop"], "tool_name", "run_length")
     first = looped.select("run_id", F.lit(0).alias("o"), F.col("first_index").alias("i"), F.lit("loop").alias("kind"), text.alias("message"), "step_ids")
     text = F.format_string(MESSAGES["high_cost_step"], "index", "label", two_places(F.col("cost")), two_places(F.col("median_cost")))
@@ -162,6 +192,5 @@ def loop_span(steps_in_loop: DataFrame) -> DataFrame:
 
 
 def summaries(steps: DataFrame) -> DataFrame:
-    """Rows (run_id, started_at, ended_at, steps, cost, tokens, duration_ms, status) without any payload."""
-    slim = steps.select("run_id", "index", "type", "started_at", "duration_ms", "tokens", "cost")
-    return totals(slim).join(bounds(slim), "run_id").join(status(slim), "run_id")
+    """Rows (run_id, started_at, ended_at, steps, cost, tokens, duration_ms, status) without any payload, in one aggregate."""
+    return steps.groupBy("run_id").agg(*bound_columns(), *total_columns(), status_column()).select("run_id", "started_at", "ended_at", "steps", "cost", "tokens", "duration_ms", "status")

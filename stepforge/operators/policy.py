@@ -1,4 +1,4 @@
-"""Guardrail policies: each rule is a DataFrame of violations (run_id, rule, pattern, hits, first_index, step_ids)."""
+"""Guardrail policies: rules over runs, steps and warnings, each of which is read once and tagged with what it offends."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,11 +81,39 @@ def tool_matches(name: Column, pattern: str) -> Column:
     return name.startswith(p[:-1]) if p.endswith("*") else name == p
 
 
-def violation(df: DataFrame, rule: str, pattern: str | None, index: Column | None = None, step: Column | None = None) -> DataFrame:
-    """One violation for each run of the offending steps in df."""
-    index, step = (F.col("index") if index is None else index), (F.col("id") if step is None else step)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(index.alias("i"), step.alias("s")))), lambda x: x["s"])
-    return df.groupBy("run_id").agg(F.count(F.lit(1)).alias("hits"), F.min(index).alias("first_index"), ids.alias("step_ids")).withColumns({"rule": F.lit(rule), "pattern": F.lit(pattern).cast("string")})
+HIT = "struct<rule_ord:int,at:int,rule:string,pattern:string>"
+
+
+def hit(where: Column, order: int, rule: str, pattern: str | None = None, at: int = 0) -> Column:
+    """What a row offends where the condition holds; `at` tells equal patterns of a rule apart."""
+    one = F.struct(F.lit(order).alias("rule_ord"), F.lit(at).alias("at"), F.lit(rule).alias("rule"), F.lit(pattern).cast("string").alias("pattern"))
+    return F.when(where, one.cast(HIT))
+
+
+def exploded(df: DataFrame, hits: list[Column], *columns: str) -> DataFrame:
+    """Rows (*columns, rule_ord, at, rule, pattern), one for each hit, from a single pass over df."""
+    return df.select(*columns, F.explode(F.array_compact(F.array(*hits))).alias("x")).select(*columns, "x.*")
+
+
+def offending_steps(steps: DataFrame, policy: Policy) -> DataFrame | None:
+    """Rows (run_id, index, id, rule_ord, at, rule, pattern): each step that offends a rule on steps; None without such a rule."""
+    call = (F.col("type") == "tool_call") & F.col("tool_name").isNotNull()
+    hits = []
+    if policy.maxCostPerStep is not None:
+        hits.append(hit(F.col("cost") > policy.maxCostPerStep, 3, "maxCostPerStep"))
+    named = lambda x: F.col("tool").isNotNull() & tool_matches(F.col("tool"), x)
+    hits += [hit(named(x), 4, "forbidTools", x, i) for i, x in enumerate(policy.forbidTools)]
+    # The first approval of a run decides, so that no range join is needed.
+    early = F.col("approved").isNull() | (F.col("index") <= F.col("approved"))
+    hits += [hit(early & named(x), 5, "requireApprovalFor", x, i) for i, x in enumerate(policy.requireApprovalFor)]
+    hits += [hit(F.lower("input").contains(x.lower()), 6, "forbidInputText", x, i) for i, x in enumerate(policy.forbidInputText)]
+    if not hits:
+        return None
+    if policy.forbidTools or policy.requireApprovalFor:
+        steps = steps.withColumn("tool", folded(F.when(call, F.col("tool_name"))))
+    if policy.requireApprovalFor:
+        steps = steps.withColumn("approved", F.min(F.when(F.col("type") == "approval", F.col("index"))).over(Window.partitionBy("run_id")))
+    return exploded(steps, hits, "run_id", "index", "id")
 
 
 def evaluate(runs: DataFrame, steps: DataFrame, warnings: DataFrame, policy: Policy) -> DataFrame:
@@ -92,40 +121,23 @@ def evaluate(runs: DataFrame, steps: DataFrame, warnings: DataFrame, policy: Pol
 
     runs: (run_id, cost, tokens, steps, signed), the stored totals. steps: run_id, index, id, type, tool_name, cost, input.
     warnings: (run_id, kind), the stored ones. Tool rules look at tool calls only; any approval with a lower index
-    covers a call; input text is searched as it is serialised, in any case.
+    covers a call; input text is searched as it is serialised, in any case. Runs and steps are each read once, whatever
+    the number of rules. A violation lists all its steps; offending_steps() has them one by one.
     """
-    out: list[tuple[int, DataFrame]] = []
-    none = F.lit(None).cast("long")
-
-    def whole(order: int, rule: str, where: Column) -> None:
-        out.append((order, runs.where(where).select("run_id", F.lit(1).cast("long").alias("hits"), none.alias("first_index"), F.array().cast("array<string>").alias("step_ids"), F.lit(rule).alias("rule"), F.lit(None).cast("string").alias("pattern"))))
-
-    for order, (rule, column) in enumerate((("maxCostPerRun", "cost"), ("maxTokensPerRun", "tokens"), ("maxSteps", "steps"))):
-        if (limit := getattr(policy, rule)) is not None:
-            whole(order, rule, F.col(column) > limit)
-    if policy.maxCostPerStep is not None:
-        out.append((3, violation(steps.where(F.col("cost") > policy.maxCostPerStep), "maxCostPerStep", None)))
-    calls = steps.where((F.col("type") == "tool_call") & F.col("tool_name").isNotNull()).select("run_id", "index", "id", folded(F.col("tool_name")).alias("tool"))
-    for pattern in policy.forbidTools:
-        out.append((4, violation(calls.where(tool_matches(F.col("tool"), pattern)), "forbidTools", pattern)))
-    if policy.requireApprovalFor:
-        # The first approval of a run decides, so that no range join is needed.
-        approved = steps.where(F.col("type") == "approval").groupBy("run_id").agg(F.min("index").alias("approved"))
-        open_ = calls.join(approved, "run_id", "left").where(F.col("approved").isNull() | (F.col("index") <= F.col("approved")))
-        for pattern in policy.requireApprovalFor:
-            out.append((5, violation(open_.where(tool_matches(F.col("tool"), pattern)), "requireApprovalFor", pattern)))
-    for needle in policy.forbidInputText:
-        out.append((6, violation(steps.where(F.lower("input").contains(needle.lower())), "forbidInputText", needle)))
+    none, empty = F.lit(None).cast("long"), F.array().cast("array<string>")
+    head = ["run_id", "rule_ord", "at", "rule", "pattern"]
+    whole = [hit(F.col(column) > limit, order, rule) for order, (rule, column) in enumerate((("maxCostPerRun", "cost"), ("maxTokensPerRun", "tokens"), ("maxSteps", "steps"))) if (limit := getattr(policy, rule)) is not None]
     if policy.requireSignature:
-        whole(7, "requireSignature", ~F.col("signed"))
-    for kind in dict.fromkeys(policy.forbidWarnings):
-        found = warnings.where(F.col("kind") == kind)
-        out.append((8, found.groupBy("run_id").agg(F.count(F.lit(1)).alias("hits")).withColumns({"first_index": none, "step_ids": F.array().cast("array<string>"), "rule": F.lit("forbidWarnings"), "pattern": F.lit(kind)})))
-    frames = [x.withColumn("rule_ord", F.lit(order)) for order, x in out] or [runs.where("false").select("run_id", F.lit(0).alias("rule_ord"), F.lit("").alias("rule"), F.lit("").alias("pattern"), F.lit(0).cast("long").alias("hits"), none.alias("first_index"), F.array().cast("array<string>").alias("step_ids"))]
-    whole_ = frames[0]
-    for x in frames[1:]:
-        whole_ = whole_.unionByName(x)
-    return whole_.select("run_id", "rule_ord", "rule", "pattern", "hits", "first_index", "step_ids")
+        whole.append(hit(~F.col("signed"), 7, "requireSignature"))
+    parts = [exploded(runs, whole or [F.lit(None).cast(HIT)], "run_id").select(*head, F.lit(1).cast("long").alias("hits"), none.alias("first_index"), empty.alias("step_ids"))]
+    if (found := offending_steps(steps, policy)) is not None:
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("index", "id"))), lambda x: x["id"]).alias("step_ids")
+        parts.append(found.groupBy(*head).agg(F.count(F.lit(1)).alias("hits"), F.min("index").alias("first_index"), ids))
+    if policy.forbidWarnings:
+        kinds = [*dict.fromkeys(policy.forbidWarnings)]
+        some = warnings.where(F.col("kind").isin(kinds)).groupBy("run_id", F.col("kind").alias("pattern")).agg(F.count(F.lit(1)).alias("hits"))
+        parts.append(some.select("run_id", F.lit(8).alias("rule_ord"), F.lit(0).alias("at"), F.lit("forbidWarnings").alias("rule"), "pattern", "hits", none.alias("first_index"), empty.alias("step_ids")))
+    return reduce(DataFrame.unionByName, parts).drop("at")
 
 
 def verdicts(runs: DataFrame, violations: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Trace documents, OTLP exports, session logs, journals and envelopes as runs and steps.
 
-A document is a row of (path, text). Each reader gives drafts of steps, which assemble() orders, and rows of runs.
+A document is a row of (path, text). Each reader gives drafts of steps, which assemble() orders, rows of runs, and the
+documents that it refuses, whole and with the reason: a record with a part left out would look like evidence.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
-    """Rows (file, line, raw) of all lines under a folder; line numbers count from 1, blank lines too."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.posexplode(F.split("value", "\n")).alias("line", "raw")).withColumn("line", F.col("line") + 1)
+    """Rows (file, modified, line, raw) of all lines under a folder; line numbers count from 1, blank lines too.
+
+    Files are read in splits of any size, and numbered by a window over them: no row is larger than a line.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    placed = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    return placed.select("file", "modified", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")).alias("line"), "raw")
 
 
 def member(json: Column, path: str) -> Column:
@@ -46,19 +51,56 @@ def raw_member(raw: Column, name: str) -> Column:
     return member(raw, f"$.{name}")
 
 
-def native(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(runs, steps) of native documents; a step of an unknown type or without a start is an error row in `bad`."""
-    doc = docs.withColumn("d", F.from_json("text", NATIVE))
-    runs = doc.select(F.col("d.id").alias("run_id"), F.col("d.name").alias("name"), F.coalesce("d.currency", F.lit("USD")).alias("currency"), F.col("d.status").alias("declared"))
-    one = doc.select(F.col("d.id").alias("run_id"), F.posexplode("d.steps").alias("ord", "raw")).withColumn("s", F.from_json("raw", NATIVE_STEP))
+def kind_of(value: Column, name: str) -> Column:
+    """The kind of a variant's member: null where it is absent, VOID where it is a present null."""
+    return F.schema_of_variant(F.variant_get(value, f"$.{name}", "variant"))
+
+
+def first_fault(checks: list[tuple[str, Column]]) -> Column:
+    """The name of the first check that doesn't hold, or null."""
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks])
+
+
+def native_fault(text: Column) -> Column:
+    """Where a native document breaks its schema, as `steps[2].type`; null for a sound one."""
+    doc = F.try_parse_json(text)
+    text_ = lambda v, n: kind_of(v, n) == "STRING"
+    maybe = lambda v, n: kind_of(v, n).isNull() | text_(v, n)
+    number = lambda v, n: kind_of(v, n).rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)") & (F.try_variant_get(v, f"$.{n}", "double") >= 0)
+    get = lambda v, n: F.try_variant_get(v, f"$.{n}", "string")
+
+    def step(v: Column, i: Column) -> Column:
+        checks = [("type", text_(v, "type") & get(v, "type").isin(*STEP_TYPES)), ("label", text_(v, "label")), ("startedAt", text_(v, "startedAt")), ("durationMs", number(v, "durationMs"))]
+        checks += [(n, kind_of(v, n).isNull() | number(v, n)) for n in ("tokens", "cost")] + [(n, maybe(v, n)) for n in ("toolName", "spanId", "parentSpanId")]
+        return F.concat(F.lit("steps["), i.cast("string"), F.lit("]."), first_fault(checks))
+
+    head = first_fault([("id", text_(doc, "id") & (F.length(get(doc, "id")) > 0)), ("name", text_(doc, "name")), ("currency", maybe(doc, "currency")), ("status", kind_of(doc, "status").isNull() | text_(doc, "status") & get(doc, "status").isin("completed", "failed")), ("steps", kind_of(doc, "steps").startswith("ARRAY"))])
+    steps = F.coalesce(F.try_variant_get(doc, "$.steps", "array<variant>"), F.array().cast("array<variant>"))
+    return F.coalesce(head, F.try_element_at(F.filter(F.transform(steps, step), lambda x: x.isNotNull()), F.lit(1)))
+
+
+def one_each(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs, refused): of documents (path, run_id, ...) that name the same run, the first by path stays."""
+    again = docs.groupBy("run_id").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("run_id").alias("again"), "first")
+    found = docs.join(again, F.col("run_id") == F.col("again"), "left")
+    late = F.col("first").isNotNull() & (F.col("path") != F.col("first"))
+    return found.where(~late).drop("again", "first"), found.where(late).select("path", "run_id", F.concat(F.lit("the run is in "), "first").alias("reason"))
+
+
+def native(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, steps, refused) of native documents. A document that breaks the schema anywhere is refused as a whole."""
+    doc = docs.withColumn("fault", native_fault(F.col("text"))).withColumn("d", F.from_json("text", NATIVE)).withColumn("run_id", F.col("d.id"))
+    wrong = doc.where("fault is not null").select("path", "run_id", F.col("fault").alias("reason"))
+    doc, late = one_each(doc.where("fault is null").select("path", "run_id", "d"))
+    runs = doc.select("run_id", F.col("d.name").alias("name"), F.coalesce("d.currency", F.lit("USD")).alias("currency"), F.col("d.status").alias("declared"))
+    one = doc.select("run_id", F.posexplode("d.steps").alias("ord", "raw")).withColumn("s", F.from_json("raw", NATIVE_STEP))
     zero = F.lit(0.0)
     drafts = one.select(
-        "run_id", "ord", F.col("s.type").alias("type"), F.col("s.label").alias("label"), F.col("s.startedAt").alias("started_at"), F.coalesce("s.durationMs", zero).alias("duration_ms"),
+        "run_id", "ord", F.col("s.type").alias("type"), F.col("s.label").alias("label"), F.col("s.startedAt").alias("started_at"), F.col("s.durationMs").alias("duration_ms"),
         F.coalesce("s.tokens", zero).alias("tokens"), F.coalesce("s.cost", zero).alias("cost"), F.col("s.toolName").alias("tool_name"), raw_member(F.col("raw"), "input").alias("input"), raw_member(F.col("raw"), "output").alias("output"),
         raw_member(F.col("raw"), "dataPayload").alias("data_payload"), F.coalesce("s.spanId", F.concat("run_id", F.lit("-span-"), F.col("ord").cast("string"))).alias("span_id"), F.col("s.parentSpanId").alias("parent_span_id"),
-        (~F.coalesce(F.col("s.type").isin(*STEP_TYPES), F.lit(False)) | F.col("s.startedAt").isNull() | (F.coalesce("s.durationMs", zero) < 0)).alias("bad"),
     )
-    return runs, assemble(drafts.where("not bad").drop("bad")).withColumn("pos", F.col("index"))
+    return runs, assemble(drafts).withColumn("pos", F.col("index")), wrong.unionByName(late)
 
 
 VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
@@ -85,17 +127,19 @@ def step_type(explicit: Column, tool: Column, name: Column) -> Column:
     return F.when(explicit.isin(*STEP_TYPES), explicit).otherwise(hints)
 
 
-def otlp(docs: DataFrame, wire: Wire = Wire(), live: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(runs, steps) of OTLP/JSON exports. Run attributes come from the first resource alone.
+def otlp(docs: DataFrame, wire: Wire = Wire(), live: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, steps, refused) of OTLP/JSON exports. Run attributes come from the first resource alone.
 
+    An export without a run id is the run `otel-run`; of exports that name the same run, one stays and others are refused.
     live: as a span processor sees spans, where a span with ERROR status is an error step; an offline export's isn't.
     """
     root = docs.withColumn("r", F.from_json("text", OTLP)["resourceSpans"])
     own = F.try_element_at("r", F.lit(1))["resource"]["attributes"]
     of_run = lambda n, d=None: F.coalesce(attribute(own, wire.attribute(f"run.{n}")), F.lit(d))
     status = attribute(own, wire.attribute("run.status"))
-    runs = root.select("path", of_run("id", "otel-run").alias("run_id"), of_run("name", "OpenTelemetry run").alias("name"), of_run("currency", "USD").alias("currency"), F.when(status.isin("completed", "failed"), status).alias("declared"))
-    spans = root.select(of_run("id", "otel-run").alias("run_id"), F.posexplode("r").alias("i", "rs")).select("run_id", "i", F.posexplode("rs.scopeSpans").alias("j", "ss")).select("run_id", "i", "j", F.posexplode("ss.spans").alias("k", "s"))
+    root, late = one_each(root.select("path", of_run("id", "otel-run").alias("run_id"), "r"))
+    runs = root.select("path", "run_id", of_run("name", "OpenTelemetry run").alias("name"), of_run("currency", "USD").alias("currency"), F.when(status.isin("completed", "failed"), status).alias("declared"))
+    spans = root.select("run_id", F.posexplode("r").alias("i", "rs")).select("run_id", "i", F.posexplode("rs.scopeSpans").alias("j", "ss")).select("run_id", "i", "j", F.posexplode("ss.spans").alias("k", "s"))
     spans = spans.withColumn("ord", F.row_number().over(Window.partitionBy("run_id").orderBy("i", "j", "k")) - 1)
     a = F.coalesce(F.col("s.attributes"), F.array().cast(ATTRIBUTES))
     at = lambda *keys: F.coalesce(*[attribute(a, k) for k in keys])
@@ -113,7 +157,7 @@ def otlp(docs: DataFrame, wire: Wire = Wire(), live: bool = False) -> tuple[Data
         maybe_json(at("gen_ai.completion", wire.attribute("output"))).alias("output"), maybe_json(at(wire.attribute("data_payload"))).alias("data_payload"),
         F.coalesce("s.spanId", F.concat("run_id", F.lit("-span-"), F.col("ord").cast("string"))).alias("span_id"), F.when(F.length("s.parentSpanId") > 0, F.col("s.parentSpanId")).alias("parent_span_id"),
     )
-    return runs, assemble(drafts).withColumn("pos", F.col("index"))
+    return runs, assemble(drafts).withColumn("pos", F.col("index")), late
 
 
 # ---- session logs -----------------------------------------------------------------------------------------------

@@ -265,6 +265,49 @@ def test_native_and_otlp_agree(spark, tmp_path):
     assert {r["type"] for r in traces.otlp(docs.where("format = 'otlp'"), live=True)[1].collect()} == {"error", "user_input"}
 
 
+def test_faulty_documents_are_refused_whole(spark):
+    step = {"type": "plan", "label": "p", "startedAt": "2024-01-01T00:00:00.000Z", "durationMs": 0}
+    doc = {"id": "a", "name": "n", "steps": [step, step]}
+    broken = {
+        "steps[1].type": {**doc, "steps": [step, {**step, "type": "plans"}]}, "steps[0].label": {**doc, "steps": [{**step, "label": 7}, {**step, "type": 1}]}, "steps[1].durationMs": {**doc, "steps": [step, {k: v for k, v in step.items() if k != "durationMs"}]},
+        "steps[0].durationMs": {**doc, "steps": [{**step, "durationMs": -1}]}, "steps[0].cost": {**doc, "steps": [{**step, "cost": None}]}, "steps[0].tokens": {**doc, "steps": [{**step, "tokens": "3"}]}, "steps[0].toolName": {**doc, "steps": [{**step, "toolName": None}]},
+        "steps[0].type": {**doc, "steps": ["plan"]}, "id": {**doc, "id": ""}, "name": {"id": "a", "steps": []}, "status": {**doc, "status": "running"}, "currency": {**doc, "currency": 1},
+    }
+    rows = [(k, json.dumps(v)) for k, v in broken.items()] + [("0", json.dumps(doc)), ("1", json.dumps({**doc, "id": "b", "status": "failed", "steps": [{**step, "tokens": 0, "cost": 1.5, "input": None}]})), ("2", json.dumps({**doc, "name": "again"}))]
+    runs, steps, refused = traces.native(spark.createDataFrame(rows, "path string, text string"))
+    assert {r["path"]: r["reason"] for r in refused.collect()} == {**{k: k for k in broken}, "2": "the run is in 0"}
+    assert sorted((r["run_id"], r["name"], r["declared"]) for r in runs.collect()) == [("a", "n", None), ("b", "n", "failed")]
+    assert sorted((r["run_id"], r["index"], r["input"]) for r in steps.collect()) == [("a", 0, None), ("a", 1, None), ("b", 0, "null")]
+
+
+def test_exports_of_one_run_do_not_mix(spark):
+    span = lambda n: {"name": n, "startTimeUnixNano": "1704067201000000000", "endTimeUnixNano": "1704067201003000000"}
+    rows = [(p, json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [span(p), span(p)]}]}]})) for p in ("b", "a")]
+    runs, steps, refused = traces.otlp(spark.createDataFrame(rows, "path string, text string"))
+    assert [(r["path"], r["run_id"]) for r in runs.collect()] == [("a", "otel-run")]
+    assert sorted((r["index"], r["label"]) for r in steps.collect()) == [(0, "a"), (1, "a")]
+    assert [tuple(r) for r in refused.collect()] == [("b", "otel-run", "the run is in a")]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    rows = [f"line {i}" if i % 5 else "" for i in range(2000)]
+    (tmp_path / "x.jsonl").write_text("\n".join(rows) + "\n")
+    (tmp_path / "y.jsonl").write_text("one\r\ntwo")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        found = traces.lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    by = {n: [r["raw"] for r in sorted((r for r in found if r["file"].endswith(n)), key=lambda r: r["line"])] for n in ("x.jsonl", "y.jsonl")}
+    assert by == {"x.jsonl": rows, "y.jsonl": ["one\r", "two"]} and min(r["line"] for r in found) == 1
+
+
+def test_two_places_are_ecmascripts():
+    want = {1.005: "1.00", 2.675: "2.67", 0.285: "0.28", 1.255: "1.25", 0.125: "0.13", 2.5: "2.50", -0.375: "-0.38", -0.001: "-0.00", -0.0: "0.00", 1e20: "100000000000000000000.00", 1e21: "1e+21", 123456789.995: "123456790.00", float("inf"): "Infinity"}
+    assert {x: analyze.fixed(x) for x in want} == want
+
+
 def test_journals(spark, tmp_path):
     s = lambda i: json.dumps({"kind": "step", "step": {"id": f"r:{i}", "index": i, "type": "plan", "label": "p", "startedAt": "2024-01-01T00:00:00.000Z", "durationMs": 1, "input": None}})
     meta = '{"kind":"meta","formatVersion":1,"id":"%s","name":"n","currency":"USD","startedAt":"2024-01-01T00:00:00.000Z"}'
