@@ -242,6 +242,25 @@ def redaction_log(steps: DataFrame) -> DataFrame:
     return some.select("run_id", F.to_json(F.transform("x", lambda r: F.struct(r["stepId"].alias("stepId"), r["redactions"].alias("redactions")))).alias("log"))
 
 
+SEAL = "struct<algorithm:string,keyId:string,publicKey:string,signature:string,sealedAt:string,redactionsHash:string>"
+
+
+def seal_redactions(runs: DataFrame, steps: DataFrame, private_pem: str, public_pem: str, sealed_at: str) -> DataFrame:
+    """runs with `redaction_seal` over the run's hash and its redaction log; null where nothing is redacted."""
+    kid = key_id(public_pem)
+
+    @F.pandas_udf(T.StructType([T.StructField("hash", T.StringType()), T.StructField("signature", T.StringType())]))
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            hashes = [log_digest(json.loads(r)) if r is not None else None for r in x["log"]]
+            said = [sign_text(private_pem, sealed_text(i, h, d, sealed_at)) if d else None for i, h, d in zip(x["run_id"], x["run_hash"], hashes, strict=True)]
+            yield pd.DataFrame({"hash": hashes, "signature": said})
+
+    out = runs.join(redaction_log(steps), "run_id", "left").withColumn("x", sign(F.struct("run_id", "run_hash", "log")))
+    mark = F.struct(F.lit("ed25519").alias("algorithm"), F.lit(kid).alias("keyId"), F.lit(public_pem).alias("publicKey"), F.col("x.signature").alias("signature"), F.lit(sealed_at).alias("sealedAt"), F.col("x.hash").alias("redactionsHash"))
+    return out.withColumn("redaction_seal", F.when(F.col("log").isNotNull(), mark)).drop("x", "log")
+
+
 def verify_seals(runs: DataFrame, steps: DataFrame) -> DataFrame:
     """Rows (run_id, seal_ok, attested): without a seal nothing is wrong and nothing attested."""
 

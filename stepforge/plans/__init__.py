@@ -1,0 +1,5 @@
+"""Queries by name, with SQL: importing a module registers its queries in catalogue.QUERIES and catalogue.SQL."""
+
+from . import catalogue, evidence
+
+__all__ = ["catalogue", "evidence"]

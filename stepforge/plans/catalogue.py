@@ -274,9 +274,10 @@ def retention_split(spark, sf):
     return kept.select("run_id", F.lit(False).alias("pruned")).unionByName(pruned.select("run_id", F.lit(True).alias("pruned")))
 
 
-@query(f"WITH {STEPS}, {RUNS} SELECT DISTINCT conv_id AS run_id FROM conversations WHERE conv_id NOT IN (SELECT run_id FROM runs)")
+@query(f"WITH {STEPS}, {RUNS} SELECT DISTINCT conv_id * 3 AS run_id FROM conversations WHERE conv_id * 3 NOT IN (SELECT run_id FROM runs)")
 def ingest_dedupe(spark, sf):
-    return store.not_stored(driver.table(spark, sf, "conversations").select(F.col("conv_id").alias("run_id")).distinct(), analyze.status(driver.event_steps(spark, sf)))
+    """Every third number as a new run: those that events have already are left out."""
+    return store.not_stored(driver.table(spark, sf, "conversations").select((F.col("conv_id") * 3).alias("run_id")).distinct(), analyze.status(driver.event_steps(spark, sf)))
 
 
 # ---- integrity --------------------------------------------------------------------------------------------------
@@ -308,16 +309,17 @@ def chain_verify_tampered(spark, sf):
     return integrity.broken_links(out)
 
 
-@query("SELECT event_id + 1 AS line, NOT (event_id % 50 = 3) AS ok FROM events WHERE event_id < 500")
+@query("SELECT 'anchors-' || event_id // 1000 AS file, event_id + 1 AS line, NOT (event_id % 50 = 3) AS ok FROM events")
 def anchor_chain_breaks(spark, sf):
-    """Every other line chains to the unchained one before it; of each 50 lines one names a wrong predecessor."""
-    base = driver.table(spark, sf, "events").where("event_id < 500").select((F.col("event_id") + 1).alias("line"), F.col("event_id").cast("string").alias("id"), "event_id", F.sha2("props", 256).alias("h"))
+    """All events as anchor files of 1000 lines. Every other line chains to the unchained one before it; of each 50 lines one names a wrong predecessor."""
+    base = driver.table(spark, sf, "events").select((F.col("event_id") + 1).alias("line"), F.col("event_id").cast("string").alias("id"), "event_id", F.sha2("props", 256).alias("h"))
     one = lambda prev: F.concat(F.lit('{"version":1,"runId":"'), "id", F.lit('","runHash":"'), "h", F.lit('"'), prev, F.lit("}"))
     plain = base.withColumn("raw", one(F.lit("")))
     before = plain.select((F.col("line") + 1).alias("line"), F.sha2("raw", 256).alias("prev"))
     chained_ = base.where("event_id % 2 = 1").join(before, "line").withColumn("raw", F.concat(F.lit('{"version":2,"runId":"'), "id", F.lit('","runHash":"'), "h", F.lit('","prev":"'), F.concat(F.substring("prev", 1, 63), F.when(F.col("event_id") % 50 == 3, "x").otherwise(F.substring("prev", 64, 1))), F.lit('"}')))
-    lines = plain.where("event_id % 2 = 0").select("line", "raw").unionByName(chained_.select("line", "raw")).withColumn("file", F.lit("anchors"))
-    return anchors.read_lines(lines).select("line", "ok")
+    file = F.concat(F.lit("anchors-"), F.floor(F.col("event_id") / 1000).cast("string")).alias("file")
+    lines = plain.where("event_id % 2 = 0").select("line", "raw", file).unionByName(chained_.select("line", "raw", file))
+    return anchors.read_lines(lines).select("file", "line", "ok")
 
 
 @query("SELECT event_id, 'input.' || j.key AS path, CAST(j.value AS VARCHAR) AS value FROM events, json_each(props) AS j")
@@ -326,14 +328,23 @@ def leaf_walk(spark, sf):
     return events.select("event_id", "x.path", "x.value")
 
 
-@query("WITH p AS (SELECT event_id, props, lead(props) OVER (ORDER BY event_id) AS other FROM events) SELECT event_id, '.k' AS path, 'changed' AS status FROM p WHERE other IS NOT NULL AND props <> other AND event_id % 2 = 0")
+LEAF_SQL = """WITH p AS (SELECT event_id, props, lead(props) OVER (ORDER BY event_id) AS other FROM events), q AS (SELECT * FROM p WHERE other IS NOT NULL AND event_id % 2 = 0)
+SELECT event_id, '.k' AS path, 'changed' AS status FROM q WHERE props <> other UNION ALL SELECT event_id, '.old', 'removed' FROM q WHERE event_id % 4 = 0 UNION ALL SELECT event_id, '.new', 'added' FROM q WHERE event_id % 6 = 0
+UNION ALL SELECT event_id, '.gone', 'redacted' FROM q WHERE event_id % 10 = 0 UNION ALL SELECT event_id, '.gone', 'changed' FROM q WHERE event_id % 10 = 2"""
+
+
+@query(LEAF_SQL)
 def leaf_diff(spark, sf):
-    """Payload leaves of each even event and the next one."""
-    events = driver.table(spark, sf, "events").select(F.col("event_id").cast("string").alias("run_id"), F.lit(0).cast("long").alias("pos"), F.col("props").alias("input"), "event_id")
-    steps = events.withColumns({c: F.lit(None).cast("string") for c in ("output", "data_payload")}).withColumns({"commitments": F.lit(None).cast("map<string,string>"), "salts": F.lit(None).cast("map<string,string>"), "redactions": F.lit(None).cast("array<struct<path:string,at:string,reason:string,by:string>>"), "hash_version": F.lit(2)})
-    pairs = events.where("event_id % 2 = 0").select(F.col("run_id").alias("pair"), F.col("run_id").alias("a_run"), (F.col("event_id") + 1).cast("string").alias("b_run"))
+    """Payload leaves of each even event and the next one, all four states: every fourth event has a leaf that goes, every sixth one that
+    comes, every tenth one that is redacted later, and of the even ones ending in 2 that leaf changes."""
+    e = driver.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    even, own = F.col("event_id") % 2 == 0, F.col("event_id") - F.col("event_id") % 2
+    gone = F.when(own % 10 == 2, F.when(even, "1").otherwise("2")).when((own % 10 == 0) & ~even, '"[trace:redacted]"').otherwise("1")
+    text = F.concat(F.lit('{"gone":'), gone, F.lit(',"k":'), "k", F.when(even & (own % 4 == 0), ',"old":1').otherwise(""), F.when(~even & (own % 6 == 0), ',"new":1').otherwise(""), F.lit("}"))
+    steps = e.select(F.col("event_id").cast("string").alias("run_id"), F.lit(0).cast("long").alias("pos"), text.alias("input")).withColumns({c: F.lit(None).cast("string") for c in ("output", "data_payload")}).withColumns({"commitments": F.lit(None).cast("map<string,string>"), "salts": F.lit(None).cast("map<string,string>"), "redactions": F.lit(None).cast("array<struct<path:string,at:string,reason:string,by:string>>"), "hash_version": F.lit(2)})
+    pairs = e.where("event_id % 2 = 0").select(F.col("event_id").cast("string").alias("pair"), F.col("event_id").cast("string").alias("a_run"), (F.col("event_id") + 1).cast("string").alias("b_run")).join(e.select(F.col("event_id").cast("string").alias("b_run")), "b_run", "left_semi")
     aligned = pairs.select("pair", F.lit(0).alias("ord"), F.lit(0).cast("long").alias("a_pos"), F.lit(0).cast("long").alias("b_pos"))
-    out = diff.leaf_differences(aligned, pairs, diff.leaf_rows(steps)).where("status = 'changed'")
+    out = diff.leaf_differences(aligned, pairs, diff.leaf_rows(steps))
     return out.select(F.col("pair").cast("long").alias("event_id"), F.substring("path", 6, 100).alias("path"), "status")
 
 
