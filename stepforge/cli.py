@@ -163,7 +163,7 @@ class Cli:
         def take(batch: DataFrame, number: int) -> None:
             self.take(traces.with_format(batch))
             if a.keep_days and self.store.table("runs") is not None:
-                self.store.prune(time.strftime("%Y-%m-%d", time.gmtime(time.time() - 86400 * a.keep_days)))
+                self.store.prune(time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(time.time() - 86400 * a.keep_days)))
 
         writer = text.writeStream.option("checkpointLocation", f"{self.store.path}/_serve").foreachBatch(take)
         query = (writer.trigger(availableNow=True) if a.once else writer.trigger(processingTime="10 seconds")).start()

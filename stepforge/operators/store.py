@@ -1,13 +1,25 @@
-"""The run store: Parquet tables that only grow, but for erasing and retention, which rewrite what they touch."""
+"""The run store: Parquet parts and a log of commits.
+
+A commit names the parts that make up each table, under the next number; the rename that publishes it fails if another
+writer has taken that number. Nothing that a commit names is changed in place, so that a crash anywhere leaves the
+store as it was before or as it is afterwards, and at worst a part that no commit names.
+"""
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+TABLES = ("runs", "steps")
+#: Hours that a part may lie unnamed before a vacuum takes it for the rest of a crash.
+GRACE = 24
 
 
 def not_stored(candidates: DataFrame, stored: DataFrame, key: str = "run_id") -> DataFrame:
@@ -20,37 +32,130 @@ def split_older(runs: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
     return runs.where(~old), runs.where(old)
 
 
+class Conflict(Exception):
+    """Another writer has committed first."""
+
+
 class Store:
-    """runs and steps under one path, partitioned by the day of ingest, so that retention drops whole folders."""
+    """runs and steps under one path. A part is {path, first, last}: a folder, and the times of ingest it spans."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.fs_path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-        self.fs = self.fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.fs_path(self.path).getFileSystem(self.conf)
         self.migrate()
 
     def migrate(self) -> None:
-        """Stamp a new store; refuse one written by a later version."""
+        """Stamp a new store; take over one of version 1, whose tables were plain folders; refuse one of a later version."""
         marker = f"{self.path}/_schema_version"
+        found = None
         if self.fs.exists(self.fs_path(marker)):
             found = json.loads("".join(r[0] for r in self.spark.read.text(marker).collect()))["version"]
             if found > SCHEMA_VERSION:
                 raise ValueError(f"the store has schema version {found}; this code knows {SCHEMA_VERSION}")
+        if found == SCHEMA_VERSION:
             return
-        self.spark.createDataFrame([(json.dumps({"version": SCHEMA_VERSION}),)], "value string").coalesce(1).write.text(marker)
+        if found == 1:
+            old = [n for n in TABLES if self.fs.exists(self.fs_path(f"{self.path}/{n}"))]
+            self.update(lambda tables: {n: self.entry(n, [n], self.spark.read.parquet(f"{self.path}/{n}").drop("day").schema) for n in old} or tables)
+        self.spark.createDataFrame([(json.dumps({"version": SCHEMA_VERSION}),)], "value string").coalesce(1).write.mode("overwrite").text(marker)
+
+    # ---- commits
+
+    def read(self) -> tuple[int, dict]:
+        """(number of the last commit, tables): a table is {schema, parts}."""
+        folder = self.fs_path(f"{self.path}/_log")
+        names = [x.getPath().getName() for x in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        last = max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+        if not last:
+            return 0, {}
+        text = self.spark.read.option("wholetext", "true").text(f"{self.path}/_log/{last:010d}.json").first()[0]
+        return last, json.loads(text)
+
+    def commit(self, number: int, tables: dict) -> None:
+        temp, at = self.fs_path(f"{self.path}/_log/_{uuid.uuid4().hex}"), self.fs_path(f"{self.path}/_log/{number:010d}.json")
+        out = self.fs.create(temp)
+        out.write(bytearray(json.dumps(tables).encode()))
+        out.close()
+        jvm = self.spark._jvm
+        no_overwrite = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+        no_overwrite[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.conf).rename(temp, at, no_overwrite)
+        except Exception as e:
+            self.fs.delete(temp, False)
+            if "FileAlreadyExists" in str(e):
+                raise Conflict(str(number)) from e
+            raise
+
+    def update(self, change: Callable[[dict], dict]) -> None:
+        """Commit what change() makes of the tables, again from the newest ones as often as others come first."""
+        while True:
+            last, tables = self.read()
+            try:
+                return self.commit(last + 1, {**tables, **change(tables)})
+            except Conflict:
+                time.sleep(0.05)
+
+    # ---- parts
+
+    def frame(self, schema: T.StructType, parts: list[dict]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p['path']}" for p in parts])
+
+    def entry(self, name: str, paths: list[str], schema: T.StructType, tables: dict | None = None, without: tuple[str, ...] = ()) -> dict:
+        """A table with further parts, but without some of those it had; its schema has the columns of both."""
+        parts = [p for p in (tables or {}).get(name, {}).get("parts", []) if p["path"] not in without]
+        for path in paths:
+            low, high = self.spark.read.schema("ingested_at timestamp").parquet(f"{self.path}/{path}").agg(F.min("ingested_at").cast("string"), F.max("ingested_at").cast("string")).first()
+            parts.append({"path": path, "first": low, "last": high})
+        old = T.StructType.fromJson(tables[name]["schema"]) if tables and name in tables else T.StructType()
+        known = {f.name for f in old}
+        return {"schema": T.StructType([*old, *(f for f in schema if f.name not in known)]).jsonValue(), "parts": parts}
+
+    def written(self, name: str, df: DataFrame, by_day: bool = False) -> list[str]:
+        """Folders of a new part, or of one for each day."""
+        path = f"data/{uuid.uuid4().hex}/{name}"
+        if not by_day:
+            df.write.parquet(f"{self.path}/{path}")
+            return [path]
+        day = F.coalesce(F.to_date("ingested_at"), F.lit("1970-01-01").cast("date"))
+        df.withColumn("day", day).hint("rebalance", "day").write.partitionBy("day").parquet(f"{self.path}/{path}")
+        return [f"{path}/{x.getPath().getName()}" for x in self.fs.listStatus(self.fs_path(f"{self.path}/{path}")) if x.isDirectory()]
+
+    def erase(self, paths: list[str]) -> None:
+        for p in paths:
+            self.fs.delete(self.fs_path(f"{self.path}/{p}"), True)
 
     def table(self, name: str) -> DataFrame | None:
-        folder = f"{self.path}/{name}"
-        return self.spark.read.parquet(folder) if self.fs.exists(self.fs_path(folder)) else None
+        tables = self.read()[1]
+        return self.frame(T.StructType.fromJson(tables[name]["schema"]), tables[name]["parts"]) if name in tables else None
+
+    # ---- operations
 
     def save(self, runs: DataFrame, steps: DataFrame, ingested_at: str) -> None:
-        """Insert only: an id that is stored already is an error, and then nothing is written."""
-        have = self.table("runs")
-        if have is not None and not (hit := runs.join(have.select("run_id"), "run_id", "left_semi").select("run_id").limit(1)).isEmpty():
-            raise ValueError(f"run {hit.first()[0]} is stored already")
-        stamp = {"ingested_at": F.lit(ingested_at).cast("timestamp"), "day": F.lit(ingested_at[:10]).cast("date")}
-        for name, df in (("steps", steps), ("runs", runs)):
-            df.withColumns(stamp).write.mode("append").partitionBy("day").parquet(f"{self.path}/{name}")
+        """Insert only: an id that is stored already, or twice in runs, is an error, and then nothing is stored.
+
+        Runs and steps appear together. Ids are looked up in the very state that the commit builds on.
+        """
+        stamp = F.lit(ingested_at).cast("timestamp")
+        frames = {"steps": steps.withColumn("ingested_at", stamp), "runs": runs.withColumn("ingested_at", stamp)}
+        made = {name: self.written(name, df) for name, df in frames.items()}
+        own = self.spark.read.schema(frames["runs"].schema).parquet(f"{self.path}/{made['runs'][0]}").select("run_id")
+
+        def add(tables: dict) -> dict:
+            hit = own.groupBy("run_id").count().where("count > 1").select("run_id")
+            if "runs" in tables:
+                hit = hit.unionByName(own.join(self.frame(T.StructType.fromJson(tables["runs"]["schema"]), tables["runs"]["parts"]).select("run_id"), "run_id", "left_semi"))
+            if (found := hit.first()) is not None:
+                raise ValueError(f"run {found[0]} is stored already")
+            return {name: self.entry(name, paths, frames[name].schema, tables) for name, paths in made.items()}
+
+        try:
+            self.update(add)
+        except BaseException:
+            self.erase([p for paths in made.values() for p in paths])
+            raise
 
     def get(self, run_id: str) -> DataFrame:
         return self.table("runs").where(F.col("run_id") == run_id)
@@ -58,43 +163,75 @@ class Store:
     def list(self) -> DataFrame:
         return self.table("runs").select("run_id", "name", "started_at", "ended_at", "status", "currency", "ingested_at").orderBy(F.desc("ingested_at"))
 
+    def swap(self, name: str, old: list[dict], fresh: DataFrame | None, by_day: bool = False) -> list[str]:
+        """Rows in place of some parts: the new parts' folders. What the old ones held is gone from disk afterwards."""
+        gone = tuple(p["path"] for p in old)
+        paths = self.written(name, fresh, by_day) if fresh is not None else []
+
+        def change(tables: dict) -> dict:
+            if not set(gone) <= {p["path"] for p in tables[name]["parts"]}:
+                raise RuntimeError(f"other writers have replaced parts of {name} meanwhile; run it again")
+            return {name: self.entry(name, paths, fresh.schema if fresh is not None else T.StructType(), tables, gone)}
+
+        try:
+            self.update(change)
+        except BaseException:
+            self.erase(paths)
+            raise
+        self.erase([*gone])
+        return paths
+
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Put redacted rows in place of the stored ones of their runs; only the days they lie in are rewritten."""
-        have = self.table(name)
-        ids = rows.select("run_id").distinct()
-        days = [r[0] for r in have.join(ids, "run_id", "left_semi").select("day").distinct().collect()]
-        part = have.where(F.col("day").isin(days))
-        place = part.join(ids, "run_id", "left_semi").select("run_id", "ingested_at", "day").distinct()
-        fresh = part.join(ids, "run_id", "left_anti").unionByName(rows.drop("ingested_at", "day").join(place, "run_id"), allowMissingColumns=True)
-        temp = f"{self.path}/_rewrite"
-        fresh.write.mode("overwrite").parquet(temp)
-        self.spark.read.parquet(temp).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.path}/{name}")
-        self.fs.delete(self.fs_path(temp), True)
+        """Put redacted rows in place of the stored ones of their runs; only the parts they lie in are rewritten."""
+        table = self.read()[1][name]
+        schema, ids = T.StructType.fromJson(table["schema"]), rows.select("run_id").distinct()
+        files = [r[0] for r in self.frame(schema, table["parts"]).select("run_id", F.col("_metadata.file_path").alias("file")).join(ids, "run_id", "left_semi").select(F.regexp_replace("file", "/[^/]*$", "").alias("folder")).distinct().collect()]
+        old = [p for p in table["parts"] if any(f"/{p['path']}" in f for f in files)]
+        if not old:
+            raise ValueError("no such run")
+        part = self.frame(schema, old)
+        place = part.join(ids, "run_id", "left_semi").select("run_id", "ingested_at").distinct()
+        self.swap(name, old, part.join(ids, "run_id", "left_anti").unionByName(rows.drop("ingested_at", "day").join(place, "run_id"), allowMissingColumns=True))
 
     def prune(self, cutoff: str) -> DataFrame:
-        """Delete what was ingested before a day; returns the pruned runs, written beside the store as its audit."""
+        """Delete exactly the runs ingested before a time, and their steps; returns them, written beside the store as its audit.
+
+        Parts that end before it go whole; only those that it divides are rewritten.
+        """
+        report = f"{self.path}/_pruned/{uuid.uuid4().hex}"
         _, gone = split_older(self.table("runs"), cutoff)
-        report = f"{self.path}/_pruned"
-        gone.select("run_id", "ingested_at").write.mode("append").parquet(report)
-        for name in ("runs", "steps"):
-            for status in self.fs.listStatus(self.fs_path(f"{self.path}/{name}")):
-                day = status.getPath().getName().partition("day=")[2]
-                if day and day < cutoff[:10]:
-                    self.fs.delete(status.getPath(), True)
-        return self.spark.read.parquet(report)
+        gone.select("run_id", "ingested_at").write.parquet(report)
+        at = self.spark.range(1).select(F.lit(cutoff).cast("timestamp").cast("string")).first()[0]
+        for name in ("steps", "runs"):
+            table = self.read()[1][name]
+            whole = [p for p in table["parts"] if p["last"] is not None and p["last"] < at]
+            some = [p for p in table["parts"] if p not in whole and p["first"] is not None and p["first"] < at]
+            if some:
+                kept, _ = split_older(self.frame(T.StructType.fromJson(table["schema"]), some), cutoff)
+                self.swap(name, whole + some, kept, by_day=True)
+            elif whole:
+                self.swap(name, whole, None)
+        return self.spark.read.schema("run_id string, ingested_at timestamp").parquet(report)
 
     def bytes(self) -> int:
         return self.fs.getContentSummary(self.fs_path(self.path)).getLength()
 
-    def vacuum(self) -> dict[str, int]:
-        """Rewrite each table in fewer files; (before, after, reclaimed) in bytes."""
+    def vacuum(self, grace_hours: float = GRACE) -> dict[str, int]:
+        """Rewrite each table as a part a day, and delete old commits and parts that none names; (before, after, reclaimed) in bytes."""
         before = self.bytes()
-        for name in ("runs", "steps"):
-            if (df := self.table(name)) is not None:
-                temp = f"{self.path}/_vacuum"
-                df.repartition("day").write.mode("overwrite").partitionBy("day").parquet(temp)
-                self.fs.delete(self.fs_path(f"{self.path}/{name}"), True)
-                self.fs.rename(self.fs_path(temp), self.fs_path(f"{self.path}/{name}"))
+        for name, table in self.read()[1].items():
+            if table["parts"]:
+                self.swap(name, table["parts"], self.frame(T.StructType.fromJson(table["schema"]), table["parts"]), by_day=True)
+        last, tables = self.read()
+        named = {p["path"].split("/")[1] for t in tables.values() for p in t["parts"] if "/" in p["path"]}
+        old = time.time() * 1000 - grace_hours * 3_600_000
+        for folder in self.fs.listStatus(self.fs_path(f"{self.path}/data")) if self.fs.exists(self.fs_path(f"{self.path}/data")) else ():
+            if folder.getPath().getName() not in named and (folder.getModificationTime() < old or self.fs.getContentSummary(folder.getPath()).getFileCount() == 0):
+                self.fs.delete(folder.getPath(), True)
+        for x in self.fs.listStatus(self.fs_path(f"{self.path}/_log")) if last else ():
+            n = x.getPath().getName()[:-5]
+            if n.isdigit() and int(n) < last and x.getModificationTime() < old:
+                self.fs.delete(x.getPath(), False)
         after = self.bytes()
         return {"before": before, "after": after, "reclaimed": max(0, before - after)}
 

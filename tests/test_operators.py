@@ -379,6 +379,64 @@ def test_store(spark, trace, tmp_path):
         store.Store(spark, f"file://{tmp_path}/new")
 
 
+def test_prune_is_exact_within_a_day(spark, trace, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    for run, at in (("a", "2024-01-01T10:00:00"), ("b", "2024-01-01T10:00:01")):
+        s.save(runs_of(spark, run), trace.where(F.col("run_id") == run), at)
+    s.vacuum()
+    assert [r["run_id"] for r in s.prune("2024-01-01T10:00:01").collect()] == ["a"]
+    assert [r["run_id"] for r in s.list().collect()] == ["b"] and {r["run_id"] for r in s.table("steps").collect()} == {"b"}
+    assert s.prune("2024-01-01T10:00:01").count() == 0 and s.table("runs").count() == 1
+    assert s.prune("2025-01-01").count() == 1 and s.table("runs").count() == 0 and s.table("steps").count() == 0
+    s.save(runs_of(spark, "a"), trace.where("run_id = 'a'"), "2025-01-01T00:00:00")
+    assert s.table("runs").count() == 1
+
+
+def test_a_crash_leaves_the_store_whole(spark, trace, tmp_path, monkeypatch):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    s.save(runs_of(spark, "a"), trace.where("run_id = 'a'"), "2024-01-01T10:00:00")
+    before = sorted(s.table("steps").collect()), sorted(s.table("runs").select("run_id", "ingested_at").collect())
+    with monkeypatch.context() as m:
+        m.setattr(s, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        for act in (lambda: s.save(runs_of(spark, "b"), trace.where("run_id = 'b'"), "2024-01-02T00:00:00"), s.vacuum, lambda: s.prune("2030-01-01"), lambda: s.replace("steps", s.table("steps").withColumn("label", F.lit("x")))):
+            with pytest.raises(OSError):
+                act()
+            assert (sorted(s.table("steps").collect()), sorted(s.table("runs").select("run_id", "ingested_at").collect())) == before
+    s.save(runs_of(spark, "b"), trace.where("run_id = 'b'"), "2024-01-02T00:00:00")
+    assert s.table("runs").count() == 2 and s.vacuum(0)["after"] > 0 and s.table("steps").count() == trace.count()
+    left = {p.relative_to(tmp_path / "store/data").parts[0] for p in (tmp_path / "store/data").rglob("*.parquet")}
+    assert left == {p["path"].split("/")[1] for t in s.read()[1].values() for p in t["parts"]}
+
+
+def test_two_writers_do_not_store_one_run_twice(spark, trace, tmp_path, monkeypatch):
+    one, two = (store.Store(spark, f"file://{tmp_path}/store") for _ in range(2))
+    plain, raced = one.commit, []
+
+    def late(number, tables):
+        if not raced:
+            raced.append(two.save(runs_of(spark, "a"), trace.where("run_id = 'a'"), "2024-01-01T00:00:00"))
+        return plain(number, tables)
+
+    monkeypatch.setattr(one, "commit", late)
+    with pytest.raises(ValueError, match="stored already"):
+        one.save(runs_of(spark, "a"), trace.where("run_id = 'a'"), "2024-01-02T00:00:00")
+    one.save(runs_of(spark, "b"), trace.where("run_id = 'b'"), "2024-01-02T00:00:00")
+    assert two.table("runs").count() == 2 and two.table("steps").count() == trace.count()
+    with pytest.raises(ValueError):
+        one.save(runs_of(spark, "c").unionByName(runs_of(spark, "c")), trace.where("false"), "2024-01-03T00:00:00")
+
+
+def test_old_stores_are_taken_over(spark, trace, tmp_path):
+    at = f"file://{tmp_path}/store"
+    spark.createDataFrame([('{"version": 1}',)], "value string").coalesce(1).write.text(f"{at}/_schema_version")
+    stamp = {"ingested_at": F.lit("2024-01-01T10:00:00").cast("timestamp"), "day": F.lit("2024-01-01").cast("date")}
+    for name, df in (("runs", runs_of(spark, "a")), ("steps", trace.where("run_id = 'a'"))):
+        df.withColumns(stamp).write.partitionBy("day").parquet(f"{at}/{name}")
+    s = store.Store(spark, at)
+    assert s.table("runs").count() == 1 and s.vacuum()["after"] > 0 and store.Store(spark, at).table("steps").count() == 5
+    assert not (tmp_path / "store/runs").exists()
+
+
 def test_live_states_fold_and_continue():
     state = live.FRESH
     for kind, tool in [("tool_call", "x")] * 4 + [("error", None)]:
