@@ -44,8 +44,8 @@ def ranges(chars: list[str]) -> str:
 
 
 @cache
-def unlike(text: str, pattern: str) -> tuple[regex.Pattern, regex.Pattern, Normalizer]:
-    """(characters that the tokenizers library and this Python's Unicode tables take differently, or may; the pattern by
+def unlike(text: str, pattern: str) -> tuple[np.ndarray, regex.Pattern, Normalizer]:
+    """(by code point, whether the tokenizers library and this Python's Unicode tables take it differently, or may; the pattern by
     the library's classes; the library's normaliser), found by asking it about every code point.
 
     text: the vocabulary's JSON. Characters that this Python doesn't know count as such, since they may combine.
@@ -78,7 +78,9 @@ def unlike(text: str, pattern: str) -> tuple[regex.Pattern, regex.Pattern, Norma
     other = {c for x in moved.values() for c in x}
     for k, escape in (("L", r"\p{L}"), ("N", r"\p{N}"), ("s", r"\s")):
         pattern = pattern.replace(escape, ranges([c for c in groups[k] if c not in other] + moved[k]))
-    return regex.compile(f"[{ranges(odd + [*other])}]"), regex.compile(pattern), normaliser
+    flags = np.zeros(0x110000, bool)
+    flags[[ord(c) for c in (*odd, *other)]] = True
+    return flags, regex.compile(pattern), normaliser
 
 
 class Vocabulary:
@@ -125,7 +127,7 @@ class Vocabulary:
         """The words of a text without special tokens, after normalisation."""
         if text.isascii():
             return self.words.findall(text.lower())
-        if self.odd.search(text):
+        if self.odd[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
             return self.odd_words.findall(self.normaliser.normalize_str(text))
         # Lower-casing is by character: a capital sigma never becomes a final one.
         return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
