@@ -12,6 +12,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,20 +73,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def entity_of(text: str, span: tuple[int, int, int]) -> str:
+    start, kind, end = span
+    return f"{KINDS[kind]}:{text[start:end].lower()}"
+
+
 def near_terms(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the terms within a window of each mention, without those inside any entity."""
     terms = [m.span() for m in TERM.finditer(text)]
     starts, ends = [s for s, _ in terms], [e for _, e in terms]
+    # Spans by start, with the furthest end so far: what begins before a term's end overlaps it if one of these ends after its start.
+    begins, reach = [s for s, _, _ in spans], [*accumulate((e for _, _, e in spans), max)]
+
+    def inside(s: int, e: int) -> bool:
+        k = bisect_left(begins, e)
+        return k > 0 and reach[k - 1] > s
+
     out = []
     for start, kind, end in spans:
-        entity = f"{KINDS[kind]}:{text[start:end].lower()}"
+        entity = entity_of(text, (start, kind, end))
         # A run of letters that goes on into the mention counts without what the mention holds, if that leaves three.
         i, j = bisect_left(starts, start), bisect_right(ends, end)
         left = [(s, min(e, start)) for s, e in terms[max(0, i - window - 1) : i]]
         right = [(max(s, end), e) for s, e in terms[j : j + window + 1]]
         before, after = ([(text[s:e].lower(), s, e) for s, e in x if e - s >= 3] for x in (left, right))
         before, after = before[-window:], after[:window]
-        out += [(entity, *x) for x in before + after if not any(s < x[2] and x[1] < e for s, _, e in spans)]
+        out += [(entity, *x) for x in before + after if not inside(x[1], x[2])]
     return out
 
 
@@ -94,7 +107,7 @@ SPAN = "array<struct<start:long,kind:int,stop:long>>"
 
 
 def find_entities(df: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, text_key, spans, near): base spans, and the terms near them. Null texts are empty.
+    """Rows (id_col, text_key, spans, near, entities): base spans, the terms near them, and each entity once. Null texts are empty.
 
     text_key: 16 bytes of the text's SHA-256, the same for equal texts.
     """
@@ -103,16 +116,17 @@ def find_entities(df: DataFrame, rule: Disclosure = Disclosure(), id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, near = [], []
+            spans, near, entities = [], [], []
             for text in batch.column(2).to_pylist():
                 found = base_spans(text)
+                entities.append([*dict.fromkeys(entity_of(text, x) for x in found)])
                 spans.append([{"start": s, "kind": k, "stop": e} for s, k, e in found])
                 near.append([dict(zip(("entity", "term", "start", "stop"), x, strict=True)) for x in near_terms(text, found, rule.window)] if found else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kinds[0]), pa.array(near, kinds[1])], [id_col, "text_key", "spans", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kinds[0]), pa.array(near, kinds[1]), pa.array(entities, pa.list_(pa.string()))], [id_col, "text_key", "spans", "near", "entities"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), key_of(text).alias("text_key"), text.alias("text")).mapInArrow(run, f"`{id_col}` {kind}, text_key binary, spans {SPAN}, near {MENTION}")
+    return df.select(F.col(id_col), key_of(text).alias("text_key"), text.alias("text")).mapInArrow(run, f"`{id_col}` {kind}, text_key binary, spans {SPAN}, near {MENTION}, entities array<string>")
 
 
 def key_of(text: Column) -> Column:
@@ -155,7 +169,7 @@ def disclosures(df: DataFrame, found: DataFrame, rule: Disclosure = Disclosure()
     size = found.agg(F.count(F.lit(1)).alias("n_rows"))
     mentions = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
     pairs = mentions.groupBy("x.entity", "x.term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= rule.support)
-    entities = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    entities = found.where(F.size("entities") > 0).select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     pairs = written(pairs.join(entities, "entity"), "pii-pairs")
     counts = term_counts(df, pairs.select("term").distinct(), rule, text_col)
     n = F.col("n_rows")

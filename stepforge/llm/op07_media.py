@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,6 +30,8 @@ MAGIC = {
     b"PK\x03\x04": "application/zip",
     b"\x1f\x8b\x08": "application/gzip",
 }
+#: Fixed value: what closes a ZIP archive; the automaton finds it too, so that no archive's start searches for it.
+ZIP_END = b"PK\x05\x06"
 
 
 def wav(data: bytes, at: int) -> int:
@@ -103,8 +106,8 @@ def pdf(data: bytes, at: int) -> int:
     return end + 5 - at if end > 0 and data.find(b"startxref", at, end) > 0 else 0
 
 
-def archive(data: bytes, at: int) -> int:
-    end = data.find(b"PK\x05\x06", at)
+def archive(data: bytes, at: int, end: int) -> int:
+    """end: the place of the first end record after `at`, or -1."""
     if end < 0 or end + 22 > len(data):
         return 0
     size, start, note = struct.unpack_from("<IIH", data, end + 12)
@@ -126,23 +129,30 @@ def gzipped(data: bytes, at: int) -> int:
     return p - len(stream.unused_data) - at if stream.eof else 0
 
 
-VALID = {"audio/wav": wav, "image/png": png, "image/gif": gif, "image/jpeg": jpeg, "application/pdf": pdf, "application/zip": archive, "application/gzip": gzipped}
+VALID = {"audio/wav": wav, "image/png": png, "image/gif": gif, "image/jpeg": jpeg, "application/pdf": pdf, "application/gzip": gzipped}
 
 
 def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for magic, kind in MAGIC.items():
         out.add_word(magic.decode("latin-1"), (len(magic), kind))
+    out.add_word(ZIP_END.decode("latin-1"), (len(ZIP_END), None))
     out.make_automaton()
     return out
 
 
 def sniff(data: bytes, find: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, length, type) of every confirmed value; carving goes on inside a container, past its start."""
+    hits = [(last + 1 - n, kind) for last, (n, kind) in find.iter(data.decode("latin-1"))]
+    ends = [start for start, kind in hits if kind is None]
     out = []
-    for last, (n, kind) in find.iter(data.decode("latin-1")):
-        start = last + 1 - n
-        if size := VALID[kind](data, start):
+    for start, kind in hits:
+        if kind == "application/zip":
+            k = bisect_left(ends, start)
+            size = archive(data, start, ends[k] if k < len(ends) else -1)
+        else:
+            size = VALID[kind](data, start) if kind else 0
+        if size:
             out.append((start, size, kind))
     return out
 

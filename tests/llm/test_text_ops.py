@@ -149,7 +149,8 @@ def test_pii_query_and_disclosures(spark, sf):
     for i, found in near.items():
         for x in {(e, t) for e, t, _, _ in found}:
             pair.setdefault(x, set()).add(i)
-            entity.setdefault(x[0], set()).add(i)
+        for s, k, e in plain_spans(texts[i]):
+            entity.setdefault(f"{op03_pii.KINDS[k]}:{texts[i][s:e].lower()}", set()).add(i)
     for x in texts.values():
         for t in {*op03_pii.TERM.findall(x.lower())}:
             term[t] = term.get(t, 0) + 1
@@ -180,6 +181,27 @@ def test_pii_terms_are_told_and_removed(spark):
     assert op03_pii.sanitise(df).columns == df.columns and op03_pii.sanitise(df.where("false")).count() == 0
 
 
+def test_planted_disclosures_are_found(spark):
+    """Forty people, each with a nickname near the address in three documents of four, among words that anyone uses."""
+    rng = random.Random(8)
+    common = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 7))) for _ in range(300)]
+    words = lambda n: " ".join(rng.choices(common, k=n))
+    name = lambda i: "Zq" + "".join(chr(107 + int(d)) for d in f"{i:03d}")
+    rows = [f"{words(20)} {name(i)} {words(3)} person{i}@corp.example {words(20)}" for i in range(40) for _ in range(3)]
+    rows += [f"{words(30)} person{i}@corp.example" for i in range(40)] + [words(60) for _ in range(2000)]
+    got = op03_pii.all_spans(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")).collect()
+    found = [rows[r.doc_id][x.start : x.stop] for r in got for x in r.spans if x.kind == 4]
+    planted = [name(i) for i in range(40) for _ in range(3)]
+    right = sum(x in planted for x in found)
+    assert right == len(planted) and right >= 0.9 * len(found), (right, len(found))
+
+
+def test_near_terms_take_linear_time():
+    text = "word a@b.cd " * 20_000
+    spans = op03_pii.base_spans(text)
+    assert len(op03_pii.near_terms(text, spans, 8)) == sum(min(8, k + 1) + min(8, 19_999 - k) for k in range(20_000))
+
+
 def test_media_query(spark, sf):
     texts = texts_of(spark, sf)
     for r in QUERIES["op7_media_sniff"](spark, sf).collect():
@@ -196,6 +218,12 @@ def png():
     return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d)) for n, d in ((b"IHDR", b"x" * 13), (b"IDAT", b"abc"), (b"IEND", b"")))
 
 
+def test_sniffing_takes_linear_time():
+    find = op07_media.automaton()
+    for data in (b"PK\x03\x04" * 200_000, b"PK\x03\x04" * 200_000 + b"PK\x05\x06" + bytes(18), b"%PDF-" * 200_000):
+        assert not op07_media.sniff(data, find)
+
+
 def test_media_types_are_corrected_and_carved(spark):
     import gzip
     import io
