@@ -58,8 +58,8 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows without an id have nothing to be ranked by, and all stay unless an equal text has an id.
     """
     groups = group_equal(docs, id_col, text_col).where("group_size > 1")
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("gone")).distinct().hint("merge")
-    kept = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("gone"), F.col("text_sha256").alias("gone_sha")).distinct().hint("merge")
+    kept = docs.join(gone, (docs[id_col] == gone["gone"]) & (F.sha2(normalised(text_col), 256) == gone["gone_sha"]), "left_anti")
     missing = groups.where(F.col(id_col).isNull() & F.col("keep_id").isNotNull()).select(F.col("text_sha256").alias("sha")).distinct()
     if not missing.isEmpty():
         kept = kept.join(missing, kept[id_col].isNull() & (F.sha2(normalised(text_col), 256) == missing["sha"]), "left_anti")

@@ -255,12 +255,15 @@ class Similar:
 
     bands, rows: MinHash values, of which a candidate pair shares all rows of a band. With these a pair at 0.8 is no candidate
     with probability (1 - 0.8^5)^48 = 5e-9, and a closer one with less.
+    whole, block: shingles of a group that one task compares, and of each block of a larger group.
     """
 
     words: int = 5
     jaccard: float = 0.8
     bands: int = 48
     rows: int = 5
+    whole: int = 2_000_000
+    block: int = 1_000_000
 
 
 @cache
@@ -282,21 +285,22 @@ def band_hashes(found: np.ndarray, rule: Similar, step: int = 1 << 12) -> np.nda
 
 
 def sketches(df: DataFrame, rule: Similar, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id_col, text_key, node, bands), one for each row of df. node: 16 bytes that name the set of shingles."""
+    """Rows (id_col, text_key, node, size, bands), one for each row of df. node: 16 bytes that name the set of shingles, size: how many."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, bands = [], []
+            node, size, bands = [], [], []
             for text in batch.column(2).to_pylist():
                 found = np.unique(shingles(text, rule.words))
+                size.append(len(found))
                 node.append(xxhash.xxh128_digest(found.tobytes()))
                 bands.append(band_hashes(found, rule).view(np.int64) if len(found) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], [id_col, "text_key", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], [id_col, "text_key", "node", "size", "bands"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), key_of(normalised(text_col)).alias("text_key"), text.alias("text")).mapInArrow(run, f"`{id_col}` {kind}, text_key binary, node binary, bands array<long>")
+    return df.select(F.col(id_col), key_of(normalised(text_col)).alias("text_key"), text.alias("text")).mapInArrow(run, f"`{id_col}` {kind}, text_key binary, node binary, size long, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
@@ -329,21 +333,11 @@ def linked(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
     return first
 
 
-def similar_classes(df: DataFrame, rule: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, text_key, component_id), one for each row of df: the least id reachable by links, as in near_classes.
+def compared(groups: DataFrame, keys: list[str], rule: Similar) -> DataFrame:
+    """Rows (node, lead): for each set of each group the first one that it is linked with, through sets of the group.
 
-    Candidates form groups that are much the same as the components themselves; a group's sets are compared in one task, which
-    computes them anew from the texts of those groups alone. Texts without words are one component.
+    groups: (*keys, node, text). A group's sets are in memory together.
     """
-    rows = written(sketches(df, rule, id_col, text_col), "sketches")
-    placed = rows.select("node", F.explode("bands").alias("band"))
-    # Equal sets need no comparing; written, so that adaptive execution can split a hot band's rows.
-    shared = written(placed.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("band", "b"), "bands")
-    groups = written(components(placed.join(shared.hint("merge"), "band").select(F.col("node").alias("a"), "b")), "candidates")
-    chosen = rows.groupBy("node").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_key")).alias("x")).join(groups, "node").select("node", "root", F.col("x.id").alias("id"), F.col("x.text_key").alias("key"))
-    chosen = written(chosen, "chosen")
-    texts = df.select(F.col(id_col).alias("own"), key_of(normalised(text_col)).alias("own_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    held = texts.join(chosen, texts["own"].eqNullSafe(chosen["id"]) & (texts["own_key"] == chosen["key"])).select("root", "node", "text").repartition("root").sortWithinPartitions("root", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(nodes: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -351,18 +345,91 @@ def similar_classes(df: DataFrame, rule: Similar = Similar(), id_col: str = "doc
 
         now, nodes, sets = None, [], []
         for batch in batches:
-            for root, node, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if root != now and nodes:
+            for *group, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != now and nodes:
                     yield work(nodes, sets)
                     nodes, sets = [], []
-                now = root
+                now = group
                 if not nodes or nodes[-1] != node:
                     nodes.append(node)
                     sets.append(np.unique(shingles(text, rule.words)))
         if nodes:
             yield work(nodes, sets)
 
-    leads = written(held.mapInArrow(run, "node binary, lead binary"), "leads")
+    return groups.select(*keys, "node", "text").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "node binary, lead binary")
+
+
+def near_pivot(held: DataFrame, rule: Similar) -> DataFrame:
+    """held (root, pivot, node, text, ...) with `near`: whether a row is linked with the pivot of its group, itself included.
+
+    The pivots are joined to their groups, so that adaptive execution can split a large group's rows over many tasks.
+    """
+    pivots = held.where("node = pivot").select("root", F.col("text").alias("pivot_text")).dropDuplicates(["root"])
+    names = held.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            near = []
+            for root, pivot_text, text in zip(*(batch.column(c).to_pylist() for c in ("root", "pivot_text", "text")), strict=True):
+                if root != now:
+                    now, own = root, np.unique(shingles(pivot_text, rule.words))
+                found = np.unique(shingles(text, rule.words))
+                both = len(np.intersect1d(own, found, assume_unique=True))
+                near.append(both >= rule.jaccard * (len(own) + len(found) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(near, pa.bool_())], [*names, "near"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
+    return held.join(written(pivots, "pivots").hint("merge"), "root").mapInArrow(run, f"{schema}, near boolean")
+
+
+def large_links(held: DataFrame, rule: Similar) -> DataFrame:
+    """Rows (a, b) that connect what is linked within groups too large for one task. held: (root, pivot, node, size, text).
+
+    One pass compares a group with its pivot. What is linked with it, the core, is connected already. The rest falls into
+    blocks, and each pair of blocks of which one at least is of the rest is compared in a task of its own: no task holds
+    more than two blocks, and a group of close copies has hardly any rest.
+    """
+    held = written(near_pivot(held, rule), "pivoted", "zstd")
+    part = lambda where: F.ceil(F.sum(F.when(where, F.col("size")).otherwise(0)) / rule.block).cast("long")
+    counts = written(held.groupBy("root").agg(part(~F.col("near")).alias("rest"), part(F.col("near")).alias("core")), "blocks")
+    rows = held.join(counts.hint("merge"), "root").where("rest > 0")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.lit(1).cast("long"), n))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    rest, core = F.col("rest"), F.col("core")
+    mine = F.concat(F.transform(upto(rest), lambda k: cell("rest", F.least(own(rest), k), F.greatest(own(rest), k))), F.transform(upto(core), lambda k: cell("core", own(rest), k)))
+    cells = F.when(F.col("near"), F.transform(upto(rest), lambda k: cell("core", k, own(core)))).otherwise(mine)
+    spread = rows.select("root", F.explode(cells).alias("x"), "node", "text").select("root", "x.*", "node", "text")
+    found = compared(spread, ["root", "kind", "i", "j"], rule).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    return found.unionByName(held.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+
+
+def similar_classes(df: DataFrame, rule: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id_col, text_key, component_id), one for each row of df: the least id reachable by links, as in near_classes.
+
+    Candidates form groups that are much the same as the components themselves. A group's sets are compared in one task
+    if they hold up to rule.whole shingles, and by blocks in many tasks beyond that; either way the texts of those groups
+    alone are read anew. Texts without words are one component.
+    """
+    rows = written(sketches(df, rule, id_col, text_col), "sketches")
+    placed = rows.select("node", F.explode("bands").alias("band"))
+    # Equal sets need no comparing; written, so that adaptive execution can split a hot band's rows.
+    shared = written(placed.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("band", "b"), "bands")
+    groups = written(components(placed.join(shared.hint("merge"), "band").select(F.col("node").alias("a"), "b")), "candidates")
+    chosen = written(rows.groupBy("node").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_key")).alias("x"), F.first("size").alias("size")).join(groups, "node").select("node", "root", "size", F.col("x.id").alias("id"), F.col("x.text_key").alias("key")), "chosen")
+    totals = written(chosen.groupBy("root").agg(F.sum("size").alias("total"), F.min("node").alias("pivot")), "totals")
+    texts = df.select(F.col(id_col).alias("own"), key_of(normalised(text_col)).alias("own_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def held(where: str) -> DataFrame:
+        some = chosen.join(totals.where(where).hint("merge"), "root")
+        return texts.join(some, texts["own"].eqNullSafe(some["id"]) & (texts["own_key"] == some["key"])).select("root", "pivot", "node", "size", "text")
+
+    leads = written(compared(held(f"total <= {rule.whole}"), ["root"], rule), "leads")
+    if not totals.where(f"total > {rule.whole}").isEmpty():
+        # A set may have several rows, of which one will do.
+        links_ = large_links(held(f"total > {rule.whole}").dropDuplicates(["node"]), rule)
+        leads = leads.unionByName(written(components(links_).select("node", F.col("root").alias("lead")), "leads-large"))
     distinct = rows.groupBy("node").agg(F.min(id_col).alias("least")).join(leads, "node", "left").select("node", "least", F.coalesce("lead", "node").alias("lead"))
     distinct = written(distinct, "roots")
     named = distinct.join(distinct.groupBy("lead").agg(F.min("least").alias("component_id")), "lead").select("node", "component_id")
@@ -374,9 +441,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Links are those of near_classes, or with `similar` those of similar_classes.
     """
-    classes = similar_classes(docs, similar, id_col, text_col) if similar else near_classes(docs, id_col, text_col)
-    gone = classes.where(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = gone.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("gone")).distinct().hint("merge")
+    late = F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")) & F.col(id_col).isNotNull()
+    if similar:
+        gone = similar_classes(docs, similar, id_col, text_col).where(late).select(F.col(id_col).alias("gone"), F.col("text_key").alias("gone_key")).distinct().hint("merge")
+        return docs.join(gone, (docs[id_col] == gone["gone"]) & (key_of(normalised(text_col)) == gone["gone_key"]), "left_anti")
+    gone = near_classes(docs, id_col, text_col).where(late).select(F.col(id_col).alias("gone")).distinct().hint("merge")
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
 
 

@@ -143,11 +143,23 @@ def test_near_copies_by_jaccard(spark):
                 root = [min(a, b) if x in (a, b) else x for x in root]
     got = {r.doc_id: r.component_id for r in op10_simhash.similar_classes(docs(spark, texts)).collect()}
     assert got == dict(enumerate(root)) and len(set(root)) < len(texts) - 30
+    # Groups too large for a task go by blocks, and give the same.
+    for rule in (op10_simhash.Similar(whole=10, block=30), op10_simhash.Similar(whole=200, block=10**6)):
+        assert {r.doc_id: r.component_id for r in op10_simhash.similar_classes(docs(spark, texts), rule).collect()} == got
     kept = op10_simhash.one_of_each(docs(spark, texts), similar=op10_simhash.Similar())
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
     assert op10_simhash.similar_classes(docs(spark, texts).where("false")).count() == 0
 
 
+def test_rows_that_share_an_id_go_by_their_text(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text + " more"), (2, "something else that nothing resembles at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(op10_simhash.one_of_each(df, similar=op10_simhash.Similar()).collect()) == sorted([rows[0], rows[2]])
+    rows = [(1, "Same"), (2, "same"), (1, "other")]
+    assert sorted(op04_exact.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == sorted(rows[1:])
+
+
 def test_components_raise_rather_than_stop(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):
