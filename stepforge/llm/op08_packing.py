@@ -23,10 +23,14 @@ BLOCK = 6_000_000
 
 @dataclass(frozen=True)
 class Limits:
+    """What a sequence may hold: tokens, segments, and tokens that bear loss, of which a few less than there is room for.
+
+    gap: a smaller one is padded, a larger one filled by cutting.
+    """
+
     tokens: int = 2048
-    segments: int = 256
-    loss: int = 2048
-    #: A smaller gap is padded, a larger one filled by cutting.
+    segments: int = 16
+    loss: int = 2040
     gap: int = 32
 
 

@@ -287,3 +287,45 @@ def test_every_limit_holds():
         assert x[0] == offset
         x[0], x[1], x[2] = x[0] + n, x[1] + 1, x[2] + max(0, min(loss[i], start + n) - start)
     assert all(seen[i] == tokens[i] for i in range(500)) and all(a <= 100 and b <= 4 and c <= 60 for a, b, c in bins.values())
+
+
+def test_three_axes_beat_one():
+    """Instruction data whose tokens, segments and loss each bind somewhere: packing by tokens alone breaks limits, first-fit under all limits needs more sequences."""
+    rng = np.random.default_rng(4)
+    kinds = [(20, 10), (300, 280), (480, 30), (110, 110)]  # many short turns, mostly answers, long prompts, answers alone
+    picks = rng.integers(0, len(kinds), 3000)
+    tokens = np.array([kinds[k][0] for k in picks]) + rng.integers(0, 20, 3000)
+    loss = np.minimum(tokens, np.array([kinds[k][1] for k in picks]) + rng.integers(0, 10, 3000))
+    limits = op08_packing.Limits(1024, 8, 512, 10**9)  # no cutting
+    bins = {}
+    for i, _, n, b, _ in op08_packing.pack(tokens, loss, limits):
+        bins.setdefault(b, np.zeros(3))[:] += (n, 1, loss[i])
+    used = np.array([*bins.values()])
+    assert (used <= (1024, 8, 512)).all()
+    assert all((used[:, k] > 0.97 * cap).any() for k, cap in enumerate((1024, 8, 512)))  # each limit binds
+
+    def first_fit(caps):
+        room = np.zeros((0, 3))
+        for i in np.argsort(-tokens, kind="stable"):
+            need = np.array([tokens[i], 1, loss[i]])
+            fits = np.flatnonzero((room + need <= caps).all(1))
+            if len(fits):
+                room[fits[0]] += need
+            else:
+                room = np.vstack([room, need])
+        return room
+
+    assert (first_fit(np.array([1024, np.inf, np.inf])) > (1024, 8, 512)).any()
+    assert len(used) < len(first_fit(np.array([1024, 8, 512])))
+
+
+def test_production_limits_bind(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["op8_vector_packing"](spark, sf).collect()
+    limits, bear, used, segments = op08_packing.Limits(), {}, {}, {}
+    for r in rows:
+        bear[r.sequence_id] = bear.get(r.sequence_id, 0) + min(r.length, r.doc_tokens - 1 - r.start)
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+        segments[r.sequence_id] = segments.get(r.sequence_id, 0) + 1
+    assert max(bear.values()) == limits.loss < max(used.values()) <= limits.tokens and max(segments.values()) <= limits.segments
+    assert sum(x == limits.loss for x in bear.values()) > 0.5 * len(bear) and sum(used.values()) > 0.99 * limits.tokens * len(used)
