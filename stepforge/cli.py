@@ -171,12 +171,14 @@ class Cli:
         return 0
 
     def tail(self, a) -> int:
-        """Follow a journal folder; each trigger prints the runs that changed."""
-        events = self.spark.readStream.text(a.folder, wholetext=False).select(F.from_json("value", "struct<kind:string,id:string,step:struct<runId:string,index:long,type:string,toolName:string,cost:double,tokens:double>>").alias("j")).where("j.kind = 'step'")
-        shaped = events.select(F.col("j.step.runId").alias("run_id"), F.col("j.step.index").alias("at"), F.col("j.step.index").alias("ord"), F.col("j.step.type").alias("type"), F.col("j.step.toolName").alias("tool"), F.coalesce("j.step.cost", F.lit(0.0)).alias("cost"), F.coalesce("j.step.tokens", F.lit(0.0)).alias("tokens"))
-        query = live.live_runs(shaped).writeStream.outputMode("update").option("checkpointLocation", f"{self.store.path}/_tail-{time.time_ns()}").trigger(**({"availableNow": True} if a.once else {"processingTime": "500 milliseconds"})).foreachBatch(lambda df, n: show(df, a.json)).start()
-        query.awaitTermination()
-        return 0
+        """Follow a journal folder, or one run in it: steps as they come, each warning once."""
+        tail = live.Tail(self.spark, a.folder, a.run)
+        while True:
+            for e in tail.poll():
+                print(json.dumps(e, ensure_ascii=False) if a.json else "  ".join(str(v) for k, v in e.items() if k != "event" or v != "step"))
+            if a.once:
+                return 0
+            time.sleep(max(100, a.interval) / 1000)
 
     def settled(self, a) -> tuple[DataFrame, DataFrame]:
         recordings, steps = traces.journals(traces.lines(self.spark, a.folder))
@@ -299,6 +301,8 @@ def parser() -> argparse.ArgumentParser:
         made[c].add_argument("--out", required=True)
     for c in ("sessions", "serve", "tail", "watch", "recover", "keygen"):
         made[c].add_argument("folder")
+    made["tail"].add_argument("--run")
+    made["tail"].add_argument("--interval", type=int, default=500, help="milliseconds between polls, 100 at least")
     for c in ("serve", "tail", "watch"):
         made[c].add_argument("--once", action="store_true")
     for c in ("watch", "recover"):

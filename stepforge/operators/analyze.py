@@ -150,11 +150,11 @@ def errors(steps: DataFrame) -> DataFrame:
     return steps.where(F.col("type") == "error")
 
 
-def fixed(x: float) -> str:
-    """A number with two places as ECMAScript's toFixed writes it: ties away from zero, judged on the exact binary value."""
+def fixed(x: float, places: int = 2) -> str:
+    """A number with so many places as ECMAScript's toFixed writes it: ties away from zero, judged on the exact binary value."""
     if not abs(x) < 1e21:
         return number_text(x) if math.isfinite(x) else "NaN" if x != x else "Infinity" if x > 0 else "-Infinity"
-    return str(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP)) if x else "0.00"
+    return str(Decimal(x or 0).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
 
 
 @F.pandas_udf(T.StringType())

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .analyze import fixed
+
 #: The steps of a run that a page shows; a longer run is cut there and says so.
 SHOWN = 10_000
 
@@ -20,7 +25,45 @@ def markdown_cell(x: object) -> str:
 
 
 def money(x: float, currency: str) -> str:
-    return f"{x:,.2f} {currency}"
+    return f"{currency} {fixed(x)}"
+
+
+def duration_label(x: float) -> str:
+    """Milliseconds below a second, else seconds."""
+    return f"{fixed(x / 1000)} s" if x >= 1000 else f"{commas(x)} ms"
+
+
+def commas(x: float) -> str:
+    """A whole number with thousands separators; halves go up."""
+    return f"{math.floor(x + 0.5):,}"
+
+
+def human_bytes(n: int) -> str:
+    """Bytes as a listing shows them, in binary units with one place."""
+    if n < 1024:
+        return f"{n} B"
+    return f"{fixed(n / 1024, 1)} KiB" if n < 1024**2 else f"{fixed(n / 1024**2, 1)} MiB"
+
+
+def age(then: str, now: str) -> str:
+    """How long ago an ISO time was: minutes, hours, days or months; nothing for a time that can't be read."""
+    try:
+        a, b = (datetime.fromisoformat(x.replace("Z", "+00:00")) for x in (then, now))
+        n = math.floor((b - a).total_seconds() / 60 + 0.5)
+    except (AttributeError, TypeError, ValueError):
+        return ""
+    if n < 1:
+        return "just now"
+    for unit, size, limit in (("m", 1, 60), ("h", 60, 24), ("d", 24, 30)):
+        n = math.floor(n / size + 0.5)
+        if n < limit:
+            return f"{n}{unit} ago"
+    return f"{math.floor(n / 30 + 0.5)}mo ago"
+
+
+def clock(iso: str) -> str:
+    """The UTC time of day of an ISO time, with milliseconds."""
+    return datetime.fromisoformat(iso.replace("Z", "+00:00")).astimezone(UTC).strftime("%H:%M:%S.%f")[:-3]
 
 
 def compliance(runs: DataFrame, steps: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -34,11 +34,13 @@ def fold(state: tuple, kind: str, tool: str | None, cost: float, tokens: float)
     return gen, steps + 1, total + cost, toks + tokens, tool if call else "", length, loops + (length == LOOP_LENGTH), errors + (kind == "error"), False
 
 
-def live_runs(events: DataFrame, timeout_ms: int = 0) -> DataFrame:
+def live_runs(events: DataFrame, timeout_ms: int = 0, forget_ms: int = 0) -> DataFrame:
     """A streaming DataFrame of OUT: the state of every run that a trigger touched. events: a stream of EVENT.
 
     A trigger's events of a run are put in order; across triggers, arrival is the order. timeout_ms: after so much silence
-    a run counts as failed and its state goes; 0 waits for ever.
+    a run counts as failed and its state goes; 0 waits for ever. forget_ms: so long an ended run is remembered, for events
+    that come late; what comes later still begins the run anew; 0 remembers it for ever. With either, a trigger that ends by
+    itself (availableNow) wouldn't, since Spark then always waits for the next timeout.
     """
 
     def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -46,17 +48,108 @@ def live_runs(events: DataFrame, timeout_ms: int = 0) -> DataFrame:
         status = "failed"
         if state.hasTimedOut:
             state.remove()
+            if now[8]:
+                return
         else:
             for r in pd.concat(list(batches)).sort_values(["at", "ord"]).itertuples():
                 now = fold(now, r.type, r.tool if isinstance(r.tool, str) else None, r.cost, r.tokens)
             state.update(now)
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
+            if wait := forget_ms if now[8] else timeout_ms:
+                state.setTimeoutDuration(wait)
             status = "completed" if now[8] else "running"
         name = key[0] if now[0] == 1 else f"{key[0]}-{now[0]}"
         yield pd.DataFrame({"run_id": [name], "status": [status], "steps": [now[1]], "cost": [now[2]], "tokens": [now[3]], "loops": [now[6]], "open_loop": [now[5] if now[5] >= LOOP_LENGTH else 0], "errors": [now[7]]})
 
-    return events.groupBy("run_id").applyInPandasWithState(settle, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
+    return events.groupBy("run_id").applyInPandasWithState(settle, OUT, STATE, "update", clock(timeout_ms or forget_ms))
+
+
+def clock(wait_ms: int) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout
+
+
+SPAN = "trace_id string, span_id string, parent_span_id string, ord long, type string, label string, tool string, started_at string, duration_ms double, cost double, tokens double"
+TRACED = "trace_id string, run_id string, index long, span_id string, parent_span_id string, type string, label string, tool string, started_at string, duration_ms double, cost double, tokens double, final boolean"
+TRACE_STATE = "generation int, steps long"
+
+
+def traced_steps(spans: DataFrame, name: str = "otel-", finalize_on_root: bool = True, idle_ms: int = 0) -> DataFrame:
+    """A streaming DataFrame of TRACED: ended spans as steps of a run for each trace. spans: a stream of SPAN.
+
+    A span without a parent ends its run: its step is `final`. A span that comes after that opens a continuation, `<run>-2`
+    and so on. Steps keep the ids of their spans and the order in which these ended. A trace that is silent for idle_ms
+    is forgotten; 0 remembers it for ever. Filtering and renaming are for the caller's columns before and after; unmapped spans never open a run.
+    """
+
+    def record(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        generation, steps = state.get if state.exists else (1, 0)
+        rows = pd.concat(list(batches)).sort_values("ord")
+        ids, index, final = [], [], []
+        for parent in rows["parent_span_id"]:
+            ids.append(name + key[0] + (f"-{generation}" if generation > 1 else ""))
+            index.append(steps)
+            root = finalize_on_root and not (isinstance(parent, str) and parent)
+            final.append(root)
+            generation, steps = (generation + 1, 0) if root else (generation, steps + 1)
+        state.update((generation, steps))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        out = rows.drop(columns=["ord", "trace_id"])
+        yield out.assign(trace_id=key[0], run_id=ids, index=index, final=final)[[c.split()[0] for c in TRACED.split(", ")]]
+
+    return spans.groupBy("trace_id").applyInPandasWithState(record, TRACED, TRACE_STATE, "append", clock(idle_ms))
+
+
+def provisional(recordings: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, warnings) of recordings in progress, newest first: analysed as finished runs are, but neither anchored nor signed.
+
+    runs: (run_id, name, currency, status, run_hash, steps, cost, tokens, duration_ms, started_at, ended_at, chain_ok, modified). A live
+    record owes no integrity yet; chain_ok tells whether the links written so far hold.
+    """
+    from ..operators import analyze, integrity
+
+    sums = steps.groupBy("run_id").agg(*analyze.total_columns(), *analyze.bound_columns()[1:])
+    links = integrity.broken_links(steps.withColumn("canonical", integrity.canonical_step(2))).select("run_id", F.col("broken_index").isNull().alias("chain_ok"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    heads = recordings.select("run_id", "name", "currency", "started_at", "modified").join(sums, "run_id", "left").join(links, "run_id", "left")
+    runs = heads.select("run_id", "name", "currency", F.lit("running").alias("status"), F.lit("").alias("run_hash"), zero("steps"), zero("cost"), zero("tokens"), zero("duration_ms"), "started_at", F.coalesce("ended_at", "started_at").alias("ended_at"), F.coalesce("chain_ok", F.lit(True)).alias("chain_ok"), "modified")
+    return runs.orderBy(F.desc("modified")), analyze.warnings(steps)
+
+
+class Tail:
+    """Follows recordings: each poll() gives the steps that are new since the last one, and each warning once."""
+
+    def __init__(self, spark: SparkSession, folder: str, run_id: str | None = None):
+        self.spark, self.folder, self.run_id = spark, folder, run_id
+        self.printed: dict[str, int] = {}
+        self.warned: set[tuple] = set()
+
+    def poll(self) -> list[dict]:
+        """Events in step order: {event: step, ...}, then {event: warning, ...}; {event: ended} for a recording that is gone."""
+        from ..sources import traces
+
+        recordings, steps = traces.journals(traces.lines(self.spark, self.folder))
+        if self.run_id:
+            recordings, steps = recordings.where(F.col("run_id") == self.run_id), steps.where(F.col("run_id") == self.run_id)
+        runs, warnings = provisional(recordings, steps)
+        out: list[dict] = []
+        here = {r["run_id"]: r["steps"] for r in runs.select("run_id", "steps").collect()}
+        for gone in [r for r in self.printed if r not in here]:
+            out.append({"event": "ended", "run_id": gone})
+            del self.printed[gone]
+        grown = {r: self.printed.get(r, 0) for r, n in here.items() if n > self.printed.get(r, 0)}
+        if grown:
+            since = F.create_map(*[F.lit(x) for pair in grown.items() for x in pair])
+            new = steps.where(F.col("run_id").isin(*grown)).where(F.col("pos") >= since[F.col("run_id")]).orderBy("run_id", "pos")
+            out += [{"event": "step", **r.asDict()} for r in new.select("run_id", "index", "type", "label", "cost", "tokens").collect()]
+            for w in warnings.where(F.col("run_id").isin(*grown)).orderBy("run_id", "ord").collect():
+                if (key := (w["run_id"], w["kind"], *w["step_ids"])) not in self.warned:
+                    self.warned.add(key)
+                    out.append({"event": "warning", "run_id": w["run_id"], "kind": w["kind"], "message": w["message"]})
+        self.printed.update(here)
+        return out
 
 
 def journal_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -83,9 +176,9 @@ def recoverable(recordings: DataFrame, verdicts: DataFrame) -> DataFrame:
     return recordings.where("steps > 0").join(sound, "run_id", "left_semi").withColumn("status", F.coalesce("ended", F.lit("failed")))
 
 
-def follow(events: DataFrame, sink, checkpoint: str, every: str = "500 milliseconds"):
+def follow(events: DataFrame, sink, checkpoint: str, every: str = "500 milliseconds", timeout_ms: int = 0, forget_ms: int = 3_600_000):
     """Start a query that hands each trigger's states to sink(DataFrame, trigger number)."""
-    return live_runs(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(sink).start()
+    return live_runs(events, timeout_ms, forget_ms).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(sink).start()
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:

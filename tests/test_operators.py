@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -306,6 +307,16 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
 def test_two_places_are_ecmascripts():
     want = {1.005: "1.00", 2.675: "2.67", 0.285: "0.28", 1.255: "1.25", 0.125: "0.13", 2.5: "2.50", -0.375: "-0.38", -0.001: "-0.00", -0.0: "0.00", 1e20: "100000000000000000000.00", 1e21: "1e+21", 123456789.995: "123456790.00", float("inf"): "Infinity"}
     assert {x: analyze.fixed(x) for x in want} == want
+    assert analyze.fixed(0.25, 1) == "0.3" and analyze.fixed(-0.0, 1) == "0.0"
+
+
+def test_labels():
+    assert report.money(1.005, "USD") == "USD 1.00" and report.commas(1234567.5) == "1,234,568" and report.commas(-0.5) == "0"
+    assert [report.duration_label(x) for x in (999, 1000, 61234)] == ["999 ms", "1.00 s", "61.23 s"]
+    assert [report.human_bytes(n) for n in (0, 1023, 1024, 1536, 1024**2, 5 * 1024**3)] == ["0 B", "1023 B", "1.0 KiB", "1.5 KiB", "1.0 MiB", "5120.0 MiB"]
+    ago = lambda minutes: report.age("2024-01-01T00:00:00.000Z", f"{(datetime(2024, 1, 1) + timedelta(minutes=minutes)).isoformat()}Z")
+    assert [ago(m) for m in (0, 3, 59, 60, 95, 1380, 1440, 43200, 130000)] == ["just now", "3m ago", "59m ago", "1h ago", "2h ago", "23h ago", "1d ago", "1mo ago", "3mo ago"]
+    assert report.age("never", "2024-01-01T00:00:00Z") == "" and report.clock("2024-01-01T05:06:07.089+01:00") == "04:06:07.089"
 
 
 def test_journals(spark, tmp_path):
@@ -446,6 +457,52 @@ def test_live_states_fold_and_continue():
     assert state[:3] == (2, 1, 1.0)
 
 
+def streamed(spark, tmp_path, frames, schema, make, mode):
+    """What a stateful query gives for frames that arrive one after another."""
+    query, out = None, []
+    for k, rows in enumerate(frames):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = make(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.outputMode(mode).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).foreachBatch(lambda df, n: out.append(df.collect()) if not df.isEmpty() else None).start()
+        query.awaitTermination()
+    return out
+
+
+def test_spans_become_runs_by_trace(spark, tmp_path):
+    span = lambda t, i, parent, k: (t, f"{t}{i}", parent, k, "plan", "p", None, "2024-01-01T00:00:00.000Z", 1.0, 0.5, 2.0)
+    frames = [[span("x", 1, "x9", 1), span("y", 1, "y9", 2), span("x", 2, "x9", 0)], [span("x", 9, None, 3)], [span("x", 3, "x9", 4), span("y", 9, "", 5)]]
+    out = streamed(spark, tmp_path, frames, live.SPAN, live.traced_steps, "append")
+    rows = sorted((r["run_id"], r["index"], r["span_id"], r["final"]) for b in out for r in b)
+    assert rows == [("otel-x", 0, "x2", False), ("otel-x", 1, "x1", False), ("otel-x", 2, "x9", True), ("otel-x-2", 0, "x3", False), ("otel-y", 0, "y1", False), ("otel-y", 1, "y9", True)]
+
+
+def test_ended_runs_continue(spark, tmp_path):
+    event = lambda k, kind: ("r", k, k, kind, None, 1.0, 0.0)
+    out = streamed(spark, tmp_path, [[event(k, kind)] for k, kind in enumerate(("plan", "end", "plan", "plan"))], live.EVENT, live.live_runs, "update")
+    assert [(r["run_id"], r["status"], r["steps"]) for b in out for r in b] == [("r", "running", 1), ("r", "completed", 1), ("r-2", "running", 1), ("r-2", "running", 2)]
+
+
+def test_tail_gives_steps_and_warnings_once(spark, tmp_path):
+    from stepforge.sources.recorder import Recorder
+
+    r = Recorder("followed", str(tmp_path / "j"), "f1")
+    call = lambda: r.step("tool_call", "Tool: db", "db", cost=1.0, input={"q": 1})
+    tail = live.Tail(spark, str(tmp_path / "j"))
+    call()
+    assert [(e["event"], e.get("index")) for e in tail.poll()] == [("step", 0)]
+    assert tail.poll() == []
+    call(), call(), r.step("error", "broke")
+    told = tail.poll()
+    assert [e["event"] for e in told] == ["step"] * 3 + ["warning"] * 2 and [e["kind"] for e in told[3:]] == ["loop", "error"]
+    r.step("plan", "p")
+    assert [e["event"] for e in tail.poll()] == ["step"]
+    runs, warned = live.provisional(*traces.journals(traces.lines(spark, str(tmp_path / "j"))))
+    row = runs.first()
+    assert (row["status"], row["run_hash"], row["steps"], row["cost"], row["chain_ok"]) == ("running", "", 5, 3.0, True) and warned.count() == 2
+    for f in (tmp_path / "j").iterdir():
+        f.unlink()
+    assert [e["event"] for e in tail.poll()] == ["ended"]
+
+
 def test_long_runs_are_numbered_across_ranges(spark):
     rng = random.Random(8)
     rows = [("long" if i % 3 else f"r{i % 11}", f"2024-01-01T00:00:{rng.randrange(60):02d}.000Z", i) for i in range(900)]
