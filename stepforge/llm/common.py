@@ -6,6 +6,8 @@ lists, so further columns of the input, whatever their names, can't clash with i
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -58,6 +60,13 @@ def dropped(*frames: DataFrame) -> None:
         remove(df.sparkSession, df.written_at)
 
 
+def give_back() -> None:
+    """Give memory that this worker holds but doesn't use back to the system: a worker lives on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def gathered(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.Table]:
     """Tables of rows in a row that hold about `most` bytes of a column; where they are cut depends on the rows alone."""
     held, size = [], 0

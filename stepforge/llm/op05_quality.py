@@ -8,7 +8,7 @@ counts back in the same order. Nothing of the model goes to the driver or to eve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, small_batches, table, written
+from .common import dropped, give_back, small_batches, table, written
 from .op03_pii import key_of
 
 ORDER, BASE = 6, 256
@@ -29,19 +29,19 @@ PAD = b" " * (ORDER - 1)
 #: A discount is no smaller, so that every context leaves something to what it hasn't seen.
 LEAST = 0.1
 #: Bytes of text whose positions are handled at once, n-grams that a task counts before it hands them on, n-grams of a shard.
-PIECE, HELD, SHARD = 2 << 20, 1 << 21, 500_000
+PIECE, HELD, SHARD = 1 << 20, 1 << 20, 500_000
 #: What a shard knows of an n-gram: its count; as a context the sum of the counts after it, and how many are 1, 2 and more.
 FACTS = ("n", "total", "n1", "n2", "n3")
 
 
-def pieces(texts: list[str | None], most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pieces(texts: Iterable[str | None], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(n-grams of the highest order, one for each byte of some texts, bytes of each of these texts); blanks precede a text."""
     held: list[bytes] = []
     size = 0
     for text in texts:
         held.append((text or "").encode())
         size += len(held[-1])
-        if size >= most:
+        if size >= (most or PIECE):
             yield grams(held), np.fromiter(map(len, held), np.int64, len(held))
             held, size = [], 0
     if held:
@@ -49,7 +49,7 @@ def pieces(texts: list[str | None], most: int = PIECE) -> Iterator[tuple[np.ndar
 
 
 def grams(texts: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(x for t in texts for x in (PAD, t)) + PAD, np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(x for t in texts for x in (PAD, t)) + PAD, np.uint8)
     n = len(data) - ORDER + 1
     out = np.zeros(n, np.int64)
     for k in range(ORDER):
@@ -60,6 +60,12 @@ def grams(texts: list[bytes]) -> np.ndarray:
     return out[: int(lengths.sum()) + len(PAD) * len(texts)][np.repeat(inside, np.stack([lengths, np.full(len(texts), len(PAD))], 1).ravel())]
 
 
+def once(numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order, by sorting, which takes a tenth of the time and memory that numpy's own hashing takes."""
+    numbers = np.sort(numbers)
+    return numbers[np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))] if len(numbers) else numbers
+
+
 def lower(gram: np.ndarray, order: int) -> np.ndarray:
     """The last `order` symbols."""
     return gram & (1 << 8 * order) - 1
@@ -70,7 +76,7 @@ def asked(top: np.ndarray) -> list[np.ndarray]:
     blanks before a text, which are the context of its first bytes."""
     out = [top]
     for k in range(ORDER - 1, -1, -1):
-        out.append(np.unique(np.append(lower(out[-1], k), int.from_bytes(PAD[:k]))))
+        out.append(once(np.append(lower(out[-1], k), int.from_bytes(PAD[:k]))))
     return out[::-1]
 
 
@@ -103,7 +109,9 @@ def count_grams(df: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for found, _ in pieces(batch.column(0).to_pylist()):
                 if len(found):
-                    held.append(np.unique(found, return_counts=True))
+                    found = np.sort(found)
+                    first = np.flatnonzero(np.diff(found, prepend=-1))
+                    held.append((found[first], np.diff(np.append(first, len(found)))))
                     size += len(held[-1][0])
             if size > HELD:
                 held = [added()]
@@ -113,6 +121,8 @@ def count_grams(df: DataFrame, text_col: str = "text") -> DataFrame:
                     held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in added()], ["gram", "n"])
+        del held
+        give_back()
 
     return df.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -168,22 +178,74 @@ def kneser_ney(counts: DataFrame) -> Model:
     return Model(packed, shards, cuts)
 
 
-def probabilities(orders: list[np.ndarray], facts: list[np.ndarray], cuts: dict[int, tuple[float, float, float]]) -> np.ndarray:
-    """The probability of the last symbol of each of orders[ORDER], from FACTS (as rows) of all that orders hold."""
+def probabilities(orders: list[np.ndarray], n: list[np.ndarray], after: list[np.ndarray], cuts: dict[int, tuple[float, float, float]]) -> np.ndarray:
+    """The probability of the last symbol of each of orders[ORDER], from the counts of all orders and, as contexts, FACTS[1:] of all but the highest."""
     low = np.full(1, 1 / BASE)
     for k in range(1, ORDER + 1):
         d1, d2, d3 = cuts[k]
-        n, at = facts[k][0], np.searchsorted(orders[k - 1], orders[k] >> 8)
-        total, n1, n2, n3 = (x[at] for x in facts[k - 1][1:])
+        at = np.searchsorted(orders[k - 1], orders[k] >> 8)
+        back = low[np.searchsorted(orders[k - 1], lower(orders[k], k - 1)) if k > 1 else np.zeros(len(at), np.int64)]
+        total, n1, n2, n3 = after[k - 1]
         held = np.maximum(total, 1)
-        gamma = np.where(total > 0, (d1 * n1 + d2 * n2 + d3 * n3) / held, 1.0)
-        cut = np.select([n == 0, n == 1, n == 2], [0.0, d1, d2], d3)
-        back = low[np.searchsorted(orders[k - 1], lower(orders[k], k - 1))] if k > 1 else low[np.zeros(len(n), np.int64)]
-        low = (n - cut) / held + gamma * back
+        back *= np.where(total > 0, (d1 * n1 + d2 * n2 + d3 * n3) / held, 1.0)[at]
+        low = (n[k] - np.select([n[k] == 0, n[k] == 1, n[k] == 2], [0.0, d1, d2], d3)) / held[at]
+        low += back
     return low
 
 
-def perplexity(df: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str, chunk: int = 16 << 20, key: Column | None = None) -> DataFrame:
+def distinct(texts: Iterable[str | None]) -> np.ndarray:
+    """The n-grams of the highest order in some texts, sorted."""
+    held, size = [np.zeros(0, np.int64)], 0
+    for found, _ in pieces(texts):
+        held.append(once(found))
+        size += len(held[-1])
+        if size > HELD:
+            held, size = [once(np.concatenate(held))], 0
+    return once(np.concatenate(held))
+
+
+def parted(orders: list[np.ndarray], shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, its n-grams by number, their places among all orders one after another)"""
+    numbers = np.concatenate([x | k << LEVEL for k, x in enumerate(orders)])
+    of = shard_of(numbers, shards)
+    place = np.argsort(of, kind="stable")
+    for i, x in enumerate(np.split(place, np.searchsorted(of[place], np.arange(1, shards)))):
+        if len(x):
+            yield i, numbers[x], x
+
+
+def answered(numbers: np.ndarray, known: np.ndarray, facts: np.ndarray) -> bytes:
+    """FACTS of some n-grams: all counts, then what is known of those below the highest order as contexts."""
+    at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+    at[known[at] != numbers] = len(known)
+    upto = int(np.searchsorted(numbers, ORDER << LEVEL))
+    return squeezed(np.concatenate([facts[0][at], facts[1:, at[:upto]].ravel()]))
+
+
+def bits_of(texts: Callable[[], Iterable[str | None]], answers: dict[int, bytes], shards: int, cuts: dict) -> Iterator[tuple[int, int | None]]:
+    """(bytes, thousandths of a bit for each) of some texts, which are gone through twice; answers: answered() of each shard."""
+    top = distinct(texts())
+    log = np.zeros(0)
+    if len(top):
+        orders = asked(top)
+        sizes = np.cumsum([len(x) for x in orders])
+        n, after = np.zeros(sizes[-1], np.int64), np.zeros((len(FACTS) - 1, sizes[-2]), np.int64)
+        for i, numbers, place in parted(orders, shards):
+            got, upto = unsqueezed(answers.pop(i)), int(np.searchsorted(numbers, ORDER << LEVEL))
+            n[place] = got[: len(place)]
+            after[:, place[:upto]] = got[len(place) :].reshape(len(FACTS) - 1, -1)
+        log = np.log2(probabilities(orders, np.split(n, sizes[:-1]), np.split(after, sizes[:-2], axis=1), cuts))
+        del orders, n, after
+    for found, lengths in pieces(texts()):
+        code, own = pd.factorize(found)
+        upto = np.zeros(len(code) + 1)
+        np.cumsum(log[np.searchsorted(top, own)][code], out=upto[1:])
+        end = np.cumsum(lengths)
+        for total, size in zip((upto[end] - upto[end - lengths]).tolist(), lengths.tolist(), strict=True):
+            yield size, round(-1000 * total / size) if size else None
+
+
+def perplexity(df: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str, chunk: int = 12 << 20, key: Column | None = None) -> DataFrame:
     """Rows (id_col, lang, key, n_symbols, bits): bits for each symbol, in thousandths as a long; null for an empty text.
 
     A row belongs to the chunk that the hash of its id and text names, whatever its place in the files. chunk: bytes of
@@ -197,62 +259,34 @@ def perplexity(df: DataFrame, model: Model, id_col: str, text_col: str, lang_col
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), (F.lit(None).cast("binary") if key is None else key).alias("key"), text.alias("text"), number.alias("chunk"))
     shards, cuts = model.shards, model.cuts
 
-    def parted(orders: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, numbers of its n-grams, their places among all orders one after another)"""
-        numbers = np.concatenate([x | k << LEVEL for k, x in enumerate(orders)])
-        of = shard_of(numbers, shards)
-        place = np.argsort(of, kind="stable")
-        for i, x in enumerate(np.split(place, np.searchsorted(of[place], np.arange(1, shards)))):
-            if len(x):
-                yield i, numbers[x], x
-
-    def distinct(texts: list) -> np.ndarray:
-        return np.unique(np.concatenate([np.zeros(0, np.int64), *(pd.unique(g) for g, _ in pieces(texts))]))
-
     def ask(rows: pa.Table) -> pa.Table:
-        top = distinct(rows.column("text").to_pylist())
-        found = [(i, squeezed(np.diff(numbers, prepend=0))) for i, numbers, _ in parted(asked(top))] if len(top) else []
+        top = distinct(x.as_py() for x in rows.column("text"))
+        found = [(i, squeezed(np.diff(numbers, prepend=0))) for i, numbers, _ in parted(asked(top), shards)] if len(top) else []
+        give_back()
         return pa.table({"shard": pa.array([i for i, _ in found], pa.int32()), "chunk": pa.array([rows.column("chunk")[0].as_py()] * len(found), pa.int64()), "data": pa.array([x for _, x in found], pa.binary())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A shard's facts come first (chunk -1), then what the chunks ask of it, one after another."""
-        now, known, facts = -1, np.zeros(1, np.int64), np.zeros((len(FACTS), 1), np.int64)
+        nothing = np.zeros(1, np.int64), np.zeros((len(FACTS), 2), np.int64)
+        now, (known, facts) = -1, nothing
         for batch in batches:
-            out = []
-            for shard, number, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for i in range(batch.num_rows):
+                shard, number, data = (batch.column(k)[i].as_py() for k in range(3))
                 numbers = unsqueezed(data)
                 if number < 0:
                     numbers = numbers.reshape(len(FACTS) + 1, -1)
-                    now, known, facts = shard, np.cumsum(numbers[0]), numbers[1:]
+                    now, known, facts = shard, np.cumsum(numbers[0]), np.pad(numbers[1:], ((0, 0), (0, 1)))
                     continue
-                numbers = np.cumsum(numbers)
-                at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
-                out.append((number, shard, squeezed((np.where(known[at] == numbers, facts[:, at], 0) if shard == now else np.zeros((len(FACTS), len(numbers)), np.int64)).ravel())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "shard", "data"])
+                if shard != now:
+                    now, (known, facts) = shard, nothing
+                out = (number, shard, answered(np.cumsum(numbers), known, facts))
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "shard", "data"])
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        held = []
-        for found, lengths in pieces(docs.column("text").to_pylist()):
-            code, own = pd.factorize(found)
-            held.append((code.astype(np.int32), own, lengths))
-        top = np.unique(np.concatenate([np.zeros(0, np.int64), *(own for _, own, _ in held)]))
-        log = np.zeros(0)
-        if len(top):
-            orders = asked(top)
-            got = {s: unsqueezed(d).reshape(len(FACTS), -1) for s, d in zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist(), strict=True)}
-            facts = np.zeros((len(FACTS), sum(map(len, orders))), np.int64)
-            for i, _, place in parted(orders):
-                facts[:, place] = got[i]
-            log = np.log2(probabilities(orders, np.split(facts, np.cumsum([len(x) for x in orders])[:-1], axis=1), cuts))
-        n, bits = [], []
-        for code, own, lengths in held:
-            upto = np.append(0.0, np.cumsum(log[np.searchsorted(top, own)][code]))
-            end = np.cumsum(lengths)
-            total = upto[end] - upto[end - lengths]
-            n += lengths.tolist()
-            bits += [round(-1000 * t / m) if m else None for t, m in zip(total.tolist(), lengths.tolist(), strict=True)]
-        return pa.table({id_col: docs.column("id"), "lang": docs.column("lang"), "key": docs.column("key"), "n_symbols": pa.array(n, pa.int64()), "bits": pa.array(bits, pa.int64())})
+        column = docs.column("text")
+        found = [*bits_of(lambda: (x.as_py() for x in column), dict(zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist(), strict=True)), shards, cuts)]
+        give_back()
+        return pa.table({id_col: docs.column("id"), "lang": docs.column("lang"), "key": docs.column("key"), "n_symbols": pa.array([n for n, _ in found], pa.int64()), "bits": pa.array([b for _, b in found], pa.int64())})
 
     asks = rows.groupBy("chunk").applyInArrow(ask, "shard int, chunk long, data binary")
     known = model.facts.select("shard", F.lit(-1).cast("long").alias("chunk"), "data")
