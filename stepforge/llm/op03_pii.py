@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import give_back, small_batches, table, written
 
 #: The kinds of entity, in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -123,6 +123,7 @@ def find_entities(df: DataFrame, rule: Disclosure = Disclosure(), id_col: str =
                 spans.append([{"start": s, "kind": k, "stop": e} for s, k, e in found])
                 near.append([dict(zip(("entity", "term", "start", "stop"), x, strict=True)) for x in near_terms(text, found, rule.window)] if found else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kinds[0]), pa.array(near, kinds[1]), pa.array(entities, pa.list_(pa.string()))], [id_col, "text_key", "spans", "near", "entities"])
+        give_back()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = df.schema[id_col].dataType.simpleString()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import give_back, small_batches, table, written
 from .op03_pii import key_of
 from .op04_exact import normalised
 
@@ -297,6 +297,7 @@ def sketches(df: DataFrame, rule: Similar, id_col: str, text_col: str) -> DataFr
                 node.append(xxhash.xxh128_digest(found.tobytes()))
                 bands.append(band_hashes(found, rule).view(np.int64) if len(found) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], [id_col, "text_key", "node", "size", "bands"])
+        give_back()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = df.schema[id_col].dataType.simpleString()
@@ -355,6 +356,8 @@ def compared(groups: DataFrame, keys: list[str], rule: Similar) -> DataFrame:
                     sets.append(np.unique(shingles(text, rule.words)))
         if nodes:
             yield work(nodes, sets)
+        del nodes, sets
+        give_back()
 
     return groups.select(*keys, "node", "text").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "node binary, lead binary")
 
