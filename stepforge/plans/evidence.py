@@ -9,7 +9,7 @@ from ..functions import crypto
 from ..operators import analyze, anchors, diff, integrity, policy, redact, report
 from ..operators.store import Store
 from ..shared import new_path
-from ..sources import driver, traces
+from ..sources import driver, requests, traces
 from .catalogue import ISO, STEPS, as_documents, query
 
 AT = "2024-01-01T00:00:00.000Z"
@@ -217,6 +217,19 @@ def otlp_refusals(spark, sf):
     return traces.otlp(docs.withColumn("text", shared))[2].select("path", "reason")
 
 
+@query("""WITH r AS (SELECT event_id, user_id, event_id % 7 AS k, row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL 1 HOUR, ts) ORDER BY ts, event_id) AS n, ts FROM events),
+a AS (SELECT *, CASE WHEN n > 5 THEN 429 WHEN k = 0 THEN 413 WHEN k IN (1, 2) THEN 400 END AS no FROM r), b AS (SELECT *, row_number() OVER (PARTITION BY no, user_id ORDER BY ts, event_id) AS m FROM a)
+SELECT event_id, coalesce(no, CASE WHEN user_id % 4 = 0 OR m > 1 THEN 200 ELSE 201 END) AS status, CASE WHEN no IS NULL THEN 'r' || user_id END AS run_id, CASE no WHEN 429 THEN 'too many requests' WHEN 413 THEN 'too large' WHEN 400 THEN CASE k WHEN 1 THEN 'unknown format' ELSE 'name' END END AS reason FROM b""")
+def request_answers(spark, sf):
+    """Each event as a request of its type: five an hour are let in; of these some are too large, of no format or faulty; a user's second one, or a stored one, stores nothing."""
+    e = driver.table(spark, sf, "events")
+    k, name = F.col("event_id") % 7, F.concat(F.lit('"id":"r'), F.col("user_id").cast("string"), F.lit('"'))
+    text = F.when(k == 0, F.repeat(F.lit("x"), 400)).when(k == 1, "{}").when(k == 2, F.concat(F.lit("{"), name, F.lit(',"steps":[]}'))).when(k == 3, F.concat(F.lit('{"resourceSpans":[{"resource":{"attributes":[{"key":"trace.run.id","value":{"stringValue":"r'), F.col("user_id").cast("string"), F.lit('"}}]}}]}'))).otherwise(F.concat(F.lit("{"), name, F.lit(',"name":"n","steps":[]}')))
+    sent = e.select("event_id", F.col("event_type").alias("client"), F.col("ts").alias("at"), F.col("event_id").alias("ord"), text.alias("text"))
+    stored = e.where("user_id % 4 = 0").select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run_id"))
+    return requests.answered(sent, stored, 300, 5, "1 hour").select("event_id", "status", "run_id", "reason")
+
+
 @query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS file, 'cc-' || conv_id AS run_id FROM conversations")
 def session_run_ids(spark, sf):
     e = driver.conversation_entries(spark, sf)

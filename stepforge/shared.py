@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 MADE: list[str] = []
+SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,13 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    MADE.append(f"{shared_dir(spark)}/stepforge/{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
+    path = f"{shared_dir(spark)}/stepforge/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
+    if (here := SCOPE.get()) is not None:
+        here.append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession, keep: list[str]) -> Iterator[None]:
+    """Delete at its end what was written within it, but for the paths that `keep` then holds."""
+    made: list[str] = []
+    token = SCOPE.set(made)
+    try:
+        yield
+    finally:
+        SCOPE.reset(token)
+        for path in made:
+            if path in MADE and path not in keep:
+                remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete one of these paths."""
-    MADE.remove(path)
+    if path in MADE:
+        MADE.remove(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -3,6 +3,7 @@
 import json
 
 from stepforge.cli import main
+from stepforge.functions import second
 
 
 def test_commands(spark, tmp_path, capsys):
@@ -34,6 +35,11 @@ def test_commands(spark, tmp_path, capsys):
     anchors.write_text(anchors.read_text().splitlines()[1] + "\n")
     assert run("anchor", "--file", anchors, "--verify") == 1
     assert run("export", "d1", "--out", tmp_path / "e.json") == 0
+    whole = (tmp_path / "e.json").read_text()
+    assert second.verdicts(whole)["ok"] and second.verdicts(whole[:-9])["parsed"] is False
+    for old, new, where in (("payment_status", "other_status", ("chain", 1)), ('"currency": "USD"', '"currency": "EUR"', ("anchor", None)), ('"hashVersion": 2', '"hashVersion": 3', ("version", None))):
+        found = second.verdicts(whole.replace(old, new))
+        assert found[where[0]] is False and found["broken"] == where[1] and not found["ok"], old
     other = f"file://{tmp_path}/other"
     assert main(["--store", other, "open", str(tmp_path / "e.json")], spark) == 0 and main(["--store", other, "verify"], spark) == 0
     text = (tmp_path / "e.json").read_text().replace("payment_status", "other_status")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepforge.functions import canonical as canon
-from stepforge.functions import crypto
+from stepforge.functions import crypto, second
 from stepforge.operators import analyze, anchors, diff, fleet, integrity, policy, redact, report, search, store
 from stepforge.schema import STEP_SCHEMA, Wire
 from stepforge.sources import traces
@@ -310,6 +310,12 @@ def test_two_places_are_ecmascripts():
     assert analyze.fixed(0.25, 1) == "0.3" and analyze.fixed(-0.0, 1) == "0.0"
 
 
+def test_the_second_verifier_writes_the_same_text():
+    for text, want in CANONICAL:
+        if text != "1e999":
+            assert second.text_of(json.loads(text)) == want, text
+
+
 def test_labels():
     assert report.money(1.005, "USD") == "USD 1.00" and report.commas(1234567.5) == "1,234,568" and report.commas(-0.5) == "0"
     assert [report.duration_label(x) for x in (999, 1000, 61234)] == ["999 ms", "1.00 s", "61.23 s"]
