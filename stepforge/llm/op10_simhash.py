@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches, table, written
+from .common import dropped, give_back, small_batches, table, written
 from .op03_pii import key_of
 from .op04_exact import normalised
 
@@ -218,12 +218,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = None
     for turn in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, f"links-{turn}")
+        # What joins with the edges is written first, so that adaptive execution can split a hub's edges.
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"least-{turn}")
+        large = written(both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), f"large-{turn}")
+        own = written(large.groupBy("a").agg(F.min("b").alias("m")), f"own-{turn}")
+        small = large.join(own.hint("merge"), "a")
+        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own.select("a", F.col("m").alias("b"))).distinct()
+        before, edges = edges, written(small, f"links-{turn}")
+        dropped(before, least, large, own)
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if seen == mark:
             break
