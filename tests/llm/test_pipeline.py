@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
+from stepforge import shared
 from stepforge.llm import op03_pii
 from stepforge.llm.common import table, written
 
@@ -97,8 +98,9 @@ def test_packing_stage(stages):
 
 
 def test_run_gives_the_last_stage(spark, sf, stages):
-    want = stages["packing"][1]
+    want, before = stages["packing"][1], {*shared.MADE}
     got = corpus_pipeline.run(spark, sf).collect()
+    assert [p.split("/")[-1].split("-")[:2] for p in shared.MADE if p not in before] == [["stage", "PII"]]
     assert sorted((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == sorted((r.doc_id, r.doc_tokens) for r in want if r.start == 0)
 
 
