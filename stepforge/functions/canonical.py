@@ -123,7 +123,7 @@ def canonical_batch(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def canonical(text: Column) -> Column:
     """canonicalize() of a column. Plain strings, null, booleans and short whole numbers are their own canonical text."""
     simple = r'\A(?:null|true|false|0|-?[1-9][0-9]{0,14}|"[\x20\x21\x23-\x5b\x5d-\x7e]*")\z'
-    return F.when(text.rlike(simple), text).otherwise(canonical_batch(text))
+    return F.when(text.rlike(simple), text).otherwise(canonical_batch(F.when(~text.rlike(simple), text)))
 
 
 # ---- leaves and paths -------------------------------------------------------------------------------------------

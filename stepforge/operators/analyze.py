@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import number_text
+from ..functions.canonical import canonical, number_text
 from ..schema import HIGH_COST, LOOP_LENGTH
 from ..shared import new_path
 
@@ -125,23 +125,32 @@ def high_cost(steps: DataFrame, multiple: float = HIGH_COST) -> DataFrame:
     return steps.join(median_cost(steps).where("median_cost > 0"), "run_id").where(F.col("cost") > F.col("median_cost") * multiple)
 
 
-def calls_in_islands(steps: DataFrame, key: str | None = None, *more: str) -> DataFrame:
-    """Tool calls (run_id, index, tool_name, island, *more): calls in a row with one tool and one input share an island."""
-    call = (F.col("type") == "tool_call") & F.col("tool_name").isNotNull()
-    mark = F.when(call, F.struct(F.col("tool_name"), F.coalesce(F.col(key), F.lit("null")) if key else F.lit("")))
-    out = steps.select("run_id", "index", "tool_name", mark.alias("mark"), *more)
-    out = out.withColumn("new", F.when(F.col("mark").isNull() | ~F.col("mark").eqNullSafe(F.lag("mark").over(in_run())), 1).otherwise(0))
-    return out.withColumn("island", F.sum("new").over(in_run())).where("mark is not null").drop("mark", "new")
-
-
-def loops(steps: DataFrame, least: int = LOOP_LENGTH, key: str | None = None, *extra: Column) -> DataFrame:
-    """Maximal runs of at least `least` tool calls in a row with one tool and one input.
+def calls_in_islands(steps: DataFrame, by_tool: bool = False, *more: str) -> DataFrame:
+    """Tool calls (run_id, index, tool_name, island, *more): calls in a row with one tool and one input share an island.
 
-    (run_id, tool_name, run_length, first_index, last_index). key: a column with the canonical input, where absent
-    and null are the same; without it the tool alone decides. Other steps and calls without a tool end a run. extra:
-    further aggregates over the steps' id and index.
+    Inputs are the same if their canonical JSON is; absent and null are the same. A text is made canonical only where a call beside
+    it has the same tool and another text. by_tool: the tool alone decides, whatever the inputs.
+    """
+    call = (F.col("type") == "tool_call") & F.col("tool_name").isNotNull()
+    before = lambda c: F.lag(c).over(in_run())
+    out = steps.withColumn("tool", F.when(call, F.col("tool_name")))
+    same = F.col("tool") == before("tool")
+    if not by_tool:
+        out = out.withColumn("said", F.coalesce("input", F.lit("null")))
+        other = lambda f: F.coalesce((f("tool").over(in_run()) == F.col("tool")) & (f("said").over(in_run()) != F.col("said")), F.lit(False))
+        out = out.withColumn("doubt", other(F.lag) | other(F.lead)).withColumn("exact", F.when(F.col("doubt"), F.coalesce(canonical(F.when(F.col("doubt"), F.col("said"))), "said")))
+        same &= (F.col("said") == before("said")) | F.coalesce(F.col("exact") == before("exact"), F.lit(False))
+    out = out.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    return out.withColumn("island", F.sum("new").over(in_run())).where("tool is not null").select("run_id", "index", "tool_name", "island", *more)
+
+
+def loops(steps: DataFrame, least: int = LOOP_LENGTH, by_tool: bool = False, *extra: Column) -> DataFrame:
+    """Maximal runs of at least `least` tool calls in a row with one tool and one canonical input, or with by_tool one tool.
+
+    (run_id, tool_name, run_length, first_index, last_index). Other steps and calls without a tool end a run. extra: further
+    aggregates over the steps' id and index.
     """
-    out = calls_in_islands(steps, key, *(["id"] if extra else []))
+    out = calls_in_islands(steps, by_tool, *(["id"] if extra else []))
     grouped = out.groupBy("run_id", "island").agg(F.first("tool_name").alias("tool_name"), F.count(F.lit(1)).alias("run_length"), F.min("index").alias("first_index"), F.max("index").alias("last_index"), *extra)
     return grouped.where(F.col("run_length") >= least).drop("island")
 
@@ -162,10 +171,10 @@ def two_places(values: pd.Series) -> pd.Series:
     return values.map(fixed, na_action="ignore")
 
 
-def warnings(steps: DataFrame, key: str | None = None) -> DataFrame:
+def warnings(steps: DataFrame, by_tool: bool = False) -> DataFrame:
     """Rows (run_id, ord, kind, message, step_ids): loops, then costly steps, then errors, each in step order."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("index", "id"))), lambda s: s["id"]).alias("step_ids")
-    looped = loops(steps, LOOP_LENGTH, key, ids)
+    looped = loops(steps, LOOP_LENGTH, by_tool, ids)
     text = F.format_string(MESSAGES["loop"], "tool_name", "run_length")
     first = looped.select("run_id", F.lit(0).alias("o"), F.col("first_index").alias("i"), F.lit("loop").alias("kind"), text.alias("message"), "step_ids")
     text = F.format_string(MESSAGES["high_cost_step"], "index", "label", two_places(F.col("cost")), two_places(F.col("median_cost")))
@@ -175,9 +184,9 @@ def warnings(steps: DataFrame, key: str | None = None) -> DataFrame:
     return out.withColumn("ord", F.row_number().over(Window.partitionBy("run_id").orderBy("o", "i")) - 1).select("run_id", "ord", "kind", "message", "step_ids")
 
 
-def warning_counts(steps: DataFrame, key: str | None = None) -> DataFrame:
+def warning_counts(steps: DataFrame, by_tool: bool = False) -> DataFrame:
     """Rows (run_id, loop, high_cost_step, error, total) for the runs with a warning."""
-    found = loops(steps, key=key).select("run_id", F.lit("loop").alias("kind"))
+    found = loops(steps, by_tool=by_tool).select("run_id", F.lit("loop").alias("kind"))
     found = found.unionByName(high_cost(steps).select("run_id", F.lit("high_cost_step").alias("kind"))).unionByName(errors(steps).select("run_id", F.lit("error").alias("kind")))
     return found.groupBy("run_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("loop", "high_cost_step", "error")], F.count(F.lit(1)).alias("total"))
 

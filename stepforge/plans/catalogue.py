@@ -104,12 +104,30 @@ def high_cost_steps(spark, sf):
 
 @query(f"WITH {STEPS}, {LOOPS} SELECT * FROM loops")
 def tool_loops(spark, sf):
-    return analyze.loops(driver.event_steps(spark, sf))
+    """Calls of one tool in a row, whatever their inputs: no two events' props are equal, so that by input none would be found."""
+    return analyze.loops(driver.event_steps(spark, sf), by_tool=True)
+
+
+BY_INPUT = LOOPS.replace("lag(tool_name) OVER w IS NOT DISTINCT FROM tool_name", "lag(tool_name) OVER w IS NOT DISTINCT FROM tool_name AND lag(sent) OVER w IS NOT DISTINCT FROM sent")
+SENT = "sent AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 0 ELSE CAST(json_extract(input, '$.k') AS BIGINT) % 2 END AS sent FROM steps)"
+
+
+def repeating_steps(spark, sf):
+    """Steps of events whose inputs repeat, written in four ways: {"k":1}, {"k": 1.0} and the like; of each eleventh event the input is absent or null."""
+    k = F.get_json_object("input", "$.k").cast("long") % 2
+    odd = F.when(k == 1, F.when(F.col("ord") % 3 == 0, '{"k":1}').when(F.col("ord") % 3 == 1, '{ "k" : 1.0 }').otherwise('{"k":10e-1}'))
+    return driver.event_steps(spark, sf).withColumn("input", F.when(F.col("ord") % 11 == 0, F.when(F.col("ord") % 2 == 0, "null")).otherwise(F.coalesce(odd, F.when(F.col("ord") % 2 == 0, "null"))))
+
+
+@query(f"WITH {STEPS}, {SENT}, {BY_INPUT.replace('FROM steps WINDOW', 'FROM sent WINDOW')} SELECT * FROM loops")
+def loops_by_input(spark, sf):
+    """Calls of one tool in a row with one input, however that is written; some runs of calls by tool alone are no loops, or shorter ones."""
+    return analyze.loops(repeating_steps(spark, sf))
 
 
 @query(f"WITH {STEPS}, {LOOPS} SELECT run_id, min(first_index) AS first_index, max(last_index) AS last_index FROM loops GROUP BY run_id")
 def loop_spans(spark, sf):
-    return analyze.loop_span(analyze.loops(driver.event_steps(spark, sf)))
+    return analyze.loop_span(analyze.loops(driver.event_steps(spark, sf), by_tool=True))
 
 
 @query(f"WITH {STEPS} SELECT run_id, index FROM steps WHERE type = 'error'")
@@ -119,13 +137,13 @@ def error_steps(spark, sf):
 
 @query(f"WITH {STEPS}, {LOOPS}, {HIGH}, {COUNTS} SELECT * FROM counts")
 def warning_counts(spark, sf):
-    return analyze.warning_counts(driver.event_steps(spark, sf))
+    return analyze.warning_counts(driver.event_steps(spark, sf), by_tool=True)
 
 
 @query(f"""WITH {STEPS}, {LOOPS}, {HIGH}, every AS (SELECT run_id, 0 AS o, first_index AS i, 'loop' AS kind, run_length AS n FROM loops UNION ALL SELECT run_id, 1, index, 'high_cost_step', 1 FROM high
 UNION ALL SELECT run_id, 2, index, 'error', 1 FROM steps WHERE type = 'error') SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY o, i) - 1 AS INT) AS ord, kind, CAST(n AS INT) AS n_steps FROM every""")
 def warning_list(spark, sf):
-    return analyze.warnings(driver.event_steps(spark, sf)).select("run_id", "ord", "kind", F.size("step_ids").alias("n_steps"))
+    return analyze.warnings(driver.event_steps(spark, sf), by_tool=True).select("run_id", "ord", "kind", F.size("step_ids").alias("n_steps"))
 
 
 @query(f"WITH {STEPS} SELECT tool_name, count(*) AS calls FROM steps WHERE type = 'tool_call' GROUP BY tool_name")
@@ -161,7 +179,7 @@ def rule_rows(rule: str) -> str:
 def policy_inputs(spark, sf):
     steps = driver.event_steps(spark, sf)
     runs = driver.event_runs(steps).withColumn("cost", F.round("cost", 2))
-    return runs, steps, analyze.loops(steps).select("run_id", F.lit("loop").alias("kind"))
+    return runs, steps, analyze.loops(steps, by_tool=True).select("run_id", F.lit("loop").alias("kind"))
 
 
 def policy_query(rule: str):
@@ -219,8 +237,8 @@ fleet AS (SELECT rows.*, list_filter([CASE WHEN NOT chain_ok OR NOT signature_ok
 def fleet_frame(spark, sf):
     steps = driver.event_steps(spark, sf)
     runs = driver.event_runs(steps)
-    verdict = policy.verdicts(runs, policy.evaluate(runs, steps, analyze.loops(steps).select("run_id", F.lit("loop").alias("kind")), policy.Policy(maxSteps=70)))
-    return fleet.with_issues(fleet.rows(runs, analyze.warning_counts(steps), verdict).withColumn("live", F.lit(False)))
+    verdict = policy.verdicts(runs, policy.evaluate(runs, steps, analyze.loops(steps, by_tool=True).select("run_id", F.lit("loop").alias("kind")), policy.Policy(maxSteps=70)))
+    return fleet.with_issues(fleet.rows(runs, analyze.warning_counts(steps, by_tool=True), verdict).withColumn("live", F.lit(False)))
 
 
 @query(f"{FLEET} SELECT run_id, status, currency, steps, round(cost, 2) AS cost, loop, high_cost_step, error, total, policy_ok, array_to_string(issues, ',') AS issues, issues[1] AS worst_issue FROM fleet")
@@ -497,7 +515,7 @@ def session_list(spark, sf):
 def loop_steps(spark, sf):
     """The steps that loop warnings name."""
     steps = driver.event_steps(spark, sf)
-    return report.warning_steps(analyze.warnings(steps).where("kind = 'loop'"), steps).select("run_id", "ord", "index")
+    return report.warning_steps(analyze.warnings(steps, by_tool=True).where("kind = 'loop'"), steps).select("run_id", "ord", "index")
 
 
 # ---- differences ------------------------------------------------------------------------------------------------
@@ -541,7 +559,7 @@ def diff_summary(spark, sf):
 @query()
 def diff_warnings(spark, sf):
     pairs, steps = event_pairs(spark, sf)
-    return diff.warning_differences(pairs, diff.alignments(pairs, steps), steps, analyze.warnings(steps)).groupBy("pair", "state", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return diff.warning_differences(pairs, diff.alignments(pairs, steps), steps, analyze.warnings(steps, by_tool=True)).groupBy("pair", "state", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 KINDS = f"WITH {STEPS}, {LOOPS}, {HIGH}, {COUNTS}, {PAIRS}, k AS (SELECT DISTINCT run_id, kind FROM found), a AS (SELECT pairs.a AS pair, kind FROM pairs JOIN k ON run_id = pairs.a), b AS (SELECT pairs.a AS pair, kind FROM pairs JOIN k ON run_id = pairs.a + 1)"
@@ -550,7 +568,7 @@ KINDS = f"WITH {STEPS}, {LOOPS}, {HIGH}, {COUNTS}, {PAIRS}, k AS (SELECT DISTINC
 @query(f"{KINDS} SELECT CAST(pair AS VARCHAR) AS pair, kind, 'persisted' AS state FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT CAST(pair AS VARCHAR), kind, 'cleared' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT CAST(pair AS VARCHAR), kind, 'appeared' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def warning_kinds_compared(spark, sf):
     pairs, steps = event_pairs(spark, sf)
-    kinds = analyze.warnings(steps).select("run_id", "kind").distinct()
+    kinds = analyze.warnings(steps, by_tool=True).select("run_id", "kind").distinct()
     side = lambda r: pairs.select("pair", F.col(f"{r}_run").alias("run_id")).join(kinds, "run_id").select("pair", "kind")
     a, b = side("a"), side("b")
     state = lambda df, s: df.withColumn("state", F.lit(s))

@@ -224,7 +224,7 @@ def request_answers(spark, sf):
     """Each event as a request of its type: five an hour are let in; of these some are too large, of no format or faulty; a user's second one, or a stored one, stores nothing."""
     e = driver.table(spark, sf, "events")
     k, name = F.col("event_id") % 7, F.concat(F.lit('"id":"r'), F.col("user_id").cast("string"), F.lit('"'))
-    text = F.when(k == 0, F.repeat(F.lit("x"), 400)).when(k == 1, "{}").when(k == 2, F.concat(F.lit("{"), name, F.lit(',"steps":[]}'))).when(k == 3, F.concat(F.lit('{"resourceSpans":[{"resource":{"attributes":[{"key":"trace.run.id","value":{"stringValue":"r'), F.col("user_id").cast("string"), F.lit('"}}]}}]}'))).otherwise(F.concat(F.lit("{"), name, F.lit(',"name":"n","steps":[]}')))
+    text = F.when(k == 0, F.repeat(F.lit("x"), 400)).when(k == 1, "{}").when(k == 2, F.concat(F.lit("{"), name, F.lit(',"steps":[]}'))).when(k == 3, F.concat(F.lit('{"resourceSpans":[{"resource":{"attributes":[{"key":"trace.run.id","value":{"stringValue":"r'), F.col("user_id").cast("string"), F.lit('"}},{"key":"cicd.pipeline.run.id","value":{"stringValue":"77"}}]}}]}'))).otherwise(F.concat(F.lit("{"), name, F.lit(',"name":"n","steps":[]}')))
     sent = e.select("event_id", F.col("event_type").alias("client"), F.col("ts").alias("at"), F.col("event_id").alias("ord"), text.alias("text"))
     stored = e.where("user_id % 4 = 0").select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run_id"))
     return requests.answered(sent, stored, 300, 5, "1 hour").select("event_id", "status", "run_id", "reason")

@@ -8,18 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .traces import native_fault, with_format
+from ..schema import Wire
+from .traces import ATTRIBUTES, UNNAMED, native_fault, run_attribute, with_format
 
 #: Limits of a collector unless it is told otherwise.
 MOST_BYTES, PER_WINDOW, WINDOW = 32 << 20, 120, "1 minute"
 
 
-def answered(requests: DataFrame, stored: DataFrame | None = None, most_bytes: int = MOST_BYTES, per_window: int = PER_WINDOW, window: str = WINDOW) -> DataFrame:
+def answered(requests: DataFrame, stored: DataFrame | None = None, most_bytes: int = MOST_BYTES, per_window: int = PER_WINDOW, window: str = WINDOW, wire: Wire = Wire()) -> DataFrame:
     """requests (client, at, ord, text, ...) with format, run_id, status and reason.
 
     429: beyond what a client may send in a fixed window of time, refused ones counted; 413: too large, the text isn't looked
     at; 400: no known format, or a native document that breaks its schema; 200: a run that is stored, or that an earlier
-    accepted request brought, and nothing is stored again; 201: a run to be stored. Exports without a run id share one.
+    accepted request brought, and nothing is stored again; 201: a run to be stored. Exports without a run id share one; attributes
+    of other producers, such as the id of a build's pipeline run, aren't run ids.
     """
     place = F.row_number().over(Window.partitionBy("client", F.window("at", window)).orderBy("at", "ord"))
     late, large = place > per_window, F.octet_length("text") > most_bytes
@@ -27,9 +29,8 @@ def answered(requests: DataFrame, stored: DataFrame | None = None, most_bytes: i
     kinds = with_format(some.drop("text").withColumnRenamed("body", "text"))
     fault = F.when(F.col("format").isNull(), "unknown format").when(F.col("format") == "native", native_fault(F.col("text")))
     found = kinds.withColumn("fault", F.when(F.col("refused").isNull(), fault))
-    resource = F.from_json("text", "struct<resourceSpans:array<struct<resource:struct<attributes:array<struct<key:string,value:struct<stringValue:string>>>>>>>")["resourceSpans"]
-    named = F.filter(F.try_element_at(resource, F.lit(1))["resource"]["attributes"], lambda a: a["key"].endswith(".run.id"))
-    run = F.when(F.col("format") == "native", F.get_json_object("text", "$.id")).otherwise(F.coalesce(F.try_element_at(named, F.lit(-1))["value"]["stringValue"], F.lit("otel-run")))
+    exported = F.from_json("text", f"struct<resourceSpans:array<struct<resource:struct<attributes:{ATTRIBUTES}>>>>")["resourceSpans"]
+    run = F.when(F.col("format") == "native", F.get_json_object("text", "$.id")).otherwise(run_attribute(exported, "id", wire, UNNAMED))
     good = F.col("refused").isNull() & F.col("fault").isNull()
     found = found.withColumn("run_id", F.when(good, run))
     again = F.col("run_id").isNotNull() & (F.row_number().over(Window.partitionBy("run_id").orderBy("at", "ord")) > 1)

@@ -127,6 +127,15 @@ def step_type(explicit: Column, tool: Column, name: Column) -> Column:
     return F.when(explicit.isin(*STEP_TYPES), explicit).otherwise(hints)
 
 
+def run_attribute(resource_spans: Column, name: str, wire: Wire, default: str | None = None) -> Column:
+    """An attribute of an export's run, as the first resource alone gives it: the one in the producer's namespace, `<namespace>.run.<name>`."""
+    return F.coalesce(attribute(F.try_element_at(resource_spans, F.lit(1))["resource"]["attributes"], wire.attribute(f"run.{name}")), F.lit(default))
+
+
+#: The run of an export that names none.
+UNNAMED = "otel-run"
+
+
 def otlp(docs: DataFrame, wire: Wire = Wire(), live: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(runs, steps, refused) of OTLP/JSON exports. Run attributes come from the first resource alone.
 
@@ -134,10 +143,9 @@ def otlp(docs: DataFrame, wire: Wire = Wire(), live: bool = False) -> tuple[Data
     live: as a span processor sees spans, where a span with ERROR status is an error step; an offline export's isn't.
     """
     root = docs.withColumn("r", F.from_json("text", OTLP)["resourceSpans"])
-    own = F.try_element_at("r", F.lit(1))["resource"]["attributes"]
-    of_run = lambda n, d=None: F.coalesce(attribute(own, wire.attribute(f"run.{n}")), F.lit(d))
-    status = attribute(own, wire.attribute("run.status"))
-    root, late = one_each(root.select("path", of_run("id", "otel-run").alias("run_id"), "r"))
+    of_run = lambda n, d=None: run_attribute(F.col("r"), n, wire, d)
+    status = of_run("status")
+    root, late = one_each(root.select("path", of_run("id", UNNAMED).alias("run_id"), "r"))
     runs = root.select("path", "run_id", of_run("name", "OpenTelemetry run").alias("name"), of_run("currency", "USD").alias("currency"), F.when(status.isin("completed", "failed"), status).alias("declared"))
     spans = root.select("run_id", F.posexplode("r").alias("i", "rs")).select("run_id", "i", F.posexplode("rs.scopeSpans").alias("j", "ss")).select("run_id", "i", "j", F.posexplode("ss.spans").alias("k", "s"))
     spans = spans.withColumn("ord", F.row_number().over(Window.partitionBy("run_id").orderBy("i", "j", "k")) - 1)

@@ -6,6 +6,7 @@ or a timeout settles a run; an event after that opens a continuation, `<run>-2`
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,17 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.canonical import canonicalize
 from ..schema import LOOP_LENGTH
 from ..shared import new_path
 
-EVENT = "run_id string, at long, ord long, type string, tool string, cost double, tokens double"
+EVENT = "run_id string, at long, ord long, type string, tool string, input string, cost double, tokens double"
 STATE = "generation int, steps long, cost double, tokens double, tool string, length long, loops long, errors long, ended boolean"
 OUT = "run_id string, status string, steps long, cost double, tokens double, loops long, open_loop long, errors long"
 FRESH = (1, 0, 0.0, 0.0, "", 0, 0, 0, False)
 
 
+def call_of(tool: object, text: object, by_tool: bool = False) -> str | None:
+    """What makes calls the same: the tool and, unless by_tool, a digest of the canonical input, absent and null alike. None without a tool."""
+    if not isinstance(tool, str):
+        return None
+    said = text if isinstance(text, str) else "null"
+    return tool if by_tool else f"{tool}\0{hashlib.sha256((canonicalize(said) or said).encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
 def fold(state: tuple, kind: str, tool: str | None, cost: float, tokens: float) -> tuple:
-    """The state after one more event. A loop counts once, when its run of equal calls reaches LOOP_LENGTH."""
+    """The state after one more event. A loop counts once, when its run of equal calls, by call_of(), reaches LOOP_LENGTH."""
     gen, steps, total, toks, last, length, loops, errors, ended = state
     if ended:
         gen, steps, total, toks, last, length, loops, errors = gen + 1, *FRESH[1:8]
@@ -34,7 +44,7 @@ def fold(state: tuple, kind: str, tool: str | None, cost: float, tokens: float)
     return gen, steps + 1, total + cost, toks + tokens, tool if call else "", length, loops + (length == LOOP_LENGTH), errors + (kind == "error"), False
 
 
-def live_runs(events: DataFrame, timeout_ms: int = 0, forget_ms: int = 0) -> DataFrame:
+def live_runs(events: DataFrame, timeout_ms: int = 0, forget_ms: int = 0, by_tool: bool = False) -> DataFrame:
     """A streaming DataFrame of OUT: the state of every run that a trigger touched. events: a stream of EVENT.
 
     A trigger's events of a run are put in order; across triggers, arrival is the order. timeout_ms: after so much silence
@@ -52,7 +62,7 @@ def live_runs(events: DataFrame, timeout_ms: int = 0, forget_ms: int = 0) -> Dat
                 return
         else:
             for r in pd.concat(list(batches)).sort_values(["at", "ord"]).itertuples():
-                now = fold(now, r.type, r.tool if isinstance(r.tool, str) else None, r.cost, r.tokens)
+                now = fold(now, r.type, call_of(r.tool, r.input, by_tool), r.cost, r.tokens)
             state.update(now)
             if wait := forget_ms if now[8] else timeout_ms:
                 state.setTimeoutDuration(wait)
@@ -186,14 +196,14 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = new_path(spark, "live")
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     call = F.col("event_type").isin("click", "view", "purchase")
-    shaped = source.select(F.col("user_id").cast("string").alias("run_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("ord"), F.when(call, "tool_call").when(F.col("event_type") == "signup", "approval").otherwise("error").alias("type"), F.when(call, F.col("event_type")).alias("tool"), F.col("value").alias("cost"), (F.col("event_id") % 100).cast("double").alias("tokens"))
+    shaped = source.select(F.col("user_id").cast("string").alias("run_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("ord"), F.when(call, "tool_call").when(F.col("event_type") == "signup", "approval").otherwise("error").alias("type"), F.when(call, F.col("event_type")).alias("tool"), F.col("props").alias("input"), F.col("value").alias("cost"), (F.col("event_id") % 100).cast("double").alias("tokens"))
     shaped.write.parquet(f"{base}/events")
     stream = spark.readStream.schema(EVENT).parquet(f"{base}/events")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("trigger", F.lit(number)).write.mode("append").parquet(f"{base}/states")
 
-    query = live_runs(stream).writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    query = live_runs(stream, by_tool=True).writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     last = spark.read.parquet(f"{base}/states").groupBy("run_id").agg(F.max_by(F.struct("steps", "cost", "loops"), "trigger").alias("s"))
     return last.select("run_id", "s.steps", F.round("s.cost", 2).alias("cost"), "s.loops")

@@ -50,6 +50,19 @@ def test_commands(spark, tmp_path, capsys):
     assert run("vacuum") == 0
 
 
+def test_only_identical_inputs_are_a_loop(spark, tmp_path, capsys):
+    at = f"file://{tmp_path}/store"
+    call = lambda i, q: {"type": "tool_call", "label": "search", "startedAt": f"2024-01-01T00:00:0{i}.000Z", "durationMs": 1, "toolName": "search", "input": {"q": q}}
+    for name, inputs in (("apart", [0, 1, 2, 3]), ("alike", [1, 1.0, 1, 2])):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"id": name, "name": name, "steps": [call(i, q) for i, q in enumerate(inputs)]}))
+        assert main(["--store", at, "open", str(tmp_path / f"{name}.json")], spark) == 0
+    (tmp_path / "p.json").write_text('{"rules":{"forbidWarnings":["loop"]}}')
+    assert main(["--store", at, "check", "apart", "--policy", str(tmp_path / "p.json")], spark) == 0
+    assert main(["--store", at, "check", "alike", "--policy", str(tmp_path / "p.json")], spark) == 1
+    assert main(["--store", at, "report", "apart", "--out", str(tmp_path / "r.html")], spark) == 0 and "in a row" not in (tmp_path / "r.html").read_text()
+    assert main(["--store", at, "report", "alike", "--out", str(tmp_path / "r.html")], spark) == 0 and "called 3x in a row" in (tmp_path / "r.html").read_text()
+
+
 def test_journals_are_recovered_and_served(spark, tmp_path, capsys):
     from stepforge.sources.recorder import Recorder
 

@@ -172,9 +172,14 @@ def test_policy_rules_and_parsing(spark, trace):
 
 def test_loops_follow_tool_and_input(spark):
     rows = [step("r", i, tool="t", input=x) for i, x in enumerate(['{"a":1}', '{ "a": 1.0 }', '{"a":1}', '{"a":2}', None, "null", None])]
-    df = steps_of(spark, rows).withColumn("key", canon.canonical(F.col("input")))
-    assert [(r["run_length"], r["first_index"]) for r in analyze.loops(df, key="key").orderBy("first_index").collect()] == [(3, 0), (3, 4)]
-    assert [r["run_length"] for r in analyze.loops(df).collect()] == [7]
+    df = steps_of(spark, rows)
+    assert [(r["run_length"], r["first_index"]) for r in analyze.loops(df).orderBy("first_index").collect()] == [(3, 0), (3, 4)]
+    assert [r["run_length"] for r in analyze.loops(df, by_tool=True).collect()] == [7]
+    searches = steps_of(spark, [step("r", i, tool="search", input=f'{{"q":{i}}}') for i in range(4)])
+    assert analyze.loops(searches).count() == analyze.warnings(searches).count() == analyze.warning_counts(searches).count() == 0
+    # Texts alike, then written otherwise, then a text that no JSON reads; and a call without a tool ends a run.
+    rows = [step("r", i, tool="t", input=x) for i, x in enumerate(['{"a":1}', '{"a":1}', '{"a": 1}', "{bad", "{bad", "{bad", '"s"', '"s"', '"\\u0073"'])]
+    assert sorted((r["first_index"], r["run_length"]) for r in analyze.loops(steps_of(spark, rows)).collect()) == [(0, 3), (3, 3), (6, 3)]
     mixed = steps_of(spark, [step("r", i, "tool_call" if i != 2 else "approval", "t") for i in range(5)])
     assert analyze.loops(mixed).count() == 0
 
@@ -482,7 +487,7 @@ def test_spans_become_runs_by_trace(spark, tmp_path):
 
 
 def test_ended_runs_continue(spark, tmp_path):
-    event = lambda k, kind: ("r", k, k, kind, None, 1.0, 0.0)
+    event = lambda k, kind: ("r", k, k, kind, None, None, 1.0, 0.0)
     out = streamed(spark, tmp_path, [[event(k, kind)] for k, kind in enumerate(("plan", "end", "plan", "plan"))], live.EVENT, live.live_runs, "update")
     assert [(r["run_id"], r["status"], r["steps"]) for b in out for r in b] == [("r", "running", 1), ("r", "completed", 1), ("r-2", "running", 1), ("r-2", "running", 2)]
 
