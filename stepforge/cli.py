@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import crypto
 from .operators import analyze, anchors, diff, integrity, policy, proofs, redact, report, search
-from .operators.store import Store
+from .operators.store import GRACE, Store
 from .schema import Wire
 from .sources import recorder, traces
 from .streaming import live
@@ -235,16 +235,16 @@ class Cli:
             done = integrity.chain(done.withColumn("canonical", integrity.canonical_step(version)), version=version).drop("canonical")
             heads = runs.join(integrity.anchors(done).select("run_id", "anchor", F.col("steps").alias("step_count")), "run_id")
             fixed = integrity.run_hash(heads).withColumns({"run_hash": F.col("expected_hash"), "signature": F.lit(None).cast(integrity.SIGNATURE), "redaction_seal": F.lit(None).cast(runs.schema["redaction_seal"].dataType)}).drop("anchor", "step_count", "expected_hash")
-            self.store.replace("runs", fixed)
+            fresh = {"runs": fixed, "steps": done}
         elif not integrity.verify_runs(runs, done, self.wire).where("not ok").isEmpty():
             raise SystemExit("the redacted record doesn't verify; nothing was stored")
-        self.store.replace("steps", done)
+        self.store.replace(fresh if a.legacy else {"steps": done})
         self.store.audit("redaction", {"run": a.run, "paths": a.path, "patterns": a.pattern, "reason": a.reason}, recorder.now())
         self.store.fs.delete(self.store.fs_path(temp), True)
         return 0
 
     def vacuum(self, a) -> int:
-        print(json.dumps(self.store.vacuum()))
+        print(json.dumps(self.store.vacuum(a.grace_hours)))
         return 0
 
     def export(self, a) -> int:
@@ -328,6 +328,7 @@ def parser() -> argparse.ArgumentParser:
     made["redact"].add_argument("--reason")
     made["redact"].add_argument("--yes", action="store_true")
     made["redact"].add_argument("--legacy", action="store_true")
+    made["vacuum"].add_argument("--grace-hours", type=float, default=GRACE, help="how long what is no longer named stays for open readers")
     made["anchor"].add_argument("--file", default="anchors.jsonl")
     made["anchor"].add_argument("--verify", action="store_true")
     made["anchor"].add_argument("--tsa-cert")

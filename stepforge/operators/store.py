@@ -1,8 +1,11 @@
 """The run store: Parquet parts and a log of commits.
 
-A commit names the parts that make up each table, under the next number; the rename that publishes it fails if another
-writer has taken that number. Nothing that a commit names is changed in place, so that a crash anywhere leaves the
-store as it was before or as it is afterwards, and at worst a part that no commit names.
+A commit names the parts that make up every table, under the next number; the rename that publishes it fails if another
+writer has taken that number. Nothing that a commit names is changed in place, and whatever an operation does to several tables
+is one commit, so that a crash anywhere leaves the store as it was before or as it is afterwards.
+
+Parts that a commit no longer names are listed in it as gone, with the time; they stay on disk for a while, so that a DataFrame
+opened before goes on reading what it named. What a redaction replaces is erased with its commit, or by the next one after a crash.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 TABLES = ("runs", "steps")
-#: Hours that a part may lie unnamed before a vacuum takes it for the rest of a crash.
+#: Hours that a part stays on disk after the last commit that names it, for readers, and that one may lie unnamed before it counts as the rest of a crash.
 GRACE = 24
 
 
@@ -32,6 +35,11 @@ def split_older(runs: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
     return runs.where(~old), runs.where(old)
 
 
+def named(tables: dict) -> set[str]:
+    """The parts of all tables."""
+    return {p["path"] for t in tables.values() for p in t["parts"]}
+
+
 class Conflict(Exception):
     """Another writer has committed first."""
 
@@ -47,7 +55,7 @@ class Store:
         self.migrate()
 
     def migrate(self) -> None:
-        """Stamp a new store; take over one of version 1, whose tables were plain folders; refuse one of a later version."""
+        """Stamp a new store; take over one of version 1, whose tables were plain folders, or 2, whose log named tables alone; refuse a later one."""
         marker = f"{self.path}/_schema_version"
         found = None
         if self.fs.exists(self.fs_path(marker)):
@@ -63,20 +71,24 @@ class Store:
 
     # ---- commits
 
-    def read(self) -> tuple[int, dict]:
-        """(number of the last commit, tables): a table is {schema, parts}."""
+    def state(self) -> tuple[int, dict]:
+        """(number of the last commit, what it says): tables, each {schema, parts}; gone, parts no longer named; batches, the last of each stream."""
         folder = self.fs_path(f"{self.path}/_log")
         names = [x.getPath().getName() for x in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
         last = max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
         if not last:
-            return 0, {}
-        text = self.spark.read.option("wholetext", "true").text(f"{self.path}/_log/{last:010d}.json").first()[0]
-        return last, json.loads(text)
+            return 0, {"tables": {}, "gone": [], "batches": {}}
+        said = json.loads(self.spark.read.option("wholetext", "true").text(f"{self.path}/_log/{last:010d}.json").first()[0])
+        return last, said if "tables" in said else {"tables": said, "gone": [], "batches": {}}
+
+    def read(self) -> tuple[int, dict]:
+        last, said = self.state()
+        return last, said["tables"]
 
-    def commit(self, number: int, tables: dict) -> None:
+    def commit(self, number: int, said: dict) -> None:
         temp, at = self.fs_path(f"{self.path}/_log/_{uuid.uuid4().hex}"), self.fs_path(f"{self.path}/_log/{number:010d}.json")
         out = self.fs.create(temp)
-        out.write(bytearray(json.dumps(tables).encode()))
+        out.write(bytearray(json.dumps(said).encode()))
         out.close()
         jvm = self.spark._jvm
         no_overwrite = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
@@ -89,14 +101,27 @@ class Store:
                 raise Conflict(str(number)) from e
             raise
 
-    def update(self, change: Callable[[dict], dict]) -> None:
-        """Commit what change() makes of the tables, again from the newest ones as often as others come first."""
+    def update(self, change: Callable[[dict], dict], erase: bool = False, batch: tuple[str, int] | None = None) -> bool:
+        """Commit what change() makes of the tables, again from the newest ones as often as others come first.
+
+        What is named no more is listed as gone; with erase it goes at once. batch: a stream and the number of its trigger, recorded with the
+        commit; one that the stream has stored already, or a later one, is left out, and then this is False.
+        """
         while True:
-            last, tables = self.read()
+            last, said = self.state()
+            if batch and said["batches"].get(batch[0], -1) >= batch[1]:
+                return False
+            tables = {**said["tables"], **change(said["tables"])}
+            lost = named(said["tables"]) - named(tables)
+            now = int(time.time() * 1000)
+            gone = [x for x in said["gone"] if self.fs.exists(self.fs_path(f"{self.path}/{x['path']}"))] + [{"path": p, "at": now, "erase": erase} for p in sorted(lost)]
             try:
-                return self.commit(last + 1, {**tables, **change(tables)})
+                self.commit(last + 1, {"tables": tables, "gone": gone, "batches": {**said["batches"], **(dict([batch]) if batch else {})}})
             except Conflict:
                 time.sleep(0.05)
+                continue
+            self.erase([x["path"] for x in gone if x["erase"]])
+            return True
 
     # ---- parts
 
@@ -127,16 +152,21 @@ class Store:
         for p in paths:
             self.fs.delete(self.fs_path(f"{self.path}/{p}"), True)
 
+    def undo(self, made: dict[str, list[str]]) -> None:
+        """Erase what was written for a commit that didn't come about."""
+        self.erase(sorted({p for paths in made.values() for p in paths} - named(self.read()[1])))
+
     def table(self, name: str) -> DataFrame | None:
         tables = self.read()[1]
         return self.frame(T.StructType.fromJson(tables[name]["schema"]), tables[name]["parts"]) if name in tables else None
 
     # ---- operations
 
-    def save(self, runs: DataFrame, steps: DataFrame, ingested_at: str) -> None:
+    def save(self, runs: DataFrame, steps: DataFrame, ingested_at: str, batch: tuple[str, int] | None = None) -> bool:
         """Insert only: an id that is stored already, or twice in runs, is an error, and then nothing is stored.
 
-        Runs and steps appear together. Ids are looked up in the very state that the commit builds on.
+        Runs and steps appear together. Ids are looked up in the very state that the commit builds on. batch: a stream and its trigger's
+        number; a trigger that is replayed after its commit stores nothing, isn't an error, and gives False.
         """
         stamp = F.lit(ingested_at).cast("timestamp")
         frames = {"steps": steps.withColumn("ingested_at", stamp), "runs": runs.withColumn("ingested_at", stamp)}
@@ -152,10 +182,9 @@ class Store:
             return {name: self.entry(name, paths, frames[name].schema, tables) for name, paths in made.items()}
 
         try:
-            self.update(add)
-        except BaseException:
-            self.erase([p for paths in made.values() for p in paths])
-            raise
+            return self.update(add, batch=batch)
+        finally:
+            self.undo(made)
 
     def get(self, run_id: str) -> DataFrame:
         return self.table("runs").where(F.col("run_id") == run_id)
@@ -163,74 +192,96 @@ class Store:
     def list(self) -> DataFrame:
         return self.table("runs").select("run_id", "name", "started_at", "ended_at", "status", "currency", "ingested_at").orderBy(F.desc("ingested_at"))
 
-    def swap(self, name: str, old: list[dict], fresh: DataFrame | None, by_day: bool = False) -> list[str]:
-        """Rows in place of some parts: the new parts' folders. What the old ones held is gone from disk afterwards."""
-        gone = tuple(p["path"] for p in old)
-        paths = self.written(name, fresh, by_day) if fresh is not None else []
+    def swap(self, changes: dict[str, tuple[list[dict], DataFrame | None]], by_day: bool = False, erase: bool = False) -> None:
+        """In one commit, for each table rows in place of some of its parts. erase: what the old parts held goes from disk with it."""
+        made = {name: self.written(name, fresh, by_day) if fresh is not None else [] for name, (_, fresh) in changes.items()}
 
         def change(tables: dict) -> dict:
-            if not set(gone) <= {p["path"] for p in tables[name]["parts"]}:
-                raise RuntimeError(f"other writers have replaced parts of {name} meanwhile; run it again")
-            return {name: self.entry(name, paths, fresh.schema if fresh is not None else T.StructType(), tables, gone)}
+            out = {}
+            for name, (old, fresh) in changes.items():
+                gone = tuple(p["path"] for p in old)
+                if not set(gone) <= {p["path"] for p in tables[name]["parts"]}:
+                    raise RuntimeError(f"other writers have replaced parts of {name} meanwhile; run it again")
+                out[name] = self.entry(name, made[name], fresh.schema if fresh is not None else T.StructType(), tables, gone)
+            return out
 
         try:
-            self.update(change)
-        except BaseException:
-            self.erase(paths)
-            raise
-        self.erase([*gone])
-        return paths
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Put redacted rows in place of the stored ones of their runs; only the parts they lie in are rewritten."""
-        table = self.read()[1][name]
-        schema, ids = T.StructType.fromJson(table["schema"]), rows.select("run_id").distinct()
-        files = [r[0] for r in self.frame(schema, table["parts"]).select("run_id", F.col("_metadata.file_path").alias("file")).join(ids, "run_id", "left_semi").select(F.regexp_replace("file", "/[^/]*$", "").alias("folder")).distinct().collect()]
-        old = [p for p in table["parts"] if any(f"/{p['path']}" in f for f in files)]
-        if not old:
-            raise ValueError("no such run")
-        part = self.frame(schema, old)
-        place = part.join(ids, "run_id", "left_semi").select("run_id", "ingested_at").distinct()
-        self.swap(name, old, part.join(ids, "run_id", "left_anti").unionByName(rows.drop("ingested_at", "day").join(place, "run_id"), allowMissingColumns=True))
-
-    def prune(self, cutoff: str) -> DataFrame:
-        """Delete exactly the runs ingested before a time, and their steps; returns them, written beside the store as its audit.
-
-        Parts that end before it go whole; only those that it divides are rewritten.
+            self.update(change, erase)
+        finally:
+            self.undo(made)
+
+    def replace(self, fresh: dict[str, DataFrame]) -> None:
+        """Put redacted rows in place of the stored ones of their runs, in all these tables at once; only the parts they lie in are rewritten.
+
+        What these held is erased: a reader that opened them before fails rather than show what was redacted.
+        """
+        tables, changes = self.read()[1], {}
+        for name, rows in fresh.items():
+            schema, ids = T.StructType.fromJson(tables[name]["schema"]), rows.select("run_id").distinct()
+            files = [r[0] for r in self.frame(schema, tables[name]["parts"]).select("run_id", F.col("_metadata.file_path").alias("file")).join(ids, "run_id", "left_semi").select(F.regexp_replace("file", "/[^/]*$", "").alias("folder")).distinct().collect()]
+            old = [p for p in tables[name]["parts"] if any(f"/{p['path']}" in f for f in files)]
+            if not old:
+                raise ValueError("no such run")
+            part = self.frame(schema, old)
+            place = part.join(ids, "run_id", "left_semi").select("run_id", "ingested_at").distinct()
+            changes[name] = old, part.join(ids, "run_id", "left_anti").unionByName(rows.drop("ingested_at", "day").join(place, "run_id"), allowMissingColumns=True)
+        self.swap(changes, erase=True)
+
+    def prune(self, cutoff: str, erase: bool = False) -> DataFrame:
+        """Drop exactly the runs ingested before a time, and their steps, in one commit; returns them, written beside the store as its audit.
+
+        Parts that end before it go whole; only those that it divides are rewritten. Readers that are open read on for the time of grace,
+        after which later calls delete the parts; with erase they are deleted now.
         """
         report = f"{self.path}/_pruned/{uuid.uuid4().hex}"
-        _, gone = split_older(self.table("runs"), cutoff)
+        tables = self.read()[1]
+        _, gone = split_older(self.frame(T.StructType.fromJson(tables["runs"]["schema"]), tables["runs"]["parts"]), cutoff)
         gone.select("run_id", "ingested_at").write.parquet(report)
         at = self.spark.range(1).select(F.lit(cutoff).cast("timestamp").cast("string")).first()[0]
-        for name in ("steps", "runs"):
-            table = self.read()[1][name]
+        changes = {}
+        for name, table in tables.items():
             whole = [p for p in table["parts"] if p["last"] is not None and p["last"] < at]
             some = [p for p in table["parts"] if p not in whole and p["first"] is not None and p["first"] < at]
-            if some:
-                kept, _ = split_older(self.frame(T.StructType.fromJson(table["schema"]), some), cutoff)
-                self.swap(name, whole + some, kept, by_day=True)
-            elif whole:
-                self.swap(name, whole, None)
+            if whole or some:
+                changes[name] = whole + some, split_older(self.frame(T.StructType.fromJson(table["schema"]), some), cutoff)[0] if some else None
+        if changes:
+            self.swap(changes, by_day=True, erase=erase)
+        self.sweep()
         return self.spark.read.schema("run_id string, ingested_at timestamp").parquet(report)
 
+    def sweep(self, grace_hours: float = GRACE) -> None:
+        """Delete parts that have been gone for the time of grace, and those that are to be erased."""
+        old = time.time() * 1000 - grace_hours * 3_600_000
+        self.erase([x["path"] for x in self.state()[1]["gone"] if x["erase"] or x["at"] <= old])
+
     def bytes(self) -> int:
         return self.fs.getContentSummary(self.fs_path(self.path)).getLength()
 
     def vacuum(self, grace_hours: float = GRACE) -> dict[str, int]:
-        """Rewrite each table as a part a day, and delete old commits and parts that none names; (before, after, reclaimed) in bytes."""
+        """Rewrite what isn't a part a day as such, in one commit, and delete commits and parts beyond the time of grace; (before, after, reclaimed) in bytes.
+
+        Readers that are open read on for that time, during which the store holds both.
+        """
         before = self.bytes()
+        day = lambda p: (p["first"] or "")[:10]
+        changes = {}
         for name, table in self.read()[1].items():
-            if table["parts"]:
-                self.swap(name, table["parts"], self.frame(T.StructType.fromJson(table["schema"]), table["parts"]), by_day=True)
-        last, tables = self.read()
-        named = {p["path"].split("/")[1] for t in tables.values() for p in t["parts"] if "/" in p["path"]}
+            days = [day(p) for p in table["parts"]]
+            mixed = {day(p) for p in table["parts"] if day(p) != (p["last"] or "")[:10]}
+            if len(set(days)) < len(days) or mixed or any("/" not in p["path"] for p in table["parts"]):
+                changes[name] = table["parts"], self.frame(T.StructType.fromJson(table["schema"]), table["parts"])
+        if changes:
+            self.swap(changes, by_day=True)
+        self.sweep(grace_hours)
+        last, said = self.state()
+        keep = {p.split("/")[1] for p in named(said["tables"]) | {x["path"] for x in said["gone"] if self.fs.exists(self.fs_path(f"{self.path}/{x['path']}"))} if "/" in p}
         old = time.time() * 1000 - grace_hours * 3_600_000
         for folder in self.fs.listStatus(self.fs_path(f"{self.path}/data")) if self.fs.exists(self.fs_path(f"{self.path}/data")) else ():
-            if folder.getPath().getName() not in named and (folder.getModificationTime() < old or self.fs.getContentSummary(folder.getPath()).getFileCount() == 0):
+            if folder.getPath().getName() not in keep and (folder.getModificationTime() <= old or self.fs.getContentSummary(folder.getPath()).getFileCount() == 0):
                 self.fs.delete(folder.getPath(), True)
         for x in self.fs.listStatus(self.fs_path(f"{self.path}/_log")) if last else ():
             n = x.getPath().getName()[:-5]
-            if n.isdigit() and int(n) < last and x.getModificationTime() < old:
+            if n.isdigit() and int(n) < last and x.getModificationTime() <= old:
                 self.fs.delete(x.getPath(), False)
         after = self.bytes()
         return {"before": before, "after": after, "reclaimed": max(0, before - after)}

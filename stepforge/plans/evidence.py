@@ -257,7 +257,7 @@ def store_contents(spark, sf):
     for k in range(3):
         kept.save(runs.where(F.col("u") % 3 == k).drop("u"), s.where(F.col("u") % 3 == k).drop("u"), f"2024-01-01T00:00:0{k}")
     steps = kept.table("steps")
-    kept.replace("steps", steps.where(F.substring("run_id", 2, 20).cast("long") % 2 == 1).withColumn("input", F.lit('"gone"')))
+    kept.replace({"steps": steps.where(F.substring("run_id", 2, 20).cast("long") % 2 == 1).withColumn("input", F.lit('"gone"'))})
     kept.prune("2024-01-01T00:00:01")
     kept.vacuum()
     found = kept.table("steps").groupBy("run_id").agg(F.count(F.lit(1)).alias("steps"), F.bool_and(F.col("input") == '"gone"').alias("replaced"))

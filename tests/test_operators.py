@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -387,7 +388,7 @@ def test_store(spark, trace, tmp_path):
     with pytest.raises(ValueError):
         s.save(runs_of(spark, "a"), trace, "2024-03-01T10:00:00")
     assert [r["run_id"] for r in s.list().collect()] == ["b", "a"] and s.get("a").count() == 1
-    s.replace("steps", s.table("steps").where("run_id = 'a'").withColumn("label", F.lit("gone")))
+    s.replace({"steps": s.table("steps").where("run_id = 'a'").withColumn("label", F.lit("gone"))})
     assert s.table("steps").where("label = 'gone'").count() == 5 and s.table("steps").count() == 7
     assert [r["run_id"] for r in s.prune("2024-01-15").collect()] == ["a"] and s.table("steps").count() == 2
     assert s.vacuum()["after"] > 0 and s.table("runs").count() == 1
@@ -420,7 +421,7 @@ def test_a_crash_leaves_the_store_whole(spark, trace, tmp_path, monkeypatch):
     before = sorted(s.table("steps").collect()), sorted(s.table("runs").select("run_id", "ingested_at").collect())
     with monkeypatch.context() as m:
         m.setattr(s, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
-        for act in (lambda: s.save(runs_of(spark, "b"), trace.where("run_id = 'b'"), "2024-01-02T00:00:00"), s.vacuum, lambda: s.prune("2030-01-01"), lambda: s.replace("steps", s.table("steps").withColumn("label", F.lit("x")))):
+        for act in (lambda: s.save(runs_of(spark, "b"), trace.where("run_id = 'b'"), "2024-01-02T00:00:00"), lambda: s.prune("2030-01-01"), lambda: s.replace({"steps": s.table("steps").withColumn("label", F.lit("x"))})):
             with pytest.raises(OSError):
                 act()
             assert (sorted(s.table("steps").collect()), sorted(s.table("runs").select("run_id", "ingested_at").collect())) == before
@@ -430,6 +431,95 @@ def test_a_crash_leaves_the_store_whole(spark, trace, tmp_path, monkeypatch):
     assert left == {p["path"].split("/")[1] for t in s.read()[1].values() for p in t["parts"]}
 
 
+def test_a_crash_between_any_two_steps_leaves_old_or_new(spark, trace, tmp_path, monkeypatch):
+    """Every write, commit and deletion of each operation fails in turn, before or after it is done."""
+    first = store.Store(spark, f"file://{tmp_path}/first")
+    for run, hour in (("a", 10), ("b", 11)):
+        first.save(runs_of(spark, run), trace.where(F.col("run_id") == run), f"2024-01-01T{hour}:00:00")
+
+    def fresh(name):
+        shutil.copytree(tmp_path / "first", tmp_path / name)
+        return store.Store(spark, f"file://{tmp_path}/{name}")
+
+    def seen(s):
+        s = store.Store(spark, s.path)
+        return sorted(map(str, s.table("runs").select("run_id", "name").collect())), sorted(map(str, s.table("steps").select("run_id", "index", "label").collect()))
+
+    acts = {
+        "prune": lambda s: s.prune("2024-01-01T10:30:00"),
+        "erase": lambda s: s.prune("2024-01-01T10:30:00", erase=True),
+        "redact": lambda s: s.replace({"runs": s.table("runs").where("run_id = 'a'").withColumn("name", F.lit("new")), "steps": s.table("steps").where("run_id = 'a'").withColumn("label", F.lit("gone"))}),
+        "vacuum": lambda s: s.vacuum(0),
+    }
+    for act, run in acts.items():
+        model = fresh(f"{act}-model")
+        old = seen(model)
+        run(model)
+        new, crashes = seen(model), 0
+        for n in range(40):
+            s = fresh(f"{act}-{n}")
+            calls = iter(range(1000))
+
+            def failing(f, n=n, calls=calls):
+                def step(*args, **more):
+                    if (k := next(calls)) == n // 2 and n % 2 == 0:
+                        raise OSError("lost before")
+                    out = f(*args, **more)
+                    if k == n // 2:
+                        raise OSError("lost after")
+                    return out
+
+                return step
+
+            with monkeypatch.context() as m:
+                for name in ("written", "commit", "erase"):
+                    m.setattr(s, name, failing(getattr(s, name)))
+                try:
+                    run(s)
+                except OSError:
+                    crashes += 1
+                else:
+                    break
+            assert seen(s) in (old, new), (act, n)
+            if act == "redact" and seen(s) == new:
+                store.Store(spark, s.path).sweep()
+                texts = spark.read.parquet(f"{s.path}/data/*/steps")
+                assert texts.where("run_id = 'a' and label <> 'gone'").count() == 0
+        assert crashes >= 4
+
+
+def test_open_readers_survive_prune_and_vacuum_but_not_redaction(spark, trace, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    for k, run in enumerate(("a", "b")):
+        s.save(runs_of(spark, run), trace.where(F.col("run_id") == run), f"2024-01-01T10:00:0{k}")
+    before, n = s.table("steps"), trace.count()
+    s.vacuum()
+    assert before.count() == n and s.table("steps").count() == n
+    between = s.table("steps")
+    assert s.prune("2024-01-01T10:00:01").count() == 1
+    assert before.count() == between.count() == n and s.table("steps").count() < n
+    s.vacuum(0)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FAILED_READ_FILE"):
+        before.select("label").collect()
+    late = s.table("steps")
+    s.replace({"steps": late.withColumn("label", F.lit("gone"))})
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FAILED_READ_FILE"):
+        late.select("label").collect()
+
+
+def test_a_replayed_trigger_stores_nothing(spark, trace, tmp_path, monkeypatch):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    assert s.save(runs_of(spark, "a"), trace.where("run_id = 'a'"), "2024-01-01T10:00:00", batch=("serve", 0))
+    with monkeypatch.context() as m:  # the process ends after the commit of trigger 1, before its stream knows
+        m.setattr(s, "undo", lambda made: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            s.save(runs_of(spark, "b"), trace.where("run_id = 'b'"), "2024-01-01T10:00:01", batch=("serve", 1))
+    s = store.Store(spark, s.path)
+    assert not s.save(runs_of(spark, "b"), trace.where("run_id = 'b'"), "2024-01-01T10:00:02", batch=("serve", 1))
+    assert s.table("runs").count() == 2 and s.table("steps").count() == trace.count()
+    assert s.save(runs_of(spark, "c"), trace.where("false"), "2024-01-01T10:00:03", batch=("other", 0)) and s.state()[1]["batches"] == {"serve": 1, "other": 0}
+
+
 def test_two_writers_do_not_store_one_run_twice(spark, trace, tmp_path, monkeypatch):
     one, two = (store.Store(spark, f"file://{tmp_path}/store") for _ in range(2))
     plain, raced = one.commit, []
@@ -455,7 +545,7 @@ def test_old_stores_are_taken_over(spark, trace, tmp_path):
     for name, df in (("runs", runs_of(spark, "a")), ("steps", trace.where("run_id = 'a'"))):
         df.withColumns(stamp).write.partitionBy("day").parquet(f"{at}/{name}")
     s = store.Store(spark, at)
-    assert s.table("runs").count() == 1 and s.vacuum()["after"] > 0 and store.Store(spark, at).table("steps").count() == 5
+    assert s.table("runs").count() == 1 and s.vacuum(0)["after"] > 0 and store.Store(spark, at).table("steps").count() == 5
     assert not (tmp_path / "store/runs").exists()
 
 
