@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,6 +25,8 @@ from .common import give_back, small_batches, table, written
 SENT = 1_000_000
 #: Characters that are encoded at once: the library holds about 120 bytes a token.
 AT_ONCE = 1 << 19
+#: Parts of texts whose counts a task remembers, besides those of a batch; then it begins anew.
+REMEMBERED = 500_000
 CACHED = "content binary, n_tokens long"
 #: The normaliser and splitter of a vocabulary that takes no notice of ASCII letters' case or of how much white space there is.
 CASELESS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -77,23 +80,14 @@ class Tokens:
         library = {"json": tokenizers.__version__, "model": sentencepiece.__version__}[self.kind]
         return hashlib.sha256(f"1 {self.kind} {library} {self.special} ".encode() + self.data).hexdigest()
 
-    def pieces(self, text: str) -> list[str]:
-        """The text, or parts of it whose counts add up to its count where it may be cut: at spaces that the vocabulary drops."""
-        if len(text) <= AT_ONCE or self.special is None:
-            return [text]
-        out, at = [], 0
-        while len(text) - at > AT_ONCE and (cut := text.find(" ", at + AT_ONCE)) >= 0:
-            out.append(text[at:cut])
-            at = cut
-        return [*out, text[at:]]
-
-    def counter(self) -> Callable[[list[str]], list[int]]:
+    def library(self) -> Callable[[list[str]], list[int]]:
         """Counts of texts, without special tokens added, truncation or padding."""
         if self.kind == "model":
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_proto=self.data)
             return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core; threads would only wait for each other
         from tokenizers import Tokenizer
 
         coder = Tokenizer.from_str(self.data.decode())
@@ -101,6 +95,34 @@ class Tokens:
         coder.no_padding()
         return lambda texts: [len(x) for x in coder.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def counter(self) -> Callable[[list[str]], list[int]]:
+        """Counts of texts. Of a caseless vocabulary, a text's count is the sum of what ASCII white space parts, since no token spans it.
+
+        The library then sees each such part once while it is remembered; of other vocabularies, whole texts, AT_ONCE characters together.
+        """
+        library = self.library()
+
+        def whole(texts: list[str]) -> list[int]:
+            out, first, size = [], 0, 0
+            for i, text in enumerate(texts, 1):
+                size += len(text)
+                if size >= AT_ONCE or i == len(texts):
+                    out += library(texts[first:i])
+                    first, size = i, 0
+            return out
+
+        known: dict[bytes, int] = {}
+
+        def by_parts(texts: list[str]) -> list[int]:
+            if len(known) > REMEMBERED:
+                known.clear()
+            parts = [x.encode().split() for x in texts]
+            new = list(set().union(*parts).difference(known))
+            known.update(zip(new, whole([x.decode() for x in new]), strict=True))
+            return [sum(map(known.__getitem__, x)) for x in parts]
+
+        return whole if self.special is None else by_parts
+
 
 class Cache:
     """Stored counts: a folder for each append under path/version. One that wasn't written to its end isn't read."""
@@ -140,22 +162,7 @@ def encoded_counts(texts: DataFrame, tokens: Tokens) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = tokens.counter()
         for batch in batches:
-            out, held, size = [0] * batch.num_rows, [], 0
-
-            def flush() -> None:
-                for i, n in zip([i for i, _ in held], count([x for _, x in held]), strict=True):
-                    out[i] += n
-                held.clear()
-
-            for i, text in enumerate(batch.column(1)):
-                for piece in tokens.pieces(text.as_py()):
-                    held.append((i, piece))
-                    size += len(piece)
-                    if size >= AT_ONCE:
-                        flush()
-                        size = 0
-            flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["content", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(batch.column(1).to_pylist()), pa.int64())], ["content", "n_tokens"])
         give_back()
 
     return texts.select("content", "text").mapInArrow(run, CACHED)
@@ -165,8 +172,7 @@ def count_tokens(docs: DataFrame, tokens: Tokens, cache: Cache | None = None, id
     """Rows (id_col, n_bytes, n_tokens), one for each row of docs, repeated rows and null ids too.
 
     cache: where counts are stored and looked up; without one, a new one that ends with the session's intermediates. Null
-    texts are empty, with 0 tokens. A text of any length is encoded whole, in pieces cut at spaces where the vocabulary
-    allows it. Equal keys meet before the shuffle, so that copies, however many, cost a key. An empty table gives an empty one.
+    texts are empty, with 0 tokens. A text of any length is encoded whole. Equal keys meet before the shuffle, so that copies, however many, cost a key. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -17,6 +17,7 @@ from stepforge.shared import new_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = Tokens.read(PATH), Tokenizer.from_file(PATH)
+COUNT = WHOLE[0].counter()
 ODD = ["", None, " ", "ΑΣ σ <|endoftext|>x<|startoftext|>", "<|ENDOFTEXT|>", "a<|EndOfText|>b", "J̌ H̱", "ǰ ẖ", "they'll 'S İé é", "\x00\x1c\x85　", "x" * 30000, "Ab  c\n", "ab c", "ab\tC ", "ab\x0bc", "0123 ½ 中文 😀"]
 
 
@@ -104,15 +105,19 @@ def test_half_written_appends_double_ones_and_compaction(spark):
     assert sorted(map(tuple, count_tokens(docs, tokens, cache).collect()), key=str) == rows
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("aBcJ̱̌́ \t\n\x0b\x1c\x85'!0é<|>Σ"), max_size=12), st.integers(1, 5))
-def test_cut_texts_count_alike(text, most):
+@settings(max_examples=1000, deadline=None)
+@given(st.text(st.sampled_from("aBcJ̱̌́ \t\n\x0b\x1c\x85'!0é<|>Σ"), max_size=12), st.integers(0, 2))
+def test_parts_of_a_text_add_up(text, specials):
     tokens, coder = WHOLE
-    before, op11_counts.AT_ONCE = op11_counts.AT_ONCE, most
-    try:
-        assert sum(count(coder, x) for x in tokens.pieces(text)) == count(coder, text)
-    finally:
-        op11_counts.AT_ONCE = before
+    text = "<|endoftext|>".join([text, "x"][: specials + 1]) if specials else text
+    assert COUNT([text, text]) == [count(coder, text)] * 2
+
+
+def test_counts_are_remembered_within_bounds(monkeypatch):
+    monkeypatch.setattr(op11_counts, "REMEMBERED", 2)
+    monkeypatch.setattr(op11_counts, "AT_ONCE", 3)
+    texts = ["a b c d e", "", "a  b", "f g h", "x" * 9]
+    assert WHOLE[0].counter()(texts) == [count(WHOLE[1], x) for x in texts]
 
 
 def test_texts_of_one_key_count_alike(spark, library):
