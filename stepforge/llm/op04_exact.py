@@ -53,9 +53,10 @@ def group_equal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text another row with a larger id has; of rows that repeat an id and a text, one stays.
+    """docs without the rows whose text another row with a larger id has; of rows that share an id and whose texts are equal, one stays.
 
-    Rows without an id have nothing to be ranked by, and all stay unless an equal text has an id.
+    Equal is equal after lower-casing A-Z, with null as empty. Of rows that share an id that one stays whose JSON comes last, whatever the order
+    of reading. Rows without an id have nothing to be ranked by, and all stay unless an equal text has an id.
     """
     groups = group_equal(docs, id_col, text_col).where("group_size > 1")
     gone = groups.where(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("gone"), F.col("text_sha256").alias("gone_sha")).distinct().hint("merge")
@@ -64,7 +65,11 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not missing.isEmpty():
         kept = kept.join(missing, kept[id_col].isNull() & (F.sha2(normalised(text_col), 256) == missing["sha"]), "left_anti")
     twice = groups.where(F.col(id_col).isNotNull()).groupBy(id_col, "text_sha256").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates([id_col, text_col])
+    if twice.isEmpty():
+        return kept
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("sha")).agg(F.max_by(row, F.to_json(row)).alias("row"))
+    return one.select("row.*").unionByName(kept.where(F.col(id_col).isNull()))
 
 
 def op4_exact_radix(spark: SparkSession, sf_dir: str) -> DataFrame:

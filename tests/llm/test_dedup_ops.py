@@ -151,6 +151,14 @@ def test_near_copies_by_jaccard(spark):
     assert op10_simhash.similar_classes(docs(spark, texts).where("false")).count() == 0
 
 
+def test_one_row_stays_of_equal_texts_of_one_id(spark):
+    rows = [(1, "Hello World", 5), (1, "hello world", 9), (1, "hello there", 0), (3, None, 1), (3, "", 2), (4, "Z", 1), (4, "Z", 2), (None, "n", 1), (None, "N", 2), (5, "hello there", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(5)
+    for _ in range(2):
+        got = sorted(map(tuple, op04_exact.without_copies(df.repartition(3, "extra")).collect()), key=str)
+        assert [r[0] for r in got] == [1, 3, 4, 5, None, None] and got == sorted([(1, "hello world", 9), (3, "", 2), (4, "Z", 2), (5, "hello there", 7), (None, "N", 2), (None, "n", 1)], key=str)
+
+
 def test_rows_that_share_an_id_go_by_their_text(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text), (2, text + " more"), (2, "something else that nothing resembles at all")]
