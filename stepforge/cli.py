@@ -18,8 +18,9 @@ from .functions import crypto
 from .operators import analyze, anchors, diff, integrity, policy, proofs, redact, report, search
 from .operators.store import GRACE, Store
 from .schema import Wire
+from .shared import new_path
 from .sources import recorder, traces
-from .streaming import live
+from .streaming import live, stateful
 
 COMMANDS = "open sessions demo verify check diff search report list serve tail watch recover keygen redact vacuum export anchor".split()
 
@@ -172,13 +173,17 @@ class Cli:
 
     def tail(self, a) -> int:
         """Follow a journal folder, or one run in it: steps as they come, each warning once."""
-        tail = live.Tail(self.spark, a.folder, a.run)
-        while True:
-            for e in tail.poll():
-                print(json.dumps(e, ensure_ascii=False) if a.json else "  ".join(str(v) for k, v in e.items() if k != "event" or v != "step"))
-            if a.once:
-                return 0
-            time.sleep(max(100, a.interval) / 1000)
+        told = stateful.followed(self.spark, a.folder)
+
+        def tell(batch: DataFrame, number: int) -> None:
+            for r in batch.toLocalIterator():
+                e = {k: v for k, v in r.asDict().items() if v is not None and k != "file"}
+                print(json.dumps(e, ensure_ascii=False) if a.json else "  ".join(str(v) for k, v in e.items() if k not in ("step_ids", "event") or v == "warning"))
+
+        writer = (told.where(F.col("run_id") == a.run) if a.run else told).writeStream.option("checkpointLocation", a.checkpoint or new_path(self.spark, "tail")).foreachBatch(tell)
+        query = (writer.trigger(availableNow=True) if a.once else writer.trigger(processingTime=f"{max(100, a.interval)} milliseconds")).start()
+        query.awaitTermination()
+        return 0
 
     def settled(self, a) -> tuple[DataFrame, DataFrame]:
         recordings, steps = traces.journals(traces.lines(self.spark, a.folder))
@@ -302,6 +307,7 @@ def parser() -> argparse.ArgumentParser:
     for c in ("sessions", "serve", "tail", "watch", "recover", "keygen"):
         made[c].add_argument("folder")
     made["tail"].add_argument("--run")
+    made["tail"].add_argument("--checkpoint", help="a folder that remembers what was told; without it all is told from the start")
     made["tail"].add_argument("--interval", type=int, default=500, help="milliseconds between polls, 100 at least")
     for c in ("serve", "tail", "watch"):
         made[c].add_argument("--once", action="store_true")

@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 
 from ..functions.canonical import canonical, number_text
 from ..schema import HIGH_COST, LOOP_LENGTH
-from ..shared import new_path
-
 
 #: The messages of warnings.
 MESSAGES = {
@@ -36,27 +34,6 @@ def assemble(drafts: DataFrame, time: str = "started_at", arrival: str = "ord")
     return out.withColumn("id", F.concat_ws(":", F.col("run_id").cast("string"), F.col("index").cast("string")))
 
 
-def assemble_wide(drafts: DataFrame, time: str = "started_at", arrival: str = "ord", partitions: int | None = None) -> DataFrame:
-    """assemble() for runs too long for one task: a run's steps may lie in many ranges of (run, time, arrival).
-
-    Each range numbers its rows; a row of counts for each run and range, one for most runs, gives where its numbers start.
-    The ranges are written to spark.checkpoint.dir once, so that both uses see the same ones.
-    """
-    spark = drafts.sparkSession
-    path = new_path(spark, "ranges")
-    ms = F.unix_millis(F.col(time).cast("timestamp"))
-    keyed = drafts.withColumn("_ms", ms)
-    order = ["run_id", "_ms", arrival]
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).write.parquet(path)
-    ranged = spark.read.parquet(path)
-    parts = ranged.groupBy("run_id", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("run_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = ranged.join(parts.withColumn("_before", before), ["run_id", "_part"]).withColumn("index", F.col("_at") - F.col("_first") + F.col("_before"))
-    out = out.withColumn("id", F.concat_ws(":", F.col("run_id").cast("string"), F.col("index").cast("string")))
-    return out.drop("_ms", "_part", "_at", "_n", "_first", "_before")
-
-
 def fold_sum(index: str, value: str) -> Column:
     """The sum of a column as a left fold in step order, bit for bit: aggregate column."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(index), F.coalesce(F.col(value), F.lit(0.0)).alias("x"))))

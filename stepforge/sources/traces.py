@@ -24,11 +24,16 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 def lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """Rows (file, modified, line, raw) of all lines under a folder; line numbers count from 1, blank lines too.
 
-    Files are read in splits of any size, and numbered by a window over them: no row is larger than a line.
+    Files are read in splits of any size. Lines are numbered within their split, and from how many the splits before it have, so that one
+    large file is spread over as many tasks as it has splits.
     """
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
     placed = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
-    return placed.select("file", "modified", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")).alias("line"), "raw")
+    sizes = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = placed.withColumn("own", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
+    return own.join(before, ["file", "block"]).select("file", "modified", (F.col("before") + F.col("own")).cast("int").alias("line"), "raw")
 
 
 def member(json: Column, path: str) -> Column:

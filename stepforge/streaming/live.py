@@ -128,40 +128,6 @@ def provisional(recordings: DataFrame, steps: DataFrame) -> tuple[DataFrame, Dat
     return runs.orderBy(F.desc("modified")), analyze.warnings(steps)
 
 
-class Tail:
-    """Follows recordings: each poll() gives the steps that are new since the last one, and each warning once."""
-
-    def __init__(self, spark: SparkSession, folder: str, run_id: str | None = None):
-        self.spark, self.folder, self.run_id = spark, folder, run_id
-        self.printed: dict[str, int] = {}
-        self.warned: set[tuple] = set()
-
-    def poll(self) -> list[dict]:
-        """Events in step order: {event: step, ...}, then {event: warning, ...}; {event: ended} for a recording that is gone."""
-        from ..sources import traces
-
-        recordings, steps = traces.journals(traces.lines(self.spark, self.folder))
-        if self.run_id:
-            recordings, steps = recordings.where(F.col("run_id") == self.run_id), steps.where(F.col("run_id") == self.run_id)
-        runs, warnings = provisional(recordings, steps)
-        out: list[dict] = []
-        here = {r["run_id"]: r["steps"] for r in runs.select("run_id", "steps").collect()}
-        for gone in [r for r in self.printed if r not in here]:
-            out.append({"event": "ended", "run_id": gone})
-            del self.printed[gone]
-        grown = {r: self.printed.get(r, 0) for r, n in here.items() if n > self.printed.get(r, 0)}
-        if grown:
-            since = F.create_map(*[F.lit(x) for pair in grown.items() for x in pair])
-            new = steps.where(F.col("run_id").isin(*grown)).where(F.col("pos") >= since[F.col("run_id")]).orderBy("run_id", "pos")
-            out += [{"event": "step", **r.asDict()} for r in new.select("run_id", "index", "type", "label", "cost", "tokens").collect()]
-            for w in warnings.where(F.col("run_id").isin(*grown)).orderBy("run_id", "ord").collect():
-                if (key := (w["run_id"], w["kind"], *w["step_ids"])) not in self.warned:
-                    self.warned.add(key)
-                    out.append({"event": "warning", "run_id": w["run_id"], "kind": w["kind"], "message": w["message"]})
-        self.printed.update(here)
-        return out
-
-
 def journal_lines(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the lines of journal files. A file is read once, so that a producer writes one for each batch of events."""
     return spark.readStream.text(path).select("value", F.col("_metadata.file_path").alias("file"))

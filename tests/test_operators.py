@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stepforge.functions import canonical as canon
 from stepforge.functions import crypto, second
-from stepforge.operators import analyze, anchors, diff, fleet, integrity, policy, redact, report, search, store
+from stepforge.operators import analyze, anchors, diff, fleet, integrity, long_runs, policy, redact, report, search, store
 from stepforge.schema import STEP_SCHEMA, Wire
 from stepforge.sources import traces
 from stepforge.streaming import live
@@ -582,34 +582,71 @@ def test_ended_runs_continue(spark, tmp_path):
     assert [(r["run_id"], r["status"], r["steps"]) for b in out for r in b] == [("r", "running", 1), ("r", "completed", 1), ("r-2", "running", 1), ("r-2", "running", 2)]
 
 
-def test_tail_gives_steps_and_warnings_once(spark, tmp_path):
+def test_recordings_in_progress_are_analysed(spark, tmp_path):
     from stepforge.sources.recorder import Recorder
 
     r = Recorder("followed", str(tmp_path / "j"), "f1")
-    call = lambda: r.step("tool_call", "Tool: db", "db", cost=1.0, input={"q": 1})
-    tail = live.Tail(spark, str(tmp_path / "j"))
-    call()
-    assert [(e["event"], e.get("index")) for e in tail.poll()] == [("step", 0)]
-    assert tail.poll() == []
-    call(), call(), r.step("error", "broke")
-    told = tail.poll()
-    assert [e["event"] for e in told] == ["step"] * 3 + ["warning"] * 2 and [e["kind"] for e in told[3:]] == ["loop", "error"]
-    r.step("plan", "p")
-    assert [e["event"] for e in tail.poll()] == ["step"]
+    for _ in range(3):
+        r.step("tool_call", "Tool: db", "db", cost=1.0, input={"q": 1})
+    r.step("error", "broke"), r.step("plan", "p")
     runs, warned = live.provisional(*traces.journals(traces.lines(spark, str(tmp_path / "j"))))
     row = runs.first()
     assert (row["status"], row["run_hash"], row["steps"], row["cost"], row["chain_ok"]) == ("running", "", 5, 3.0, True) and warned.count() == 2
-    for f in (tmp_path / "j").iterdir():
-        f.unlink()
-    assert [e["event"] for e in tail.poll()] == ["ended"]
+
+
+def long_steps(spark):
+    """A long run and short ones whose calls repeat in many ways, over ranges that cut them anywhere."""
+    rng, rows = random.Random(8), []
+    for run, n in (("long", 700), ("r1", 3), ("r2", 40), ("s", 1)):
+        kind, tool, text = "plan", None, None
+        for i in range(n):
+            if rng.random() < 0.2:
+                kind, tool = rng.choice([("tool_call", "a"), ("tool_call", "b"), ("plan", None), ("tool_call", None), ("approval", "a")])
+                text = rng.choice(['{"k":1}', None, '"x"'])
+            said = rng.choice(['{"k":1}', '{ "k": 1.0}']) if text == '{"k":1}' else rng.choice([None, "null"]) if text is None else text
+            rows.append(step(run, i, kind, tool, input=said, cost=float(rng.randint(0, 9)), tokens=1.0))
+    return steps_of(spark, rows)
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 50])
+def test_long_runs_over_ranges_give_what_windows_give(spark, partitions):
+    steps = long_steps(spark).cache()
+    rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    columns = ("run_id", "index", "cum_tokens", "cum_cost", "cum_duration_ms", "cum_steps")
+    assert rows(long_runs.running(steps, partitions), *columns) == rows(analyze.running(steps), *columns)
+    columns = ("run_id", "tool_name", "run_length", "first_index", "last_index")
+    for by_tool in (False, True):
+        want = rows(analyze.loops(steps, by_tool=by_tool), *columns)
+        assert rows(long_runs.loops(steps, by_tool=by_tool, partitions=partitions), *columns) == want and len(want) > 20
+    chained = integrity.chain(steps.withColumn("canonical", F.concat("id", F.lit("x")))).cache()
+    spoiled = chained.withColumn("canonical", F.when(F.col("run_id").isin("long", "s") & (F.col("pos") % 300 == 299), "y").otherwise(F.col("canonical"))).withColumn("hash", F.when((F.col("run_id") == "r2") & (F.col("pos") == 20), "z").otherwise(F.col("hash")))
+    for df in (chained, spoiled):
+        assert rows(long_runs.broken_links(df, partitions=partitions), "run_id", "broken_index") == rows(integrity.broken_links(df), "run_id", "broken_index")
+    assert long_runs.is_long(steps, 699) and not long_runs.is_long(steps, 700)
+    assert rows(long_runs.by_size(steps, analyze.running, long_runs.running, 5), "run_id", "index", "cum_cost") == rows(analyze.running(steps), "run_id", "index", "cum_cost")
 
 
 def test_long_runs_are_numbered_across_ranges(spark):
     rng = random.Random(8)
     rows = [("long" if i % 3 else f"r{i % 11}", f"2024-01-01T00:00:{rng.randrange(60):02d}.000Z", i) for i in range(900)]
     df = spark.createDataFrame(rows, "run_id string, started_at string, ord int")
-    wide = sorted((r["id"], r["ord"]) for r in analyze.assemble_wide(df, partitions=7).collect())
+    wide = sorted((r["id"], r["ord"]) for r in long_runs.assemble(df, partitions=7).collect())
     assert wide == sorted((r["id"], r["ord"]) for r in analyze.assemble(df).collect())
+    assert long_runs.assemble(df.where("false")).count() == 0
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    texts = {"a.jsonl": "".join(f"line {i}\n" * (i % 3 != 1) + "\n" * (i % 3 == 1) for i in range(900)), "b.jsonl": "one\ntwo", "c.jsonl": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("300b", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = sorted((r["file"].split("/")[-1], r["line"], r["raw"]) for r in traces.lines(spark, str(tmp_path)).collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert got == sorted((n, i, x) for n, t in texts.items() for i, x in enumerate(t.removesuffix("\n").split("\n") if t else [], 1))
 
 
 def test_median_and_warnings(spark):
