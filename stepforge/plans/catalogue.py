@@ -112,17 +112,17 @@ BY_INPUT = LOOPS.replace("lag(tool_name) OVER w IS NOT DISTINCT FROM tool_name",
 SENT = "sent AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 0 ELSE CAST(json_extract(input, '$.k') AS BIGINT) % 2 END AS sent FROM steps)"
 
 
-def repeating_steps(spark, sf):
-    """Steps of events whose inputs repeat, written in four ways: {"k":1}, {"k": 1.0} and the like; of each eleventh event the input is absent or null."""
+def repeating(steps: DataFrame) -> DataFrame:
+    """Steps with inputs that repeat, written in three ways: {"k":1}, { "k" : 1.0 } and the like; others, and each eleventh, are absent or null."""
     k = F.get_json_object("input", "$.k").cast("long") % 2
     odd = F.when(k == 1, F.when(F.col("ord") % 3 == 0, '{"k":1}').when(F.col("ord") % 3 == 1, '{ "k" : 1.0 }').otherwise('{"k":10e-1}'))
-    return driver.event_steps(spark, sf).withColumn("input", F.when(F.col("ord") % 11 == 0, F.when(F.col("ord") % 2 == 0, "null")).otherwise(F.coalesce(odd, F.when(F.col("ord") % 2 == 0, "null"))))
+    return steps.withColumn("input", F.when(F.col("ord") % 11 == 0, F.when(F.col("ord") % 2 == 0, "null")).otherwise(F.coalesce(odd, F.when(F.col("ord") % 2 == 0, "null"))))
 
 
 @query(f"WITH {STEPS}, {SENT}, {BY_INPUT.replace('FROM steps WINDOW', 'FROM sent WINDOW')} SELECT * FROM loops")
 def loops_by_input(spark, sf):
     """Calls of one tool in a row with one input, however that is written; some runs of calls by tool alone are no loops, or shorter ones."""
-    return analyze.loops(repeating_steps(spark, sf))
+    return analyze.loops(repeating(driver.event_steps(spark, sf)))
 
 
 @query(f"WITH {STEPS}, {LOOPS} SELECT run_id, min(first_index) AS first_index, max(last_index) AS last_index FROM loops GROUP BY run_id")

@@ -16,16 +16,20 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events: clicks, views and purchases call a tool, a signup approves, an error fails."""
     kind = F.col("event_type")
     call = kind.isin("click", "view", "purchase")
-    drafts = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ord"),
         F.when(call, "tool_call").when(kind == "signup", "approval").otherwise("error").alias("type"),
         F.when(call, kind).alias("tool_name"), kind.alias("label"), F.col("value").alias("cost"), (F.col("event_id") % 100).cast("double").alias("tokens"), F.col("props").alias("input"),
     )
-    out = assemble(drafts, "ts", "ord")
+
+
+def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_drafts() in order, with the time to the next one."""
+    out = assemble(event_drafts(spark, sf_dir), "ts", "ord")
     gap = F.unix_millis(F.lead("ts").over(in_run())) - F.unix_millis("ts")
     return out.withColumns({"duration_ms": F.greatest(F.lit(0), F.coalesce(gap, F.lit(0))).cast("double"), "started_at": iso(F.col("ts")), "pos": F.col("index")})
 
