@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import crypto
+from ..functions import crypto, second
 from ..operators import analyze, anchors, diff, integrity, policy, redact, report
 from ..operators.store import Store
 from ..shared import new_path
@@ -55,19 +55,49 @@ def sealed_runs(spark, sf):
     return sealed(spark, sf)[0].select("run_id", F.col("totals.steps").alias("steps"), "run_hash")
 
 
-@query(f"{SEALED} SELECT run_id, CASE u % 5 WHEN 1 THEN 'chain' WHEN 2 THEN 'anchor' WHEN 3 THEN 'version' WHEN 4 THEN 'anchor' END AS failure, CASE u % 5 WHEN 1 THEN 1 WHEN 2 THEN n - 1 WHEN 4 THEN n - 1 END AS broken_index, CASE WHEN u % 5 IN (0, 2) THEN run_hash END AS right_hash FROM sealed")
-def run_verdicts(spark, sf):
+VERDICTS = f"{SEALED} SELECT run_id, CASE u % 5 WHEN 1 THEN 'chain' WHEN 2 THEN 'anchor' WHEN 3 THEN 'version' WHEN 4 THEN 'anchor' END AS failure, CASE u % 5 WHEN 1 THEN 1 WHEN 2 THEN n - 1 WHEN 4 THEN n - 1 END AS broken_index, CASE WHEN u % 5 IN (0, 2) THEN run_hash END AS right_hash FROM sealed"
+
+
+def spoiled(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Of each five runs, one is left alone, and the others have a step, the run's hash, its version or its name changed."""
     runs, steps = sealed(spark, sf)
     changed = F.when((F.col("u") % 5 == 1) & (F.col("pos") == 1), F.concat("label", F.lit("!"))).otherwise(F.col("label"))
     runs = runs.withColumns({"run_hash": F.when(F.col("u") % 5 == 2, F.reverse("run_hash")).otherwise(F.col("run_hash")), "hash_version": F.when(F.col("u") % 5 == 3, 9).otherwise(F.col("hash_version")), "name": F.when(F.col("u") % 5 == 4, "m").otherwise(F.col("name"))})
-    found = integrity.verify_runs(runs, steps.withColumn("label", changed))
+    return runs, steps.withColumn("label", changed)
+
+
+@query(VERDICTS)
+def run_verdicts(spark, sf):
+    runs, steps = spoiled(spark, sf)
+    found = integrity.verify_runs(runs, steps)
     right = F.when(F.substring("run_id", 2, 20).cast("long") % 5 < 3, F.col("expected_hash"))
     return found.select("run_id", "failure", "broken_index", right.alias("right_hash"))
 
 
-@query(f"{SEALED} SELECT run_id, TRUE AS ok, u % 7 <> 0 AS signature_ok, NOT (u % 2 = 0 AND u % 3 = 0) AS seal_ok, u % 2 = 0 AND u % 3 <> 0 AS attested, u % 7 <> 0 AND NOT (u % 2 = 0 AND u % 3 = 0) AS all_ok, CASE WHEN u % 2 = 0 THEN n ELSE 0 END AS redacted FROM sealed")
-def full_verdicts(spark, sf):
+def as_records(runs: DataFrame, steps: DataFrame) -> DataFrame:
+    """Rows (run_id, text, n): each run with its steps as the JSON of a record; a run's steps meet in one row, as in the record."""
+    payload = lambda c: F.parse_json(c).alias(c)
+    step = F.struct("pos", "id", F.col("run_id").alias("runId"), "index", "type", "label", F.col("started_at").alias("startedAt"), F.col("duration_ms").alias("durationMs"), "tokens", "cost", F.col("tool_name").alias("toolName"), payload("input"), payload("output"), F.parse_json("data_payload").alias("dataPayload"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), F.col("prev_hash").alias("prevHash"), "hash", "commitments", "salts", "redactions")
+    by_place = lambda x: F.array_sort(x, lambda a, b: (a["pos"] - b["pos"]).cast("int"))
+    held = steps.groupBy("run_id").agg(by_place(F.collect_list(step)).alias("steps"), F.count(F.lit(1)).alias("n"))
+    more = [F.col(c).alias(n) for c, n in (("signature", "signature"), ("redaction_seal", "redactionSeal")) if c in runs.columns]
+    head = F.struct(F.col("run_id").alias("id"), "name", F.col("started_at").alias("startedAt"), F.col("ended_at").alias("endedAt"), "status", "currency", "totals", F.col("run_hash").alias("runHash"), F.col("hash_version").alias("hashVersion"), *more, "steps")
+    return runs.join(held, "run_id").select("run_id", F.to_json(head).alias("text"), "n")
+
+
+@query(VERDICTS.replace(", CASE WHEN u % 5 IN (0, 2) THEN run_hash END AS right_hash", ""))
+def second_verdicts(spark, sf):
+    """The same runs as records, judged by the second verifier."""
+    said = as_records(*spoiled(spark, sf)).select("run_id", "n", second.second_opinion("text").alias("x"))
+    failure = F.when(~F.col("x.version"), "version").when(~F.col("x.chain"), "chain").when(~F.col("x.anchor"), "anchor")
+    at = F.coalesce("x.broken", F.when(failure == "anchor", F.col("n") - 1))
+    return said.select("run_id", failure.alias("failure"), at.alias("broken_index"))
+
+
+FULL = f"{SEALED} SELECT run_id, TRUE AS ok, u % 7 <> 0 AS signature_ok, NOT (u % 2 = 0 AND u % 3 = 0) AS seal_ok, u % 2 = 0 AND u % 3 <> 0 AS attested, u % 7 <> 0 AND NOT (u % 2 = 0 AND u % 3 = 0) AS all_ok, CASE WHEN u % 2 = 0 THEN n ELSE 0 END AS redacted FROM sealed"
+
+
+def redacted_runs(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Runs with committed payloads, signed. Even ones have their inputs redacted and that sealed; every third seal and every seventh signature is spoiled."""
     s = redact.commit(records(spark, sf), salt=lambda step, path: f"s{step}")
     heads = analyze.summaries(s).select("run_id", F.lit("n").alias("name"), "started_at", "ended_at", "status", F.lit("USD").alias("currency"))
@@ -79,7 +109,21 @@ def full_verdicts(spark, sf):
     runs = integrity.seal_redactions(integrity.sign_runs(runs, private, public, AT), steps, private, public, AT)
     spoil = lambda c, name, where: F.when(where & F.col(c).isNotNull(), F.col(c).withField(name, F.lit("2025-01-01T00:00:00.000Z"))).otherwise(F.col(c))
     runs = runs.withColumns({"signature": spoil("signature", "signedAt", u % 7 == 0), "redaction_seal": spoil("redaction_seal", "sealedAt", u % 3 == 0)})
-    return integrity.verify_full(runs, steps).select("run_id", "ok", "signature_ok", "seal_ok", "attested", "all_ok", F.size("redacted").cast("long").alias("redacted"))
+    return runs, steps
+
+
+@query(FULL)
+def full_verdicts(spark, sf):
+    found = integrity.verify_full(*redacted_runs(spark, sf))
+    return found.select("run_id", "ok", "signature_ok", "seal_ok", "attested", "all_ok", F.size("redacted").cast("long").alias("redacted"))
+
+
+@query(FULL.replace(", CASE WHEN u % 2 = 0 THEN n ELSE 0 END AS redacted", ""))
+def second_full_verdicts(spark, sf):
+    """The same by the second verifier: commitments, signatures and seals."""
+    x = as_records(*redacted_runs(spark, sf)).select("run_id", second.second_opinion("text").alias("x"))
+    fine = F.col("x.parsed") & F.col("x.version") & F.col("x.chain") & F.col("x.commitments") & F.col("x.anchor")
+    return x.select("run_id", fine.alias("ok"), F.col("x.signature").alias("signature_ok"), F.col("x.seal").alias("seal_ok"), "x.attested", F.col("x.ok").alias("all_ok"))
 
 
 @query(f"{SEALED} SELECT run_id, TRUE AS authentic, n AS steps, approvals, TRUE AS complete FROM sealed")
