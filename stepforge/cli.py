@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import crypto
-from .operators import analyze, anchors, diff, integrity, policy, proofs, redact, report, search
+from .operators import analyze, anchors, diff, integrity, policy, proofs, redact, report
 from .operators.store import GRACE, Store
 from .schema import Wire
 from .shared import new_path
@@ -64,7 +64,7 @@ class Cli:
         runs, steps = self.store.table("runs"), self.store.table("steps")
         if runs is None:
             raise SystemExit("the store is empty")
-        return (runs.where(F.col("run_id") == run_id), steps.where(F.col("run_id") == run_id)) if run_id else (runs, steps)
+        return self.store.run(run_id) if run_id else (runs, steps)
 
     def take(self, docs: DataFrame) -> int:
         """Store native documents and OTLP exports; those refused are printed and counted, and nothing of them is stored."""
@@ -145,7 +145,8 @@ class Cli:
         return int(a.fail_on_change and not same)
 
     def search(self, a) -> int:
-        show(search.search(self.frames()[1], a.text, a.limit), a.json)
+        self.frames()
+        show(self.store.search(a.text, a.limit), a.json)
         return 0
 
     def report(self, a) -> int:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import part_index, search
+
 SCHEMA_VERSION = 3
 TABLES = ("runs", "steps")
 #: Hours that a part stays on disk after the last commit that names it, for readers, and that one may lie unnamed before it counts as the rest of a crash.
@@ -187,7 +189,7 @@ class Store:
             self.undo(made)
 
     def get(self, run_id: str) -> DataFrame:
-        return self.table("runs").where(F.col("run_id") == run_id)
+        return self.run(run_id)[0]
 
     def list(self) -> DataFrame:
         return self.table("runs").select("run_id", "name", "started_at", "ended_at", "status", "currency", "ingested_at").orderBy(F.desc("ingested_at"))
@@ -283,9 +285,65 @@ class Store:
             n = x.getPath().getName()[:-5]
             if n.isdigit() and int(n) < last and x.getModificationTime() <= old:
                 self.fs.delete(x.getPath(), False)
+        self.index()
         after = self.bytes()
         return {"before": before, "after": after, "reclaimed": max(0, before - after)}
 
+    # ---- lookups
+
+    def index(self, fields: tuple[str, ...] = search.FIELDS) -> int:
+        """Make filters of the parts that have none, of run ids in every table and of the texts of steps in these fields; how many parts that were.
+
+        Filters of parts that are gone are left behind when all are written anew, once half of them are.
+        """
+        tables = self.read()[1]
+        have = {r[0] for r in self.stats().select("part").distinct().collect()}
+        todo = [(name, p["path"]) for name, t in tables.items() for p in t["parts"] if p["path"] not in have]
+        fresh = None
+        for name, path in todo:
+            rows = self.frame(T.StructType.fromJson(tables[name]["schema"]), [{"path": path}])
+            own = part_index.id_filters(rows, path)
+            texts = tuple(f for f in fields if f in rows.columns) if name == "steps" else ()
+            own = own.unionByName(part_index.text_filters(rows, path, texts)) if texts else own
+            fresh = own if fresh is None else fresh.unionByName(own)
+        if fresh is not None:
+            stale = len(have - named(tables)) * 2 > len(have)
+            old = self.stat_folders()
+            if stale:
+                live = self.spark.createDataFrame([(p,) for p in sorted(named(tables))], "part string")
+                fresh = fresh.unionByName(self.stats().join(F.broadcast(live), "part", "left_semi"))
+            fresh.coalesce(max(1, len(todo) // 64)).write.parquet(f"{self.path}/_stats/{uuid.uuid4().hex}")
+            if stale:
+                self.erase([x.removeprefix(self.path + "/") for x in old])
+        return len(todo)
+
+    def stat_folders(self) -> list[str]:
+        folder = self.fs_path(f"{self.path}/_stats")
+        names = [x.getPath().getName() for x in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        return [f"{self.path}/_stats/{n}" for n in sorted(names) if self.fs.exists(self.fs_path(f"{self.path}/_stats/{n}/_SUCCESS"))]
+
+    def stats(self) -> DataFrame:
+        folders = self.stat_folders()
+        return self.spark.read.schema(part_index.FILTERS).parquet(*folders) if folders else self.spark.createDataFrame([], part_index.FILTERS)
+
+    def holding(self, name: str, keys: list[tuple[str, str]]) -> DataFrame:
+        """A table's rows from the parts in which some field may have all its keys; keys: (field, key)."""
+        table = self.read()[1][name]
+        wanted = self.spark.createDataFrame(sorted(set(keys)), "field string, key string")
+        out = {r[0] for r in part_index.excluded(self.stats(), wanted).collect()} if keys and self.stat_folders() else set()
+        parts = [p for p in table["parts"] if p["path"] not in out]
+        schema = T.StructType.fromJson(table["schema"])
+        return self.frame(schema, parts) if parts else self.spark.createDataFrame([], schema)
+
+    def run(self, run_id: str) -> tuple[DataFrame, DataFrame]:
+        """(runs, steps) of one run, from the parts that may hold it."""
+        return tuple(self.holding(name, [("run_id", run_id)]).where(F.col("run_id") == run_id) for name in TABLES)
+
+    def search(self, needle: str, limit: int | None = 50, fields: tuple[str, ...] = search.FIELDS) -> DataFrame:
+        """search.search() over the stored steps, from the parts whose texts have every piece of the needle."""
+        low = self.spark.range(1).select(F.explode(part_index.grams(F.lit(needle)))).collect()
+        return search.search(self.holding("steps", [(f, r[0]) for f in fields for r in low]), needle, limit, fields)
+
     def audit(self, event: str, detail: dict, at: str) -> None:
         line = json.dumps({"at": at, "event": event, **detail}, sort_keys=True)
         self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/audit")

@@ -308,6 +308,19 @@ def store_contents(spark, sf):
     return kept.table("runs").select("run_id").join(found, "run_id")
 
 
+@query(f"WITH {STEPS} SELECT 'r' || run_id AS run_id, index, 'input' AS field, input AS snippet FROM steps WHERE contains(lower(input), ': 42')")
+def stored_search(spark, sf):
+    """Runs stored in four parts with filters, and a search that opens those whose texts have every piece of the needle."""
+    s = records(spark, sf).drop("u")
+    runs = analyze.summaries(s).select("run_id", F.lit("n").alias("name"), "started_at", "ended_at", "status", F.lit("USD").alias("currency"))
+    kept = Store(spark, new_path(spark, "store"))
+    for k in range(4):
+        own = F.substring("run_id", 2, 20).cast("long") % 4 == k
+        kept.save(runs.where(own), s.where(own), f"2024-01-01T00:00:0{k}")
+    kept.index()
+    return kept.search(": 42", None)
+
+
 # ---- alignments known beforehand --------------------------------------------------------------------------------
 
 #: b is a without the steps 3, 8, 13 ..., with other tools in 1, 6, 11 ..., its first step last, and a new one after it.

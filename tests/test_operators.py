@@ -520,6 +520,32 @@ def test_a_replayed_trigger_stores_nothing(spark, trace, tmp_path, monkeypatch):
     assert s.save(runs_of(spark, "c"), trace.where("false"), "2024-01-01T10:00:03", batch=("other", 0)) and s.state()[1]["batches"] == {"serve": 1, "other": 0}
 
 
+def test_lookups_open_only_the_parts_that_may_hold_what_is_sought(spark, tmp_path):
+    rng, s = random.Random(3), store.Store(spark, f"file://{tmp_path}/store")
+    words = ["alpha", "BETA", "gamma", "delta", "épsilon", "zeta"]
+    for k in range(6):
+        rows = [step(f"r{k}-{j}", i, tool=rng.choice([None, "db"]), input=json.dumps({"q": f"{rng.choice(words)} {words[k]}{k} {rng.randrange(10**6)}"}, ensure_ascii=False)) for j in range(4) for i in range(3)]
+        ids = [f"r{k}-{j}" for j in range(4)]
+        runs = spark.createDataFrame([(i, "n", "s", "e", "completed", "USD") for i in ids], "run_id string, name string, started_at string, ended_at string, status string, currency string")
+        s.save(runs, steps_of(spark, rows), f"2024-01-0{k + 1}T00:00:00")
+    assert s.run("r3-1")[1].count() == 3 and len(s.run("r3-1")[1].inputFiles()) > 1
+    assert s.index() == 12 and s.index() == 0
+    folders = lambda df: {f.split("/data/")[1].split("/")[0] for f in df.inputFiles()}
+    runs, steps = s.run("r3-1")
+    assert (runs.count(), steps.count()) == (1, 3) and len(folders(runs)) == len(folders(steps)) == 1
+    assert s.run("nobody")[1].count() == 0 and s.get("r5-0").count() == 1
+    whole = s.table("steps")
+    needles = ["GAMMA2", "a", "ÉPSILON4", "nowhere", "db", '"q"'] + ["".join(rng.choice("abdelmtz0123456789 ") for _ in range(rng.randint(2, 4))) for _ in range(2)]
+    for needle in needles:
+        assert sorted(map(str, s.search(needle, None).collect())) == sorted(map(str, search.search(whole, needle, None).collect())), needle
+    assert len(folders(s.holding("steps", [(f, g) for f in search.FIELDS for g in ("gam", "amm", "mma", "ma2")]))) == 1
+    s.prune("2024-01-05T00:00:00")
+    assert s.run("r3-1")[1].count() == 0 and s.search("delta3").count() == 0 and s.search("zeta5").count() == 12
+    s.save(spark.createDataFrame([("late", "n", "s", "e", "completed", "USD")], runs.drop("ingested_at").schema), steps_of(spark, [step("late", 0, input='"gamma2"')]), "2024-02-01T00:00:00")
+    assert [r["run_id"] for r in s.search("GAMMA2").collect()] == ["late"]  # a part without filters is opened
+    assert s.index() == 2 and len(s.stat_folders()) == 1
+
+
 def test_two_writers_do_not_store_one_run_twice(spark, trace, tmp_path, monkeypatch):
     one, two = (store.Store(spark, f"file://{tmp_path}/store") for _ in range(2))
     plain, raced = one.commit, []
