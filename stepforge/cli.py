@@ -134,7 +134,7 @@ class Cli:
             raise SystemExit("both runs must be stored")
         pairs = self.spark.createDataFrame([("pair", a.a, a.b, len({r["currency"] for r in two}) == 1)], "pair string, a_run string, b_run string, same_currency boolean")
         own = steps.where(F.col("run_id").isin(a.a, a.b)).join(runs.select("run_id", "hash_version"), "run_id")
-        aligned = diff.alignments(pairs, own)
+        aligned = diff.alignments(pairs, own, exact=a.exact)
         leaves = diff.leaf_differences(aligned, pairs, diff.leaf_rows(own, wire=self.wire))
         found = diff.step_differences(aligned, pairs, own, leaves)
         show(diff.summary(found), a.json)
@@ -324,6 +324,7 @@ def parser() -> argparse.ArgumentParser:
     made["check"].add_argument("--markdown", action="store_true")
     made["diff"].add_argument("a")
     made["diff"].add_argument("b")
+    made["diff"].add_argument("--exact", action="store_true", help="search runs of any length for their alignment")
     made["diff"].add_argument("--all", action="store_true")
     made["diff"].add_argument("--fail-on-change", action="store_true")
     made["search"].add_argument("text")

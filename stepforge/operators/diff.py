@@ -7,6 +7,7 @@ Everything after the alignment is joins and aggregates.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict, deque
 from collections.abc import Sequence
 
@@ -19,13 +20,79 @@ from ..functions.canonical import leaves_udf
 from ..schema import JSON_NAMES, PAYLOADS, Wire
 
 CELLS = 4_000_000
+#: Bytes of rows that a search in bits keeps; beyond it, rows at intervals are kept and the others made again.
+KEPT = 64 << 20
 
 
-def subsequence(a: Sequence, b: Sequence, cells: int = CELLS) -> tuple[list[tuple[int, int]], bool]:
+class BitRows:
+    """Rows of a longest common subsequence's table as bits, from the last row up: bit k of row i is 0 where the length over the last k + 1 of b exceeds that over the last k.
+
+    A row is made from the one below by a few operations on whole integers. All rows are kept if they are few bytes, else each
+    so-manieth, between which a block of rows is made again as the walk comes to it: the root of their number, both times.
+    """
+
+    def __init__(self, a: Sequence, b: Sequence, kept: int = KEPT):
+        self.a, self.m, self.full = a, len(b), (1 << len(b)) - 1
+        places: dict[object, list[int]] = defaultdict(list)
+        for k, x in enumerate(reversed(b)):
+            places[x].append(k)
+        self.where = {x: self.bits(ks) for x, ks in places.items()}
+        n = len(a)
+        self.step = 1 if n * len(b) // 8 <= kept else math.isqrt(n) + 1
+        self.marks = {n: self.full}
+        row = self.full
+        for i in range(n - 1, -1, -1):
+            row = self.above(row, i)
+            if i % self.step == 0:
+                self.marks[i] = row
+        self.block: dict[int, int] = {}
+
+    def bits(self, places: list[int]) -> int:
+        out = bytearray(self.m // 8 + 1)
+        for k in places:
+            out[k >> 3] |= 1 << (k & 7)
+        return int.from_bytes(out, "little")
+
+    def above(self, row: int, i: int) -> int:
+        hit = row & self.where.get(self.a[i], 0)
+        return ((row + hit) | (row - hit)) & self.full
+
+    def row(self, i: int) -> int:
+        if i in self.marks:
+            return self.marks[i]
+        if i not in self.block:
+            low = i // self.step * self.step
+            top = min(low + self.step, len(self.a))
+            self.block, row = {}, self.marks[top]
+            for k in range(top - 1, low, -1):
+                self.block[k] = row = self.above(row, k)
+        return self.block[i]
+
+    def length(self, i: int, j: int) -> int:
+        """Of a longest common subsequence of a from i and b from j on."""
+        k = self.m - j
+        return k - (self.row(i) & ((1 << k) - 1)).bit_count()
+
+
+def exact_middle(a: Sequence, b: Sequence, kept: int = KEPT) -> list[tuple[int, int]]:
+    """The pairs that subsequence() would find in a table, in memory that grows with one side and the root of the other."""
+    rows, out, i, j = BitRows(a, b, kept), [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif not rows.row(i) >> (len(b) - 1 - j) & 1 or rows.length(i + 1, j) == rows.length(i, j):
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def subsequence(a: Sequence, b: Sequence, cells: int = CELLS, exact: bool = False) -> tuple[list[tuple[int, int]], bool]:
     """(pairs of a longest common subsequence, whether it was too large to search).
 
     Common ends are paired without a search. Of equally long ones, the one that leaves out of `a` first is taken. Too
-    large a middle pairs only the places where both agree.
+    large a middle pairs only the places where both agree; with exact it is searched in bits, and nothing is too large.
     """
     head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
     most = min(len(a), len(b)) - head
@@ -34,7 +101,10 @@ def subsequence(a: Sequence, b: Sequence, cells: int = CELLS) -> tuple[list[tupl
     out = [(k, k) for k in range(head)]
     n, m = len(mid_a), len(mid_b)
     large = n * m > cells
-    if large:
+    if large and exact:
+        out += [(head + i, head + j) for i, j in exact_middle(mid_a, mid_b)]
+        large = False
+    elif large:
         out += [(head + k, head + k) for k in range(min(n, m)) if mid_a[k] == mid_b[k]]
     elif n and m:
         codes = {x: i for i, x in enumerate(dict.fromkeys([*mid_a, *mid_b]))}
@@ -56,9 +126,9 @@ def subsequence(a: Sequence, b: Sequence, cells: int = CELLS) -> tuple[list[tupl
     return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)], large
 
 
-def align(a: list[tuple], b: list[tuple], cells: int = CELLS) -> tuple[list[tuple[int | None, int | None, bool]], bool]:
+def align(a: list[tuple], b: list[tuple], cells: int = CELLS, exact: bool = False) -> tuple[list[tuple[int | None, int | None, bool]], bool]:
     """([(place in a, place in b, moved)], degraded) in reading order; a and b hold (type, tool)."""
-    anchors, degraded = subsequence(a, b, cells)
+    anchors, degraded = subsequence(a, b, cells, exact)
     partner, moved = dict(anchors), set()
     taken = set(partner.values())
     free: dict[tuple, deque] = defaultdict(deque)
@@ -75,7 +145,7 @@ def align(a: list[tuple], b: list[tuple], cells: int = CELLS) -> tuple[list[tupl
         left = [i for i in range(a0 + 1, a1) if i not in partner]
         right = [j for j in range(b0 + 1, b1) if j not in taken]
         if left and right:
-            found, large = subsequence([a[i][0] for i in left], [b[j][0] for j in right], cells)
+            found, large = subsequence([a[i][0] for i in left], [b[j][0] for j in right], cells, exact)
             degraded |= large
             partner |= {left[x]: right[y] for x, y in found}
     holder = {j: i for i, j in partner.items()}
@@ -105,8 +175,11 @@ def align(a: list[tuple], b: list[tuple], cells: int = CELLS) -> tuple[list[tupl
     return out, degraded
 
 
-def alignments(pairs: DataFrame, steps: DataFrame, cells: int = CELLS) -> DataFrame:
-    """Rows (pair, ord, a_pos, b_pos, moved, degraded). One pair's types and tools meet in one task, no payload does."""
+def alignments(pairs: DataFrame, steps: DataFrame, cells: int = CELLS, exact: bool = False) -> DataFrame:
+    """Rows (pair, ord, a_pos, b_pos, moved, degraded). One pair's types and tools meet in one task, no payload does.
+
+    cells: the product of lengths up to which a pair is searched in a table; exact: larger ones are searched too, and none is degraded.
+    """
     slim = steps.select("run_id", "pos", "type", F.coalesce("tool_name", F.lit("")).alias("tool"))
     side = lambda run: pairs.select("pair", F.col(run).alias("run_id")).join(slim, "run_id").select("pair", "pos", "type", "tool")
 
@@ -116,7 +189,7 @@ def alignments(pairs: DataFrame, steps: DataFrame, cells: int = CELLS) -> DataFr
         cut: list[list] = [[], []]
         for which, *x in sorted(zip(*(rows.column(c).to_pylist() for c in ("side", "pos", "type", "tool")), strict=True)):
             cut[which].append(x)
-        found, degraded = align(*[[(kind, tool) for _, kind, tool in x] for x in cut], cells)
+        found, degraded = align(*[[(kind, tool) for _, kind, tool in x] for x in cut], cells, exact)
         place = lambda x, k: None if k is None else x[k][0]
         return pa.table({"pair": pa.array([key[0].as_py()] * len(found), pa.string()), "ord": pa.array(range(len(found)), pa.int64()), "a_pos": pa.array([place(cut[0], i) for i, _, _ in found], pa.int64()), "b_pos": pa.array([place(cut[1], j) for _, j, _ in found], pa.int64()), "moved": pa.array([m for _, _, m in found], pa.bool_()), "degraded": pa.array([degraded] * len(found), pa.bool_())})
 

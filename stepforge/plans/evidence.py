@@ -345,13 +345,23 @@ def edited(spark, sf) -> tuple[DataFrame, DataFrame]:
     return user.select("pair", F.concat(F.lit("a"), "pair").alias("a_run"), F.concat(F.lit("b"), "pair").alias("b_run"), F.lit(True).alias("same_currency")), steps
 
 
-@query(f"WITH {EDITED} SELECT a.pair, a.index AS ord, a.index AS a_pos, b_pos, a.n >= 5 AND a.index = 0 AS moved FROM a LEFT JOIN b ON b.pair = a.pair AND b.index = a.index UNION ALL SELECT pair, n, NULL, m, FALSE FROM new")
+ALIGNED = f"WITH {EDITED} SELECT a.pair, a.index AS ord, a.index AS a_pos, b_pos, a.n >= 5 AND a.index = 0 AS moved FROM a LEFT JOIN b ON b.pair = a.pair AND b.index = a.index UNION ALL SELECT pair, n, NULL, m, FALSE FROM new"
+
+
+@query(ALIGNED)
 def align_known(spark, sf):
     """Common, moved, gap-paired, removed and added steps."""
     pairs, steps = edited(spark, sf)
     return diff.alignments(pairs, steps).select("pair", "ord", "a_pos", "b_pos", "moved")
 
 
+@query(ALIGNED)
+def align_known_in_bits(spark, sf):
+    """The same by the search that has no largest size."""
+    pairs, steps = edited(spark, sf)
+    return diff.alignments(pairs, steps, cells=0, exact=True).where("not degraded").select("pair", "ord", "a_pos", "b_pos", "moved")
+
+
 @query(f"WITH {EDITED} SELECT a.pair, count(*) FILTER (WHERE a.n < 5 OR a.index % 5 IN (0, 2, 4)) AS same, count(*) FILTER (WHERE a.n >= 5 AND a.index % 5 = 1) AS changed, 1 AS added, count(*) FILTER (WHERE a.n >= 5 AND a.index % 5 = 3) AS removed, count(*) FILTER (WHERE a.n >= 5 AND a.index = 0) AS moved FROM a GROUP BY a.pair")
 def diff_known(spark, sf):
     pairs, steps = edited(spark, sf)

@@ -185,6 +185,35 @@ def test_loops_follow_tool_and_input(spark):
     assert analyze.loops(mixed).count() == 0
 
 
+@pytest.mark.parametrize("kept", [0, diff.KEPT])
+def test_alignments_in_bits_are_those_of_the_table(monkeypatch, kept):
+    monkeypatch.setattr(diff.exact_middle, "__defaults__", (kept,))
+    rng = random.Random(4)
+    for _ in range(300):
+        letters = rng.choice(["ab", "abc", "abcdefgh"])
+        a, b = ([(x, "") for x in rng.choices(letters, k=rng.randint(0, 40))] for _ in range(2))
+        assert diff.subsequence(a, b, 0, exact=True) == diff.subsequence(a, b)
+        assert diff.align(a, b, 0, exact=True) == diff.align(a, b)
+
+
+def test_long_runs_align_exactly_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(diff.exact_middle, "__defaults__", (1 << 20,))
+    rng, n = random.Random(5), 20_000
+    a = [(f"t{rng.randrange(50)}", "") for _ in range(n)]
+    b = [x for x in a if rng.random() < 0.9] + [("new", "")]
+    rng.shuffle(cut := b[5000:5200])
+    b[5000:5200] = cut
+    tracemalloc.start()
+    found, large = diff.subsequence([("first", ""), *a], [("other", ""), *b], exact=True)
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    assert not large and len(found) > 0.88 * n - 200
+    assert all(i < x and j < y for (i, j), (x, y) in zip(found, found[1:]))
+    assert diff.subsequence([("first", ""), *a], [("other", ""), *b])[1]
+
+
 def brute_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
