@@ -9,17 +9,18 @@ import argparse
 import json
 import sys
 import time
+from dataclasses import asdict
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import crypto
-from .operators import analyze, anchors, diff, integrity, policy, proofs, redact, report
+from .operators import analyze, anchors, diff, integrity, policy, proofs, redact, report, sweep
 from .operators.store import GRACE, Store
 from .schema import Wire
 from .shared import new_path
-from .sources import recorder, traces
+from .sources import anchor_sink, recorder, traces
 from .streaming import live, stateful
 
 COMMANDS = "open sessions demo verify check diff search report list serve tail watch recover keygen redact vacuum export anchor".split()
@@ -40,25 +41,12 @@ class Cli:
     def __init__(self, spark: SparkSession, path: str, wire: Wire):
         self.spark, self.store, self.wire = spark, Store(spark, path), wire
 
-    def ingest(self, runs: DataFrame, steps: DataFrame) -> None:
+    def ingest(self, runs: DataFrame, steps: DataFrame, rules: policy.Policy | None = None, batch: tuple[str, int] | None = None) -> sweep.Counts:
         """Analyse, seal and store drafts; runs that are stored already are left out."""
-        have = self.store.table("runs")
-        if have is not None:
-            runs = runs.join(have.select("run_id"), "run_id", "left_anti")
-        heads = runs.join(analyze.bounds(steps), "run_id", "left").join(analyze.status(steps, runs.withColumnRenamed("declared", "status")), "run_id", "left")
-        salted = redact.commit(steps.withColumns({"commitments": F.lit(None).cast("map<string,string>"), "salts": F.lit(None).cast("map<string,string>"), "redactions": F.lit(None).cast(traces.RECORD_STEP[traces.RECORD_STEP.index("array") : -1])}))
-        # Salts are random: they are written before anything reads them twice.
-        temp = f"{self.store.path}/_salted"
-        salted.join(runs.select("run_id"), "run_id", "left_semi").write.mode("overwrite").parquet(temp)
-        sealed, chained = integrity.seal(heads.drop("declared"), self.spark.read.parquet(temp))
-        self.save(sealed, chained)
-        self.store.fs.delete(self.store.fs_path(temp), True)
+        return sweep.sweep(self.store, runs, steps, recorder.now()[:19], rules, batch)
 
     def save(self, runs: DataFrame, steps: DataFrame) -> None:
-        for name, kind in (("signature", integrity.SIGNATURE), ("redaction_seal", "struct<algorithm:string,keyId:string,publicKey:string,signature:string,sealedAt:string,redactionsHash:string>")):
-            if name not in runs.columns:
-                runs = runs.withColumn(name, F.lit(None).cast(kind))
-        self.store.save(runs, steps, recorder.now()[:19])
+        self.store.save(sweep.with_marks(runs), steps, recorder.now()[:19])
 
     def frames(self, run_id: str | None = None) -> tuple[DataFrame, DataFrame]:
         runs, steps = self.store.table("runs"), self.store.table("steps")
@@ -66,8 +54,11 @@ class Cli:
             raise SystemExit("the store is empty")
         return self.store.run(run_id) if run_id else (runs, steps)
 
-    def take(self, docs: DataFrame) -> int:
-        """Store native documents and OTLP exports; those refused are printed and counted, and nothing of them is stored."""
+    def take(self, docs: DataFrame, trigger: int | None = None) -> int:
+        """Store native documents and OTLP exports; those refused are printed and counted, and nothing of them is stored.
+
+        trigger: of the stream that brought them; one that is replayed stores nothing.
+        """
         refused = 0
         for name, read in (("native", traces.native), ("otlp", lambda d: traces.otlp(d, self.wire))):
             if (some := docs.where(F.col("format") == name)).isEmpty():
@@ -76,7 +67,7 @@ class Cli:
             for r in bad.toLocalIterator():
                 refused += 1
                 print(f"refused {r['path']}: {r['reason']}", file=sys.stderr)
-            self.ingest(runs.select("run_id", "name", "currency", "declared"), steps)
+            self.ingest(runs.select("run_id", "name", "currency", "declared"), steps, batch=None if trigger is None else (f"serve {name}", trigger))
         return refused
 
     # ---- commands
@@ -163,7 +154,7 @@ class Cli:
         text = self.spark.readStream.text(a.folder, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
 
         def take(batch: DataFrame, number: int) -> None:
-            self.take(traces.with_format(batch))
+            self.take(traces.with_format(batch), number)
             if a.keep_days and self.store.table("runs") is not None:
                 self.store.prune(time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(time.time() - 86400 * a.keep_days)))
 
@@ -204,13 +195,16 @@ class Cli:
         return 0
 
     def watch(self, a) -> int:
-        """Sweep session logs that have settled, once or for ever; a log that grows later isn't read again."""
+        """Sweep session logs that have settled, once or for ever, and count; a log that grows later isn't read again."""
+        rules = policy.parse_policy(Path(a.policy).read_text()) if a.policy else None
         while True:
             raw = traces.lines(self.spark, a.folder)
             idle = raw.where(F.col("modified") <= F.lit(recorder.now()).cast("timestamp") - F.make_dt_interval(secs=F.lit(a.settle)))
             if not idle.isEmpty():
                 prices = self.spark.createDataFrame([], "model string, price_in double, price_out double, ord int")
-                self.ingest(*traces.sessions(idle, prices, (a.price_in, a.price_out)))
+                done = self.ingest(*traces.sessions(idle, prices, (a.price_in, a.price_out)), rules)
+                if done.ingested or not a.json:
+                    print(json.dumps(asdict(done)))
             if a.once:
                 return 0
             time.sleep(max(5, a.every))
@@ -283,6 +277,8 @@ class Cli:
             show(records.where("not ok").select("line", "problem"), a.json)
             show(found, a.json)
             return int(not found.where("not ok").isEmpty() or not records.where("not ok").isEmpty())
+        if a.requests or a.answers:
+            return self.prove(a, runs, records)
         new = anchors.fresh(runs.select("run_id", "run_hash", "signature.keyId", "signature.signature"), records.where("ok")).collect()
         entries = [{"runId": r["run_id"], "runHash": r["run_hash"], **({"keyId": r["keyId"], "signature": r["signature"]} if r["keyId"] else {}), "anchoredAt": recorder.now()} for r in new]
         last = next((x for x in reversed(raw) if x.strip()), None)
@@ -291,6 +287,24 @@ class Cli:
         return int(any(r["conflict"] for r in new))
 
 
+    def prove(self, a, runs: DataFrame, records: DataFrame) -> int:
+        """Write requests for timestamps of what isn't anchored yet, as <run>.tsq; or check the answers to them, <run>.tsr, and append."""
+        if a.requests:
+            new = anchors.fresh(runs.select("run_id", "run_hash", "signature.keyId", "signature.signature"), records.where("ok")).drop("conflict")
+            anchor_sink.timestamp_requests(new, self.wire).write.mode("overwrite").parquet(f"{self.store.path}/_requests")
+            for r in self.spark.read.parquet(f"{self.store.path}/_requests").toLocalIterator():
+                Path(a.requests).mkdir(parents=True, exist_ok=True)
+                Path(a.requests, f"{r['run_id']}.tsq").write_bytes(bytes(r["request"]))
+            return 0
+        asked = self.spark.read.parquet(f"{self.store.path}/_requests")
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.tsr").load(a.answers)
+        given = files.select(F.regexp_extract(F.url_decode("path"), r"([^/]*)\.tsr$", 1).alias("run_id"), F.col("content").alias("answer"))
+        pem = Path(a.tsa_cert).read_text() if a.tsa_cert else None
+        out = anchor_sink.store_anchors(asked, given, str(Path(a.file).resolve()), recorder.now(), pem)
+        show(out, a.json)
+        return int(not out.where("not proven").isEmpty())
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stepforge", description=__doc__)
     p.add_argument("--store", default="runs-store")
@@ -330,6 +344,7 @@ def parser() -> argparse.ArgumentParser:
     made["search"].add_argument("text")
     made["search"].add_argument("--limit", type=int, default=50)
     made["serve"].add_argument("--keep-days", type=int, default=0)
+    made["watch"].add_argument("--policy", help="rules that new runs are held against")
     made["watch"].add_argument("--every", type=int, default=30)
     for flag in ("--path", "--pattern"):
         made["redact"].add_argument(flag, action="append", default=[])
@@ -338,6 +353,8 @@ def parser() -> argparse.ArgumentParser:
     made["redact"].add_argument("--legacy", action="store_true")
     made["vacuum"].add_argument("--grace-hours", type=float, default=GRACE, help="how long what is no longer named stays for open readers")
     made["anchor"].add_argument("--file", default="anchors.jsonl")
+    made["anchor"].add_argument("--requests", help="a folder for requests to a timestamp authority")
+    made["anchor"].add_argument("--answers", help="a folder with its answers")
     made["anchor"].add_argument("--verify", action="store_true")
     made["anchor"].add_argument("--tsa-cert")
     made["anchor"].add_argument("--log-key")

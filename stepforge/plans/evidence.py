@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import crypto, second
-from ..operators import analyze, anchors, diff, integrity, policy, redact, report
+from ..operators import analyze, anchors, diff, integrity, policy, redact, report, sweep
 from ..operators.store import Store
 from ..shared import new_path
-from ..sources import driver, requests, traces
+from ..sources import anchor_sink, driver, requests, traces
 from .catalogue import ISO, STEPS, as_documents, query
 
 AT = "2024-01-01T00:00:00.000Z"
@@ -174,6 +178,27 @@ def anchor_orphans(spark, sf):
     return anchors.orphans(found.where("ok"), runs).select(F.col("runId").alias("run_id"))
 
 
+@query("SELECT DISTINCT 'r' || user_id AS run_id, user_id % 3 = 0 AS proven, CASE user_id % 3 WHEN 1 THEN 'the entry covers another digest; the entry''s signature doesn''t hold over the statement' WHEN 2 THEN 'no answer' END AS error, TRUE AS stored FROM events")
+def anchors_answered(spark, sf):
+    """Requests to a log for every run: one of three has an answer that holds, one that of another statement, one none; all are stored in a chained file."""
+    private, public = keys()
+    name = F.concat(F.lit("r"), F.col("u").cast("string"))
+    runs = driver.table(spark, sf, "events").select(F.col("user_id").alias("u")).distinct().select("u", name.alias("run_id"), F.sha2(name, 256).alias("run_hash"), *[F.lit(None).cast("string").alias(c) for c in ("keyId", "signature")])
+    base = new_path(spark, "anchored")
+    anchor_sink.log_requests(runs, private, public).write.parquet(f"{base}/asked")
+    asked = spark.read.parquet(f"{base}/asked")
+    stranger = anchor_sink.log_requests(runs.withColumn("run_hash", F.lit("other")), private, public)
+
+    @F.pandas_udf("binary")
+    def entry(requests: pd.Series) -> pd.Series:
+        return requests.map(lambda x: json.dumps({"id": {"body": base64.b64encode(x.encode()).decode(), "integratedTime": 1, "inclusionProof": {"logIndex": 0, "treeSize": 1, "hashes": [], "rootHash": crypto.leaf_hash(x.encode()).hex()}}}).encode())
+
+    given = asked.where("u % 3 = 0").unionByName(stranger.where("u % 3 = 1")).select("run_id", entry("request").alias("answer"))
+    out = anchor_sink.store_anchors(asked, given, f"{base}/anchors.jsonl", AT)
+    stored = anchors.read_lines(traces.lines(spark, f"{base}/anchors.jsonl")).where("ok").select("runId", F.lit(True).alias("stored"))
+    return out.join(stored, "runId", "left").select(F.col("runId").alias("run_id"), "proven", "error", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
 # ---- redaction, folding, access ---------------------------------------------------------------------------------
 
 
@@ -321,6 +346,17 @@ def stored_search(spark, sf):
     return kept.search(": 42", None)
 
 
+@query(f"WITH {STEPS}, n AS (SELECT run_id, count(*) AS n FROM steps GROUP BY run_id) SELECT count(*) FILTER (WHERE run_id % 3 <> 0) AS ingested, count(*) FILTER (WHERE run_id % 3 = 0) AS skipped, count(*) FILTER (WHERE run_id % 3 <> 0 AND n > 70) AS violations FROM n")
+def sweep_counters(spark, sf):
+    """A sweep of all runs into a store that has every third; what it stores, leaves out, and finds against the rules, counted as it writes."""
+    s = records(spark, sf).drop("u", "commitments", "salts", "redactions")
+    heads = s.select("run_id").distinct().select("run_id", F.lit("n").alias("name"), F.lit("USD").alias("currency"), F.lit(None).cast("string").alias("declared"))
+    kept, third = Store(spark, new_path(spark, "store")), F.substring("run_id", 2, 20).cast("long") % 3 == 0
+    sweep.sweep(kept, heads.where(third), s.where(third), "2024-01-01T00:00:00")
+    done = sweep.sweep(kept, heads, s, "2024-01-02T00:00:00", policy.Policy(maxSteps=70))
+    return spark.createDataFrame([(done.ingested, done.skipped, done.violations)], "ingested long, skipped long, violations long")
+
+
 # ---- alignments known beforehand --------------------------------------------------------------------------------
 
 #: b is a without the steps 3, 8, 13 ..., with other tools in 1, 6, 11 ..., its first step last, and a new one after it.

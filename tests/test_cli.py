@@ -79,7 +79,18 @@ def test_journals_are_recovered_and_served(spark, tmp_path, capsys):
     assert main(["--store", at, "verify", "s1"], spark) == 0
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs/a.jsonl").write_text(json.dumps({"type": "user", "uuid": "u", "sessionId": "z", "timestamp": "2024-01-01T00:00:00.000Z", "message": {"content": "hello"}}))
-    assert main(["--store", at, "watch", str(tmp_path / "logs"), "--once", "--settle", "0"], spark) == 0
+    (tmp_path / "rules.json").write_text('{"rules":{"requireSignature":true}}')
+    capsys.readouterr()
+    for want in ({"ingested": 1, "skipped": 0, "violations": 1}, {"ingested": 0, "skipped": 1, "violations": 0}):
+        assert main(["--store", at, "watch", str(tmp_path / "logs"), "--once", "--settle", "0", "--policy", str(tmp_path / "rules.json")], spark) == 0
+        assert json.loads(capsys.readouterr().out.splitlines()[-1]) == want
+    assert main(["--store", at, "anchor", "--requests", str(tmp_path / "asked"), "--file", str(tmp_path / "a.jsonl")], spark) == 0
+    asked = sorted(p.name for p in (tmp_path / "asked").iterdir())
+    assert asked == ["cc-z.tsq", "j1.tsq", "s1.tsq"]
+    (tmp_path / "asked/j1.tsr").write_bytes(b"nonsense")
+    assert main(["--store", at, "anchor", "--answers", str(tmp_path / "asked"), "--file", str(tmp_path / "a.jsonl")], spark) == 1
+    assert len((tmp_path / "a.jsonl").read_text().splitlines()) == 3
+    assert main(["--store", at, "anchor", "--verify", "--file", str(tmp_path / "a.jsonl")], spark) == 0
     assert main(["--store", at, "sessions", str(tmp_path / "logs")], spark) == 0
     capsys.readouterr()
     assert main(["--store", at, "list"], spark) == 0 and "cc-z" in capsys.readouterr().out
