@@ -10,9 +10,14 @@ FIELDS = ("label", "tool_name", "input", "output", "data_payload")
 
 def snippet(text: Column, needle: str, before: int = 30, after: int = 50) -> Column:
     """The surroundings of the needle's first place, with an ellipsis at a cut end; null if it isn't there."""
-    at = F.instr(F.lower(text), needle.lower())
+    return snippet_of(text, F.lit(needle), before, after)
+
+
+def snippet_of(text: Column, needle: Column, before: int = 30, after: int = 50) -> Column:
+    """snippet() of a needle in a column."""
+    at = F.call_function("locate", F.lower(needle), F.lower(text))
     first = F.greatest(F.lit(1), at - before)
-    last = F.least(F.char_length(text), at + len(needle) - 1 + after)
+    last = F.least(F.char_length(text), at + F.char_length(needle) - 1 + after)
     cut = F.concat(F.when(first > 1, "…").otherwise(""), F.substring(text, first, last - first + 1), F.when(last < F.char_length(text), "…").otherwise(""))
     return F.when(at > 0, cut)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import crypto, second
-from ..operators import analyze, anchors, diff, integrity, policy, redact, report, sweep
+from ..operators import analyze, anchors, answers, diff, integrity, policy, redact, report, sweep
 from ..operators.store import Store
 from ..shared import new_path
 from ..sources import anchor_sink, driver, requests, traces
@@ -78,21 +78,10 @@ def run_verdicts(spark, sf):
     return found.select("run_id", "failure", "broken_index", right.alias("right_hash"))
 
 
-def as_records(runs: DataFrame, steps: DataFrame) -> DataFrame:
-    """Rows (run_id, text, n): each run with its steps as the JSON of a record; a run's steps meet in one row, as in the record."""
-    payload = lambda c: F.parse_json(c).alias(c)
-    step = F.struct("pos", "id", F.col("run_id").alias("runId"), "index", "type", "label", F.col("started_at").alias("startedAt"), F.col("duration_ms").alias("durationMs"), "tokens", "cost", F.col("tool_name").alias("toolName"), payload("input"), payload("output"), F.parse_json("data_payload").alias("dataPayload"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), F.col("prev_hash").alias("prevHash"), "hash", "commitments", "salts", "redactions")
-    by_place = lambda x: F.array_sort(x, lambda a, b: (a["pos"] - b["pos"]).cast("int"))
-    held = steps.groupBy("run_id").agg(by_place(F.collect_list(step)).alias("steps"), F.count(F.lit(1)).alias("n"))
-    more = [F.col(c).alias(n) for c, n in (("signature", "signature"), ("redaction_seal", "redactionSeal")) if c in runs.columns]
-    head = F.struct(F.col("run_id").alias("id"), "name", F.col("started_at").alias("startedAt"), F.col("ended_at").alias("endedAt"), "status", "currency", "totals", F.col("run_hash").alias("runHash"), F.col("hash_version").alias("hashVersion"), *more, "steps")
-    return runs.join(held, "run_id").select("run_id", F.to_json(head).alias("text"), "n")
-
-
 @query(VERDICTS.replace(", CASE WHEN u % 5 IN (0, 2) THEN run_hash END AS right_hash", ""))
 def second_verdicts(spark, sf):
     """The same runs as records, judged by the second verifier."""
-    said = as_records(*spoiled(spark, sf)).select("run_id", "n", second.second_opinion("text").alias("x"))
+    said = answers.records(*spoiled(spark, sf)).select("run_id", "n", second.second_opinion("text").alias("x"))
     failure = F.when(~F.col("x.version"), "version").when(~F.col("x.chain"), "chain").when(~F.col("x.anchor"), "anchor")
     at = F.coalesce("x.broken", F.when(failure == "anchor", F.col("n") - 1))
     return said.select("run_id", failure.alias("failure"), at.alias("broken_index"))
@@ -125,7 +114,7 @@ def full_verdicts(spark, sf):
 @query(FULL.replace(", CASE WHEN u % 2 = 0 THEN n ELSE 0 END AS redacted", ""))
 def second_full_verdicts(spark, sf):
     """The same by the second verifier: commitments, signatures and seals."""
-    x = as_records(*redacted_runs(spark, sf)).select("run_id", second.second_opinion("text").alias("x"))
+    x = answers.records(*redacted_runs(spark, sf)).select("run_id", second.second_opinion("text").alias("x"))
     fine = F.col("x.parsed") & F.col("x.version") & F.col("x.chain") & F.col("x.commitments") & F.col("x.anchor")
     return x.select("run_id", fine.alias("ok"), F.col("x.signature").alias("signature_ok"), F.col("x.seal").alias("seal_ok"), "x.attested", F.col("x.ok").alias("all_ok"))
 
@@ -313,6 +302,28 @@ def usage_tokens(spark, sf):
     return e.groupBy(F.col("file").alias("conv_id")).agg(F.sum(traces.usage_tokens(usage)).alias("tokens"))
 
 
+RUN_OF = "'r' || (event_id % 200)"
+
+
+@query(f"""{SEALED}, q AS (SELECT event_id, event_id % 9 AS k, {RUN_OF} AS id FROM events), w AS (SELECT run_id, n FROM heads), h AS (SELECT run_id, index, contains(input, ':42') AS hit FROM rec),
+l AS (SELECT 'runs' AS answer, count(*) AS lines FROM w UNION ALL SELECT 'search 3 : 42', least(3, count(*)) FROM h WHERE hit UNION ALL SELECT 'runs/id ' || run_id, 1 FROM w UNION ALL SELECT 'runs/id/verify ' || run_id, 1 FROM w UNION ALL SELECT 'live/id ' || run_id, 1 FROM w),
+a AS (SELECT event_id, CASE k WHEN 0 THEN 'runs' WHEN 1 THEN 'runs/id ' || id WHEN 2 THEN 'runs/id/verify ' || id WHEN 3 THEN 'live/id ' || id WHEN 4 THEN 'search 3 : 42' END AS answer, k FROM q)
+SELECT a.event_id, CASE WHEN k IN (0, 4) OR k IN (1, 2, 3) AND l.answer IS NOT NULL THEN 200 WHEN k = 5 THEN 400 ELSE 404 END AS status, coalesce(l.lines, 0) AS lines FROM a LEFT JOIN l ON l.answer = a.answer""")
+def queries_answered(spark, sf):
+    """Each event as a request for the list of runs, a run, its verdict, a live run, a search, a search for nothing, or what isn't there; how it is answered, and in how many lines."""
+    runs, steps = sealed(spark, sf)
+    runs = runs.drop("u").withColumns({"ingested_at": F.lit(AT).cast("timestamp"), "signature": F.lit(None).cast(integrity.SIGNATURE), "redaction_seal": F.lit(None).cast(integrity.SEAL)})
+    base = new_path(spark, "answers")
+    for name, df in (("runs", runs), ("steps", steps)):
+        df.write.parquet(f"{base}/{name}")
+    k, id_ = F.col("event_id") % 9, F.concat(F.lit("r"), (F.col("event_id") % 200).cast("string"))
+    url = F.when(k == 0, "/api/runs").when(k == 1, F.concat(F.lit("/%61pi/runs/"), id_)).when(k == 2, F.concat(F.lit("/api/runs/"), id_, F.lit("/verify"))).when(k == 3, F.concat(F.lit("/api/live/"), id_)).when(k == 4, "/api/search?limit=3&q=%3A%2042").when(k == 5, "/api/search?limit=3").when(k == 6, "/api/nothing").when(k == 7, "/api/runs/nobody").otherwise("/api/runs")
+    asked = driver.table(spark, sf, "events").select(F.col("event_id").alias("request"), F.when(k == 8, "DELETE").otherwise("GET").alias("method"), url.alias("url"))
+    replies, lines = answers.answers(asked, spark.read.parquet(f"{base}/runs"), spark.read.parquet(f"{base}/steps"))
+    counted = lines.groupBy("answer").agg(F.count(F.lit(1)).alias("lines"))
+    return replies.join(counted, "answer", "left").select(F.col("request").alias("event_id"), "status", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
 # ---- the store --------------------------------------------------------------------------------------------------
 
 
