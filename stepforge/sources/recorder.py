@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import os
 from collections.abc import Callable
@@ -122,26 +123,100 @@ def tool_calls(calls, wire: Wire = Wire()):
     )
 
 
+def reported_usage(result: object, wire: Wire) -> dict[str, float]:
+    """tokens and cost, numbers above or equal to 0, that a result's `_meta` reports under a slashed or a dotted key."""
+    meta = result.get("_meta") if isinstance(result, dict) else None
+    out = {}
+    for name in ("tokens", "cost"):
+        for mark in "./":
+            x = meta.get(f"{wire.namespace}{mark}{name}") if isinstance(meta, dict) else None
+            if isinstance(x, (int, float)) and not isinstance(x, bool) and 0 <= x < float("inf"):
+                out[name] = x
+    return out
+
+
 class CallRecorder:
-    """Wraps tool functions so that each call is a step of a recorder. usage: (tool, arguments, result) to {tokens, cost}."""
+    """Records each tool call as a step, whether a client makes it or a handler serves it. recorder: one, or a function that makes one at the first step.
 
-    def __init__(self, recorder: Recorder, usage: Callable | None = None):
-        self.recorder, self.usage = recorder, usage
+    A session without a call leaves nothing behind. usage: (tool, arguments, result) to {tokens, cost}, over what the result itself reports.
+    A result that says it is an error, or a raised one, gives an error step; what was raised goes on to the caller.
+    """
 
-    def wrap(self, tool: str, call: Callable) -> Callable:
-        def run(**arguments):
-            began = datetime.now(UTC)
-            took = lambda: (datetime.now(UTC) - began).total_seconds() * 1000
+    def __init__(self, recorder: Recorder | Callable[[], Recorder], usage: Callable | None = None, wire: Wire = Wire()):
+        self.made, self.usage, self.wire, self.over = recorder, usage, wire, False
+
+    @property
+    def recorder(self) -> Recorder:
+        if self.over:
+            raise ValueError("the recording has ended")
+        if not isinstance(self.made, Recorder):
+            self.made = self.made()
+        return self.made
+
+    def record(self, tool: str, arguments: dict | None = None, result: object = None, raised: BaseException | None = None, began: datetime | None = None) -> dict:
+        """One call: arguments that aren't there count as none given; what a result holds as structured content is the step's data."""
+        now_ = datetime.now(UTC)
+        began = began or now_
+        failed = raised is not None or isinstance(result, dict) and result.get("isError") is True
+        more = {"output": result} if raised is None else {"output": {"error": str(raised), "name": type(raised).__name__}}
+        if isinstance(result, dict) and result.get("structuredContent") is not None:
+            more["data_payload"] = result["structuredContent"]
+        more |= reported_usage(result, self.wire) | (self.usage(tool, arguments, result) or {} if self.usage and raised is None else {})
+        at = began.isoformat(timespec="milliseconds").replace("+00:00", "Z")
+        return self.recorder.step("error" if failed else "tool_call", f"Tool: {tool}", tool, started_at=at, duration_ms=float(round((now_ - began).total_seconds() * 1000)), input=arguments or {}, **more)
+
+    def around(self, tool: str, arguments: dict | None, call: Callable):
+        """What call() gives, recorded; if that is to be awaited, so is this."""
+        began = datetime.now(UTC)
+
+        async def awaited(coming):
             try:
-                result = call(**arguments)
+                result = await coming
             except Exception as e:
-                self.recorder.step("error", f"Tool: {tool}", tool, duration_ms=took(), input=arguments, output={"error": str(e), "name": type(e).__name__})
+                self.record(tool, arguments, raised=e, began=began)
                 raise
-            kind = "error" if isinstance(result, dict) and result.get("isError") is True else "tool_call"
-            self.recorder.step(kind, f"Tool: {tool}", tool, duration_ms=took(), input=arguments, output=result, **(self.usage(tool, arguments, result) if self.usage else {}))
+            self.record(tool, arguments, result, began=began)
             return result
 
-        return run
+        try:
+            result = call()
+        except Exception as e:
+            self.record(tool, arguments, raised=e, began=began)
+            raise
+        if inspect.isawaitable(result):
+            return awaited(result)
+        self.record(tool, arguments, result, began=began)
+        return result
+
+    def wrap(self, tool: str, call: Callable) -> Callable:
+        """A function of keyword arguments, recorded."""
+        return lambda **arguments: self.around(tool, arguments, lambda: call(**arguments))
+
+    def handler(self, tool: str, handle: Callable) -> Callable:
+        """A server's handler, recorded; its first argument, if it is a dict, holds the call's arguments."""
+        return lambda *args, **more: self.around(tool, args[0] if args and isinstance(args[0], dict) else None, lambda: handle(*args, **more))
+
+    def client(self, client: object, method: str = "call_tool") -> object:
+        """A stand-in for a client whose method(tool, arguments, ...) is recorded; all else is the client's own."""
+        return Recorded(client, method, self)
+
+    def end(self, status: str | None = None) -> dict | None:
+        """The sealed run; None if nothing was recorded."""
+        if self.over:
+            raise ValueError("the recording has ended")
+        self.over = True
+        return self.made.end(status) if isinstance(self.made, Recorder) and self.made.steps else None
+
+
+class Recorded:
+    def __init__(self, client: object, method: str, calls: CallRecorder):
+        self._client, self._method, self._calls = client, method, calls
+
+    def __getattr__(self, name: str):
+        own = getattr(self._client, name)
+        if name != self._method:
+            return own
+        return lambda tool, arguments=None, *args, **more: self._calls.around(tool, arguments, lambda: own(tool, arguments, *args, **more))
 
 
 def snapshot(attrs: Column, wire: Wire = Wire()) -> Column:
