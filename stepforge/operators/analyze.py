@@ -105,7 +105,7 @@ def high_cost(steps: DataFrame, multiple: float = HIGH_COST) -> DataFrame:
 def calls_in_islands(steps: DataFrame, by_tool: bool = False, *more: str) -> DataFrame:
     """Tool calls (run_id, index, tool_name, island, *more): calls in a row with one tool and one input share an island.
 
-    Inputs are the same if their canonical JSON is; absent and null are the same. A text is made canonical only where a call beside
+    Inputs are the same if their canonical JSON is; absent and null are the same, and steps without the column have none. A text is made canonical only where a call beside
     it has the same tool and another text. by_tool: the tool alone decides, whatever the inputs.
     """
     call = (F.col("type") == "tool_call") & F.col("tool_name").isNotNull()
@@ -113,7 +113,7 @@ def calls_in_islands(steps: DataFrame, by_tool: bool = False, *more: str) -> Dat
     out = steps.withColumn("tool", F.when(call, F.col("tool_name")))
     same = F.col("tool") == before("tool")
     if not by_tool:
-        out = out.withColumn("said", F.coalesce("input", F.lit("null")))
+        out = out.withColumn("said", F.coalesce("input", F.lit("null")) if "input" in steps.columns else F.lit("null"))
         other = lambda f: F.coalesce((f("tool").over(in_run()) == F.col("tool")) & (f("said").over(in_run()) != F.col("said")), F.lit(False))
         out = out.withColumn("doubt", other(F.lag) | other(F.lead)).withColumn("exact", F.when(F.col("doubt"), F.coalesce(canonical(F.when(F.col("doubt"), F.col("said"))), "said")))
         same &= (F.col("said") == before("said")) | F.coalesce(F.col("exact") == before("exact"), F.lit(False))

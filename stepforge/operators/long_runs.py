@@ -78,7 +78,7 @@ def loops(steps: DataFrame, least: int = LOOP_LENGTH, by_tool: bool = False, par
     """
     rows = ranged(steps, "index", partitions=partitions)
     # Each range as a run of its own, by a key that keeps them apart.
-    apart = rows.withColumn("_run", F.col("run_id")).withColumn("run_id", F.struct("run_id", "_part")).withColumn("_said", F.coalesce("input", F.lit("null")) if not by_tool else F.lit(""))
+    apart = rows.withColumn("_run", F.col("run_id")).withColumn("run_id", F.struct("run_id", "_part")).withColumn("_said", F.lit("") if by_tool else F.coalesce("input", F.lit("null")) if "input" in steps.columns else F.lit("null"))
     own = analyze.calls_in_islands(apart, by_tool, "_said")
     islands = own.groupBy("run_id", "island").agg(F.first("tool_name").alias("tool_name"), F.count(F.lit(1)).alias("run_length"), F.min("index").alias("first_index"), F.max("index").alias("last_index"), F.min_by("_said", "index").alias("said"))
     islands = islands.select("run_id.run_id", F.col("run_id._part").alias("_part"), "tool_name", "run_length", "first_index", "last_index", "said")

@@ -68,7 +68,8 @@ def folded_batch(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def folded(tool: Column) -> Column:
     """fold_name() of a column: native for plain ASCII, a vectorised function for the rest."""
-    return F.when(tool.rlike(r"\A[\x20-\x7e]*\z"), F.lower(F.trim(tool))).otherwise(folded_batch(tool))
+    plain = tool.rlike(r"\A[\x20-\x7e]*\z")
+    return F.when(plain, F.lower(F.trim(tool))).otherwise(folded_batch(F.when(~plain, tool)))
 
 
 def tool_matches(name: Column, pattern: str) -> Column:

@@ -167,9 +167,8 @@ def anchor_orphans(spark, sf):
     return anchors.orphans(found.where("ok"), runs).select(F.col("runId").alias("run_id"))
 
 
-@query("SELECT DISTINCT 'r' || user_id AS run_id, user_id % 3 = 0 AS proven, CASE user_id % 3 WHEN 1 THEN 'the entry covers another digest; the entry''s signature doesn''t hold over the statement' WHEN 2 THEN 'no answer' END AS error, TRUE AS stored FROM events")
-def anchors_answered(spark, sf):
-    """Requests to a log for every run: one of three has an answer that holds, one that of another statement, one none; all are stored in a chained file."""
+def logged_anchors(spark, sf) -> tuple[DataFrame, DataFrame, str]:
+    """(runs, outcomes, file): requests to a log for every run: one of three has an answer that holds, one that of another statement, one none; all are stored in a chained file."""
     private, public = keys()
     name = F.concat(F.lit("r"), F.col("u").cast("string"))
     runs = driver.table(spark, sf, "events").select(F.col("user_id").alias("u")).distinct().select("u", name.alias("run_id"), F.sha2(name, 256).alias("run_hash"), *[F.lit(None).cast("string").alias(c) for c in ("keyId", "signature")])
@@ -183,8 +182,13 @@ def anchors_answered(spark, sf):
         return requests.map(lambda x: json.dumps({"id": {"body": base64.b64encode(x.encode()).decode(), "integratedTime": 1, "inclusionProof": {"logIndex": 0, "treeSize": 1, "hashes": [], "rootHash": crypto.leaf_hash(x.encode()).hex()}}}).encode())
 
     given = asked.where("u % 3 = 0").unionByName(stranger.where("u % 3 = 1")).select("run_id", entry("request").alias("answer"))
-    out = anchor_sink.store_anchors(asked, given, f"{base}/anchors.jsonl", AT)
-    stored = anchors.read_lines(traces.lines(spark, f"{base}/anchors.jsonl")).where("ok").select("runId", F.lit(True).alias("stored"))
+    return runs, anchor_sink.store_anchors(asked, given, f"{base}/anchors.jsonl", AT), f"{base}/anchors.jsonl"
+
+
+@query("SELECT DISTINCT 'r' || user_id AS run_id, user_id % 3 = 0 AS proven, CASE user_id % 3 WHEN 1 THEN 'the entry covers another digest; the entry''s signature doesn''t hold over the statement' WHEN 2 THEN 'no answer' END AS error, TRUE AS stored FROM events")
+def anchors_answered(spark, sf):
+    _, out, path = logged_anchors(spark, sf)
+    stored = anchors.read_lines(traces.lines(spark, path)).where("ok").select("runId", F.lit(True).alias("stored"))
     return out.join(stored, "runId", "left").select(F.col("runId").alias("run_id"), "proven", "error", F.coalesce("stored", F.lit(False)).alias("stored"))
 
 
