@@ -124,6 +124,20 @@ def test_probabilities_sum_to_one(spark, sf):
         assert abs(x + 1000 * np.mean([log(padded[j : j + N]) for j in range(6)])) <= 0.51
 
 
+def test_repeated_rows_are_scored_once_and_shards_answered_in_parts(spark, sf, monkeypatch):
+    texts = [r.text for r in table(spark, sf, "documents").select("text").limit(30).collect()]
+    model = q.kneser_ney(q.count_grams(spark.createDataFrame([(x,) for x in texts], "text string")))
+    rows = [(i, x, "en") for i, x in enumerate(texts)] + [(1, texts[1], "en")] * 70 + [(1, texts[1], "de")] * 3 + [(None, "no id at all", "en")] * 300 + [(None, None, None)] * 5 + [(2, "another text", "en")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    bits = lambda **more: sorted(map(str, q.perplexity(df, model, "doc_id", "text", "lang", **more).collect()))
+    want = bits()
+    assert len(want) == len(rows)
+    seen = []
+    monkeypatch.setattr(q, "counted_once", lambda rows, heavy, f=q.counted_once: seen.append(heavy.count()) or f(rows, heavy))
+    monkeypatch.setattr(q, "ASKING", 3)
+    assert bits(chunk=3000) == want and seen == [2]
+
+
 def test_verdicts_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
