@@ -164,7 +164,8 @@ class AnchorFile(DataSource):
 class Appender(DataSourceArrowWriter):
     """Tasks stage their records beside the file; the commit chains them behind its last line and puts the longer file in its place by one rename.
 
-    A task that runs twice stages twice, and the commit takes the one that Spark names. A job that fails leaves the file as it was.
+    A task that runs twice stages twice, and the commit takes the one that Spark names. A job that fails leaves the file as it was, and
+    of tasks that end after it perhaps staged parts, which nothing reads.
     """
 
     def __init__(self, path: str, names: list[str]):
