@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as canon
 from ..functions import text as tx
-from ..operators import analyze, anchors, diff, fleet, integrity, policy, redact, report, search, store
+from ..operators import analyze, anchors, diff, fleet, integrity, long_runs, policy, redact, report, search, store
 from ..sources import driver, traces
 from ..streaming import live
 
@@ -89,7 +89,7 @@ def step_gap_duration(spark, sf):
 
 @query(f"WITH {STEPS} SELECT run_id, index, round(sum(cost) OVER w, 2) AS cum_cost, sum(tokens) OVER w AS cum_tokens, count(*) OVER w AS cum_steps FROM steps WINDOW w AS (PARTITION BY run_id ORDER BY index)")
 def running_totals(spark, sf):
-    return analyze.running(driver.event_steps(spark, sf)).select("run_id", "index", F.round("cum_cost", 2).alias("cum_cost"), "cum_tokens", "cum_steps")
+    return long_runs.by_size(driver.event_steps(spark, sf), analyze.running, long_runs.running).select("run_id", "index", F.round("cum_cost", 2).alias("cum_cost"), "cum_tokens", "cum_steps")
 
 
 @query(f"WITH {STEPS}, {HIGH} SELECT run_id, round(median_cost, 4) AS median_cost FROM medians")
