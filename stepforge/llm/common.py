@@ -37,18 +37,26 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+@contextlib.contextmanager
+def files_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a job are deleted when it ends, since nothing can refer to them any more."""
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and lost executors cost nothing.
 
     The shuffle files of the write are deleted when it ends, since nothing can refer to them any more.
     """
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
+    path = new_path(spark, name)
+    with files_cleaned(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, give_back, small_batches, table, written
+from .common import dropped, files_cleaned, give_back, small_batches, table, written
 from .op03_pii import key_of
 
 ORDER, BASE = 6, 256
@@ -260,12 +260,14 @@ def perplexity(df: DataFrame, model: Model, id_col: str, text_col: str, lang_col
     text = F.col(text_col).cast("string")
     hashed = F.xxhash64(F.col(id_col), text)
     repeats = df.groupBy(F.col(id_col).alias("id"), hashed.alias("hash")).agg(F.sum(F.octet_length(text)).alias("size"), F.count(F.lit(1)).alias("n"))
-    size, most = repeats.agg(F.sum("size"), F.max(F.when(F.col("n") > 1, F.col("size")))).first()
+    with files_cleaned(spark):
+        size, most = repeats.agg(F.sum("size"), F.max(F.when(F.col("n") > 1, F.col("size")))).first()
     chunks = max(1, -(-(size or 1) // chunk))
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), (F.lit(None).cast("binary") if key is None else key).alias("key"), text.alias("text"), hashed.alias("hash"), F.lit(1).cast("long").alias("times"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), (F.lit(None).cast("binary") if key is None else key).alias("key"), text.alias("text"), hashed.alias("hash"))
     if repeated := (most or 0) > chunk:
         rows = counted_once(rows, written(repeats.where((F.col("size") > chunk) & (F.col("n") > 1)).select(F.col("id").alias("of"), F.col("hash").alias("is")), "repeats"))
-    rows = rows.select("id", "lang", "key", "text", "times", F.pmod("hash", F.lit(chunks)).alias("chunk"))
+    more = ["times"] * repeated
+    rows = rows.select("id", "lang", "key", *more, "text", F.pmod("hash", F.lit(chunks)).alias("chunk"))
     shards, cuts, salts = model.shards, model.cuts, max(1, chunks // ASKING)
 
     def ask(rows: pa.Table) -> pa.Table:
@@ -295,22 +297,22 @@ def perplexity(df: DataFrame, model: Model, id_col: str, text_col: str, lang_col
         column = docs.column("text")
         found = [*bits_of(lambda: (x.as_py() for x in column), dict(zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist(), strict=True)), shards, cuts)]
         give_back()
-        return pa.table({id_col: docs.column("id"), "lang": docs.column("lang"), "key": docs.column("key"), "times": docs.column("times"), "n_symbols": pa.array([n for n, _ in found], pa.int64()), "bits": pa.array([b for _, b in found], pa.int64())})
+        return pa.table({id_col: docs.column("id"), "lang": docs.column("lang"), "key": docs.column("key"), **{c: docs.column(c) for c in more}, "n_symbols": pa.array([n for n, _ in found], pa.int64()), "bits": pa.array([b for _, b in found], pa.int64())})
 
     asks = rows.groupBy("chunk").applyInArrow(ask, "shard int, chunk long, data binary")
     known = model.facts.select("shard", F.lit(-1).cast("long").alias("chunk"), "data", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     salted = known.unionByName(asks.withColumn("salt", F.pmod("chunk", F.lit(salts)).cast("long"))).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "chunk")
     answers = salted.select("shard", "chunk", "data").mapInArrow(answer, "chunk long, shard int, data binary")
     kind = df.schema[id_col].dataType.simpleString()
-    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"`{id_col}` {kind}, lang string, key binary, times long, n_symbols long, bits long")
-    return (out.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("time") if repeated else out).drop("times")
+    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"`{id_col}` {kind}, lang string, key binary, {'times long, ' * repeated}n_symbols long, bits long")
+    return out.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("time", "times") if repeated else out
 
 
 def counted_once(rows: DataFrame, heavy: DataFrame) -> DataFrame:
-    """rows (id, lang, key, text, hash, times) with one for all that repeat an (id, hash) of heavy (of, is); times says how many. They meet in each task before the shuffle."""
+    """rows (id, lang, key, text, hash) with `times`, and one for all that repeat an (id, hash) of heavy (of, is). They meet in each task before the shuffle."""
     same = rows["id"].eqNullSafe(heavy["of"]) & (rows["hash"] == heavy["is"])
-    alike = rows.join(heavy, same, "left_semi").groupBy("id", "lang", "key", "hash").agg(F.first("text").alias("text"), F.sum("times").alias("times"))
-    return rows.join(heavy, same, "left_anti").unionByName(alike)
+    alike = rows.join(heavy, same, "left_semi").groupBy("id", "lang", "key", "hash").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+    return rows.join(heavy, same, "left_anti").withColumn("times", F.lit(1).cast("long")).unionByName(alike)
 
 
 @dataclass(frozen=True)
