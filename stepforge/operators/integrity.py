@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.canonical import ABSENT, canonical_text, canonicalize, commitment, number_text, parsed, split_path, string_text, value_at
 from ..functions.crypto import key_id, sign_text, verify_text
 from ..schema import HASH_VERSIONS, JSON_NAMES, PAYLOADS, RUN_TAG, STEP_TAG, Wire
+from ..shared import spread, written
 
 #: Columns of a step that its hash covers, by their names in a record.
 HASHED = {
@@ -91,7 +92,7 @@ def chain(df: DataFrame, text_col: str = "canonical", version: int = 2, order: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(hashes, pa.string())], [*columns, "prev_hash", "hash"])
 
     schema = T.StructType([*base.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
-    return base.repartition("run_id").sortWithinPartitions("run_id", order).mapInArrow(run, schema)
+    return spread(base, "run_id").sortWithinPartitions("run_id", order).mapInArrow(run, schema)
 
 
 def anchors(chained: DataFrame, order: str = "pos") -> DataFrame:
@@ -127,15 +128,18 @@ def run_hash(runs: DataFrame) -> DataFrame:
 
 
 def seal(runs: DataFrame, steps: DataFrame, version: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(runs with run_hash and hash_version, steps with their hashes). runs: run_id, name, started_at, ended_at, status, currency."""
+    """(runs with run_hash and hash_version, steps with their hashes). runs: run_id, name, started_at, ended_at, status, currency.
+
+    Both are written before they are returned, since whatever verifies them reads each several times.
+    """
     from .analyze import exact_totals
 
-    chained = chain(steps.withColumn("canonical", canonical_step(version)), version=version).drop("canonical")
-    sums = exact_totals(steps).select("run_id", F.struct("tokens", "cost", F.col("duration_ms").alias("durationMs"), "steps").alias("totals"))
+    chained = written(chain(steps.withColumn("canonical", canonical_step(version)), version=version).drop("canonical"), "sealed-steps")
+    sums = exact_totals(chained).select("run_id", F.struct("tokens", "cost", F.col("duration_ms").alias("durationMs"), "steps").alias("totals"))
     none = F.struct(F.lit(0.0).alias("tokens"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("durationMs"), F.lit(0).cast("long").alias("steps"))
     heads = runs.join(sums, "run_id", "left").withColumn("totals", F.coalesce("totals", none)).join(anchors(chained).select("run_id", "anchor", F.col("steps").alias("step_count")), "run_id", "left").fillna(0, ["step_count"])
     heads = run_hash(heads.withColumn("hash_version", F.lit(version)))
-    return heads.withColumnRenamed("expected_hash", "run_hash").drop("anchor", "step_count"), chained
+    return written(heads.withColumnRenamed("expected_hash", "run_hash").drop("anchor", "step_count"), "sealed-runs"), chained
 
 
 def verify_runs(runs: DataFrame, steps: DataFrame, wire: Wire = Wire()) -> DataFrame:
@@ -152,10 +156,12 @@ def verify_runs(runs: DataFrame, steps: DataFrame, wire: Wire = Wire()) -> DataF
         found = broken_links(some.withColumn("canonical", canonical_step(v)), version=v)
         checked = check_commitments(some, v, wire)
         broken, leaves = (found, checked) if broken is None else (broken.unionByName(found), leaves.unionByName(checked))
-    spoiled = leaves.where(F.col("state").isin("mismatched", "undeclared")).groupBy("run_id").agg(F.min(F.struct("pos", F.when(F.col("state") == "undeclared", 0).otherwise(1).alias("o"))).alias("first"))
-    redacted = leaves.where(F.col("state") == "redacted").groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]).alias("redacted"))
+    bad, gone = F.col("state").isin("mismatched", "undeclared"), F.col("state") == "redacted"
+    first = F.min(F.when(bad, F.struct("pos", F.when(F.col("state") == "undeclared", 0).otherwise(1).alias("o")))).alias("first")
+    redacted = F.transform(F.array_sort(F.collect_list(F.when(gone, F.struct("pos", "path")))), lambda x: x["path"]).alias("redacted")
+    spoiled = leaves.groupBy("run_id").agg(first, redacted)
     heads = runs.join(anchors(steps).select("run_id", "anchor", F.col("steps").alias("step_count")), "run_id", "left").fillna(0, ["step_count"])
-    heads = run_hash(heads).join(broken, "run_id", "left").join(spoiled, "run_id", "left").join(redacted, "run_id", "left")
+    heads = run_hash(heads).join(broken, "run_id", "left").join(spoiled, "run_id", "left")
     failure = F.when(~version.isin(*HASH_VERSIONS), "version").when(F.col("broken_index").isNotNull(), "chain").when(F.col("first").isNotNull(), F.when(F.col("first.o") == 0, "undeclared").otherwise("commitment")).when(~F.col("run_hash").eqNullSafe(F.col("expected_hash")), "anchor")
     at = F.when(failure == "chain", F.col("broken_index")).when(failure.isin("commitment", "undeclared"), F.col("first.pos")).when((failure == "anchor") & (F.col("step_count") > 0), F.col("step_count") - 1)
     return heads.select("run_id", failure.isNull().alias("ok"), failure.alias("failure"), at.alias("broken_index"), F.when(F.col("broken_index").isNull(), F.col("expected_hash")).alias("expected_hash"), F.coalesce("redacted", F.array().cast("array<string>")).alias("redacted"))
@@ -220,7 +226,7 @@ def sign_runs(runs: DataFrame, private_pem: str, public_pem: str, signed_at: str
             yield pd.Series([sign_text(private_pem, signed_text(r["run_id"], r["run_hash"], signed_at)) for r in x.to_dict("records")], dtype=object)
 
     mark = F.struct(F.lit("ed25519").alias("algorithm"), F.lit(kid).alias("keyId"), F.lit(public_pem).alias("publicKey"), sign(F.struct("run_id", "run_hash")).alias("signature"), F.lit(signed_at).alias("signedAt"))
-    return runs.withColumn("signature", F.when(F.col("run_hash") != "", mark))
+    return spread(runs).withColumn("signature", F.when(F.col("run_hash") != "", mark))
 
 
 def verify_signatures(runs: DataFrame) -> DataFrame:
@@ -233,7 +239,7 @@ def verify_signatures(runs: DataFrame) -> DataFrame:
 
     s = F.col("signature")
     holds = check(F.struct("run_id", "run_hash", s["publicKey"].alias("key"), F.coalesce(s["signedAt"], F.lit("")).alias("at"), s["signature"].alias("sig")))
-    return runs.select("run_id", F.when(s.isNull(), True).otherwise(holds).alias("signature_ok"), s["keyId"].alias("key_id"))
+    return spread(runs).select("run_id", F.when(s.isNull(), True).otherwise(holds).alias("signature_ok"), s["keyId"].alias("key_id"))
 
 
 def redaction_log(steps: DataFrame) -> DataFrame:
@@ -256,7 +262,7 @@ def seal_redactions(runs: DataFrame, steps: DataFrame, private_pem: str, public_
             said = [sign_text(private_pem, sealed_text(i, h, d, sealed_at)) if d else None for i, h, d in zip(x["run_id"], x["run_hash"], hashes, strict=True)]
             yield pd.DataFrame({"hash": hashes, "signature": said})
 
-    out = runs.join(redaction_log(steps), "run_id", "left").withColumn("x", sign(F.struct("run_id", "run_hash", "log")))
+    out = spread(runs.join(redaction_log(steps), "run_id", "left")).withColumn("x", sign(F.struct("run_id", "run_hash", "log")))
     mark = F.struct(F.lit("ed25519").alias("algorithm"), F.lit(kid).alias("keyId"), F.lit(public_pem).alias("publicKey"), F.col("x.signature").alias("signature"), F.lit(sealed_at).alias("sealedAt"), F.col("x.hash").alias("redactionsHash"))
     return out.withColumn("redaction_seal", F.when(F.col("log").isNotNull(), mark)).drop("x", "log")
 
@@ -274,7 +280,7 @@ def verify_seals(runs: DataFrame, steps: DataFrame) -> DataFrame:
             yield pd.Series(out)
 
     s = F.col("redaction_seal")
-    logs = runs.join(redaction_log(steps), "run_id", "left")
+    logs = spread(runs.join(redaction_log(steps), "run_id", "left"))
     holds = check(F.struct("run_id", "run_hash", F.coalesce("log", F.lit("[]")).alias("log"), s["redactionsHash"].alias("hash"), s["publicKey"].alias("key"), F.coalesce(s["sealedAt"], F.lit("")).alias("at"), s["signature"].alias("sig")))
     return logs.select("run_id", F.when(s.isNull(), True).otherwise(holds).alias("seal_ok"), F.when(s.isNull(), False).otherwise(holds).alias("attested"))
 

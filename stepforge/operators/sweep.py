@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..shared import scope
 from . import analyze, integrity, policy, redact
 from .store import Store
 
@@ -48,8 +49,9 @@ def sweep(store: Store, runs: DataFrame, steps: DataFrame, ingested_at: str, rul
         salted.write.parquet(f"{temp}/steps")
         own = spark.read.schema(salted.schema).parquet(f"{temp}/steps")
         full = heads.join(analyze.bounds(own), "run_id", "left").join(analyze.status(own, heads.withColumnRenamed("declared", "status")), "run_id", "left").drop("declared")
-        sealed, chained = integrity.seal(full, own)
-        stored = store.save(with_marks(sealed), chained, ingested_at, batch)
+        with scope(spark, []):
+            sealed, chained = integrity.seal(full, own)
+            stored = store.save(with_marks(sealed), chained, ingested_at, batch)
         violations = 0
         if rules is not None and stored and seen.get["ingested"]:
             sums = analyze.totals(own).join(heads.select("run_id"), "run_id").withColumn("signed", F.lit(False))
