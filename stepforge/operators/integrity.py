@@ -27,28 +27,29 @@ HASHED = {
     "toolName": "tool_name", "input": "input", "output": "output", "dataPayload": "data_payload", "spanId": "span_id", "parentSpanId": "parent_span_id", "runId": "run_id",
 }
 NUMBERS = {"index", "duration_ms", "tokens", "cost"}
+QUOTED = [(string_text(name), name, column) for name, column in sorted(HASHED.items())]
 
 
 def step_text(row: dict, version: int) -> str | None:
     """Canonical text of a step's hashed members: absent ones are left out, and a payload with commitments is their map."""
-    parts = {}
+    parts = []
     committed = dict(row["commitments"] or ())
-    for name, column in HASHED.items():
+    for quoted, name, column in QUOTED:
         value = row[column]
         if name == "runId" and version != 2:
             continue
-        view = {p: c for p, c in committed.items() if p == name or p.startswith((f"{name}.", f"{name}["))} if column in PAYLOADS else None
+        view = {p: c for p, c in committed.items() if p == name or p.startswith((f"{name}.", f"{name}["))} if committed and column in PAYLOADS else None
         if view:
-            parts[name] = canonical_text(view)
+            text = canonical_text(view)
         elif value is None or value != value:
             continue
         elif column in PAYLOADS:
             if (text := canonicalize(value)) is None:
                 return None
-            parts[name] = text
         else:
-            parts[name] = number_text(float(value)) if column in NUMBERS else string_text(value)
-    return "{" + ",".join(f"{string_text(k)}:{parts[k]}" for k in sorted(parts)) + "}"
+            text = number_text(float(value)) if column in NUMBERS else string_text(value)
+        parts.append(f"{quoted}:{text}")
+    return "{" + ",".join(parts) + "}"
 
 
 def canonical_step(version: int = 2) -> Column:

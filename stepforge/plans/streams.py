@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,7 +93,7 @@ def write_journals(lines: DataFrame, folder: str) -> None:
         store.create_dir(at, recursive=True)
         held, name, files = [], None, 0
         rows = ((r["run_id"], r["raw"]) for b in batches for r in b.to_pylist())
-        for run_id, raw in [*rows, (None, None)]:
+        for run_id, raw in chain(rows, [(None, None)]):
             if run_id != name and held:
                 with store.open_output_stream(f"{at}/{name}.jsonl") as f:
                     f.write(("\n".join(held) + "\n").encode())

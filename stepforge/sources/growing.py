@@ -16,15 +16,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-#: Bytes of a file that one task reads; larger additions are divided among tasks.
-SPLIT = 64 << 20
+#: Bytes that one task reads: larger additions are divided among tasks, and smaller ones share one, up to so many files.
+SPLIT, FILES = 64 << 20, 256
 #: Bytes that are searched for a line's end at once, and lines in a batch of rows.
 BLOCK, ROWS = 64 << 10, 4096
 SCHEMA = "file string, start long, raw string"
 
 
 @dataclass
-class Piece(InputPartition):
+class Piece:
     """The lines of a file that begin within [start, end); `first` is where the addition begins, at a line's start, or -1 for a file that is gone."""
 
     file: str
@@ -33,6 +33,11 @@ class Piece(InputPartition):
     end: int
 
 
+@dataclass
+class Pack(InputPartition):
+    pieces: list[Piece]
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
@@ -52,7 +57,7 @@ class GrowingLines(DataSource):
 
 
 class Reader(DataSourceStreamReader):
-    """An offset is {file: bytes up to the end of its last complete line}: some tens of bytes a file.
+    """An offset is {file: bytes up to the end of its last complete line}: some tens of bytes a file, which is named from the folder on.
 
     A file that has become shorter was replaced, and is read from its start; one that was replaced by a longer one can't be told from one that grew.
     """
@@ -74,19 +79,34 @@ class Reader(DataSourceStreamReader):
                     end = last_line_end(store, x.path, end if x.size > size else 0, x.size)
                 found[x.path] = x.size, end
         self.seen = found
-        return {path: end for path, (_, end) in sorted(found.items()) if end}
+        return {path.removeprefix(f"{folder.rstrip('/')}/"): end for path, (_, end) in sorted(found.items()) if end}
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        out = []
+    def pieces(self, start: dict, end: dict) -> Iterator[Piece]:
+        folder = opened(self.path)[1].rstrip("/")
+        whole = lambda x: {path if path.startswith(f"{folder}/") else f"{folder}/{path}": at for path, at in x.items()}
+        start, end = whole(start), whole(end)
         for path, to in end.items():
             at = start.get(path, 0)
             first = at if at <= to else 0
-            out += [Piece(path, first, a, min(a + self.split, to)) for a in range(first, to, self.split)]
-        return out + [Piece(path, -1, -1, -1) for path in start if path not in end]
-
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+            yield from (Piece(path, first, a, min(a + self.split, to)) for a in range(first, to, self.split))
+        yield from (Piece(path, -1, -1, -1) for path in start if path not in end)
+
+    def partitions(self, start: dict, end: dict) -> list[Pack]:
+        out, held = [], 0
+        for p in self.pieces(start, end):
+            if not out or held + p.end - p.start > self.split or len(out[-1].pieces) == FILES:
+                out.append(Pack([]))
+                held = 0
+            out[-1].pieces.append(p)
+            held += p.end - p.start
+        return out
+
+    def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
         store, _ = opened(self.path)
-        p = partition
+        for p in partition.pieces:
+            yield from self.lines(store, p)
+
+    def lines(self, store: fs.FileSystem, p: Piece) -> Iterator[pa.RecordBatch]:
         if p.first < 0:
             yield batch_of(p.file, [-1], [None])
             return

@@ -64,6 +64,15 @@ def warned(run_id: str, loops: list[tuple[str, int, int]], costs: list[tuple[int
     return out + [("error", MESSAGES["error"] % x, [f"{run_id}:{x[0]}"]) for x in errors]
 
 
+def untold(told, kind: str, ids: list[str]) -> bool:
+    """Whether a warning is new, which it isn't any more then. Of errors no one needs to ask: each step comes once."""
+    name = (f"{kind}:{','.join(ids)}",)
+    if told.containsKey(name):
+        return False
+    told.updateValue(name, (True,))
+    return True
+
+
 def stateful(spark: SparkSession) -> None:
     """Such state lives in RocksDB, beside the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
@@ -125,9 +134,7 @@ class Follower(StatefulProcessor):
             self.costs.appendList(new)
             costs = [tuple(x) for x in self.costs.get()]
         for kind, message, ids in warned(run_id, watch.loops(), costs, errors):
-            name = (f"{kind}:{','.join(ids)}",)
-            if not self.told.containsKey(name):
-                self.told.updateValue(name, (True,))
+            if kind == "error" or untold(self.told, kind, ids):
                 say("warning", kind=kind, message=message, step_ids=ids)
         self.head.update((run_id, version, n, before, broken, watch.call, watch.first, watch.length))
         if out:
@@ -177,9 +184,7 @@ class Writer(StatefulProcessor):
                 self.costs.appendList(new)
             costs = [tuple(x) for x in self.costs.get()] if new else []
             for kind, message, ids in warned(run_id, watch.loops(), costs, errors):
-                mark = (f"{kind}:{','.join(ids)}",)
-                if not self.told.containsKey(mark):
-                    self.told.updateValue(mark, (True,))
+                if kind == "error" or untold(self.told, kind, ids):
                     out.append({"trace_id": key[0], "run_id": run_id, "name": name, "event": "warning", "kind": kind, "message": message, "step_ids": ids})
             new.clear(), errors.clear()
 

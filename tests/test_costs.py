@@ -2,6 +2,7 @@
 
 from stepforge.functions import crypto, second
 from stepforge.plans import evidence
+from stepforge.sources import growing
 
 
 def counted(monkeypatch, module, name):
@@ -25,3 +26,15 @@ def test_sealed_runs_are_read_not_made_again(spark, sf):
         for df in made(spark, sf):
             plan = df._jdf.queryExecution().optimizedPlan().toString()
             assert "Arrow" not in plan and "Aggregate" not in plan
+
+
+def test_many_small_files_share_tasks_and_have_short_offsets(tmp_path):
+    for i in range(1000):
+        (tmp_path / f"{i}.jsonl").write_text("x\n")
+    reader = growing.Reader(str(tmp_path), "*.jsonl", growing.SPLIT)
+    end = reader.latestOffset()
+    packs = reader.partitions({}, end)
+    assert len(packs) == 4 and len(str(end)) < 20 * 1000
+    assert sorted((b.column(0)[0].as_py(), b.column(2)[0].as_py()) for p in packs for b in reader.read(p)) == sorted((f"{tmp_path}/{i}.jsonl", "x") for i in range(1000))
+    before = {f"{tmp_path}/{i}.jsonl": 2 for i in range(999)}  # an offset of an older checkpoint
+    assert [p.file for x in reader.partitions(before, end) for p in x.pieces] == [f"{tmp_path}/999.jsonl"]
