@@ -29,7 +29,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with the least doc_id stays."""
+    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with the least doc_id stays.
+
+    Candidates come from SimHash links, and beyond their radius from bands; the sets are compared exactly.
+    """
     return one_of_each(docs, similar=Similar(words=5, jaccard=0.8))
 
 

@@ -6,7 +6,8 @@ a block is left as soon as all its pairs are over the radius. A bucket gives a s
 links, and components come from distributed star contraction.
 
 Near copies by the similarity of their shingle sets are another matter: at a Jaccard similarity of 0.8 fingerprints differ in
-10 bits or so, too many to search for. There MinHash bands give candidates, and the sets themselves are compared.
+10 bits or so, too many to search for. There links of fingerprints give the close candidates, MinHash bands those beyond the
+radius, and the sets themselves are compared.
 """
 
 from __future__ import annotations
@@ -58,7 +59,11 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def fingerprint(text: str) -> int:
-    hashes = shingles(text)
+    return simhash(shingles(text))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Each bit is set if it is in over half the hashes; zero without any."""
     if not len(hashes):
         return 0
     votes = np.zeros(64, np.int64)
@@ -287,23 +292,25 @@ def band_hashes(found: np.ndarray, rule: Similar, step: int = 1 << 12) -> np.nda
 
 
 def sketches(df: DataFrame, rule: Similar, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id_col, text_key, node, size, bands), one for each row of df. node: 16 bytes that name the set of shingles, size: how many."""
+    """Rows (id_col, text_key, node, size, fp, bands), one for each row of df. node: 16 bytes that name the set of shingles, size: how many, fp: its fingerprint."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size, bands = [], [], []
+            node, size, fp, bands = [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = np.unique(shingles(text, rule.words))
                 size.append(len(found))
                 node.append(xxhash.xxh128_digest(found.tobytes()))
+                fp.append(simhash(found))
                 bands.append(band_hashes(found, rule).view(np.int64) if len(found) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], [id_col, "text_key", "node", "size", "bands"])
+            prints = pa.array(np.array(fp, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(size, pa.int64()), prints, pa.array(bands, pa.list_(pa.int64()))], [id_col, "text_key", "node", "size", "fp", "bands"])
         give_back()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), key_of(normalised(text_col)).alias("text_key"), text.alias("text")).mapInArrow(run, f"`{id_col}` {kind}, text_key binary, node binary, size long, bands array<long>")
+    return df.select(F.col(id_col), key_of(normalised(text_col)).alias("text_key"), text.alias("text")).mapInArrow(run, f"`{id_col}` {kind}, text_key binary, node binary, size long, fp long, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], jaccard: float) -> np.ndarray:
@@ -410,10 +417,20 @@ def large_links(held: DataFrame, rule: Similar) -> DataFrame:
     return found.unionByName(held.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
 
 
+def print_links(rows: DataFrame) -> DataFrame:
+    """Rows (a, b): nodes that connect all sets whose fingerprints are linked. rows: (node, size, fp); sets without shingles have no part in it."""
+    held = written(rows.where("size > 0").groupBy("node").agg(F.first("fp").alias("fp")), "prints")
+    heads = written(held.groupBy("fp").agg(F.min("node").alias("b")), "heads")
+    same = held.join(heads.hint("merge"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    head = lambda name: heads.select(F.col("fp").alias(name), F.col("b").alias(f"{name}_node"))
+    near = links(heads.select("fp")).join(head("a"), "a").join(head("b"), "b")
+    return same.unionByName(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+
 def similar_classes(df: DataFrame, rule: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, text_key, component_id), one for each row of df: the least id reachable by links, as in near_classes.
 
-    Candidates form groups that are much the same as the components themselves. A group's sets are compared in one task
+    Candidates, sets whose fingerprints are linked or that share a band, form groups that are much the same as the components themselves. A group's sets are compared in one task
     if they hold up to rule.whole shingles, and by blocks in many tasks beyond that; either way the texts of those groups
     alone are read anew. Texts without words are one component.
     """
@@ -421,7 +438,8 @@ def similar_classes(df: DataFrame, rule: Similar = Similar(), id_col: str = "doc
     placed = rows.select("node", F.explode("bands").alias("band"))
     # Equal sets need no comparing; written, so that adaptive execution can split a hot band's rows.
     shared = written(placed.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("band", "b"), "bands")
-    groups = written(components(placed.join(shared.hint("merge"), "band").select(F.col("node").alias("a"), "b")), "candidates")
+    banded = placed.join(shared.hint("merge"), "band").select(F.col("node").alias("a"), "b")
+    groups = written(components(print_links(rows).unionByName(banded)), "candidates")
     chosen = written(rows.groupBy("node").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_key")).alias("x"), F.first("size").alias("size")).join(groups, "node").select("node", "root", "size", F.col("x.id").alias("id"), F.col("x.text_key").alias("key")), "chosen")
     totals = written(chosen.groupBy("root").agg(F.sum("size").alias("total"), F.min("node").alias("pivot")), "totals")
     texts = df.select(F.col(id_col).alias("own"), key_of(normalised(text_col)).alias("own_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
