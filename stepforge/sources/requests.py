@@ -33,7 +33,9 @@ def answered(requests: DataFrame, stored: DataFrame | None = None, most_bytes: i
     run = F.when(F.col("format") == "native", F.get_json_object("text", "$.id")).otherwise(run_attribute(exported, "id", wire, UNNAMED))
     good = F.col("refused").isNull() & F.col("fault").isNull()
     found = found.withColumn("run_id", F.when(good, run))
-    again = F.col("run_id").isNotNull() & (F.row_number().over(Window.partitionBy("run_id").orderBy("at", "ord")) > 1)
+    # Requests that bring no run, mostly refused ones, have nothing to repeat: they are dealt by their order, or they would meet in one task.
+    own = F.when(F.col("run_id").isNull(), F.xxhash64("client", "at", "ord"))
+    again = F.col("run_id").isNotNull() & (F.row_number().over(Window.partitionBy("run_id", own).orderBy("at", "ord")) > 1)
     if stored is not None:
         have = stored.select(F.col("run_id").cast("string").alias("have")).distinct()
         found = found.join(have, F.col("run_id") == F.col("have"), "left")
