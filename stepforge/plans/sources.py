@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analyze, anchors, diff, proofs
-from ..shared import new_path
+from ..shared import new_path, written
 from ..sources import driver, recorder, traces
 from ..streaming import live
 from .catalogue import STEPS, query
@@ -80,9 +80,9 @@ def comparisons_judged(spark, sf):
     pairs = pairs.unionByName(pairs.withColumns({"pair": F.concat("pair", F.lit("-self")), "b_run": F.col("a_run")}))
     u = F.split_part("pair", F.lit("-"), F.lit(1)).cast("long")
     pairs = pairs.withColumns({"same_currency": u % 5 != 0, "a_version": F.when(u % 7 == 0, 3).otherwise(F.when(u % 3 == 0, 1).otherwise(2)), "b_version": F.when(u % 7 == 0, F.when(u % 3 == 0, 2).otherwise(3)).otherwise(2)})
-    aligned = diff.alignments(pairs, steps)
-    found = diff.summary(diff.step_differences(aligned, pairs, steps))
-    news = diff.warning_differences(pairs, aligned, steps, analyze.warnings(steps))
+    aligned = written(diff.alignments(pairs, steps), "aligned")
+    found = written(diff.summary(diff.step_differences(aligned, pairs, steps)), "differences")
+    news = diff.warning_differences(pairs, aligned, steps, written(analyze.warnings(steps), "warnings"))
     return diff.equivalent(pairs, found, news).join(diff.caveats(pairs, found, aligned), "pair").select("pair", "equivalent", F.array_join("caveats", ",").alias("caveats"))
 
 

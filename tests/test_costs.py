@@ -1,6 +1,7 @@
 """What keeps a query's time and memory in step with its input."""
 
 from stepforge.functions import crypto, second
+from stepforge.operators import diff
 from stepforge.plans import evidence
 from stepforge.sources import growing
 
@@ -38,3 +39,19 @@ def test_many_small_files_share_tasks_and_have_short_offsets(tmp_path):
     assert sorted((b.column(0)[0].as_py(), b.column(2)[0].as_py()) for p in packs for b in reader.read(p)) == sorted((f"{tmp_path}/{i}.jsonl", "x") for i in range(1000))
     before = {f"{tmp_path}/{i}.jsonl": 2 for i in range(999)}  # an offset of an older checkpoint
     assert [p.file for x in reader.partitions(before, end) for p in x.pieces] == [f"{tmp_path}/999.jsonl"]
+
+
+def test_requests_without_a_run_are_dealt_apart(spark, sf):
+    out = evidence.request_answers(spark, sf)
+    assert "xxhash64" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_warnings_are_compared_once(spark):
+    pairs = spark.createDataFrame([("p", "a", "b")], "pair string, a_run string, b_run string")
+    steps = spark.createDataFrame([("a", 0, "a0"), ("b", 0, "b0"), ("b", 1, "b1")], "run_id string, pos long, id string")
+    aligned = spark.createDataFrame([("p", 0, 0)], "pair string, a_pos long, b_pos long")
+    found = spark.createDataFrame([("a", 0, "error", ["a0"]), ("a", 1, "error", ["a0"]), ("a", 2, "loop", ["a9"]), ("b", 0, "error", ["b0"]), ("b", 1, "error", ["b1"]), ("b", 2, "error", ["b1"])], "run_id string, ord int, kind string, step_ids array<string>")
+    out = diff.warning_differences(pairs, aligned, steps, found)
+    assert sorted((r.state, r.kind, r.signature) for r in out.collect()) == [("appeared", "error", "b1"), ("cleared", "loop", "?a9"), ("persisted", "error", "b0"), ("persisted", "error", "b0")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FullOuter") == 1 and "LeftSemi" not in plan
