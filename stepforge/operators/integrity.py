@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import ABSENT, canonical_text, canonicalize, commitment, number_text, parsed, split_path, string_text, value_at
+from ..functions.canonical import ABSENT, SAFE, canonical_text, canonicalize, commitment, number_text, parsed, plain_json, plain_number, plain_string, split_path, string_text, value_at
 from ..functions.crypto import key_id, sign_text, verify_text
 from ..schema import HASH_VERSIONS, JSON_NAMES, PAYLOADS, RUN_TAG, STEP_TAG, Wire
-from ..shared import spread, written
+from ..shared import spread, without_null_lists, written
 
 #: Columns of a step that its hash covers, by their names in a record.
 HASHED = {
@@ -52,15 +52,55 @@ def step_text(row: dict, version: int) -> str | None:
     return "{" + ",".join(parts) + "}"
 
 
-def canonical_step(version: int = 2) -> Column:
-    """A column of a steps DataFrame: step_text() of each row; null where a payload can't be read."""
+def committed_to(name: str) -> Column:
+    """The entries of `commitments` under a payload."""
+    return F.filter(F.map_entries("commitments"), lambda e: (e["key"] == name) | e["key"].startswith(f"{name}.") | e["key"].startswith(f"{name}["))
+
+
+def plain_step(version: int = 2) -> Column:
+    """A column of a steps DataFrame: step_text() by built-in functions; null where a member needs more than these."""
+    members = []
+    for quoted, name, column in QUOTED:
+        value, absent = F.col(column), F.col(column).isNull()
+        if name == "runId" and version != 2:
+            continue
+        if column in PAYLOADS:
+            own = committed_to(name)
+            some = F.coalesce(F.size(own) > 0, F.lit(False))
+            listed = F.array_join(F.transform(F.array_sort(own), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), e["value"], F.lit('"'))), ",")
+            view = F.when(F.forall(own, lambda e: e["key"].rlike(SAFE) & e["value"].rlike(SAFE)), F.concat(F.lit("{"), listed, F.lit("}")))
+            text, absent = F.when(some, view).otherwise(plain_json(value)), absent & ~some
+        elif column in NUMBERS:
+            value = value.cast("double")
+            text, absent = plain_number(value), absent | F.isnan(value)
+        else:
+            text = plain_string(value)
+        members.append(F.when(absent, "").otherwise(F.concat(F.lit(f",{quoted}:"), text)))
+    return F.concat(F.lit("{"), F.substring(F.concat(*members), 2, 2**31 - 1), F.lit("}"))
+
+
+def canonical_step(version: int = 2, plain: Column | None = None) -> Column:
+    """A column of a steps DataFrame: step_text() of each row; null where a payload can't be read. plain: plain_step(), if it is a column already.
+
+    Rows that plain_step() leaves out go to Python, as one text each: an Arrow batch is measured after each row, column by column.
+    """
+    plain = plain_step(version) if plain is None else plain
 
     @F.pandas_udf(T.StringType())
-    def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
-            yield pd.Series([step_text(row, version) for row in x.astype(object).where(x.notna(), None).to_dict("records")], dtype=object)
+            yield x.map(one, na_action="ignore").astype(object)
+
+    def one(row: str) -> str | None:
+        held = json.loads(row)
+        return step_text({c: float(v) if c in NUMBERS and isinstance(v, str) else v for c in (*HASHED.values(), "commitments") for v in (held.get(c),)}, version)
+
+    return F.coalesce(plain, text(F.when(plain.isNull(), F.to_json(F.struct(*HASHED.values(), "commitments")))))
+
 
-    return text(F.struct(*[F.col(c) for c in HASHED.values()], "commitments"))
+def with_canonical(steps: DataFrame, version: int = 2) -> DataFrame:
+    """steps with `canonical`, canonical_step()."""
+    return steps.withColumn("_plain", plain_step(version)).withColumn("canonical", canonical_step(version, F.col("_plain"))).drop("_plain")
 
 
 def preimage(text: Column, previous: Column, version: int) -> Column:
@@ -77,7 +117,7 @@ def chain(df: DataFrame, text_col: str = "canonical", version: int = 2, order: s
 
     A run's rows stream through a task in order, in batches: the length of a run takes time, not memory.
     """
-    base = df.drop("hash", "prev_hash")
+    base, back = without_null_lists(df.drop("hash", "prev_hash"))
     columns = base.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +133,7 @@ def chain(df: DataFrame, text_col: str = "canonical", version: int = 2, order: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(hashes, pa.string())], [*columns, "prev_hash", "hash"])
 
     schema = T.StructType([*base.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
-    return spread(base, "run_id").sortWithinPartitions("run_id", order).mapInArrow(run, schema)
+    return back(spread(base, "run_id").sortWithinPartitions("run_id", order).mapInArrow(run, schema))
 
 
 def anchors(chained: DataFrame, order: str = "pos") -> DataFrame:
@@ -135,7 +175,7 @@ def seal(runs: DataFrame, steps: DataFrame, version: int = 2) -> tuple[DataFrame
     """
     from .analyze import exact_totals
 
-    chained = written(chain(steps.withColumn("canonical", canonical_step(version)), version=version).drop("canonical"), "sealed-steps")
+    chained = written(chain(with_canonical(steps, version), version=version).drop("canonical"), "sealed-steps")
     sums = exact_totals(chained).select("run_id", F.struct("tokens", "cost", F.col("duration_ms").alias("durationMs"), "steps").alias("totals"))
     none = F.struct(F.lit(0.0).alias("tokens"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("durationMs"), F.lit(0).cast("long").alias("steps"))
     heads = runs.join(sums, "run_id", "left").withColumn("totals", F.coalesce("totals", none)).join(anchors(chained).select("run_id", "anchor", F.col("steps").alias("step_count")), "run_id", "left").fillna(0, ["step_count"])
@@ -154,7 +194,7 @@ def verify_runs(runs: DataFrame, steps: DataFrame, wire: Wire = Wire()) -> DataF
     broken, leaves = None, None
     for v in HASH_VERSIONS:
         some = known.where(F.col("v") == v)
-        found = broken_links(some.withColumn("canonical", canonical_step(v)), version=v)
+        found = broken_links(with_canonical(some, v), version=v)
         checked = check_commitments(some, v, wire)
         broken, leaves = (found, checked) if broken is None else (broken.unionByName(found), leaves.unionByName(checked))
     bad, gone = F.col("state").isin("mismatched", "undeclared"), F.col("state") == "redacted"

@@ -64,7 +64,10 @@ def edited(steps: DataFrame, change, columns: tuple[str, ...]) -> DataFrame:
             rows = [change(r) for r in x.astype(object).where(x.notna(), None).to_dict("records")]
             yield pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in rows], dtype=object) for f in EDITED.fields})
 
-    fields = F.struct("id", *PAYLOADS, F.map_entries("commitments").alias("commitments"), F.map_entries("salts").alias("salts"), "redactions")
+    # No list here is null, as in without_null_lists().
+    listed = lambda c: F.coalesce(F.map_entries(c), F.array().cast("array<struct<key:string,value:string>>")).alias(c)
+    log = F.coalesce("redactions", F.array().cast(T.ArrayType(REDACTION))).alias("redactions")
+    fields = F.struct("id", *PAYLOADS, listed("commitments"), listed("salts"), F.col("salts").isNotNull().alias("salted"), log)
     out = steps.withColumn("_edit", run(fields))
     return out.withColumns({c: F.col(f"_edit.{c}") for c in columns}).drop("_edit")
 
@@ -147,7 +150,7 @@ def redact(steps: DataFrame, at: str, paths: tuple[str, ...] = (), names: tuple[
             gone.append(path)
         changed = {split_path(p, version)[0] for p in gone}
         return {c: canonical_text(values[JSON_NAMES[c]]) if JSON_NAMES[c] in changed else row[c] for c in PAYLOADS} | {
-            "salts": salts if row["salts"] is not None else None, "redactions": log, "paths": gone,
+            "salts": salts if row["salted"] else None, "redactions": log, "paths": gone,
         }
 
     out = edited(steps.withColumn("paths", F.lit(None)), change, (*PAYLOADS, "salts", "redactions", "paths"))

@@ -1,8 +1,11 @@
 """What keeps a query's time and memory in step with its input."""
 
-from stepforge.functions import crypto, second
-from stepforge.operators import diff
+from pyspark.sql import functions as F
+
+from stepforge.functions import canonical, crypto, second
+from stepforge.operators import diff, integrity
 from stepforge.plans import evidence
+from stepforge.shared import without_null_lists
 from stepforge.sources import growing
 
 
@@ -55,3 +58,36 @@ def test_warnings_are_compared_once(spark):
     assert sorted((r.state, r.kind, r.signature) for r in out.collect()) == [("appeared", "error", "b1"), ("cleared", "loop", "?a9"), ("persisted", "error", "b0"), ("persisted", "error", "b0")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FullOuter") == 1 and "LeftSemi" not in plan
+
+
+def test_step_texts_and_chains_take_no_python_where_they_are_plain(spark):
+    odd = [None, "a", "", 'q"', "b\\", "\x00", "\x1f", "\x7f", "é", "\u2028", "😀", "\n"]
+    payloads = [None, "", "x", "null", "true", "0", "-0", "-1", "01", "1.5", "1e3", "9" * 15, "9" * 16, '"s"', '"\\u00e9"', '"é"', "{}", "{ }", "[]", "[1]", '{"k": 76}', '{"b":1,"a":"x"}', '{"a":1,"a":2}', '{"10":1,"9":2}', '{"x": -0}', '{"x": 1.0}', '{"é":"ü", "z":null,"y" : true}', '{"a":NaN}', "{'a':1}", '{"a":1} x', '{"a":1,}', '{"😀":1,"\ufb01":2,"\x7f":"/"}', '{"a":"}"}', '{"a":"x', '{"a":{"b":1}}', "{a:1}", '{"a":01}', '{"a":+1}', ' {"a":1} ', '{"a":tru}', '{"a":"1.5"}', '{"a":1 "b":2}', '{"":1}', '{"a":/*x*/1}', '{"a":" 5e"}', '{"A":1,"a":2,"Z":3,"_":4}']
+    numbers = [None, float("nan"), float("inf"), 0.0, -0.0, 1.0, -3.0, 0.1, 122.79, 1e-6, 1.5e-6, 1e-7, 0.30000000000000004, 2.0**53, 2.0**53 - 1, 123456789.123456, 1234567890.5, 1e22, 5e-324, -2.5, 100.10, 999999999.9999999]
+    committed = [None, {}, {"input": "c"}, {"input.b": "2", "input.a": "1", "output[0]": "3", "inputs": "4"}, {"input.é": "1"}, {"input.a": 'q"'}, {"label": "x"}]
+    rows = []
+    for i in range(max(len(payloads), len(numbers)) * 3):
+        at = lambda x, k=1: x[i * k % len(x)]  # noqa: B023, E731
+        rows.append((f"r{i}", i, at(odd), i, "t", at(odd, 5), "s", at(numbers), at(numbers, 3), at(numbers, 5), at(odd, 7), payloads[i % len(payloads)], payloads[(i // len(payloads) + i) % len(payloads)], None, None, None, committed[i // 7 % len(committed)]))
+    rows += [(f"ok{i}", i, "é", i, "t", "l", "s", 1.0, float(i), 122.79, None, '{"k": 76}', None, None, None, None, committed[i]) for i in range(4)]
+    schema = "run_id string, pos long, id string, index long, type string, label string, started_at string, duration_ms double, tokens double, cost double, tool_name string, input string, output string, data_payload string, span_id string, parent_span_id string, commitments map<string,string>"
+    steps = spark.createDataFrame(rows, schema)
+    fields = [x.split()[0] for x in schema.split(", ")]
+    for version in (1, 2):
+        found = integrity.with_canonical(steps, version).withColumn("whole", integrity.canonical_step(version)).withColumn("plain", integrity.plain_step(version)).collect()
+        for r in found:
+            want = integrity.step_text({f: r[f] for f in fields}, version)
+            assert r.canonical == want and r.whole == want and r.plain in (None, want), (r, want)
+        assert all(r.plain is not None for r in found if r.run_id.startswith("ok"))
+    sure = {'{"k": 76}', '{"b":1,"a":"x"}', "{}", '{"é":"ü", "z":null,"y" : true}', '{"A":1,"a":2,"Z":3,"_":4}'}
+    texts = spark.createDataFrame([(x,) for x in payloads if x is not None], "x string").select("x", canonical.plain_json(F.col("x")).alias("y")).collect()
+    assert all(r.y == canonical.canonicalize(r.x) if r.y is not None else r.x not in sure for r in texts)
+
+
+def test_lists_that_go_to_python_are_not_null(spark):
+    steps = spark.createDataFrame([("a", 0, "t", None, None), ("a", 1, "u", {"x": "y"}, []), ("b", 0, "v", {}, ["z", None])], "run_id string, pos long, canonical string, m map<string,string>, l array<string>")
+    filled, back = without_null_lists(steps)
+    assert filled.where("m is null or l is null").count() == 0 and back(filled).schema.simpleString() == steps.schema.simpleString()
+    got = integrity.chain(steps).orderBy("run_id", "pos").collect()
+    assert [(r.m, r.l) for r in got] == [(None, None), ({"x": "y"}, []), ({}, ["z", None])]
+    assert got[1].prev_hash == got[0].hash and got[2].prev_hash == ""
