@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Wire
+from ..shared import written
 from . import analyze, fleet, integrity, policy, search
 
 #: Hits of a search unless the request says otherwise.
@@ -60,7 +61,7 @@ def answers(requests: DataFrame, runs: DataFrame, steps: DataFrame, live: DataFr
     400: a search without q; 404: no such route, method or run; 200 otherwise, though a list may have no lines. runs, steps: as a store holds them;
     live: recordings (run_id, name, started_at, steps, modified, ended) in progress. An id that is both stored and live is answered with the record.
     """
-    asked = parsed(requests)
+    asked = written(parsed(requests), "asked")
     if live is None:
         live = runs.select("run_id", "name", "started_at", F.lit(0).cast("long").alias("steps"), F.lit(None).cast("timestamp").alias("modified"), F.lit(None).cast("string").alias("ended")).where(F.lit(False))
     going = live.where("ended is null").join(runs.select("run_id"), "run_id", "left_anti")

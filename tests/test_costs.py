@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from stepforge.functions import canonical, crypto, second
-from stepforge.operators import diff, integrity
+from stepforge.operators import answers, diff, integrity
 from stepforge.plans import evidence
+from stepforge.schema import RUN_SCHEMA, STEP_SCHEMA
 from stepforge.shared import without_null_lists
 from stepforge.sources import growing
 
@@ -91,3 +92,12 @@ def test_lists_that_go_to_python_are_not_null(spark):
     got = integrity.chain(steps).orderBy("run_id", "pos").collect()
     assert [(r.m, r.l) for r in got] == [(None, None), ({"x": "y"}, []), ({}, ["z", None])]
     assert got[1].prev_hash == got[0].hash and got[2].prev_hash == ""
+
+
+def test_requests_are_parsed_once(spark):
+    asked = spark.createDataFrame([(1, "GET", "/api/runs"), (2, "GET", "/api/search?q=x")], "request long, method string, url string")
+    runs = spark.createDataFrame([], f"{RUN_SCHEMA}, totals struct<tokens:double,cost:double,durationMs:double,steps:long>, run_hash string, hash_version int, ingested_at timestamp, signature {integrity.SIGNATURE}, redaction_seal {integrity.SEAL}")
+    replies, lines = answers.answers(asked, runs, spark.createDataFrame([], STEP_SCHEMA))
+    for df in (replies, lines):
+        assert "url_decode" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted((r.request, r.status) for r in replies.collect()) == [(1, 200), (2, 200)]
