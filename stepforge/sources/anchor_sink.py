@@ -27,6 +27,7 @@ from ..functions.crypto import sign_text
 from ..operators.anchors import chained_lines, statement
 from ..operators.proofs import check_entry, check_token, response_token
 from ..schema import Wire
+from ..shared import new_path, spread
 from .growing import opened
 
 INTEGER, BOOLEAN, NULL = 0x02, 0x01, 0x05
@@ -81,7 +82,7 @@ def log_requests(candidates: DataFrame, private_pem: str, public_pem: str, wire:
         signature = {"content": sign_text(private_pem, text), "publicKey": {"content": base64.b64encode(public_pem.encode()).decode()}}
         return json.dumps({"apiVersion": "0.0.1", "kind": "hashedrekord", "spec": {"data": {"hash": {"algorithm": "sha256", "value": hashlib.sha256(text.encode()).hexdigest()}}, "signature": signature}})
 
-    return stated(candidates, wire).withColumn("request", made("statement"))
+    return spread(stated(candidates, wire)).withColumn("request", made("statement"))
 
 
 # ---- answers ----------------------------------------------------------------------------------------------------
@@ -133,7 +134,7 @@ def answered(requests: DataFrame, answers: DataFrame, anchored_at: str, pinned:
             yield pd.DataFrame(rows, columns=["proof", "error"])
 
     nonce = F.col("nonce") if timed else F.lit("").alias("nonce")
-    out = requests.join(answers.select("run_id", "answer"), "run_id", "left").withColumn("x", judged(F.struct("statement", nonce, "answer")))
+    out = spread(requests.join(answers.select("run_id", "answer"), "run_id", "left")).withColumn("x", judged(F.struct("statement", nonce, "answer")))
     return out.select(F.col("run_id").alias("runId"), F.col("run_hash").alias("runHash"), "keyId", "signature", F.lit(anchored_at).alias("anchoredAt"), "x.proof", "x.error")
 
 
@@ -230,8 +231,6 @@ def append(records: DataFrame, path: str) -> None:
 
 def store_anchors(requests: DataFrame, answers: DataFrame, path: str, anchored_at: str, pinned: str | None = None, log_key: str | None = None, url: str | None = None) -> DataFrame:
     """Check the answers, append a record for every request, and return the outcomes: rows (runId, runHash, proven, error)."""
-    from ..shared import new_path
-
     judged = answered(requests, answers, anchored_at, pinned, log_key, url)
     at = new_path(requests.sparkSession, "anchors")
     judged.write.parquet(at)

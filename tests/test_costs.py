@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from stepforge.functions import canonical, crypto, second
-from stepforge.operators import answers, diff, integrity
+from stepforge.functions.text import trimmed
+from stepforge.operators import answers, diff, integrity, proofs, redact
 from stepforge.plans import evidence
 from stepforge.schema import RUN_SCHEMA, STEP_SCHEMA
 from stepforge.shared import without_null_lists
-from stepforge.sources import growing
+from stepforge.sources import anchor_sink, growing, traces
 
 
 def counted(monkeypatch, module, name):
@@ -101,3 +102,12 @@ def test_requests_are_parsed_once(spark):
     for df in (replies, lines):
         assert "url_decode" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
     assert sorted((r.request, r.status) for r in replies.collect()) == [(1, 200), (2, 200)]
+
+
+def test_signatures_and_proofs_are_dealt_over_all_cores(spark, tmp_path):
+    private, public = crypto.keys()
+    runs = spark.createDataFrame([("r", "h", None, None)], "run_id string, run_hash string, keyId string, signature string")
+    asked = anchor_sink.log_requests(runs, private, public)
+    records = spark.createDataFrame([("r", "h", "{}")], "runId string, runHash string, proof string")
+    for df in (asked, anchor_sink.answered(asked, runs.select("run_id", F.lit(b"").alias("answer")), "t"), proofs.proofs(records, F.col("runId"))):
+        assert "Repartition" in df._jdf.queryExecution().optimizedPlan().toString()
