@@ -12,7 +12,9 @@ NOT_A_LABEL = ("<", "Caveat:", "This session is being continued")
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, rf"\A{SPACE}+|{SPACE}+\z", "")
+    """The text without white space at its ends; only one that has some there is searched as a whole."""
+    ends = F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))
+    return F.when(ends.rlike(SPACE), F.regexp_replace(x, rf"\A{SPACE}+|{SPACE}+\z", "")).otherwise(x)
 
 
 def one_line(x: Column) -> Column:

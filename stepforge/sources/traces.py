@@ -113,10 +113,20 @@ ATTRIBUTES = f"array<struct<key:string,value:{VALUE}>>"
 OTLP = f"struct<resourceSpans:array<struct<resource:struct<attributes:{ATTRIBUTES}>,scopeSpans:array<struct<spans:array<struct<spanId:string,parentSpanId:string,name:string,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{ATTRIBUTES},status:struct<code:int>>>>>>>>"
 
 
+def said(attrs: Column) -> Column:
+    """Attributes as (key, text): a string before an integer, a double and a boolean."""
+    text = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
+    return F.transform(attrs, lambda a: F.struct(a["key"].alias("key"), text(a["value"]).alias("text")))
+
+
+def last_said(pairs: Column, key: str) -> Column:
+    """The text of the last attribute with a key, of said()."""
+    return F.try_element_at(F.filter(pairs, lambda a: a["key"] == key), F.lit(-1))["text"]
+
+
 def attribute(attrs: Column, key: str) -> Column:
-    """(text, is text) of the last attribute with a key: a string before an integer, a double and a boolean."""
-    found = F.element_at(F.filter(attrs, lambda a: a["key"] == key), -1)["value"]
-    return F.when(F.size(F.filter(attrs, lambda a: a["key"] == key)) > 0, F.coalesce(found["stringValue"], found["intValue"], found["doubleValue"].cast("string"), found["boolValue"].cast("string")))
+    """The text of the last attribute with a key."""
+    return last_said(said(attrs), key)
 
 
 def maybe_json(x: Column) -> Column:
@@ -154,12 +164,15 @@ def otlp(docs: DataFrame, wire: Wire = Wire(), live: bool = False) -> tuple[Data
     runs = root.select("path", "run_id", of_run("name", "OpenTelemetry run").alias("name"), of_run("currency", "USD").alias("currency"), F.when(status.isin("completed", "failed"), status).alias("declared"))
     spans = root.select("run_id", F.posexplode("r").alias("i", "rs")).select("run_id", "i", F.posexplode("rs.scopeSpans").alias("j", "ss")).select("run_id", "i", "j", F.posexplode("ss.spans").alias("k", "s"))
     spans = spans.withColumn("ord", F.row_number().over(Window.partitionBy("run_id").orderBy("i", "j", "k")) - 1)
-    a = F.coalesce(F.col("s.attributes"), F.array().cast(ATTRIBUTES))
-    at = lambda *keys: F.coalesce(*[attribute(a, k) for k in keys])
+    # Each attribute is looked up once, into a column of its own.
+    own = ["step.type", "step.label", "cost", "tool.name", "input", "output", "data_payload"]
+    keys = [*map(wire.attribute, own), "gen_ai.tool.name", "gen_ai.usage.total_tokens", "gen_ai.usage.input_tokens", "gen_ai.usage.output_tokens", "gen_ai.prompt", "gen_ai.completion"]
+    spans = spans.withColumn("said", said(F.col("s.attributes"))).withColumns({f"at_{i}": last_said(F.col("said"), k) for i, k in enumerate(keys)}).drop("said")
+    at = lambda *names: F.coalesce(*[F.col(f"at_{keys.index(k)}") for k in names])
     name = F.coalesce("s.name", F.lit("span"))
     start, end = tx.number(F.col("s.startTimeUnixNano")) / 1e6, tx.number(F.col("s.endTimeUnixNano")) / 1e6
     total = tx.number(at("gen_ai.usage.total_tokens"))
-    tool = attribute(a, "gen_ai.tool.name")
+    tool = at("gen_ai.tool.name")
     kind = step_type(at(wire.attribute("step.type")), tool, name)
     if live:
         kind = F.when(~F.coalesce(at(wire.attribute("step.type")).isin(*STEP_TYPES), F.lit(False)) & (F.col("s.status.code") == 2), "error").otherwise(kind)

@@ -111,3 +111,12 @@ def test_signatures_and_proofs_are_dealt_over_all_cores(spark, tmp_path):
     records = spark.createDataFrame([("r", "h", "{}")], "runId string, runHash string, proof string")
     for df in (asked, anchor_sink.answered(asked, runs.select("run_id", F.lit(b"").alias("answer")), "t"), proofs.proofs(records, F.col("runId"))):
         assert "Repartition" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_attributes_are_looked_up_once(spark):
+    text = '{"resourceSpans":[{"scopeSpans":[{"spans":[{"name":" x ","startTimeUnixNano":"1000000","endTimeUnixNano":" 3000000 ","attributes":[{"key":"gen_ai.tool.name","value":{"stringValue":"a"}},{"key":"gen_ai.tool.name","value":{"intValue":7}},{"key":"trace.cost","value":{"doubleValue":0.5}},null,{"key":"gen_ai.usage.input_tokens","value":{"stringValue":"\\u00a04"}}]},{"name":"plan"}]}]}]}'
+    steps = traces.otlp(spark.createDataFrame([("p", text)], "path string, text string"))[1]
+    assert sorted((r.ord, r.type, r.tool_name, r.cost, r.tokens, r.duration_ms) for r in steps.collect()) == [(0, "tool_call", "7", 0.5, 4.0, 2.0), (1, "plan", None, 0.0, 0.0, 0.0)]
+    assert steps._jdf.queryExecution().optimizedPlan().toString().count("= gen_ai.usage.total_tokens") <= 1
+    ends = spark.createDataFrame([(x,) for x in ("", " ", "a", " a", "a ", "\ta b\n", "😀", "﻿😀 ")], "x string")
+    assert [r[0] for r in ends.select(trimmed(F.col("x"))).collect()] == ["", "", "a", "a", "a", "a b", "😀", "😀"]
