@@ -108,16 +108,23 @@ def commit(steps: DataFrame, version: int = 2, salt=None) -> DataFrame:
     """
     make = salt or (lambda step, path: os.urandom(16).hex())
 
-    def change(row: dict) -> dict:
+    def one(step: str, texts: tuple) -> tuple[dict, dict]:
         salts, out = {}, {}
-        for c in PAYLOADS:
-            if row[c] is not None:
-                for path, leaf in leaves(parsed(row[c]), JSON_NAMES[c], version):
-                    salts[path] = make(row["id"], path)
+        for c, text in zip(PAYLOADS, texts, strict=True):
+            if isinstance(text, str):
+                for path, leaf in leaves(parsed(text), JSON_NAMES[c], version):
+                    salts[path] = make(step, path)
                     out[path] = commitment(salts[path], canonical_text(leaf))
-        return {"commitments": out, "salts": salts}
+        return out, salts
+
+    @F.pandas_udf(T.StructType([T.StructField("commitments", MAP), T.StructField("salts", MAP)]))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = [one(step, texts) for step, *texts in zip(x["id"], *[x[c] for c in PAYLOADS], strict=True)]
+            yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(("commitments", "salts"))})
 
-    return edited(steps, change, ("commitments", "salts"))
+    out = steps.withColumn("_edit", run(F.struct("id", *PAYLOADS)))
+    return out.withColumns({c: F.col(f"_edit.{c}") for c in ("commitments", "salts")}).drop("_edit")
 
 
 def targets(row: dict, paths: tuple[str, ...], found: dict[str, re.Pattern], version: int, wire: Wire) -> list[str]:

@@ -120,3 +120,15 @@ def test_attributes_are_looked_up_once(spark):
     assert steps._jdf.queryExecution().optimizedPlan().toString().count("= gen_ai.usage.total_tokens") <= 1
     ends = spark.createDataFrame([(x,) for x in ("", " ", "a", " a", "a ", "\ta b\n", "😀", "﻿😀 ")], "x string")
     assert [r[0] for r in ends.select(trimmed(F.col("x"))).collect()] == ["", "", "a", "a", "a", "a b", "😀", "😀"]
+
+
+def test_commitments_are_made_from_the_payloads_alone(spark):
+    steps = spark.createDataFrame([("a", '{"k": [1, {"x": "y"}]}', None, None), ("b", None, "2", '"s"')], "id string, input string, output string, data_payload string")
+    none = {"commitments": "map<string,string>", "salts": "map<string,string>", "redactions": "array<struct<path:string,at:string,reason:string,by:string>>"}
+    out = redact.commit(steps.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}), salt=lambda step, path: f"{step}{path}")
+    assert "map_entries" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r for r in out.collect()}
+    assert got["a"].salts == {p: f"a{p}" for p in ("input.k[0]", "input.k[1].x")} and got["b"].salts == {p: f"b{p}" for p in ("output", "dataPayload")}
+    assert got["a"].commitments["input.k[1].x"] == canonical.commitment("ainput.k[1].x", '"y"') and got["b"].commitments["output"] == canonical.commitment("boutput", "2")
+    gone = redact.redact(out.where("id = 'a'").withColumn("salts", F.lit(None).cast("map<string,string>")), "t", paths=("input.k[0]",)).first()
+    assert gone.salts is None and gone.redacted_paths == ["input.k[0]"]
