@@ -132,3 +132,11 @@ def test_commitments_are_made_from_the_payloads_alone(spark):
     assert got["a"].commitments["input.k[1].x"] == canonical.commitment("ainput.k[1].x", '"y"') and got["b"].commitments["output"] == canonical.commitment("boutput", "2")
     gone = redact.redact(out.where("id = 'a'").withColumn("salts", F.lit(None).cast("map<string,string>")), "t", paths=("input.k[0]",)).first()
     assert gone.salts is None and gone.redacted_paths == ["input.k[0]"]
+
+
+def test_leaves_take_one_python_process_a_task(spark):
+    steps = spark.createDataFrame([("a", 0, '{"x":[1]}', "no", '"s"', 2), ("b", 0, None, None, None, 2)], "run_id string, pos long, input string, output string, data_payload string, hash_version int")
+    none = {"commitments": "map<string,string>", "salts": "map<string,string>", "redactions": "array<struct<path:string,at:string,reason:string,by:string>>"}
+    out = diff.leaf_rows(steps.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}))
+    assert [(r.run_id, r.path, r.value) for r in out.collect()] == [("a", "input.x[0]", "1"), ("a", "dataPayload", '"s"')]
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ") == 1
