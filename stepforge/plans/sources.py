@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analyze, anchors, diff, proofs
-from ..shared import new_path, written
+from ..shared import apart, new_path, written
 from ..sources import driver, recorder, traces
 from ..streaming import live
 from .catalogue import STEPS, query
@@ -83,7 +83,7 @@ def comparisons_judged(spark, sf):
     aligned = written(diff.alignments(pairs, steps), "aligned")
     found = written(diff.summary(diff.step_differences(aligned, pairs, steps)), "differences")
     news = diff.warning_differences(pairs, aligned, steps, written(analyze.warnings(steps), "warnings"))
-    return diff.equivalent(pairs, found, news).join(diff.caveats(pairs, found, aligned), "pair").select("pair", "equivalent", F.array_join("caveats", ",").alias("caveats"))
+    return diff.equivalent(pairs, found, news).join(apart(diff.caveats(pairs, found, aligned)), "pair").select("pair", "equivalent", F.array_join("caveats", ",").alias("caveats"))
 
 
 @query("SELECT DISTINCT 'r' || user_id AS run_id, CASE WHEN user_id % 3 = 0 THEN 'self-attested' ELSE 'local' END AS strength, CASE WHEN user_id % 3 = 0 THEN '1970-01-01T00:00:01Z' END AS proven_by, TRUE AS ok FROM events")

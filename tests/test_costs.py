@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from stepforge.functions import canonical, crypto, second
 from stepforge.functions.text import trimmed
-from stepforge.operators import answers, diff, integrity, proofs, redact
-from stepforge.plans import evidence
+from stepforge.operators import analyze, answers, diff, integrity, proofs, redact
+from stepforge.plans import evidence, sources
 from stepforge.schema import RUN_SCHEMA, STEP_SCHEMA
-from stepforge.shared import without_null_lists
+from stepforge.shared import without_null_lists, written
 from stepforge.sources import anchor_sink, growing, traces
 
 
@@ -140,3 +140,14 @@ def test_leaves_take_one_python_process_a_task(spark):
     out = diff.leaf_rows(steps.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}))
     assert [(r.run_id, r.path, r.value) for r in out.collect()] == [("a", "input.x[0]", "1"), ("a", "dataPayload", '"s"')]
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ") == 1
+
+
+def test_steps_of_compared_runs_are_not_sent_whole(spark, sf):
+    pairs, steps = evidence.edited(spark, sf)
+    aligned, warned = written(diff.alignments(pairs, steps), "aligned"), analyze.warnings(steps)
+    found = diff.summary(diff.step_differences(aligned, pairs, steps))
+    made = (diff.alignments(pairs, steps), found, warned, diff.warning_differences(pairs, aligned, steps, written(warned, "warnings")), diff.caveats(pairs.withColumns({"a_version": F.lit(2), "b_version": F.lit(2)}), found, aligned), sources.comparisons_judged(spark, sf))
+    for df in made:
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
