@@ -2,7 +2,9 @@
 
 import json
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,44 @@ def test_watch(calls, want):
     for i, x in enumerate(calls):
         watch.step(i, "tool_call", "t", f'"{x}"')
     assert watch.loops() == want
+
+
+class Maps:
+    """A handle whose map states are dicts; calls counts what is asked of them."""
+
+    def __init__(self):
+        self.calls, self.held = 0, {}
+
+    def getMapState(self, name, *_):  # noqa: N802
+        held, said = self.held.setdefault(name, {}), lambda x: setattr(self, "calls", self.calls + 1) or x
+        return SimpleNamespace(getValue=lambda k: said(held.get(k)), updateValue=lambda k, v: said(held.update({k: v})), removeKey=lambda k: said(held.pop(k, None)))
+
+
+def fed(writer, spans):
+    table = pd.DataFrame(spans, columns=[c.split()[0] for c in stateful.SPAN.split(", ")])
+    return list(writer.handleInputRows((0,), iter([table[::2], table[1::2]]), None))
+
+
+def test_runs_of_a_bucket_share_frames_and_ask_for_state_twice():
+    maps, writer = Maps(), stateful.Writer("", True, 0)
+    writer.init(maps)
+    for at in range(2):
+        found = fed(writer, [span(f"t{t}", i, "p", i, "tool_call", "db", 1.0, '"a"') for t in range(500) for i in range(at * 2, at * 2 + 2)])
+        assert len(found) == 1 and maps.calls == 1000 * (at + 1)
+        assert sorted(found[0]["event"].tolist()) == ["step"] * 1000 + ["warning"] * 500 * at
+
+
+def test_costly_steps_are_told_once_from_a_log_in_parts(monkeypatch):
+    out = []
+    for part in (3, 1000):
+        monkeypatch.setattr(stateful, "PART", part)
+        maps, writer, told = Maps(), stateful.Writer("", True, 0), []
+        writer.init(maps)
+        for i, cost in enumerate([50.0, 1.0, 1.0, 1.0, 20.0, 1.0, 0.0, 2.0, 30.0]):
+            told += [(i, x) for f in fed(writer, [span("t", i, "p", i, cost=cost)]) for x in f["message"].dropna()]
+        assert [(i, x.split(" (")[0]) for i, x in told] == [(2, "Step #0"), (4, "Step #4"), (8, "Step #8")]
+        assert len(maps.held["parts"]) == (3 if part == 3 else 0)
+        out.append(told)
+        fed(writer, [span("t", 99, None, 99)])
+        assert not maps.held["parts"]
+    assert out[0] == out[1]
