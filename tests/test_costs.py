@@ -151,3 +151,11 @@ def test_steps_of_compared_runs_are_not_sent_whole(spark, sf):
         assert df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_short_text_is_made_canonical_once(monkeypatch):
+    calls = counted(monkeypatch, canonical, "canonical_text")
+    text, long = '{"k": "a short text", "a": 1}', '["%s"]' % ("x" * canonical.SHORT)
+    assert {canonical.canonicalize(text) for _ in range(5)} == {'{"a":1,"k":"a short text"}'} and len(calls) <= 1
+    assert canonical.canonicalize(long) == canonical.canonicalize(long) == long and canonical.canonicalize("{bad") is canonical.canonicalize("{bad") is None
+    assert len(canonical.REMEMBERED.__reduce__()[0]()) == 0
