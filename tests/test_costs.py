@@ -1,5 +1,7 @@
 """What keeps a query's time and memory in step with its input."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from stepforge.functions import canonical, crypto, second
@@ -159,3 +161,17 @@ def test_a_short_text_is_made_canonical_once(monkeypatch):
     assert {canonical.canonicalize(text) for _ in range(5)} == {'{"a":1,"k":"a short text"}'} and len(calls) <= 1
     assert canonical.canonicalize(long) == canonical.canonicalize(long) == long and canonical.canonicalize("{bad") is canonical.canonicalize("{bad") is None
     assert len(canonical.REMEMBERED.__reduce__()[0]()) == 0
+
+
+def test_the_second_verifier_writes_a_step_once(monkeypatch):
+    step = {"id": "r:0", "index": 0, "label": "ü\ud800x", "cost": 1.5, "input": {"10": 1, "9": 2.0, "a": [1e21, -0.0, 10**15, 1e-7]}, "runId": "r", "prevHash": ""}
+    run = {"id": "r", "hashVersion": 2, "steps": [step | {"hash": second.step_digest(step, "", 2)}], "runHash": ""}
+    calls = counted(monkeypatch, second, "text_of")
+    out = second.verdicts(json.dumps(run))
+    assert out["chain"] and out["commitments"] and len(calls) < 25
+    assert second.text_of(step["input"]) == canonical.canonical_text(step["input"]) == '{"9":2,"10":1,"a":[1e+21,0,1000000000000000,1e-7]}'
+    assert second.json_string(step["label"]) == canonical.string_text(step["label"])
+    deep = json.dumps(run).replace('"prevHash"', '"x": ' + "[" * 600 + "]" * 600 + ', "prevHash"')
+    assert not second.verdicts(deep)["parsed"] and not second.shallow([[]], 1) and second.shallow([[]], 2)
+    for path in ("input.k", "", "a..b", "a.", ".a", "a]b", "input"):
+        assert second.keys_of(path, 2) == second.keys_of(path + "[0]", 2)[:-1] or path.endswith(".") or not path
